@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ridgeline.llm.vectors import Router, hashed_sample, pack, rotation, squared, unpack, usable_vectors
+from ridgeline.llm.vectors import Router, hashed_sample, pack, squared, unpack, usable_vectors
 from ridgeline.plans.lineage import cut_lineage
 
 SCHEMA = "cell int, kind int, list int, id bigint, vec binary, tag string, k int, probes array<int>, bound double"
@@ -29,26 +29,25 @@ class Search:
     centres, ``most_sample`` in all (the only sampling: every vector is indexed); ``probes``: lists that one query may probe beyond those it
     needs to see k candidates; ``cell_rows``: vectors of one cell; ``eps``: error bound of the hypothesis test, larger is more careful."""
 
-    lists_per_root_n: float = 3.0
+    lists_per_root_n: float = 8.0
     most_lists: int = 65_536
     sample_rows: int = 16
     most_sample: int = 262_144
-    probes: int = 64
+    probes: int = 256
     cell_rows: int = 4096
-    blocks: tuple[int, ...] = (16, 32)
-    eps: float = 2.1
+    blocks: tuple[int, ...] = (8, 16, 32)
+    risk: float = 0.001
     seed: int = 7
 
 
-def scan_cell(ids: np.ndarray, x: np.ndarray, tags: np.ndarray, lists: np.ndarray, qids: np.ndarray, q: np.ndarray, ks: np.ndarray, wanted: np.ndarray, probes: pa.ListArray, bound: np.ndarray, rot: np.ndarray, s: Search) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def scan_cell(ids: np.ndarray, x: np.ndarray, tags: np.ndarray, lists: np.ndarray, qids: np.ndarray, q: np.ndarray, ks: np.ndarray, wanted: np.ndarray, probes: pa.ListArray, bound: np.ndarray, turn: tuple[np.ndarray, list[float]], s: Search) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(query ids, ids, exact squared distances) of up to k candidates a query. ``tags``, ``wanted``: codes, -1 wants any."""
     dim = x.shape[1]
     bounds = [0, *[b for b in s.blocks if b < dim], dim]
+    rot, factor = turn
     xr, qr = x @ rot, q @ rot
     xb = [np.ascontiguousarray(xr[:, a:b]) for a, b in zip(bounds, bounds[1:])]
     qb = [np.ascontiguousarray(qr[:, a:b]) for a, b in zip(bounds, bounds[1:])]
-    # Estimated distance = partial * dim / seen; abandoned beyond (1 + eps / sqrt(seen))**2 times the threshold.
-    factor = [1.0 if b == dim else (b / dim) * (1 + s.eps / np.sqrt(b)) ** 2 for b in bounds[1:]]
     ends = probes.offsets.to_numpy()
     who, which = np.repeat(np.arange(len(q)), np.diff(ends)), probes.values.to_numpy()[ends[0] : ends[-1]]
     order = np.argsort(which, kind="stable")
@@ -64,11 +63,16 @@ def scan_cell(ids: np.ndarray, x: np.ndarray, tags: np.ndarray, lists: np.ndarra
             rows = mine[at : at + 1024]
             part = squared(qb[0][rows], xb[0][a:b])
             keep = part <= (tau[rows] * factor[0])[:, None]
-            if (wanted[rows] >= 0).any():
-                keep &= (wanted[rows] < 0)[:, None] | (wanted[rows][:, None] == tags[a:b][None])
+            if (wanted[rows] != -1).any():
+                keep &= (wanted[rows] == -1)[:, None] | (wanted[rows][:, None] == tags[a:b][None])
+            t = 1
+            while t < len(xb) and keep.mean() > 0.1:  # while most survive, a product is cheaper than picking pairs
+                part += squared(qb[t][rows], xb[t][a:b])
+                keep &= part <= (tau[rows] * factor[t])[:, None]
+                t += 1
             i, j = np.nonzero(keep)
             d = part[i, j]
-            for t in range(1, len(xb)):
+            for t in range(t, len(xb)):
                 if not len(i):
                     break
                 diff = xb[t][a + j] - qb[t][rows[i]]
@@ -125,9 +129,9 @@ def nearest_vectors(vectors: DataFrame, id_col: str, vector_col: str, queries: D
     if not len(sample):
         return spark.createDataFrame([], f"`{names[0]}` {queries.schema[query_id].dataType.simpleString()}, `{names[1]}` {vectors.schema[id_col].dataType.simpleString()}, _distance double")
     router = Router.fit(sample, min(lists, len(sample)), s.seed)
-    rot = rotation(dim, s.seed)
+    turn = fit_rotation(sample, s)
     bands = np.quantile(np.sqrt(router.nearest(sample)[1][:, 0]), [0.5, 0.9])
-    shared = spark.sparkContext.broadcast((router, rot, bands))
+    shared = spark.sparkContext.broadcast((router, turn, bands))
     n_bands = len(bands) + 1
 
     def assign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -211,6 +215,34 @@ def nearest_vectors(vectors: DataFrame, id_col: str, vector_col: str, queries: D
     return found.withColumn("rank", rank).where(F.col("rank") <= F.col("k")).select(F.col("qid").alias(names[0]), F.col("id").alias(names[1]), F.col("d").alias("_distance"))
 
 
+def fit_rotation(sample: np.ndarray, s: Search) -> tuple[np.ndarray, list[float]]:
+    """(rotation to the principal axes of the sample, factor of the threshold after each block).
+
+    Under the hypothesis that a candidate is within the threshold t, its partial distance exceeds ``factor * t`` with a chance of at
+    most ``risk``: the factor is that quantile of partial / full distance over pairs of the sample, near and far ones.
+    """
+    dim = sample.shape[1]
+    bounds = [*[b for b in s.blocks if b < dim], dim]
+    few = sample[:4096].astype(np.float64)
+    values, axes = np.linalg.eigh(np.cov(few.T) if len(few) > 1 else np.eye(dim))
+    rot = np.ascontiguousarray(axes[:, np.argsort(-values)], dtype=np.float32)
+    if len(few) < 3:
+        return rot, [1.0] * len(bounds)
+    turned, rng = (few @ rot.astype(np.float64)), np.random.default_rng(s.seed)
+    a = rng.integers(len(few), size=40_000)
+    b = rng.integers(len(few), size=40_000)
+    near = squared(turned[:1024].astype(np.float32), turned.astype(np.float32))
+    near[np.arange(len(near)), np.arange(len(near))] = np.inf
+    near = np.argpartition(near, min(10, near.shape[1] - 2), axis=1)[:, :10]
+    a, b = np.r_[a, np.repeat(np.arange(len(near)), near.shape[1])], np.r_[b, near.ravel()]
+    diff = (turned[a] - turned[b]) ** 2
+    full = diff.sum(1)
+    seen = full > 1e-9
+    if not seen.any():
+        return rot, [1.0] * len(bounds)
+    return rot, [float(min(1.0, np.quantile(diff[seen, :w].sum(1) / full[seen], 1 - s.risk))) for w in bounds]
+
+
 def _cells(batches: Iterator[pa.RecordBatch], most: int = 2048) -> Iterator[tuple[dict[str, pa.Array], dict[str, pa.Array]]]:
     """(vectors, queries) of each cell of rows sorted by (cell, kind); a cell's queries come in blocks of about ``most``."""
     cell, vs, qs, waiting = None, [], [], 0

@@ -67,12 +67,6 @@ def squared(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return np.maximum(d, 0, out=d)
 
 
-def rotation(dim: int, seed: int) -> np.ndarray:
-    """A random orthogonal matrix."""
-    q, r = np.linalg.qr(np.random.default_rng(seed).standard_normal((dim, dim)))
-    return (q * np.sign(np.diag(r))).astype(np.float32)
-
-
 def lloyd(x: np.ndarray, k: int, rng: np.random.Generator, rounds: int = 6) -> tuple[np.ndarray, np.ndarray]:
     """(centres, label of each row); an empty centre moves to a row that lies far from its own."""
     k = max(1, min(k, len(x)))
