@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ridgeline.llm.bpe import token_ids
+from ridgeline.llm.clusters import similarity_clusters
 from ridgeline.llm.knn import nearest_vectors
 from ridgeline.llm.leaks import leaked_items
 from ridgeline.llm.pieces import split_documents
@@ -61,6 +62,16 @@ def p4_from_days(spark: SparkSession, d: str) -> DataFrame:
     return sketch_percentiles(merge_sketches(days, groups), groups, PERCENTILES)
 
 
+def p6_clusters(spark: SparkSession, d: str) -> DataFrame:
+    return similarity_clusters(table(spark, d, "documents"), "doc_id", "embedding", dim=DIM)[0]
+
+
+def p6_found(spark: SparkSession, d: str) -> DataFrame:
+    clusters, membership = similarity_clusters(table(spark, d, "documents"), "doc_id", "embedding", dim=DIM)
+    kept = clusters.where("size >= 5 AND mutual AND isolated").select("cluster")
+    return membership.join(kept, "cluster").select(F.col("cluster").alias("cluster_doc_id"), "doc_id")
+
+
 def p7_ids(spark: SparkSession, d: str) -> DataFrame:
     return token_ids(table(spark, d, "documents"), "doc_id", "text")
 
@@ -78,6 +89,6 @@ def p9_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (p1_found, p1_neighbours, p3_sample, p4_percentiles, p4_from_days, p7_ids, p8_found, p9_found, p9_pieces)
+    f.__name__: f for f in (p1_found, p1_neighbours, p3_sample, p4_percentiles, p4_from_days, p6_clusters, p6_found, p7_ids, p8_found, p9_found, p9_pieces)
 }
 ORACLE: dict[str, str] = {}

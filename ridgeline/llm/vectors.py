@@ -102,8 +102,8 @@ class Router:
     ALL = 4096
 
     def __init__(self, leaves: np.ndarray, root_of: np.ndarray, roots: np.ndarray):
-        order = np.argsort(root_of, kind="stable")
-        self.leaves, self.root_of, self.roots = leaves[order], root_of[order], roots
+        self.order = np.argsort(root_of, kind="stable")  # the leaves' places in what was given
+        self.leaves, self.root_of, self.roots = leaves[self.order], root_of[self.order], roots
 
     @staticmethod
     def fit(sample: np.ndarray, count: int, seed: int) -> Router:
