@@ -112,11 +112,10 @@ def reservoir_sample(df: DataFrame, size: int, seed: int = 0, keep: Callable[[pa
 
     state_rows = cut_lineage(df.mapInArrow(fill, schema))
     parts = max(1, df.sparkSession.sparkContext.defaultParallelism if state_rows.isEmpty() else (state_rows.agg(F.max(part)).first()[0] + 1))
-    level = 0
-    while True:
-        level += 1
 
-        def merge(t: pa.Table, level: int = level) -> pa.Table:
+    def merger(level: int) -> Callable[[pa.Table], pa.Table]:
+        def merge(t: pa.Table) -> pa.Table:
+            t = t.drop_columns([group])
             ids, slots, pops = (t[c].to_numpy() for c in (part, slot, count))
             known = sorted({int(p): int(n) for p, n in zip(ids, pops)}.items())
             target = known[0][0] // fan_in
@@ -129,7 +128,12 @@ def reservoir_sample(df: DataFrame, size: int, seed: int = 0, keep: Callable[[pa
             cols = [got.column(i) for i in range(width)] + [pa.array(np.full(n, target)), pa.array(rng.permutation(n)), pa.array(np.full(n, sum(p for _, p in known)))]
             return pa.table(cols, schema=arrow)
 
-        state_rows = state_rows.withColumn(group, F.floor(F.col(part) / fan_in)).groupBy(group).applyInArrow(lambda t, m=merge: m(t.drop_columns([group])), schema)
+        return merge
+
+    level = 0
+    while True:
+        level += 1
+        state_rows = state_rows.withColumn(group, F.floor(F.col(part) / fan_in)).groupBy(group).applyInArrow(merger(level), schema)
         parts = -(-parts // fan_in)
         if parts == 1:
             return state_rows.select(*df.columns)
