@@ -29,11 +29,11 @@ class Search:
     centres, ``most_sample`` in all (the only sampling: every vector is indexed); ``probes``: lists that one query may probe beyond those it
     needs to see k candidates; ``cell_rows``: vectors of one cell; ``eps``: error bound of the hypothesis test, larger is more careful."""
 
-    lists_per_root_n: float = 8.0
+    lists_per_root_n: float = 16.0
     most_lists: int = 65_536
     sample_rows: int = 16
     most_sample: int = 262_144
-    probes: int = 256
+    probes: int = 512
     cell_rows: int = 4096
     blocks: tuple[int, ...] = (8, 16, 32)
     risk: float = 0.001
