@@ -77,14 +77,41 @@ def udaf(df: DataFrame, group_by: Sequence[str], inputs: Sequence[str], make: Ca
         if held:
             yield flush()
 
-    def finish(t: pa.Table) -> pa.Table:
-        a = make()
-        a.merge(t[state].to_pylist())
-        return pa.table([*[t[k].slice(0, 1) for k in keys], pa.array([a.evaluate()], result)], names=[*keys, out])
+    def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """States of a group lie side by side; a group may go on in the next batch."""
+        last: tuple | None = None
+        held: Accumulator | None = None
+        done: list[tuple] = []
+
+        def flush() -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([*[pa.array([k[i] for k, _ in done], types[i]) for i in range(n)], pa.array([v for _, v in done], result)], names=[*keys, out])
+
+        for b in batches:
+            names = list(zip(*[c.to_pylist() for c in b.columns[:n]])) if n else [()] * b.num_rows
+            states = b.column(n).to_pylist()
+            at = 0
+            while at < len(names):
+                end = at
+                while end < len(names) and names[end] == names[at]:
+                    end += 1
+                if held is not None and names[at] != last:
+                    done.append((last, held.evaluate()))
+                    held = None
+                held, last = held or make(), names[at]
+                held.merge(states[at:end])
+                at = end
+            if len(done) >= 8192:
+                yield flush()
+                done = []
+        if held is not None:
+            done.append((last, held.evaluate()))
+        if done:
+            yield flush()
 
     final = StructType([*rows.schema.fields[:n], StructField(out, _parse_datatype_string(returns))])
     states = rows.mapInArrow(fold, partial)
-    return states.groupBy(*keys).applyInArrow(finish, final).toDF(*group_by, out)
+    together = states.repartition(*keys).sortWithinPartitions(*keys) if n else states.repartition(1)
+    return together.mapInArrow(finish, final).toDF(*group_by, out)
 
 
 def udwf(df: DataFrame, partition_by: Sequence[str], order_by: Sequence[str | Column], evaluate_all: Callable[[pa.Table], pa.Array], returns: str, out: str) -> DataFrame:

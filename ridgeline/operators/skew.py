@@ -7,6 +7,8 @@ the states of a key that crosses partition bounds are stitched by a second, tiny
 
 from __future__ import annotations
 
+from fractions import Fraction
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -40,9 +42,9 @@ def heavy_keys(totals: DataFrame, key: str, share: float) -> DataFrame:
     Nothing comes out when the totals are all zero or there are none.
     """
     whole = totals.agg(F.sum(F.col("total").cast("decimal(28,0)")).alias("whole"))
-    num, den = float(share).as_integer_ratio() if float(share) in (0.0, 1.0) else (round(share * 10**6), 10**6)
-    limit = whole.select(F.col("whole") * F.lit(num)).scalar()
-    return totals.where((F.col("total") > 0) & (F.col("total").cast("decimal(28,0)") * F.lit(den) >= limit)).select(key)
+    exact = Fraction(str(share))  # 0.02 is a fiftieth, not the nearest binary number
+    limit = whole.select(F.col("whole") * F.lit(exact.numerator)).scalar()
+    return totals.where((F.col("total") > 0) & (F.col("total").cast("decimal(28,0)") * F.lit(exact.denominator) >= limit)).select(key)
 
 
 def running_totals(df: DataFrame, key: str, order: str, value: str, out: str = "running_total") -> DataFrame:
