@@ -178,8 +178,9 @@ def nearest_vectors(vectors: DataFrame, id_col: str, vector_col: str, queries: D
         r = shared.value[0]
         table, codes, cells, split = plan.value
         for whole in batches:
-            for start in range(0, whole.num_rows, 2048):
-                b = whole.slice(start, 2048)
+            step = max(64, min(2048, (1 << 24) // len(r.leaves)))  # distances to all leaves are held
+            for start in range(0, whole.num_rows, step):
+                b = whole.slice(start, step)
                 m, ks = unpack(b.column(3), dim), b.column(1).to_numpy()
                 tags = np.array([-1 if t is None else codes.get(t, -2) for t in b.column(2).to_pylist()])
                 rows, lists_, bound = route(m, ks, tags, r, table, n_bands, s)
@@ -298,8 +299,9 @@ def route(m: np.ndarray, ks: np.ndarray, tags: np.ndarray, r: Router, table: tup
         else:
             n, lo, hi, mn, ls, lf = st_n[use], low[use], high[use], mean[use], st_list[use], leaf[use]
         mine = np.flatnonzero(tags == want)
-        for at in range(0, len(mine), 256):
-            rows = mine[at : at + 256]
+        step = max(8, min(256, (1 << 21) // len(lf)))
+        for at in range(0, len(mine), step):
+            rows = mine[at : at + step]
             d2 = (squared(m[rows], r.leaves) if dist is None else dist[rows])[:, lf]
             d = np.sqrt(d2)
             top = min(s.probes, len(ls))

@@ -91,4 +91,12 @@ def p9_found(spark: SparkSession, d: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (p1_found, p1_neighbours, p3_sample, p4_percentiles, p4_from_days, p6_clusters, p6_found, p7_ids, p8_found, p9_found, p9_pieces)
 }
-ORACLE: dict[str, str] = {}
+#: Nodes that share one closed neighbourhood of as many nodes are a clique without outside neighbours. All pairs: for small tables only.
+ORACLE: dict[str, str] = {
+    "p6_found": """
+WITH v AS (SELECT doc_id, embedding::DOUBLE[] AS e FROM documents WHERE len(embedding) = 64 AND len(list_filter(embedding, lambda x: x IS NOT NULL AND isfinite(x))) = 64 AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
+n AS (SELECT a.doc_id, count(*) AS c, min(b.doc_id) AS first, sum(hash(b.doc_id)::HUGEINT) AS mark FROM v a, v b WHERE list_distance(a.e, b.e) ** 2 < 350 GROUP BY a.doc_id),
+k AS (SELECT c, first, mark FROM n GROUP BY c, first, mark HAVING count(*) = c AND c >= 5)
+SELECT first AS cluster_doc_id, doc_id FROM n JOIN k USING (c, first, mark)
+""",
+}
