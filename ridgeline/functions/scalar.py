@@ -404,6 +404,26 @@ def date_bin(stride_seconds: float, source: Any, origin: str = "1970-01-01 00:00
     return F.timestamp_micros(at - F.pmod(at - start, width))
 
 
+def if_(condition: Column, if_true: Any, if_false: Any) -> Column:
+    return F.when(condition, value(if_true)).otherwise(value(if_false))
+
+
+def spark_cast(arg: Any, type_name: str) -> Column:
+    return value(arg).cast(type_name)
+
+
+def modulus(dividend: Any, divisor: Any) -> Column:
+    return value(dividend) % value(divisor)
+
+
+def luhn_check(arg: Any) -> Column:
+    return F.call_function("luhn_check", value(arg))
+
+
+def space(n: Any) -> Column:
+    return F.call_function("space", value(n))
+
+
 def version() -> Column:
     from ridgeline import __version__
 
