@@ -20,16 +20,18 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 from pyspark.sql.types import ArrayType, BinaryType, BooleanType, DateType, DoubleType, FloatType, IntegerType, LongType, StringType
 
+from ridgeline.plans.lineage import cut_lineage
 from ridgeline.plans.ship import ship
 from ridgeline.vector import lvq
 from ridgeline.vector.config import IVF, WriteOptions
 from ridgeline.vector.errors import Backend, InvalidArgument, InvalidSchema
 from ridgeline.vector.formats import check_postings, fingerprint
 from ridgeline.vector.storage import Warehouse
-from ridgeline.vector.training import Hierarchy, closest, train
+from ridgeline.vector.training import Hierarchy, budgets, closest, kmeans, train
 
 KEY_TYPES = (BooleanType, IntegerType, LongType, BinaryType, StringType, DateType)
 RESERVED = "_distance"
+LOCAL = 1 << 24  # sampled values that the driver trains by itself
 
 
 def vector_columns(df: DataFrame) -> list[str]:
@@ -90,19 +92,62 @@ def matrix(column: pa.Array, dim: int, metric: str) -> np.ndarray:
     return x
 
 
-def sample(df: DataFrame, column: str, keys: Sequence[str], dim: int, rows: int, config: IVF) -> np.ndarray:
-    """About ``nlist * training_rows`` canonical vectors, at most ``most_training_rows`` (never below nlist), chosen by a hash of key and vector."""
-    want = min(rows, max(config.nlist, min(config.nlist * config.training_rows, config.most_training_rows)))
-    h = F.xxhash64(*[F.col(f"`{k}`") for k in keys], F.col(f"`{column}`"), F.lit(config.seed))
+def sampled(df: DataFrame, column: str, keys: Sequence[str], rows: int, want: int, seed: int) -> DataFrame:
+    """Rows (v, h): about ``want`` of ``rows`` rows, a little more rather than less, chosen by a hash of key and vector."""
+    h = F.xxhash64(*[F.col(f"`{k}`") for k in keys], F.col(f"`{column}`"), F.lit(seed))
     picked = df.select(F.col(f"`{column}`").alias("v"), h.alias("h"))
-    if want < rows:
-        picked = picked.where(F.pmod("h", F.lit(1 << 40)) < F.lit(min(1 << 40, int((1 << 40) * (want / rows) * 1.1) + (1 << 34))))
-    t = picked.toArrow().combine_chunks().sort_by("h")
-    x = matrix(t["v"].combine_chunks(), dim, config.metric)[: max(want, config.nlist)]
-    if len(x) < config.nlist:
-        t = df.select(F.col(f"`{column}`").alias("v"), h.alias("h")).orderBy("h").limit(max(want, config.nlist)).toArrow().combine_chunks()
-        x = matrix(t["v"].combine_chunks(), dim, config.metric)
-    return x
+    if want >= rows:
+        return picked
+    return picked.where(F.pmod("h", F.lit(1 << 40)) < F.lit(min(1 << 40, int((1 << 40) * (want / rows) * 1.1) + (1 << 34))))
+
+
+def _collected(df: DataFrame, dim: int, metric: str, most: int) -> np.ndarray:
+    t = df.toArrow().combine_chunks().sort_by("h")
+    return matrix(t["v"].combine_chunks(), dim, metric)[:most]
+
+
+def train_index(df: DataFrame, column: str, keys: Sequence[str], dim: int, rows: int, config: IVF) -> Hierarchy:
+    """Centroids from ``nlist * training_rows`` sampled rows, at most ``most_training_rows`` but never fewer than nlist.
+
+    A small sample is trained on the driver. Beyond ``LOCAL`` values the driver trains only the roots, from 512 rows each, and each root's
+    leaves are trained by a task of their own from the sampled rows that it owns; centroids alone come back.
+    """
+    want = min(rows, max(config.nlist, min(config.nlist * config.training_rows, config.most_training_rows)))
+    if want * dim <= LOCAL:
+        x = _collected(sampled(df, column, keys, rows, want, config.seed), dim, config.metric, max(want, config.nlist))
+        if len(x) < config.nlist:
+            every = sampled(df, column, keys, rows, rows, config.seed).orderBy("h").limit(max(want, config.nlist))
+            x = _collected(every, dim, config.metric, max(want, config.nlist))
+        return train(x, config.nlist, config.iterations, config.seed)
+    ship(df.sparkSession)
+    count = max(1, round(config.nlist**0.5))
+    few = _collected(sampled(df, column, keys, rows, min(want, 512 * count), config.seed), dim, config.metric, 512 * count)
+    roots = kmeans(few, min(count, len(few)), config.iterations, np.random.default_rng(config.seed))
+    shared = df.sparkSession.sparkContext.broadcast(roots)
+
+    def own(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            x = matrix(b.column(0), dim, config.metric)
+            label, _ = closest(x, shared.value)
+            flat = pa.ListArray.from_arrays(pa.array(np.arange(len(x) + 1, dtype=np.int32) * np.int32(dim)), pa.array(x.ravel()))
+            yield pa.RecordBatch.from_arrays([pa.array(label.astype(np.int32)), b.column(1), flat], names=["root", "h", "v"])
+
+    owned = cut_lineage(sampled(df, column, keys, rows, want, config.seed).mapInArrow(own, "root int, h bigint, v array<float>"))
+    sizes = {r["root"]: r["count"] for r in owned.groupBy("root").count().collect()}  # a row a root
+    kept = sorted(sizes)
+    if sum(sizes.values()) < config.nlist:
+        raise Backend("the training sample is smaller than nlist")
+    share = budgets(np.array([sizes[r] for r in kept]), config.nlist)
+    leaves_of = dict(zip(kept, share.tolist()))
+
+    def leaves(t: pa.Table) -> pa.Table:
+        r = t["root"][0].as_py()
+        t = t.sort_by("h").combine_chunks()
+        got = kmeans(matrix(t["v"].combine_chunks(), dim, "l2_squared"), leaves_of[r], config.iterations, np.random.default_rng([config.seed, r + 1]))
+        return pa.table({"root": pa.array([r] * len(got), pa.int32()), "place": pa.array(range(len(got)), pa.int32()), "leaf": pa.array(got.tolist(), pa.list_(pa.float32()))})
+
+    out = owned.groupBy("root").applyInArrow(leaves, "root int, place int, leaf array<float>").toArrow().combine_chunks().sort_by([("root", "ascending"), ("place", "ascending")])
+    return Hierarchy(matrix(out["leaf"].combine_chunks(), dim, "l2_squared"), roots[kept], np.concatenate([[0], np.cumsum(share)]))
 
 
 def centroid_table(h: Hierarchy) -> pa.Table:
@@ -219,7 +264,7 @@ def build(df: DataFrame, column: str, keys: Sequence[str], config: IVF, options:
 
     def make() -> str:
         progress("training")
-        h = train(sample(df, column, keys, dim, ntotal, config), config.nlist, config.iterations, config.seed)
+        h = train_index(df, column, keys, dim, ntotal, config)
         artifact = str(uuid.uuid4())
         base = f"indexes/{artifact.replace('-', '')}/1"
         write_table(warehouse, f"{base}/ivf_centroids/part-00000.parquet", centroid_table(h), options)

@@ -18,7 +18,7 @@ class IVF:
     encoding: str = "source"
     metric: str = "l2_squared"
     training_rows: int = 256
-    most_training_rows: int = 1 << 20
+    most_training_rows: int = 1 << 24
     iterations: int = 20
     seed: int = 42
 

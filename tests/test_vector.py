@@ -179,6 +179,20 @@ def test_row_groups_hold_one_cluster_and_files_are_pruned(session, tmp_path):
     assert {r["id"] for r in session.collect(q.nprobes(20)).to_pylist()} == got
 
 
+def test_leaves_are_trained_by_tasks(session, tmp_path, monkeypatch):
+    from ridgeline.vector import build
+
+    rng = np.random.default_rng(6)
+    x = (rng.normal(size=(30, 8))[rng.integers(0, 30, 3000)] * 20 + rng.normal(size=(3000, 8))).astype(np.float32)
+    t = session.register_parquet("many", save(tmp_path / "m.parquet", ["id", "embedding"], list(zip(range(3000), x.tolist()))))
+    monkeypatch.setattr(build, "LOCAL", 0)
+    h = build.train_index(t.df, "embedding", ["id"], 8, 3000, IVF(40, training_rows=50))
+    assert len(h.leaves) == 40 and h.offsets[-1] == 40 and (np.diff(h.offsets) > 0).all() and len(h.roots) == len(h.offsets) - 1
+    t.create_index("i", "embedding", "id", IVF(40))
+    q = t.search(x[5].tolist()).limit(10)
+    assert [r["id"] for r in session.collect(q.nprobes(40)).to_pylist()] == [r["id"] for r in session.collect(q.bypass_vector_index()).to_pylist()]
+
+
 def test_refresh_conflict_and_drop(session, documents, tmp_path):
     documents.create_index("i", "embedding", "document_id", IVF(2))
     base = session.catalog.load("documents", "i")
