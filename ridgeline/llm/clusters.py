@@ -111,6 +111,7 @@ def pivot_members(df: DataFrame, id_col: str, vector_col: str, dim: int, c: Clus
     rows = cut_lineage(reps.select("rep", "vec", "n", none.cast("bigint").alias("pivot"), none.cast("double").alias("far"), none.cast("array<bigint>").alias("touched")))
     place = F.pmod(F.xxhash64("rep", F.lit(c.seed)), F.lit(1 << ORDER_BITS))
     settled = []
+    done = 0.0  # all places below are decided
     while True:
         free = rows.where(F.col("pivot").isNull())
         left = free.count()
@@ -119,13 +120,14 @@ def pivot_members(df: DataFrame, id_col: str, vector_col: str, dim: int, c: Clus
             break
         want = int(min(c.most_stretch, max(256, c.stretch * math.sqrt(left))))
         # The places are uniform: this share of them holds about the wanted number, whatever the data.
-        share = min(1.0, want / left)
+        share = min(1.0, done + (1 - done) * want / left) if want < left else 1.0
         while True:
             stretch = free.where(place < F.lit(int(share * (1 << ORDER_BITS)))).select(place.alias("place"), "rep", "vec") if share < 1 else free.select(place.alias("place"), "rep", "vec")
             t = stretch.toArrow().combine_chunks().sort_by([("place", "ascending"), ("rep", "ascending")])
             if t.num_rows or share >= 1:
                 break
-            share = min(1.0, share * 8)  # later rounds: the low places are taken
+            share = min(1.0, share * 2)
+        done = share
         x = unpack(t["vec"].combine_chunks(), dim)
         chosen = local_minima(x, c.threshold)
         out = cut_lineage(_absorb(rows, t["rep"].to_numpy()[chosen], x[chosen], c, dim))
