@@ -350,7 +350,7 @@ def similarity_clusters(df: DataFrame, id_col: str, vector_col: str, *, dim: int
     members nearest to its centre, ``mutual`` whether all members are similar to each other, ``isolated`` whether no member is known to be similar to a vector outside.
     membership: (cluster, id_col), one row a usable vector. ``isolated`` is worked out only for mutual clusters of at least ``least`` members, others have null there.
 
-    Defined cases: unusable vectors belong to no cluster; exact copies share a cluster and count each; a vector without a similar one is a cluster of its
+    Defined cases: unusable vectors, and rows without an id (an integer), belong to no cluster; exact copies share a cluster and count each; a vector without a similar one is a cluster of its
     own; repeated ids with one vector count each; ties in distance go to the smaller id; further columns are ignored; an empty table gives no rows.
     Pivots, absorption, sizes and ``mutual`` are exact up to 4,096 pivots a round; ``isolated`` looks for near clusters in the ``regions`` nearest regions of each centre.
     """

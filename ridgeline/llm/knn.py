@@ -110,7 +110,7 @@ def nearest_vectors(vectors: DataFrame, id_col: str, vector_col: str, queries: D
     with that tag: it is a filter before the search. Tags should be few (the table of lists has a row per list, band and tag).
 
     Defined cases: unusable vectors (null, another length, a null or non-finite element, all zero) are no candidates and no queries; a vector
-    equal to the query counts; equal distances go to the smaller id; a repeated query id is asked once; repeated vectors are candidates
+    equal to the query counts; rows and queries without an id are left out (ids are integers); equal distances go to the smaller id; a repeated query id is asked once; repeated vectors are candidates
     each; k of null, zero or less gives nothing; fewer than k candidates all come out; empty tables give no rows;
     further columns are ignored. Exact but for the probe limit and the hypothesis test.
     """
@@ -127,7 +127,7 @@ def nearest_vectors(vectors: DataFrame, id_col: str, vector_col: str, queries: D
     if not len(sample):
         _, sample = hashed_sample(v, total + 1, total, s.seed, dim) if total <= s.most_sample else (None, sample)
     if not len(sample):
-        return spark.createDataFrame([], f"`{names[0]}` {queries.schema[query_id].dataType.simpleString()}, `{names[1]}` {vectors.schema[id_col].dataType.simpleString()}, _distance double")
+        return spark.createDataFrame([], f"`{names[0]}` bigint, `{names[1]}` bigint, _distance double")
     router = Router.fit(sample, min(lists, len(sample)), s.seed)
     turn = fit_rotation(sample, s)
     bands = np.quantile(np.sqrt(router.nearest(sample)[1][:, 0]), [0.5, 0.9])

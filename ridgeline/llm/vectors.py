@@ -44,9 +44,11 @@ def unpack(column: pa.Array, dim: int) -> np.ndarray:
 
 
 def usable_vectors(df: DataFrame, id_col: str, vector_col: str, dim: int, extra: Sequence[str] = ()) -> DataFrame:
-    """Rows (id, vec, x0, x1, ..): the rows with a usable vector, packed; ``extra`` columns come along."""
+    """Rows (id, vec, x0, x1, ..): the rows with a usable vector and an id, packed; ``extra`` columns come along. Ids are integers."""
     ship(df.sparkSession)
-    rows = df.select(F.col(id_col).alias("id"), *(F.col(c).alias(f"x{i}") for i, c in enumerate(extra)), F.col(vector_col).alias("vec"))
+    if df.schema[id_col].dataType.simpleString() not in ("tinyint", "smallint", "int", "bigint"):
+        raise ValueError(f"ids must be integers: {id_col}")
+    rows = df.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("bigint").alias("id"), *(F.col(c).alias(f"x{i}") for i, c in enumerate(extra)), F.col(vector_col).alias("vec"))
     kinds = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in rows.schema.fields[:-1])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -28,13 +28,13 @@ def test_recall(spark, search):
     x[100:110] = x[99]
     tags = rng.choice(np.array(["p", "d", None], object), 3000, p=[0.6, 0.3, 0.1])
     ids = np.arange(3000) * 3
-    bad = [(9001, None, "p"), (9002, [1.0] * (DIM - 1), "p"), (9003, [0.0] * DIM, "p"), (9004, [float("nan")] * DIM, "p"), (9005, [None] + [1.0] * (DIM - 1), None), (9006, [1e300] * DIM, "p")]
+    bad = [(9001, None, "p"), (9002, [1.0] * (DIM - 1), "p"), (9003, [0.0] * DIM, "p"), (9004, [float("nan")] * DIM, "p"), (9005, [None] + [1.0] * (DIM - 1), None), (9006, [1e300] * DIM, "p"), (None, [1.0] * DIM, "p")]
     docs = spark.createDataFrame([(int(i), v.tolist(), t) for i, v, t in zip(ids, x, tags)] + bad, "id long, vec array<double>, tag string").selectExpr("id", "vec", "tag", "1 as cell", "2 as k")
     q = np.concatenate([points(80, 40, rng), x[:100:5] + 0.01, x[99:100]])
     ks = rng.integers(1, 15, len(q))
     wants = [None if i % 3 else "d" for i in range(len(q) - 1)] + [None]
     queries = [(i, v.tolist(), int(k), w) for i, (v, k, w) in enumerate(zip(q, ks, wants))]
-    queries += [queries[0], (901, None, 3, None), (902, [0.0] * DIM, 3, None), (903, q[0].tolist(), 0, None), (904, q[0].tolist(), 3, "missing"), (905, q[0].tolist(), None, None)]
+    queries += [queries[0], (901, None, 3, None), (902, [0.0] * DIM, 3, None), (903, q[0].tolist(), 0, None), (904, q[0].tolist(), 3, "missing"), (905, q[0].tolist(), None, None), (None, q[0].tolist(), 3, None)]
     qs = spark.createDataFrame(queries, "qid long, vec array<float>, k int, tag string")
     rows = nearest_vectors(docs, "id", "vec", qs, "qid", "vec", "k", dim=DIM, tag="tag", wanted="tag", search=search).collect()
     got = {}
@@ -85,7 +85,7 @@ def test_clusters(spark, chunk):
     order = rng.permutation(len(x))
     x, ids = x[order], np.arange(len(x)) * 2 + 100
     c = Clustering(threshold=81.0, chunk=chunk, stretch=1.0)
-    df = spark.createDataFrame([(int(i), v.tolist()) for i, v in zip(ids, x)] + [(1, None), (2, [0.0] * DIM), (3, [1.0])], "doc long, vec array<float>").selectExpr("doc", "vec", "doc as pivot", "1 as n")
+    df = spark.createDataFrame([(int(i), v.tolist()) for i, v in zip(ids, x)] + [(1, None), (2, [0.0] * DIM), (3, [1.0]), (None, x[0].tolist())], "doc long, vec array<float>").selectExpr("doc", "vec", "doc as pivot", "1 as n")
     clusters, membership = similarity_clusters(df, "doc", "vec", dim=DIM, clustering=c)
     rows = {r["cluster"]: r for r in clusters.collect()}
     members = membership.collect()
@@ -107,6 +107,14 @@ def test_clusters(spark, chunk):
     assert len({k for k, _ in got}) > 20
 
 
+def test_other_id_types(spark):
+    df = spark.createDataFrame([(1, [1.0] * DIM), (2, [1.0] * DIM)], "id int, vec array<float>")
+    clusters, membership = similarity_clusters(df, "id", "vec", dim=DIM)
+    assert clusters.first()["size"] == 2 and membership.count() == 2
+    with pytest.raises(ValueError, match="integers"):
+        similarity_clusters(df.selectExpr("cast(id as string) as id", "vec"), "id", "vec", dim=DIM)
+
+
 def test_no_vectors(spark):
     df = spark.createDataFrame([(1, None)], "doc long, vec array<float>")
     clusters, membership = similarity_clusters(df, "doc", "vec", dim=DIM)
