@@ -89,6 +89,19 @@ def isnan(expr: Any) -> Column:
     return F.when(e.isNotNull(), F.isnan(e))
 
 
+def fill_nan(expr: Any, other: Any) -> Column:
+    return F.nanvl(value(expr), literal(other))
+
+
+def fill_null(expr: Any, other: Any) -> Column:
+    return F.coalesce(value(expr), literal(other))
+
+
+def between(expr: Any, low: Any, high: Any, negated: bool = False) -> Column:
+    out = value(expr).between(literal(low), literal(high))
+    return ~out if negated else out
+
+
 def iszero(arg: Any) -> Column:
     return value(arg) == F.lit(0)
 

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ridgeline.operators.orphans import orphan_references
-from ridgeline.operators.skew import heavy_keys, range_stitched_totals
+from ridgeline.operators.skew import heavy_keys, range_stitched_totals, running_totals
 from ridgeline.sources.tables import table
 
 EPOCH = "TIMESTAMP_NTZ '1970-01-01 00:00:00'"
@@ -47,6 +47,13 @@ def p5_found(spark: SparkSession, d: str) -> DataFrame:
     return heavy_keys(p5_bucket_totals(spark, d), "cid_bucket", 0.02)
 
 
+def p5_running_totals(spark: SparkSession, d: str) -> DataFrame:
+    """Per file the rows of its bucket so far, in the order of the files: a per-key result that a heavy bucket cannot hold up."""
+    files = table(spark, d, "ivf_postings_files").where(F.col("cid_bucket").isNotNull())
+    once = files.groupBy("cid_bucket", "file_id").agg(F.max(F.greatest(F.coalesce("rows", F.lit(0)), F.lit(0))).alias("n"))
+    return running_totals(once, "cid_bucket", "file_id", "n").select("cid_bucket", "file_id", "running_total")
+
+
 _REF_SQL = """
 SELECT DISTINCT 'catalog_indexes' AS ref_table, 'namespace' AS ref_field, strftime(registered_at, '%Y-%m') AS period, entry_id AS ref_id
 FROM catalog_indexes r WHERE namespace IS NOT NULL AND registered_at IS NOT NULL AND NOT EXISTS (
@@ -66,10 +73,14 @@ SELECT cid_bucket, CAST(sum(greatest(coalesce(rows, 0), 0)) AS BIGINT) AS total,
 FROM (SELECT file_id, cid_bucket, max(rows) AS rows FROM ivf_postings_files WHERE cid_bucket IS NOT NULL GROUP BY file_id, cid_bucket) GROUP BY cid_bucket
 """
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"p2_found": p2_found, "p2_report": p2_report, "p5_found": p5_found, "p5_bucket_totals": p5_bucket_totals}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"p2_found": p2_found, "p2_report": p2_report, "p5_found": p5_found, "p5_bucket_totals": p5_bucket_totals, "p5_running_totals": p5_running_totals}
 ORACLE = {
     "p2_found": _REF_SQL,
     "p2_report": f"SELECT ref_table, ref_field, period, count(DISTINCT ref_id) AS orphans FROM ({_REF_SQL}) GROUP BY ref_table, ref_field, period",
     "p5_found": f"WITH t AS ({_TOTAL_SQL}) SELECT cid_bucket FROM t WHERE total > 0 AND total * 50 >= (SELECT sum(total) FROM t)",
     "p5_bucket_totals": _TOTAL_SQL,
+    "p5_running_totals": """
+SELECT cid_bucket, file_id, CAST(sum(n) OVER (PARTITION BY cid_bucket ORDER BY file_id) AS BIGINT) AS running_total
+FROM (SELECT cid_bucket, file_id, max(greatest(coalesce(rows, 0), 0)) AS n FROM ivf_postings_files WHERE cid_bucket IS NOT NULL GROUP BY cid_bucket, file_id)
+""",
 }

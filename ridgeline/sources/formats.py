@@ -91,6 +91,11 @@ def read_avro(spark: SparkSession, path: str, schema: str | None = None) -> Data
     return (r.schema(schema) if schema else r).load(path)
 
 
+def read_iceberg(spark: SparkSession, table: str, snapshot_id: int) -> DataFrame:
+    """One exact snapshot of an Iceberg table; needs Iceberg's runtime on the class path."""
+    return spark.read.option("snapshot-id", snapshot_id).format("iceberg").load(table)
+
+
 def _paths(path: str) -> list[str]:
     p = Path(path)
     return sorted(glob.glob(path)) if any(c in path for c in "*?[") else sorted(map(str, p.rglob("*.arrow"))) if p.is_dir() else [path]
