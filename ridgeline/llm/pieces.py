@@ -101,6 +101,8 @@ def cut_text(text: str, enc: Encoder, c: Cutting) -> list[tuple[int, int, str]]:
                 lo, hi = np.searchsorted(token, [start + c.least, top + 1])
                 if hi > lo:
                     end = int(token[hi - 1 - np.argmax(score[lo:hi][::-1])])  # of equal depths the last
+                elif (early := int(np.searchsorted(token, start + c.overlap + 8))) < hi:
+                    end = int(token[hi - 1])  # only before the window: its last boundary
                 else:
                     if spaces is None:
                         spaces = np.flatnonzero(whole & np.isin(np.concatenate([raw, [32]])[edge], (9, 10, 13, 32)))

@@ -88,6 +88,14 @@ def test_cut_falls_on_the_change_of_topic():
     assert pieces[0][2] == a + "\n"
 
 
+def test_a_boundary_before_the_window_is_better_than_none():
+    c = Cutting(limit=100, overlap=8, least=80)
+    text = " ".join(["word"] * 40) + ". " + "z9" * 400
+    pieces = cut_text(text, encoder(), c)
+    check_pieces(text, pieces, c)
+    assert pieces[0][2].endswith("word.")
+
+
 def test_piece_cases(spark):
     long = "One sentence of the text. " * 3000
     df = spark.createDataFrame([(1, None, 1), (2, "", 1), (3, "short", 1), (4, long, 1), (4, long, 1)], "piece int, text string, piece_no int")
