@@ -3,9 +3,6 @@
 from __future__ import annotations
 
 import pickle
-import shutil
-import tempfile
-import uuid
 
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -15,6 +12,7 @@ from pyspark.sql import functions as F
 from ridgeline.context import SessionContext
 from ridgeline.frame import Frame
 from ridgeline.functions import custom as udfs
+from ridgeline.plans.lineage import scratch_folder
 from ridgeline.plans.registry import Registry
 from ridgeline.plans.ship import ship
 from ridgeline.sources import formats
@@ -24,17 +22,6 @@ from ridgeline.streaming.windows import read_stream, run_available, session_tota
 query = Registry()
 
 
-def _folder(spark: SparkSession) -> str:
-    import atexit
-
-    shared = spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if shared:
-        return f"{shared.removeprefix('file://').rstrip('/')}/ridgeline-{uuid.uuid4().hex}"
-    folder = tempfile.mkdtemp(prefix="ridgeline-")
-    atexit.register(shutil.rmtree, folder, ignore_errors=True)
-    return f"{folder}/t"
-
-
 class LargestTwo(udfs.Accumulator):
     """The sum of the two largest values."""
 
@@ -94,7 +81,7 @@ def _round_trip(kind: str):
     def run(spark: SparkSession, d: str) -> DataFrame:
         ship(spark)
         rows = table(spark, d, "customer").select("c_custkey", "c_name", "c_nationkey", F.round("c_acctbal", 2).alias("c_acctbal"), "c_mktsegment")
-        where = _folder(spark)
+        where = scratch_folder(spark)
         schema = "c_custkey bigint, c_name string, c_nationkey int, c_acctbal double, c_mktsegment string"
         if kind == "parquet":
             Frame(rows).write_parquet(where, formats.ParquetWriterOptions(bloom_filters=["c_custkey"]), formats.WriteOptions(partition_by=["c_mktsegment"], sort_by=["c_custkey"]))
@@ -146,7 +133,7 @@ def window_sessions(spark: SparkSession, d: str) -> DataFrame:
 WHERE date_trunc('hour', ts) + INTERVAL 1 HOUR <= (SELECT max(ts) - INTERVAL 10 MINUTE FROM events) GROUP BY 1, 2""")
 def stream_window_totals(spark: SparkSession, d: str) -> DataFrame:
     """The events as a stream: windows that the watermark has closed, from the files the stream wrote."""
-    base = _folder(spark)
+    base = scratch_folder(spark)
     schema = "event_id bigint, ts timestamp, user_id bigint, event_type string, value double, props string"
     table(spark, d, "events").withColumn("ts", F.col("ts").cast("timestamp")).write.parquet(f"{base}/in")
     events = read_stream(spark, f"{base}/in", schema)

@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
+import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:
@@ -17,3 +20,11 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     if sc.getCheckpointDir() is None:
         sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="ridgeline-"))
     return df.checkpoint(eager=True)
+
+
+def scratch_folder(spark: SparkSession) -> str:
+    """A new folder that is removed when the driver ends: below ``spark.checkpoint.dir``, which all executors share, else temporary."""
+    shared = spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    folder = f"{shared.removeprefix('file://').rstrip('/')}/ridgeline-{uuid.uuid4().hex}" if shared else f"{tempfile.mkdtemp(prefix='ridgeline-')}/w"
+    atexit.register(shutil.rmtree, folder, ignore_errors=True)
+    return folder

@@ -2,16 +2,12 @@
 
 from __future__ import annotations
 
-import atexit
-import shutil
-import tempfile
-import uuid
-
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ridgeline import functions as E
+from ridgeline.plans.lineage import scratch_folder
 from ridgeline.plans.registry import Registry
 from ridgeline.sources.tables import table
 from ridgeline.vector import IVF, connect
@@ -25,18 +21,8 @@ def _first(spark: SparkSession, d: str) -> list[float]:
     return table(spark, d, "embeddings").where("vec_id = 0").first()["embedding"]
 
 
-def _folder(spark: SparkSession) -> str:
-    """A warehouse in the shared folder the session names; a temporary one only where it names none."""
-    shared = spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if shared:
-        return f"{shared.removeprefix('file://').rstrip('/')}/ridgeline-{uuid.uuid4().hex}"
-    folder = tempfile.mkdtemp(prefix="ridgeline-")
-    atexit.register(shutil.rmtree, folder, ignore_errors=True)
-    return folder
-
-
 def _indexed(spark: SparkSession, d: str, config: IVF, **how) -> DataFrame:
-    session = connect(spark, _folder(spark))
+    session = connect(spark, scratch_folder(spark))
     t = session.register_parquet("vectors", f"{d}/embeddings.parquet")
     t.create_index("i", "embedding", "vec_id", config)
     q = t.search(_first(spark, d)).limit(how.get("k", 20)).nprobes(how.get("nprobe", config.nlist))
@@ -47,7 +33,7 @@ def _indexed(spark: SparkSession, d: str, config: IVF, **how) -> DataFrame:
 
 @query(f"SELECT e.vec_id, round({_D}, 4) AS dist FROM embeddings e, {_Q} ORDER BY {_D}, e.vec_id LIMIT 20")
 def exact_topk(spark: SparkSession, d: str) -> DataFrame:
-    session = connect(spark, _folder(spark))
+    session = connect(spark, scratch_folder(spark))
     t = session.register_parquet("vectors", f"{d}/embeddings.parquet")
     return session.dataframe(t.search(_first(spark, d)).limit(20).bypass_vector_index()).select("vec_id", F.round(F.col("_distance").cast("double"), 4).alias("dist"))
 
@@ -141,7 +127,7 @@ def batch_topk(spark: SparkSession, d: str) -> DataFrame:
 
 @query(f"""SELECT label, count(*) AS n, round(avg(dist), 4) AS mean FROM (SELECT e.vec_id, e.label, {_D} AS dist FROM embeddings e, {_Q} ORDER BY dist, e.vec_id LIMIT 50) GROUP BY label""")
 def hits_composed_with_sql(spark: SparkSession, d: str) -> DataFrame:
-    session = connect(spark, _folder(spark))
+    session = connect(spark, scratch_folder(spark))
     t = session.register_parquet("vectors", f"{d}/embeddings.parquet")
     t.df.createOrReplaceTempView("embeddings")
     sql = session.to_sql(t.search(_first(spark, d)).limit(50).bypass_vector_index().select(["vec_id"]))
