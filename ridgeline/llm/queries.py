@@ -37,6 +37,13 @@ def p1_found(spark: SparkSession, d: str) -> DataFrame:
     return p1_neighbours(spark, d).select("query_id", "doc_id")
 
 
+def p1_similar_documents(spark: SparkSession, d: str) -> DataFrame:
+    """The 10 nearest documents (itself among them) of every document whose id is divisible by 20: a stated query set against all rows."""
+    docs = table(spark, d, "documents")
+    asked = docs.where("doc_id % 20 = 0").select(F.col("doc_id").alias("query_doc_id"), "embedding", F.lit(10).alias("k"))
+    return nearest_vectors(docs, "doc_id", "embedding", asked, "query_doc_id", "embedding", "k", dim=DIM)
+
+
 def _has_vector(b: pa.RecordBatch) -> np.ndarray:
     mask = np.zeros(b.num_rows, bool)
     mask[usable(b.column("embedding"), DIM)[0]] = True
@@ -89,7 +96,7 @@ def p9_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (p1_found, p1_neighbours, p3_sample, p4_percentiles, p4_from_days, p6_clusters, p6_found, p7_ids, p8_found, p9_found, p9_pieces)
+    f.__name__: f for f in (p1_found, p1_neighbours, p1_similar_documents, p3_sample, p4_percentiles, p4_from_days, p6_clusters, p6_found, p7_ids, p8_found, p9_found, p9_pieces)
 }
 #: Nodes that share one closed neighbourhood of as many nodes are a clique without outside neighbours. All pairs: for small tables only.
 ORACLE: dict[str, str] = {
