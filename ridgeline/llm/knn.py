@@ -1,15 +1,16 @@
 """The k most similar vectors of every query, by an adaptive dimension scan of probed lists.
 
 Lists are the leaves of a two-level k-means, cut into bands by the distance to the centre. Each query probes the lists that can
-hold one of its k nearest vectors by the triangle inequality, up to a number of probes. Lists are packed into cells of bounded
-size, and vectors and queries meet by cell, in one shuffle. Inside a cell the vectors are rotated and lie in column blocks: the first block's
+hold one of its k nearest vectors by the triangle inequality, the most promising ones first. A query that had more of them asks again:
+with the k-th distance found as its bound it probes every list that the bound leaves. Lists are packed into cells of bounded
+size, and vectors and queries meet by cell, in one shuffle each time. Inside a cell the vectors are rotated and lie in column blocks: the first block's
 partial distances come from a matrix product, and after each block a hypothesis test abandons the candidates whose distance,
 as estimated from the dimensions seen so far, is above the query's current k-th distance. Survivors are measured exactly.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -17,16 +18,17 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ridgeline.llm.vectors import Router, hashed_sample, pack, squared, unpack, usable_vectors
+from ridgeline.llm.vectors import Router, hashed_sample, pack, rounding, squared, unpack, usable_vectors
 from ridgeline.plans.lineage import cut_lineage
 
 SCHEMA = "cell int, kind int, list int, id bigint, vec binary, tag string, k int, probes array<int>, bound double"
+LEFT = 2  # kind of a row that says that a query has lists left, with the score up to which they were probed
 
 
 @dataclass(frozen=True)
 class Search:
     """``lists_per_root_n``: lists per square root of the number of vectors, ``most_lists`` at most; ``sample_rows``: rows a list to fit the
-    centres, ``most_sample`` in all (the only sampling: every vector is indexed); ``probes``: lists that one query may probe beyond those it
+    centres, ``most_sample`` in all (the only sampling: every vector is indexed); ``probes``: lists that one query probes at first, beyond those it
     needs to see k candidates; ``cell_rows``: vectors of one cell; ``eps``: error bound of the hypothesis test, larger is more careful."""
 
     lists_per_root_n: float = 16.0
@@ -112,7 +114,7 @@ def nearest_vectors(vectors: DataFrame, id_col: str, vector_col: str, queries: D
     Defined cases: unusable vectors (null, another length, a null or non-finite element, all zero) are no candidates and no queries; a vector
     equal to the query counts; rows and queries without an id are left out (ids are integers); equal distances go to the smaller id; a repeated query id is asked once; repeated vectors are candidates
     each; k of null, zero or less gives nothing; fewer than k candidates all come out; empty tables give no rows;
-    further columns are ignored. Exact but for the probe limit and the hypothesis test.
+    further columns are ignored. Exact but for the hypothesis test of the first pass; the second pass abandons only what is too far.
     """
     spark, s = vectors.sparkSession, search
     v = usable_vectors(vectors, id_col, vector_col, dim, [tag] if tag else [])
@@ -130,6 +132,7 @@ def nearest_vectors(vectors: DataFrame, id_col: str, vector_col: str, queries: D
         return spark.createDataFrame([], f"`{names[0]}` bigint, `{names[1]}` bigint, _distance double")
     router = Router.fit(sample, min(lists, len(sample)), s.seed)
     turn = fit_rotation(sample, s)
+    q = cut_lineage(q)  # two passes ask the same queries
     bands = np.quantile(np.sqrt(router.nearest(sample)[1][:, 0]), [0.5, 0.9])
     shared = spark.sparkContext.broadcast((router, turn, bands))
     n_bands = len(bands) + 1
@@ -183,25 +186,63 @@ def nearest_vectors(vectors: DataFrame, id_col: str, vector_col: str, queries: D
                 b = whole.slice(start, step)
                 m, ks = unpack(b.column(3), dim), b.column(1).to_numpy()
                 tags = np.array([-1 if t is None else codes.get(t, -2) for t in b.column(2).to_pylist()])
-                rows, lists_, bound = route(m, ks, tags, r, table, n_bands, s)
-                # One row per query and cell, with the lists to probe there.
-                c, p = cells[lists_], split[lists_]
-                more = np.repeat(np.arange(len(c)), p)
-                c = c[more] + (np.arange(len(more)) - np.repeat(np.cumsum(p) - p, p))
-                rows, lists_ = rows[more], lists_[more]
-                o = np.lexsort((lists_, c, rows))
-                rows, lists_, c = rows[o], lists_[o], c[o]
-                first = np.flatnonzero(np.r_[True, (rows[1:] != rows[:-1]) | (c[1:] != c[:-1])]) if len(rows) else np.zeros(0, np.int64)
-                took = pa.array(rows[first])
-                n = len(first)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(c[first].astype(np.int32)), pa.array(np.ones(n, np.int32)), pa.array(np.zeros(n, np.int32)), b.column(0).take(took), b.column(3).take(took), b.column(2).take(took), b.column(1).take(took), pa.ListArray.from_arrays(pa.array(np.r_[first, len(rows)].astype(np.int32)), pa.array(lists_.astype(np.int32))), pa.array(bound[rows[first]])],
-                    names=["cell", "kind", "list", "id", "vec", "tag", "k", "probes", "bound"],
-                )
+                rows, lists_, bound, cutoff = route(m, ks, tags, r, table, n_bands, s)
+                yield to_ask(b, rows, lists_, bound, cells, split)
+                if len(cut := np.flatnonzero(np.isfinite(cutoff))):  # these have lists left
+                    took, n, ids = pa.array(cut), len(cut), b.column(0).to_numpy()[cut]
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array((ids.astype(np.uint64) % np.uint64(4096)).astype(np.int32)), pa.array(np.full(n, LEFT, np.int32)), pa.array(np.zeros(n, np.int32)), b.column(0).take(took), pa.nulls(n, pa.binary()), pa.nulls(n, pa.string()), b.column(1).take(took), pa.nulls(n, pa.list_(pa.int32())), pa.array(cutoff[cut])],
+                        names=["cell", "kind", "list", "id", "vec", "tag", "k", "probes", "bound"],
+                    )
+
+    def to_ask(b: pa.RecordBatch, rows: np.ndarray, lists_: np.ndarray, bound: np.ndarray, cells: np.ndarray, split: np.ndarray) -> pa.RecordBatch:
+        # One row per query and cell, with the lists to probe there.
+        c, p = cells[lists_], split[lists_]
+        more = np.repeat(np.arange(len(c)), p)
+        c = c[more] + (np.arange(len(more)) - np.repeat(np.cumsum(p) - p, p))
+        rows, lists_ = rows[more], lists_[more]
+        o = np.lexsort((lists_, c, rows))
+        rows, lists_, c = rows[o], lists_[o], c[o]
+        first = np.flatnonzero(np.r_[True, (rows[1:] != rows[:-1]) | (c[1:] != c[:-1])]) if len(rows) else np.zeros(0, np.int64)
+        took = pa.array(rows[first])
+        n = len(first)
+        return pa.RecordBatch.from_arrays(
+            [pa.array(c[first].astype(np.int32)), pa.array(np.ones(n, np.int32)), pa.array(np.zeros(n, np.int32)), b.column(0).take(took), b.column(3).take(took), b.column(2).take(took), b.column(1).take(took), pa.ListArray.from_arrays(pa.array(np.r_[first, len(rows)].astype(np.int32)), pa.array(lists_.astype(np.int32))), pa.array(bound[rows[first]])],
+            names=["cell", "kind", "list", "id", "vec", "tag", "k", "probes", "bound"],
+        )
+
+    def ask_again(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        r = shared.value[0]
+        table, codes, cells, split = plan.value
+        step = max(1, min(1024, (1 << 20) // len(table[0])))  # a query may have all lists
+        for whole in batches:
+            for start in range(0, whole.num_rows, step):
+                b = whole.slice(start, step)
+                tags = np.array([-1 if t is None else codes.get(t, -2) for t in b.column(2).to_pylist()])
+                tau, cutoff = b.column(5).to_numpy(), b.column(4).to_numpy()
+                rows, lists_ = rest(unpack(b.column(3), dim), tags, tau, cutoff, r, table, n_bands)
+                yield to_ask(b, rows, lists_, tau, cells, split)
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        turn, codes = shared.value[1], plan.value[1]
-        for vs, qs in _cells(batches):
+        yield from measure(batches, shared.value[1])
+
+    def scan_again(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rot, factor = shared.value[1]
+        yield from measure(batches, (rot, [1.0] * len(factor)))  # a partial distance beyond the bound rules out for certain
+
+    def measure(batches: Iterator[pa.RecordBatch], turn: tuple[np.ndarray, list[float]]) -> Iterator[pa.RecordBatch]:
+        codes, left = plan.value[1], []
+
+        def asked() -> Iterator[pa.RecordBatch]:
+            for b in batches:
+                mark = b.column(1).to_numpy() == LEFT
+                if mark.any():
+                    took = pa.array(np.flatnonzero(mark))
+                    left.append((b.column(3).take(took), b.column(8).take(took), b.column(6).take(took)))
+                    b = b.filter(pa.array(~mark))
+                yield b
+
+        for vs, qs in _cells(asked()):
             q_, x = unpack(qs["vec"], dim), unpack(vs["vec"], dim)
             code_of = lambda col, other: np.array([other if t is None else codes.get(t, -2) for t in col.to_pylist()], np.int64)
             a, b, d = scan_cell(vs["id"].to_numpy(), x, code_of(vs["tag"], -3), vs["list"].to_numpy(), qs["id"].to_numpy(), q_, qs["k"].to_numpy(), code_of(qs["tag"], -1), qs["probes"], qs["bound"].to_numpy(), turn, s)
@@ -209,11 +250,25 @@ def nearest_vectors(vectors: DataFrame, id_col: str, vector_col: str, queries: D
             if len(a):
                 yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b), pa.array(d), pa.array([k_of[x] for x in a.tolist()], pa.int32())], names=["qid", "id", "d", "k"])
 
-    probes = q.mapInArrow(ask, SCHEMA)
-    both = placed.mapInArrow(to_cells, SCHEMA).unionAll(probes).repartition("cell").sortWithinPartitions("cell", "kind", "list")
-    found = both.mapInArrow(scan, "qid bigint, id bigint, d double, k int")
+        for ids, cutoff, ks in left:
+            yield pa.RecordBatch.from_arrays([ids, pa.nulls(len(ids), pa.int64()), cutoff, ks], names=["qid", "id", "d", "k"])
+
+    def meet(probes: DataFrame, how: Callable) -> DataFrame:
+        both = placed.mapInArrow(to_cells, SCHEMA).unionAll(probes).repartition("cell").sortWithinPartitions("cell", "kind", "list")
+        return both.mapInArrow(how, "qid bigint, id bigint, d double, k int")
+
     rank = F.row_number().over(Window.partitionBy("qid").orderBy("d", "id"))
-    return found.withColumn("rank", rank).where(F.col("rank") <= F.col("k")).select(F.col("qid").alias(names[0]), F.col("id").alias(names[1]), F.col("d").alias("_distance"))
+    found = cut_lineage(meet(q.mapInArrow(ask, SCHEMA), scan))
+    best = found.where(F.col("id").isNotNull()).withColumn("rank", rank).where(F.col("rank") <= F.col("k"))
+    left = found.where(F.col("id").isNull()).select(F.col("qid").alias("id"), F.col("d").alias("cutoff"))
+    if not left.isEmpty():
+        kth = best.where(F.col("rank") == F.col("k")).select(F.col("qid").alias("id"), F.col("d").alias("tau"))
+        again = q.join(left, "id").join(kth, "id", "left").select("id", "k", "wanted", "vec", "cutoff", F.coalesce("tau", F.lit(float("inf"))).alias("tau"))
+        both = best.drop("rank").withColumn("turn", F.lit(1)).unionAll(meet(again.mapInArrow(ask_again, SCHEMA), scan_again).withColumn("turn", F.lit(2)))
+        # The second answer of a query is whole: it takes the place of the first.
+        last = both.withColumn("last", F.max("turn").over(Window.partitionBy("qid"))).where(F.col("turn") == F.col("last"))
+        best = last.withColumn("rank", rank).where(F.col("rank") <= F.col("k"))
+    return best.select(F.col("qid").alias(names[0]), F.col("id").alias(names[1]), F.col("d").alias("_distance"))
 
 
 def fit_rotation(sample: np.ndarray, s: Search) -> tuple[np.ndarray, list[float]]:
@@ -272,32 +327,39 @@ def _cells(batches: Iterator[pa.RecordBatch], most: int = 2048) -> Iterator[tupl
     yield from out()
 
 
-def route(m: np.ndarray, ks: np.ndarray, tags: np.ndarray, r: Router, table: tuple, n_bands: int, s: Search) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(query rows, lists, bound per query): the lists each query probes and an upper bound of its k-th squared distance.
+def _lists_of(want: int, table: tuple, n_bands: int) -> tuple[np.ndarray, ...] | None:
+    """(rows, low, high, mean, list, leaf) of each list that holds the wanted tag; -1 wants any."""
+    st_list, st_tag, st_n, low, high, mean = table
+    use = np.arange(len(st_list)) if want == -1 else np.flatnonzero(st_tag == want)
+    if not len(use):
+        return None
+    if want == -1 and len(np.unique(st_list)) < len(use):  # without a filter the tags of a list count as one
+        u, inv = np.unique(st_list, return_inverse=True)
+        n = np.bincount(inv, st_n)
+        lo, hi = np.full(len(u), np.inf), np.zeros(len(u))
+        np.minimum.at(lo, inv, low)
+        np.maximum.at(hi, inv, high)
+        return n, lo, hi, np.bincount(inv, mean * st_n) / n, u, u // n_bands
+    return st_n[use], low[use], high[use], mean[use], st_list[use], st_list[use] // n_bands
+
+
+def route(m: np.ndarray, ks: np.ndarray, tags: np.ndarray, r: Router, table: tuple, n_bands: int, s: Search) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(query rows, lists, bound per query, cutoff per query): the lists each query probes and an upper bound of its k-th squared distance.
 
     A list whose vectors lie between ``low`` and ``high`` from its centre holds none nearer than max(d - high, low - d) to a
-    query at distance d, and its n vectors are all within d + high: enough of these bound the k-th distance.
+    query at distance d, and its n vectors are all within d + high: enough of these bound the k-th distance. A query with more
+    such lists than it probes has a finite cutoff: it probes those with a score (expected squared distance) up to there.
     """
-    st_list, st_tag, st_n, low, high, mean = table
-    leaf = st_list // n_bands
+    cutoff = np.full(len(m), np.inf)
     out_rows, out_lists, bound = [], [], np.full(len(m), np.inf)
     dist = np.full((len(m), len(r.leaves)), np.inf, np.float32) if len(r.leaves) > r.ALL else None
     if dist is not None:
         for rows, leaves, d in r.candidates(m, 32):
             dist[np.ix_(rows, leaves)] = d
     for want in np.unique(tags):
-        use = np.arange(len(st_list)) if want == -1 else np.flatnonzero(st_tag == want)
-        if not len(use):
+        if (of := _lists_of(want, table, n_bands)) is None:
             continue
-        if want == -1 and len(use) and len(np.unique(st_list)) < len(use):  # without a filter the tags of a list count as one
-            u, inv = np.unique(st_list, return_inverse=True)
-            n = np.bincount(inv, st_n)
-            lo, hi = np.full(len(u), np.inf), np.zeros(len(u))
-            np.minimum.at(lo, inv, low)
-            np.maximum.at(hi, inv, high)
-            mn, ls, lf = np.bincount(inv, mean * st_n) / n, u, u // n_bands
-        else:
-            n, lo, hi, mn, ls, lf = st_n[use], low[use], high[use], mean[use], st_list[use], leaf[use]
+        n, lo, hi, mn, ls, lf = of
         mine = np.flatnonzero(tags == want)
         step = max(8, min(256, (1 << 21) // len(lf)))
         for at in range(0, len(mine), step):
@@ -316,7 +378,10 @@ def route(m: np.ndarray, ks: np.ndarray, tags: np.ndarray, r: Router, table: tup
             score = np.where(possible, d2 + mn, np.inf)
             # The nearest lists by expected distance; as many more as it takes to see k candidates.
             order = np.argpartition(score, top - 1, axis=1)[:, :top]
-            keep = np.isfinite(np.take_along_axis(score, order, 1))
+            probed = np.take_along_axis(score, order, 1)
+            keep = np.isfinite(probed)
+            cut = possible.sum(1) > top
+            cutoff[rows[cut]] = probed[cut].max(1)
             i, j = np.nonzero(keep)
             out_rows.append(rows[i])
             out_lists.append(ls[order[i, j]])
@@ -328,5 +393,31 @@ def route(m: np.ndarray, ks: np.ndarray, tags: np.ndarray, r: Router, table: tup
                 out_rows.append(np.full(len(extra), rows[x]))
                 out_lists.append(ls[extra])
     if not out_rows:
-        return np.zeros(0, np.int64), np.zeros(0, np.int64), bound
-    return np.concatenate(out_rows), np.concatenate(out_lists), bound
+        return np.zeros(0, np.int64), np.zeros(0, np.int64), bound, cutoff
+    return np.concatenate(out_rows), np.concatenate(out_lists), bound, cutoff
+
+
+def rest(m: np.ndarray, tags: np.ndarray, tau: np.ndarray, cutoff: np.ndarray, r: Router, table: tuple, n_bands: int) -> tuple[np.ndarray, np.ndarray]:
+    """(query rows, lists): every list that can hold a vector within the squared distance ``tau``, of the queries that have such lists beyond the cutoff."""
+    out_rows, out_lists = [], []
+    slack = rounding(r.leaves)
+    for want in np.unique(tags):
+        if (of := _lists_of(want, table, n_bands)) is None:
+            continue
+        _, lo, hi, mn, ls, lf = of
+        mine = np.flatnonzero(tags == want)
+        step = max(1, (1 << 20) // len(lf))
+        for at in range(0, len(mine), step):
+            rows = mine[at : at + step]
+            d2 = squared(m[rows], r.leaves)[:, lf].astype(np.float64)
+            wrong = rounding(m[rows])[:, None] + slack[lf][None]
+            far, near = np.sqrt(d2 + wrong), np.sqrt(np.maximum(d2 - wrong, 0))
+            reach = np.sqrt(tau[rows])[:, None] * (1 + 1e-5) + 1e-4
+            possible = ~(np.maximum(near - hi, lo - far) > reach)
+            new = possible & ~(d2 + wrong + mn < (cutoff[rows][:, None] - wrong) * (1 - 1e-6))
+            i, j = np.nonzero(possible & new.any(1)[:, None])
+            out_rows.append(rows[i])
+            out_lists.append(ls[j])
+    if not out_rows:
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    return np.concatenate(out_rows), np.concatenate(out_lists)

@@ -53,6 +53,19 @@ def test_recall(spark, search):
     assert [j for _, j in sorted(got[len(q) - 1])] == brute(x, ids, tags, q[-1], ks[-1], None)
 
 
+def test_more_lists_than_probes(spark):
+    rng = np.random.default_rng(6)
+    x, ids = rng.normal(size=(3000, DIM)).astype(np.float32), np.arange(3000) // 2 * 2  # a cloud without groups; each id twice
+    q = rng.normal(size=(40, DIM)).astype(np.float32)
+    docs = spark.createDataFrame([(int(i), v.tolist()) for i, v in zip(ids, x)], "id long, vec array<float>")
+    qs = spark.createDataFrame([(i, v.tolist(), 10) for i, v in enumerate(q)], "qid long, vec array<float>, k int")
+    got = {}
+    for r in nearest_vectors(docs, "id", "vec", qs, "qid", "vec", "k", dim=DIM, search=Search(probes=24)).collect():
+        got.setdefault(r["qid"], []).append((r["_distance"], r["id"]))
+    hit = sum(sorted(i for _, i in got[j]) == sorted(brute(x, ids, None, v, 10, None)) for j, v in enumerate(q))
+    assert hit >= 39
+
+
 def test_empty_and_tiny_tables(spark):
     docs = spark.createDataFrame([(1, [1.0] * DIM), (2, [1.0] * DIM)], "id long, vec array<float>")
     qs = spark.createDataFrame([(1, [1.0] * DIM, 5)], "id long, vec array<float>, k int")
