@@ -64,7 +64,7 @@ def local_minima(x: np.ndarray, threshold: float) -> np.ndarray:
 
 
 def _router(points: np.ndarray, seed: int) -> Router:
-    """All points where they are few, else those of the nearest roots."""
+    """All points where they are few, else under roots."""
     if len(points) <= Router.ALL:
         return Router(points, np.zeros(len(points), np.int64), points[:1])
     roots, label = lloyd(points, round(math.sqrt(len(points))), np.random.default_rng(seed), 3)
@@ -80,7 +80,7 @@ def _absorb(rows: DataFrame, ids: np.ndarray, pivots: np.ndarray, c: Clustering,
         r, names = shared.value
         for b in batches:
             x = unpack(b.column(1), dim)
-            leaf, d = r.nearest(x, 2)
+            leaf, d = r.nearest(x, 2, within=c.threshold)
             old, far = b.column(3).to_numpy(zero_copy_only=False), b.column(4).to_numpy(zero_copy_only=False).astype(np.float64)
             had = b.column(3).is_valid().to_numpy(zero_copy_only=False)
             far = np.where(had, far, np.inf)
@@ -352,7 +352,7 @@ def similarity_clusters(df: DataFrame, id_col: str, vector_col: str, *, dim: int
 
     Defined cases: unusable vectors, and rows without an id (an integer), belong to no cluster; exact copies share a cluster and count each; a vector without a similar one is a cluster of its
     own; repeated ids with one vector count each; ties in distance go to the smaller id; further columns are ignored; an empty table gives no rows.
-    Pivots, absorption, sizes and ``mutual`` are exact up to 4,096 pivots a round; ``isolated`` looks for near clusters in the ``regions`` nearest regions of each centre.
+    Pivots, absorption, sizes and ``mutual`` are exact; ``isolated`` looks for near clusters in the ``regions`` nearest regions of each centre.
     """
     c = clustering
     members = pivot_members(df, id_col, vector_col, dim, c)

@@ -105,13 +105,17 @@ def nearest(x: np.ndarray, centres: np.ndarray) -> tuple[np.ndarray, np.ndarray]
 
 
 class Router:
-    """Leaves under roots. With few leaves each row meets all of them, with many only those of its nearest roots."""
+    """Leaves under roots. With few leaves each row meets all of them, with many only those of its nearest roots, or of
+    every root that can have one ``within`` a squared distance."""
 
     ALL = 4096
 
     def __init__(self, leaves: np.ndarray, root_of: np.ndarray, roots: np.ndarray):
         self.order = np.argsort(root_of, kind="stable")  # the leaves' places in what was given
         self.leaves, self.root_of, self.roots = leaves[self.order], root_of[self.order], roots
+        far = np.sqrt(((self.leaves.astype(np.float64) - roots[self.root_of]) ** 2).sum(1))
+        self.radius = np.zeros(len(roots))  # of each root's leaves
+        np.maximum.at(self.radius, self.root_of, far)
 
     @staticmethod
     def fit(sample: np.ndarray, count: int, seed: int) -> Router:
@@ -127,7 +131,7 @@ class Router:
                 owner += [r] * len(own)
         return Router(np.concatenate(leaves), np.array(owner), roots)
 
-    def candidates(self, x: np.ndarray, roots: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    def candidates(self, x: np.ndarray, roots: int, within: float | None = None) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
         """(rows, leaves, squared distances of all rows to all these leaves), so that each row meets its leaves once."""
         if len(self.leaves) <= self.ALL:
             for at in range(0, len(x), 512):
@@ -135,16 +139,21 @@ class Router:
                 yield rows, np.arange(len(self.leaves)), squared(x[rows], self.leaves)
             return
         d = squared(x, self.roots)
-        near = np.argpartition(d, min(roots, d.shape[1]) - 1, axis=1)[:, :roots]
-        for r in np.unique(near):
-            rows, leaves = np.flatnonzero((near == r).any(1)), np.flatnonzero(self.root_of == r)
-            if len(leaves):
+        if within is None:
+            meets = np.zeros(d.shape, bool)
+            np.put_along_axis(meets, np.argpartition(d, min(roots, d.shape[1]) - 1, axis=1)[:, :roots], True, 1)
+        else:  # a leaf within reach lies under a root within reach and the root's radius
+            low = np.sqrt(np.maximum(d - rounding(x)[:, None] - rounding(self.roots)[None], 0))
+            meets = ~(low > (self.radius + math.sqrt(within)) * (1 + 1e-6))
+        for r in range(len(self.roots)):
+            rows, leaves = np.flatnonzero(meets[:, r]), np.flatnonzero(self.root_of == r)
+            if len(rows) and len(leaves):
                 yield rows, leaves, squared(x[rows], self.leaves[leaves])
 
-    def nearest(self, x: np.ndarray, count: int = 1, roots: int = 8) -> tuple[np.ndarray, np.ndarray]:
-        """(leaves, squared distances), nearest first, -1 where there are fewer."""
+    def nearest(self, x: np.ndarray, count: int = 1, roots: int = 8, within: float | None = None) -> tuple[np.ndarray, np.ndarray]:
+        """(leaves, squared distances), nearest first, -1 where there are fewer; all leaves ``within`` a squared distance are met."""
         label, best = np.full((len(x), count), -1), np.full((len(x), count), np.inf, np.float32)
-        for rows, leaves, d in self.candidates(x, roots):
+        for rows, leaves, d in self.candidates(x, roots, within):
             m = min(count, len(leaves))
             pick = np.argpartition(d, m - 1, axis=1)[:, :m]
             both_d = np.concatenate([best[rows], np.take_along_axis(d, pick, 1)], 1)

@@ -3,7 +3,7 @@
 import numpy as np
 import pytest
 
-from ridgeline.llm.clusters import Clustering, similarity_clusters
+from ridgeline.llm.clusters import Clustering, _router, similarity_clusters
 from ridgeline.llm.knn import Search, nearest_vectors
 
 DIM = 16
@@ -66,6 +66,18 @@ def test_more_lists_than_probes(spark):
     assert hit >= 39
 
 
+def test_many_pivots_meet_all_similar_vectors():
+    rng = np.random.default_rng(9)
+    pivots = rng.normal(size=(5000, 64)).astype(np.float32) * 4  # more than Router.ALL
+    x = (pivots[:1500] + rng.normal(size=(1500, 64)) * 1.9).astype(np.float32)
+    near = ((x.astype(np.float64) ** 2).sum(1)[:, None] + (pivots.astype(np.float64) ** 2).sum(1)[None] - 2 * x.astype(np.float64) @ pivots.T) < 350
+    router = _router(pivots, 11)
+    leaf, d = router.nearest(x, 2, within=350.0)
+    assert near.any(1).sum() > 1400
+    assert np.array_equal(d[:, 0] < 350, near.any(1)) and np.array_equal(d[:, 1] < 350, near.sum(1) > 1)
+    assert near[np.arange(len(x)), router.order[leaf[:, 0]]][near.any(1)].all()
+
+
 def test_empty_and_tiny_tables(spark):
     docs = spark.createDataFrame([(1, [1.0] * DIM), (2, [1.0] * DIM)], "id long, vec array<float>")
     qs = spark.createDataFrame([(1, [1.0] * DIM, 5)], "id long, vec array<float>, k int")
