@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ridgeline.llm.vectors import Router, lloyd, pack, squared, unpack, usable_vectors
+from ridgeline.llm.vectors import Router, lloyd, nearest, pack, rounding, squared, unpack, usable_vectors
 from ridgeline.plans.lineage import cut_lineage
 
 ORDER_BITS = 40
@@ -32,7 +32,7 @@ ORDER_BITS = 40
 class Clustering:
     """``threshold``: squared distance below which two vectors are similar; ``least``: members of a cluster that counts;
     ``stretch``: vectors of a round per square root of their number, ``most_stretch`` at most; ``chunk``: distinct vectors of a cluster that one
-    task takes; ``typical``: members that describe a cluster; ``regions``: regions in which a centre looks for near clusters."""
+    task takes; ``typical``: members that describe a cluster; ``regions``: blocks of regions, between which the search for near clusters is shared out."""
 
     threshold: float = 350.0
     least: int = 5
@@ -268,23 +268,58 @@ def _pieces(batches: Iterator[pa.RecordBatch], keys: int, most: int) -> Iterator
                 yield pa.Table.from_batches([b.slice(at, min(most, z - at))])
 
 
+def region_extents(roots: np.ndarray, x: np.ndarray, radius: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(region of each cluster, the one with the nearest root, and how far from that root the cluster's ball reaches)."""
+    region = nearest(x, roots)[0]
+    return region, np.sqrt(((x.astype(np.float64) - roots[region]) ** 2).sum(1)) + radius
+
+
+def reached(roots: np.ndarray, extent: np.ndarray, x: np.ndarray, radius: np.ndarray, reach: float) -> np.ndarray:
+    """Per cluster and region: whether the ball can come within ``reach`` of a ball of the region; ``extent`` of an empty region is negative infinity."""
+    far = np.sqrt(np.maximum(squared(x, roots) - rounding(x)[:, None] - rounding(roots)[None], 0))
+    return ~(far > (radius[:, None] + reach + extent[None]) * (1 + 1e-5))
+
+
 def _near_clusters(clusters: DataFrame, dim: int, c: Clustering) -> DataFrame:
-    """Pairs (a, b) of clusters, a one that may count, whose balls come within the threshold distance."""
+    """Pairs (a, b) of clusters, a one that may count, whose balls come within the threshold distance.
+
+    Each cluster lives in the region of its nearest root; a candidate visits the blocks of regions that it can reach. Blocks are few,
+    so that a candidate is copied a bounded number of times whatever it reaches.
+    """
     reach = math.sqrt(c.threshold)
     total = clusters.count()
     share = min(1.0, 4096 / max(1, total))
     sample = clusters.where(F.pmod(F.xxhash64("pivot", F.lit(c.seed + 1)), F.lit(1 << 20)) < F.lit(max(1, int(share * (1 << 20))))).select("centre").toArrow().combine_chunks()
     x = unpack(sample["centre"].combine_chunks(), dim) if sample.num_rows else np.zeros((0, dim), np.float32)
-    roots = lloyd(x, max(1, min(len(x), round(total / 256))), np.random.default_rng(c.seed), 3)[0] if len(x) else np.zeros((1, dim), np.float32)
+    # Leaves of a router lie beside those of the same root.
+    roots = Router.fit(x, max(1, min(len(x), round(total / 256))), c.seed).leaves if len(x) else np.zeros((1, dim), np.float32)
     shared = clusters.sparkSession.sparkContext.broadcast(roots)
-    m = min(c.regions, len(roots))
 
-    def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def settle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            d = squared(unpack(b.column(1), dim), shared.value)
-            near = np.argpartition(d, m - 1, axis=1)[:, :m].ravel()
-            took = pa.array(np.repeat(np.arange(b.num_rows), m))
-            yield pa.RecordBatch.from_arrays([pa.array(near.astype(np.int32)), b.column(3).take(took), b.column(0).take(took), b.column(1).take(took), b.column(2).take(took)], names=["region", "kind", "pivot", "centre", "radius"])
+            region, ball = region_extents(shared.value, unpack(b.column(0), dim), b.column(1).to_numpy())
+            yield pa.RecordBatch.from_arrays([pa.array(region.astype(np.int32)), pa.array(ball)], names=["region", "ball"])
+
+    sizes = clusters.select("centre", "radius").mapInArrow(settle, "region int, ball double").groupBy("region").agg(F.count(F.lit(1)).alias("n"), F.max("ball").alias("extent")).toArrow()
+    n, extent = np.zeros(len(roots), np.int64), np.full(len(roots), -np.inf)
+    n[sizes["region"].to_numpy()], extent[sizes["region"].to_numpy()] = sizes["n"].to_numpy(), sizes["extent"].to_numpy()
+    block = ((np.cumsum(n) - n) // max(2048, -(-total // c.regions))).astype(np.int32)
+    plan = clusters.sparkSession.sparkContext.broadcast((extent, block))
+
+    def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        far, of = plan.value
+        starts = np.flatnonzero(np.r_[True, np.diff(of) > 0])
+        for whole in batches:
+            for at in range(0, whole.num_rows, 1024):
+                b = whole.slice(at, 1024)
+                y, rad = unpack(b.column(1), dim), b.column(2).to_numpy()
+                home = of[region_extents(shared.value, y, rad)[0]]
+                asks = np.flatnonzero(b.column(3).to_numpy() == 0)
+                visits = np.logical_or.reduceat(reached(shared.value, far, y[asks], rad[asks], reach), starts, axis=1)
+                i, j = np.nonzero(visits)
+                took = pa.array(np.r_[np.arange(len(home)), asks[i]])
+                kinds = np.r_[np.zeros(len(home), np.int32), np.ones(len(i), np.int32)]
+                yield pa.RecordBatch.from_arrays([pa.array(np.r_[home, of[starts[j]]].astype(np.int32)), pa.array(kinds), b.column(0).take(took), b.column(1).take(took), b.column(2).take(took)], names=["region", "kind", "pivot", "centre", "radius"])
 
     kind = F.when(F.col("candidate"), 0).otherwise(1).cast("int").alias("kind")
     rows = clusters.select("pivot", "centre", "radius", kind).mapInArrow(spread, "region int, kind int, pivot bigint, centre binary, radius double")
@@ -297,6 +332,7 @@ def _near_clusters(clusters: DataFrame, dim: int, c: Clustering) -> DataFrame:
             y, rad, ids = _matrix(t, "centre", dim), t["radius"].to_numpy(), t["pivot"].to_numpy()
             if t["kind"][0].as_py() == 0:
                 held.append((y, rad, ids))
+                continue
             a, b = [], []
             for hx, hr, hi in held:
                 i, j = np.nonzero(np.sqrt(squared(hx, y)) < hr[:, None] + rad[None] + reach * (1 + 1e-5))
@@ -352,7 +388,7 @@ def similarity_clusters(df: DataFrame, id_col: str, vector_col: str, *, dim: int
 
     Defined cases: unusable vectors, and rows without an id (an integer), belong to no cluster; exact copies share a cluster and count each; a vector without a similar one is a cluster of its
     own; repeated ids with one vector count each; ties in distance go to the smaller id; further columns are ignored; an empty table gives no rows.
-    Pivots, absorption, sizes and ``mutual`` are exact; ``isolated`` looks for near clusters in the ``regions`` nearest regions of each centre.
+    Pivots, absorption, sizes, ``mutual`` and ``isolated`` are exact: no search is cut short.
     """
     c = clustering
     members = pivot_members(df, id_col, vector_col, dim, c)

@@ -3,7 +3,7 @@
 import numpy as np
 import pytest
 
-from ridgeline.llm.clusters import Clustering, _router, similarity_clusters
+from ridgeline.llm.clusters import Clustering, _near_clusters, _router, similarity_clusters
 from ridgeline.llm.knn import Search, nearest_vectors
 
 DIM = 16
@@ -78,6 +78,19 @@ def test_many_pivots_meet_all_similar_vectors():
     assert near[np.arange(len(x)), router.order[leaf[:, 0]]][near.any(1)].all()
 
 
+def test_near_clusters_of_many_regions(spark):
+    rng = np.random.default_rng(10)
+    x, radius = rng.normal(size=(6000, DIM)).astype(np.float32) * 3, rng.uniform(0, 3, 6000)
+    rows = [(i, v.tobytes(), float(r), i % 5 == 0) for i, (v, r) in enumerate(zip(x, radius))]
+    df = spark.createDataFrame(rows, "pivot long, centre binary, radius double, candidate boolean")
+    got = {(r["a"], r["b"]) for r in _near_clusters(df, DIM, Clustering(threshold=36.0)).collect()}
+    want = set()
+    for a in range(0, 6000, 5):
+        d = np.sqrt(((x.astype(np.float64) - x[a]) ** 2).sum(1))
+        want |= {(min(a, b), max(a, b)) for b in np.flatnonzero(d < radius + radius[a] + 6).tolist() if b != a}
+    assert len(want) > 1000 and want <= got and len(got) <= len(want) + 10
+
+
 def test_empty_and_tiny_tables(spark):
     docs = spark.createDataFrame([(1, [1.0] * DIM), (2, [1.0] * DIM)], "id long, vec array<float>")
     qs = spark.createDataFrame([(1, [1.0] * DIM, 5)], "id long, vec array<float>, k int")
