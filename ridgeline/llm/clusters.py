@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ridgeline.llm.vectors import Router, lloyd, nearest, pack, rounding, squared, unpack, usable_vectors
+from ridgeline.llm.vectors import Router, differences, judged, lloyd, nearest, pack, rounding, squared, unpack, usable_vectors
 from ridgeline.plans.lineage import cut_lineage
 
 ORDER_BITS = 40
@@ -50,8 +50,8 @@ def local_minima(x: np.ndarray, threshold: float) -> np.ndarray:
     pivots = np.zeros((0, x.shape[1]), np.float32)
     for at in range(0, len(x), 512):
         block = x[at : at + 512]
-        free = np.flatnonzero(~(squared(block, pivots) < threshold).any(1)) if len(pivots) else np.arange(len(block))
-        near = squared(block[free], block[free]) < threshold
+        free = np.flatnonzero(~(judged(block, pivots, threshold) < np.float32(threshold)).any(1)) if len(pivots) else np.arange(len(block))
+        near = judged(block[free], block[free], threshold) < np.float32(threshold)
         taken = np.zeros(len(free), bool)
         new = []
         for i in range(len(free)):
@@ -86,12 +86,14 @@ def _absorb(rows: DataFrame, ids: np.ndarray, pivots: np.ndarray, c: Clustering,
             far = np.where(had, far, np.inf)
             old = np.where(had, old, -1).astype(np.int64)
             first, near = names[leaf[:, 0]], d[:, 0].astype(np.float64)
-            similar = near < c.threshold
+            own = np.isin(b.column(0).to_numpy(), names)  # a pivot absorbs itself
+            first, near = np.where(own, b.column(0).to_numpy(), first), np.where(own, 0.0, near)
+            similar = near < np.float32(c.threshold)
             moves = similar & (near < far)
             pivot = np.where(moves, first, old)
             now = np.where(moves, near, far)
             has = moves | had
-            other = np.where(moves & had, old, np.where(similar & ~moves, first, np.where(d[:, 1] < c.threshold, names[leaf[:, 1]], -1)))
+            other = np.where(moves & had, old, np.where(similar & ~moves, first, np.where(d[:, 1] < np.float32(c.threshold), names[leaf[:, 1]], -1)))
             touched = other >= 0
             earlier = b.column(5).to_pylist()
             touches = [(e or []) + ([int(o)] if t else []) for e, o, t in zip(earlier, other, touched)]
@@ -164,7 +166,7 @@ def _matrix(t: pa.Table, column: str, dim: int) -> np.ndarray:
 
 def all_similar(x: np.ndarray, threshold: float, others: np.ndarray | None = None) -> bool:
     others = x if others is None else others
-    return all(not (squared(x[a : a + 512], others[b : b + 2048]) >= threshold).any() for a in range(0, len(x), 512) for b in range(0, len(others), 2048))
+    return all(not (judged(x[a : a + 512], others[b : b + 2048], threshold) >= np.float32(threshold)).any() for a in range(0, len(x), 512) for b in range(0, len(others), 2048))
 
 
 def describe(members: DataFrame, dim: int, c: Clustering) -> DataFrame:
@@ -184,7 +186,7 @@ def describe(members: DataFrame, dim: int, c: Clustering) -> DataFrame:
             chunks = t["chunks"][0].as_py()
             total = (x.astype(np.float64) * n[:, None]).sum(0)
             centre = (total / n.sum()).astype(np.float32)
-            far = np.sqrt(((x - centre) ** 2).sum(1, dtype=np.float64))
+            far = np.sqrt(((x.astype(np.float64) - centre) ** 2).sum(1))
             near = np.lexsort((ids, far))[: c.typical]
             clique = bool(far.max() < half) or all_similar(x, c.threshold)
             out.append((t["pivot"][0].as_py(), chunks, centre.tobytes(), float(far.max()), int(n.sum()), len(ids), int(ids.min()), clique, ids[near].tolist(), total.tobytes()))
@@ -217,7 +219,7 @@ def describe(members: DataFrame, dim: int, c: Clustering) -> DataFrame:
 
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            far = np.sqrt(((unpack(b.column(3), dim) - unpack(b.column(6), dim)) ** 2).sum(1, dtype=np.float64))
+            far = np.sqrt(differences(unpack(b.column(3), dim), unpack(b.column(6), dim)))
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), b.column(2), b.column(3), b.column(5), b.column(7), pa.array(far)], names=["pivot", "chunk", "rep", "vec", "chunks", "so_far", "far"])
 
     measured = cut_lineage(inner.select("pivot", "chunk", "rep", "vec", "n", "chunks", "centre", "so_far").mapInArrow(measure, "pivot bigint, chunk int, rep bigint, vec binary, chunks int, so_far boolean, far double"))
@@ -335,7 +337,8 @@ def _near_clusters(clusters: DataFrame, dim: int, c: Clustering) -> DataFrame:
                 continue
             a, b = [], []
             for hx, hr, hi in held:
-                i, j = np.nonzero(np.sqrt(squared(hx, y)) < hr[:, None] + rad[None] + reach * (1 + 1e-5))
+                limit = ((hr[:, None] + rad[None] + reach) * (1 + 1e-5)) ** 2
+                i, j = np.nonzero(judged(hx, y, limit) < limit.astype(np.float32))
                 ok = hi[i] != ids[j]
                 a.append(hi[i[ok]])
                 b.append(ids[j[ok]])
@@ -355,8 +358,8 @@ def _touching(members: DataFrame, clusters: DataFrame, pairs: DataFrame, dim: in
 
     def close(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            d = np.sqrt(((unpack(b.column(4), dim) - unpack(b.column(5), dim)) ** 2).sum(1, dtype=np.float64))
-            ok = pa.array(np.flatnonzero(d < b.column(6).to_numpy() + reach))
+            d = np.sqrt(differences(unpack(b.column(4), dim), unpack(b.column(5), dim)))
+            ok = pa.array(np.flatnonzero(d < (b.column(6).to_numpy() + reach) * (1 + 1e-9)))
             yield pa.RecordBatch.from_arrays([b.column(i).take(ok) for i in range(5)], names=["a", "b", "side", "rep", "vec"])
 
     kept = cut_lineage(rows.mapInArrow(close, "a bigint, b bigint, side int, rep bigint, vec binary"))
@@ -373,7 +376,7 @@ def _touching(members: DataFrame, clusters: DataFrame, pairs: DataFrame, dim: in
             x = _matrix(t, "vec", dim)
             if t["side"][0].as_py() == 0:
                 held.append(x)
-            elif any((squared(h, x) < c.threshold).any() for h in held):
+            elif any((judged(h, x, c.threshold) < np.float32(c.threshold)).any() for h in held):
                 yield pa.RecordBatch.from_arrays([pa.array([k[0], k[1]], pa.int64())], names=["pivot"])
 
     return split.select("a", "b", "chunk", "side", "vec").repartition("a", "b", "chunk").sortWithinPartitions("a", "b", "chunk", "side").mapInArrow(meet, "pivot bigint")

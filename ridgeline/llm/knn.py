@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ridgeline.llm.vectors import Router, hashed_sample, pack, rounding, squared, unpack, usable_vectors
+from ridgeline.llm.vectors import Router, differences, hashed_sample, pack, rounding, squared, unpack, usable_vectors
 from ridgeline.plans.lineage import cut_lineage
 
 SCHEMA = "cell int, kind int, list int, id bigint, vec binary, tag string, k int, probes array<int>, bound double"
@@ -47,7 +47,11 @@ def scan_cell(ids: np.ndarray, x: np.ndarray, tags: np.ndarray, lists: np.ndarra
     dim = x.shape[1]
     bounds = [0, *[b for b in s.blocks if b < dim], dim]
     rot, factor = turn
-    xr, qr = x @ rot, q @ rot
+    centre, turned = np.median(x[:64], axis=0).astype(np.float64), rot.astype(np.float64)
+    with np.errstate(over="ignore"):
+        xr, qr = (((m.astype(np.float64) - centre) @ turned).astype(np.float32) for m in (x, q))
+        wx, wq = rounding(xr), rounding(qr)  # what the float32 distances may be wrong by
+        wx4 = (wx * 1.001).astype(np.float32)
     xb = [np.ascontiguousarray(xr[:, a:b]) for a, b in zip(bounds, bounds[1:])]
     qb = [np.ascontiguousarray(qr[:, a:b]) for a, b in zip(bounds, bounds[1:])]
     ends = probes.offsets.to_numpy()
@@ -64,13 +68,13 @@ def scan_cell(ids: np.ndarray, x: np.ndarray, tags: np.ndarray, lists: np.ndarra
         for at in range(0, len(mine), 1024):
             rows = mine[at : at + 1024]
             part = squared(qb[0][rows], xb[0][a:b])
-            keep = part <= (tau[rows] * factor[0])[:, None]
+            keep = ~(part - wx4[a:b] > (tau[rows] * factor[0] + wq[rows])[:, None])
             if (wanted[rows] != -1).any():
                 keep &= (wanted[rows] == -1)[:, None] | (wanted[rows][:, None] == tags[a:b][None])
             t = 1
             while t < len(xb) and keep.mean() > 0.1:  # while most survive, a product is cheaper than picking pairs
                 part += squared(qb[t][rows], xb[t][a:b])
-                keep &= part <= (tau[rows] * factor[t])[:, None]
+                keep &= ~(part - wx4[a:b] > (tau[rows] * factor[t] + wq[rows])[:, None])
                 t += 1
             i, j = np.nonzero(keep)
             d = part[i, j]
@@ -79,7 +83,7 @@ def scan_cell(ids: np.ndarray, x: np.ndarray, tags: np.ndarray, lists: np.ndarra
                     break
                 diff = xb[t][a + j] - qb[t][rows[i]]
                 d = d + np.einsum("ij,ij->i", diff, diff)
-                ok = d <= tau[rows[i]] * factor[t]
+                ok = ~(d > tau[rows[i]] * factor[t] + wq[rows[i]] + wx[a + j])
                 i, j, d = i[ok], j[ok], d[ok]
             if not len(i):
                 continue
@@ -88,15 +92,17 @@ def scan_cell(ids: np.ndarray, x: np.ndarray, tags: np.ndarray, lists: np.ndarra
             first = np.searchsorted(i, i)
             rank = np.arange(len(i)) - first
             kth = rank == ks[rows[i]] - 1
-            tau[rows[i[kth]]] = np.minimum(tau[rows[i[kth]]], d[kth] * (1 + 1e-4) + 1e-3)
-            near = d <= tau[rows[i]]
+            # Before the k-th of them some other may be wrong by more.
+            wrong = wq[rows[i]] + np.maximum.reduceat(wx[a + j], np.flatnonzero(first == np.arange(len(i))))[np.cumsum(rank == 0) - 1]
+            tau[rows[i[kth]]] = np.fmin(tau[rows[i[kth]]], (d[kth] + wrong[kth]) * (1 + 1e-4) + 1e-3)
+            near = ~(d > tau[rows[i]] + wrong)
             got_q.append(rows[i[near]])
             got_x.append(a + j[near])
             got_d.append(d[near])
     if not got_q:
         return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)
     i, j, d = np.concatenate(got_q), np.concatenate(got_x), np.concatenate(got_d)
-    ok = d <= tau[i]
+    ok = ~(d > tau[i] + wq[i] + wx[j])
     i, j = i[ok], j[ok]
     exact = np.concatenate([((x[j[c : c + 65536]].astype(np.float64) - q[i[c : c + 65536]]) ** 2).sum(1) for c in range(0, len(i), 65536)] or [np.zeros(0)])
     o = np.lexsort((ids[j], exact, i))
@@ -133,7 +139,7 @@ def nearest_vectors(vectors: DataFrame, id_col: str, vector_col: str, queries: D
     router = Router.fit(sample, min(lists, len(sample)), s.seed)
     turn = fit_rotation(sample, s)
     q = cut_lineage(q)  # two passes ask the same queries
-    bands = np.quantile(np.sqrt(router.nearest(sample)[1][:, 0]), [0.5, 0.9])
+    bands = np.quantile(np.sqrt(differences(sample, router.leaves[router.nearest(sample)[0][:, 0]])), [0.5, 0.9])
     shared = spark.sparkContext.broadcast((router, turn, bands))
     n_bands = len(bands) + 1
 
@@ -141,8 +147,8 @@ def nearest_vectors(vectors: DataFrame, id_col: str, vector_col: str, queries: D
         r, _, edges = shared.value
         for b in batches:
             m = unpack(b.column(1), dim)
-            leaf, d = r.nearest(m)
-            far = np.sqrt(d[:, 0].astype(np.float64))
+            leaf = r.nearest(m)[0]
+            far = np.sqrt(differences(m, r.leaves[leaf[:, 0]]))
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), b.column(2), pa.array((leaf[:, 0] * n_bands + np.searchsorted(edges, far)).astype(np.int32)), pa.array(far)], names=["id", "vec", "tag", "list", "far"])
 
     placed = cut_lineage(v.select("id", "vec", "tag").mapInArrow(assign, "id bigint, vec binary, tag string, list int, far double"))
@@ -350,7 +356,7 @@ def route(m: np.ndarray, ks: np.ndarray, tags: np.ndarray, r: Router, table: tup
     query at distance d, and its n vectors are all within d + high: enough of these bound the k-th distance. A query with more
     such lists than it probes has a finite cutoff: it probes those with a score (expected squared distance) up to there.
     """
-    cutoff = np.full(len(m), np.inf)
+    cutoff, slack = np.full(len(m), np.inf), rounding(r.leaves)
     out_rows, out_lists, bound = [], [], np.full(len(m), np.inf)
     dist = np.full((len(m), len(r.leaves)), np.inf, np.float32) if len(r.leaves) > r.ALL else None
     if dist is not None:
@@ -365,17 +371,18 @@ def route(m: np.ndarray, ks: np.ndarray, tags: np.ndarray, r: Router, table: tup
         for at in range(0, len(mine), step):
             rows = mine[at : at + step]
             d2 = (squared(m[rows], r.leaves) if dist is None else dist[rows])[:, lf]
-            d = np.sqrt(d2)
+            wrong = rounding(m[rows])[:, None] + slack[lf][None]
+            d, low = np.sqrt(d2 + wrong), np.sqrt(np.fmax(d2 - wrong, 0))
             top = min(s.probes, len(ls))
-            upper = d + hi
+            upper = np.fmin(d + hi, np.inf)
             near = np.argpartition(upper, top - 1, axis=1)[:, :top]
             near = np.take_along_axis(near, np.argsort(np.take_along_axis(upper, near, 1), axis=1), 1)
             enough = np.cumsum(n[near], axis=1) >= ks[rows][:, None]
             at_k = np.where(enough.any(1), enough.argmax(1), top - 1)
             ub = np.where(enough.any(1), np.take_along_axis(upper, np.take_along_axis(near, at_k[:, None], 1), 1)[:, 0], np.inf)
             bound[rows] = np.where(np.isfinite(ub), ub * ub, np.inf)
-            possible = np.maximum(d - hi, lo - d) <= (ub * (1 + 1e-5) + 1e-4)[:, None]
-            score = np.where(possible, d2 + mn, np.inf)
+            possible = ~(np.fmax(low - hi, lo - d) > (ub * (1 + 1e-5) + 1e-4)[:, None])
+            score = np.where(possible, np.fmin(d2 + mn, 1e300), np.inf)
             # The nearest lists by expected distance; as many more as it takes to see k candidates.
             order = np.argpartition(score, top - 1, axis=1)[:, :top]
             probed = np.take_along_axis(score, order, 1)
@@ -411,9 +418,9 @@ def rest(m: np.ndarray, tags: np.ndarray, tau: np.ndarray, cutoff: np.ndarray, r
             rows = mine[at : at + step]
             d2 = squared(m[rows], r.leaves)[:, lf].astype(np.float64)
             wrong = rounding(m[rows])[:, None] + slack[lf][None]
-            far, near = np.sqrt(d2 + wrong), np.sqrt(np.maximum(d2 - wrong, 0))
+            far, near = np.sqrt(d2 + wrong), np.sqrt(np.fmax(d2 - wrong, 0))
             reach = np.sqrt(tau[rows])[:, None] * (1 + 1e-5) + 1e-4
-            possible = ~(np.maximum(near - hi, lo - far) > reach)
+            possible = ~(np.fmax(near - hi, lo - far) > reach)
             new = possible & ~(d2 + wrong + mn < (cutoff[rows][:, None] - wrong) * (1 - 1e-6))
             i, j = np.nonzero(possible & new.any(1)[:, None])
             out_rows.append(rows[i])

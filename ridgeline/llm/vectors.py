@@ -75,6 +75,31 @@ def rounding(x: np.ndarray) -> np.ndarray:
     return np.where(norm < 1e30, norm * (4 * (x.shape[1] + 8) * 2.0**-24) + 1e-30, np.inf)
 
 
+def differences(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Squared distances of the rows of two matrices, pair by pair, in float64."""
+    return np.concatenate([((a[c : c + 16384].astype(np.float64) - b[c : c + 16384]) ** 2).sum(1) for c in range(0, len(a), 16384)] or [np.zeros(0)])
+
+
+def judged(a: np.ndarray, b: np.ndarray, limit: float | np.ndarray) -> np.ndarray:
+    """``squared(a, b)``, right about which pairs lie below ``limit`` (a number, or one a pair) as float32: pairs that float32 cannot tell from it are measured in float64."""
+    if not len(a) or not len(b):
+        return np.zeros((len(a), len(b)), np.float32)
+    edge = np.asarray(limit, np.float32)
+    with np.errstate(over="ignore", invalid="ignore"):
+        centre = np.median(b[:64], axis=0).astype(np.float32)
+        x, y = a - centre, b - centre
+        d = squared(x, y)
+        wrong = ((rounding(x)[:, None] * 1.001).astype(np.float32), (rounding(y)[None] * 1.001 + np.max(limit) * 2.0**-22).astype(np.float32))
+        i, j = np.nonzero(~(np.abs(d - edge) > wrong[0] + wrong[1]))
+        if len(i):
+            edges, limits = np.broadcast_to(edge, d.shape)[i, j], np.broadcast_to(np.asarray(limit, np.float64), d.shape)[i, j]
+            for c in range(0, len(i), 16384):
+                s = slice(c, c + 16384)
+                exact = ((a[i[s]].astype(np.float64) - b[j[s]]) ** 2).sum(1)
+                d[i[s], j[s]] = np.where(exact < limits[s], np.minimum(exact.astype(np.float32), np.nextafter(edges[s], np.float32(-np.inf))), np.maximum(exact.astype(np.float32), edges[s]))
+    return d
+
+
 def lloyd(x: np.ndarray, k: int, rng: np.random.Generator, rounds: int = 6) -> tuple[np.ndarray, np.ndarray]:
     """(centres, label of each row); an empty centre moves to a row that lies far from its own."""
     k = max(1, min(k, len(x)))
@@ -136,7 +161,7 @@ class Router:
         if len(self.leaves) <= self.ALL:
             for at in range(0, len(x), 512):
                 rows = np.arange(at, min(at + 512, len(x)))
-                yield rows, np.arange(len(self.leaves)), squared(x[rows], self.leaves)
+                yield rows, np.arange(len(self.leaves)), squared(x[rows], self.leaves) if within is None else judged(x[rows], self.leaves, within)
             return
         d = squared(x, self.roots)
         if within is None:
@@ -148,12 +173,13 @@ class Router:
         for r in range(len(self.roots)):
             rows, leaves = np.flatnonzero(meets[:, r]), np.flatnonzero(self.root_of == r)
             if len(rows) and len(leaves):
-                yield rows, leaves, squared(x[rows], self.leaves[leaves])
+                yield rows, leaves, squared(x[rows], self.leaves[leaves]) if within is None else judged(x[rows], self.leaves[leaves], within)
 
     def nearest(self, x: np.ndarray, count: int = 1, roots: int = 8, within: float | None = None) -> tuple[np.ndarray, np.ndarray]:
         """(leaves, squared distances), nearest first, -1 where there are fewer; all leaves ``within`` a squared distance are met."""
         label, best = np.full((len(x), count), -1), np.full((len(x), count), np.inf, np.float32)
         for rows, leaves, d in self.candidates(x, roots, within):
+            d = np.fmin(d, np.finfo(np.float32).max)  # beyond float32: far, but met
             m = min(count, len(leaves))
             pick = np.argpartition(d, m - 1, axis=1)[:, :m]
             both_d = np.concatenate([best[rows], np.take_along_axis(d, pick, 1)], 1)

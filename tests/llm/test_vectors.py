@@ -5,6 +5,7 @@ import pytest
 
 from ridgeline.llm.clusters import Clustering, _near_clusters, _router, similarity_clusters
 from ridgeline.llm.knn import Search, nearest_vectors
+from ridgeline.llm.vectors import judged
 
 DIM = 16
 
@@ -91,6 +92,23 @@ def test_near_clusters_of_many_regions(spark):
     assert len(want) > 1000 and want <= got and len(got) <= len(want) + 10
 
 
+def test_large_elements(spark):
+    rng = np.random.default_rng(12)
+    centres = rng.normal(size=(40, DIM)) * 3000 + 20000
+    x = np.concatenate([np.repeat(centres, 6, 0) + rng.normal(size=(240, DIM)) * 1.4, np.full((1, DIM), 1e20), np.full((1, DIM), 2e20)]).astype(np.float32)
+    ids = np.arange(len(x))
+    df = spark.createDataFrame([(int(i), v.tolist()) for i, v in zip(ids, x)], "doc long, vec array<float>")
+    assert not (judged(x[:1], x[:1], 81.0) >= 81).any() and not (judged(x[-1:], x[-1:], 81.0) >= 81).any()
+    clusters, membership = similarity_clusters(df, "doc", "vec", dim=DIM, clustering=Clustering(threshold=81.0))
+    kept = {r["cluster"] for r in clusters.collect() if r["size"] >= 5 and r["mutual"] and r["isolated"]}
+    assert {(m["cluster"], m["doc"]) for m in membership.collect() if m["cluster"] in kept} == brute_clusters(x.astype(np.float64), ids, 81, 5)
+    qs = df.withColumnRenamed("doc", "qid").selectExpr("qid", "vec", "3 as k")
+    got = {}
+    for r in nearest_vectors(df, "doc", "vec", qs, "qid", "vec", "k", dim=DIM).collect():
+        got.setdefault(r["qid"], []).append((r["_distance"], r["doc"]))
+    assert all([j for _, j in sorted(got[i])] == brute(x, ids, None, v.astype(np.float64), 3, None) for i, v in enumerate(x))
+
+
 def test_empty_and_tiny_tables(spark):
     docs = spark.createDataFrame([(1, [1.0] * DIM), (2, [1.0] * DIM)], "id long, vec array<float>")
     qs = spark.createDataFrame([(1, [1.0] * DIM, 5)], "id long, vec array<float>, k int")
