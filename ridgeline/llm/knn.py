@@ -187,9 +187,8 @@ def nearest_vectors(vectors: DataFrame, id_col: str, vector_col: str, queries: D
         r = shared.value[0]
         table, codes, cells, split = plan.value
         for whole in batches:
-            step = max(64, min(2048, (1 << 24) // len(r.leaves)))  # distances to all leaves are held
-            for start in range(0, whole.num_rows, step):
-                b = whole.slice(start, step)
+            for start in range(0, whole.num_rows, 2048):
+                b = whole.slice(start, 2048)
                 m, ks = unpack(b.column(3), dim), b.column(1).to_numpy()
                 tags = np.array([-1 if t is None else codes.get(t, -2) for t in b.column(2).to_pylist()])
                 rows, lists_, bound, cutoff = route(m, ks, tags, r, table, n_bands, s)
@@ -358,10 +357,6 @@ def route(m: np.ndarray, ks: np.ndarray, tags: np.ndarray, r: Router, table: tup
     """
     cutoff, slack = np.full(len(m), np.inf), rounding(r.leaves)
     out_rows, out_lists, bound = [], [], np.full(len(m), np.inf)
-    dist = np.full((len(m), len(r.leaves)), np.inf, np.float32) if len(r.leaves) > r.ALL else None
-    if dist is not None:
-        for rows, leaves, d in r.candidates(m, 32):
-            dist[np.ix_(rows, leaves)] = d
     for want in np.unique(tags):
         if (of := _lists_of(want, table, n_bands)) is None:
             continue
@@ -370,7 +365,7 @@ def route(m: np.ndarray, ks: np.ndarray, tags: np.ndarray, r: Router, table: tup
         step = max(8, min(256, (1 << 21) // len(lf)))
         for at in range(0, len(mine), step):
             rows = mine[at : at + step]
-            d2 = (squared(m[rows], r.leaves) if dist is None else dist[rows])[:, lf]
+            d2 = squared(m[rows], r.leaves)[:, lf]
             wrong = rounding(m[rows])[:, None] + slack[lf][None]
             d, low = np.sqrt(d2 + wrong), np.sqrt(np.fmax(d2 - wrong, 0))
             top = min(s.probes, len(ls))

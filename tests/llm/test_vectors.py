@@ -4,8 +4,8 @@ import numpy as np
 import pytest
 
 from ridgeline.llm.clusters import Clustering, _near_clusters, _router, similarity_clusters
-from ridgeline.llm.knn import Search, nearest_vectors
-from ridgeline.llm.vectors import judged
+from ridgeline.llm.knn import Search, nearest_vectors, route
+from ridgeline.llm.vectors import Router, judged
 
 DIM = 16
 
@@ -109,6 +109,19 @@ def test_large_elements(spark):
     assert all([j for _, j in sorted(got[i])] == brute(x, ids, None, v.astype(np.float64), 3, None) for i, v in enumerate(x))
 
 
+def test_routing_sees_all_leaves():
+    rng = np.random.default_rng(13)
+    leaves = rng.normal(size=(6400, DIM)).astype(np.float32)  # more than Router.ALL, under 80 roots
+    r = Router(leaves, rng.integers(80, size=6400), rng.normal(size=(80, DIM)).astype(np.float32))
+    one = np.ones(6400)
+    table = (np.arange(6400), np.full(6400, -1), one.astype(np.int64), one * 0, one * 0, one * 0)
+    q = rng.normal(size=(50, DIM)).astype(np.float32)
+    rows, lists, _, _ = route(q, np.full(50, 5), np.full(50, -1), r, table, 1, Search())
+    for i, v in enumerate(q):
+        near = np.argsort(((r.leaves.astype(np.float64) - v) ** 2).sum(1))[:5]
+        assert set(near) <= set(lists[rows == i])
+
+
 def test_empty_and_tiny_tables(spark):
     docs = spark.createDataFrame([(1, [1.0] * DIM), (2, [1.0] * DIM)], "id long, vec array<float>")
     qs = spark.createDataFrame([(1, [1.0] * DIM, 5)], "id long, vec array<float>, k int")
