@@ -113,11 +113,18 @@ def batch_topk(spark: SparkSession, d: str) -> DataFrame:
             x = np.array(b.column(1).to_pylist(), np.float64)
             v = b.column(0).to_numpy()
             d2 = ((q**2).sum(1)[:, None] + (x**2).sum(1)[None] - 2 * q @ x.T) if len(x) else np.zeros((len(q), 0))
-            n = min(8, d2.shape[1])
-            top = np.argpartition(d2, n - 1, axis=1)[:, :n] if n else np.zeros((len(q), 0), int)
-            i = np.repeat(np.arange(len(q)), n)
-            j = top.ravel()
-            exact = ((q[i] - x[j]) ** 2).sum(1)
+            if len(x) > 5:  # up to the 5th smallest, with a margin for rounding: ties are settled by the exact order
+                norm = (q**2).sum(1)[:, None] + (x**2).sum(1)[None]
+                wrong = norm * (4 * (x.shape[1] + 8) * 2.0**-53)
+                kth = np.partition(d2 + wrong, 4, axis=1)[:, 4]
+                i, j = np.nonzero(~(d2 - wrong > kth[:, None]))
+            else:
+                i, j = np.repeat(np.arange(len(q)), len(x)), np.tile(np.arange(len(x)), len(q))
+            exact = np.concatenate([((q[i[c : c + 65536]] - x[j[c : c + 65536]]) ** 2).sum(1) for c in range(0, len(i), 65536)] or [np.zeros(0)])
+            o = np.lexsort((v[j], exact, i))
+            i, j, exact = i[o], j[o], exact[o]
+            best = np.arange(len(i)) - np.searchsorted(i, i) < 5
+            i, j, exact = i[best], j[best], exact[best]
             yield pa.RecordBatch.from_arrays([pa.array(qids[i]), pa.array(v[j]), pa.array(exact)], names=["qid", "vec_id", "raw"])
 
     found = e.select("vec_id", "embedding").mapInArrow(scan, "qid bigint, vec_id bigint, raw double")

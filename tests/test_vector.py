@@ -347,3 +347,15 @@ def test_admission_and_async(spark, tmp_path):
         return (await s.collect(q.bypass_vector_index())).num_rows
 
     assert asyncio.run(go()) == 3
+
+
+def test_batch_topk_keeps_the_smallest_ids_of_ties(spark, tmp_path):
+    from ridgeline.plans.vectors import batch_topk
+
+    x = np.random.default_rng(5).integers(1, 9, 8).astype(float).tolist()
+    rows = [(i, x, 0) for i in np.random.default_rng(6).permutation(200).tolist()]  # exact copies, in no order
+    spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int").coalesce(1).write.parquet(f"{tmp_path}/embeddings.parquet")
+    got = {}
+    for r in batch_topk(spark, str(tmp_path)).collect():
+        got.setdefault(r["qid"], []).append(r["vec_id"])
+    assert len(got) == 10 and all(sorted(v) == [0, 1, 2, 3, 4] for v in got.values())
