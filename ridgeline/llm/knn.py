@@ -10,18 +10,20 @@ as estimated from the dimensions seen so far, is above the query's current k-th
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ridgeline.llm.vectors import Router, differences, hashed_sample, pack, rounding, squared, unpack, usable_vectors
 from ridgeline.plans.lineage import cut_lineage
 
 SCHEMA = "cell int, kind int, list int, id bigint, vec binary, tag string, k int, probes array<int>, bound double"
+CLASSES = 1 << 20  # codes from here on are classes of tags
 LEFT = 2  # kind of a row that says that a query has lists left, with the score up to which they were probed
 
 
@@ -29,7 +31,8 @@ LEFT = 2  # kind of a row that says that a query has lists left, with the score
 class Search:
     """``lists_per_root_n``: lists per square root of the number of vectors, ``most_lists`` at most; ``sample_rows``: rows a list to fit the
     centres, ``most_sample`` in all (the only sampling: every vector is indexed); ``probes``: lists that one query probes at first, beyond those it
-    needs to see k candidates; ``cell_rows``: vectors of one cell; ``eps``: error bound of the hypothesis test, larger is more careful."""
+    needs to see k candidates; ``cell_rows``: vectors of one cell; ``risk``: of a false abandonment by one hypothesis test; ``most_tags``: most frequent tags with
+    statistics of their own, the others share as many classes; ``task_queries``: about how many queries of one cell a task takes, estimated from ``plan_queries`` of them."""
 
     lists_per_root_n: float = 16.0
     most_lists: int = 65_536
@@ -39,8 +42,33 @@ class Search:
     cell_rows: int = 4096
     blocks: tuple[int, ...] = (8, 16, 32)
     risk: float = 0.001
+    most_tags: int = 64
+    task_queries: int = 16_384
+    plan_queries: int = 2048
     seed: int = 7
 
+    def sizes(self, rows: int) -> tuple[int, int]:
+        """(rows to sample, lists) for so many usable vectors."""
+        lists = int(min(self.most_lists, max(4, self.lists_per_root_n * rows**0.5)))
+        return min(self.most_sample, self.sample_rows * lists), lists
+
+
+class Codes:
+    """Numbers of tags: of the most frequent ones their place, of the others one of as many classes, by a digest that Spark has too."""
+
+    def __init__(self, tops: list[str]):
+        self.place, self.classes = {t: i for i, t in enumerate(tops)}, max(1, len(tops))
+
+    def column(self, name: str) -> Column:
+        out = F.when(F.col(name).isNull(), F.lit(-3)).otherwise(F.lit(CLASSES) + F.pmod(F.crc32(F.col(name).cast("binary")), F.lit(self.classes)))
+        known = F.create_map(*[F.lit(x) for t, i in self.place.items() for x in (t, i)]) if self.place else None
+        return F.coalesce(F.try_element_at(known, F.col(name)), out).cast("bigint") if known is not None else out.cast("bigint")
+
+    def of(self, column: pa.Array, none: int) -> np.ndarray:
+        once = column.dictionary_encode() if not pa.types.is_dictionary(column.type) else column
+        numbers = np.array([self.place.get(t, CLASSES + zlib.crc32(t.encode()) % self.classes) for t in once.dictionary.to_pylist()] + [none], np.int64)
+        return numbers[once.indices.fill_null(len(numbers) - 1).to_numpy()]
+
 
 def scan_cell(ids: np.ndarray, x: np.ndarray, tags: np.ndarray, lists: np.ndarray, qids: np.ndarray, q: np.ndarray, ks: np.ndarray, wanted: np.ndarray, probes: pa.ListArray, bound: np.ndarray, turn: tuple[np.ndarray, list[float]], s: Search) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(query ids, ids, exact squared distances) of up to k candidates a query. ``tags``, ``wanted``: codes, -1 wants any."""
@@ -115,7 +143,7 @@ def nearest_vectors(vectors: DataFrame, id_col: str, vector_col: str, queries: D
     """Rows (query_id, id_col, _distance): for each query with a usable vector its ``k`` nearest usable vectors by squared L2.
 
     With ``tag`` (a column of ``vectors``) and ``wanted`` (of ``queries``), a query whose ``wanted`` is set meets only vectors
-    with that tag: it is a filter before the search. Tags should be few (the table of lists has a row per list, band and tag).
+    with that tag: it is a filter before the search. Tags may be of any number; those beyond the most frequent ones share classes and are compared by themselves in the scan.
 
     Defined cases: unusable vectors (null, another length, a null or non-finite element, all zero) are no candidates and no queries; a vector
     equal to the query counts; rows and queries without an id are left out (ids are integers); equal distances go to the smaller id; a repeated query id is asked once; repeated vectors are candidates
@@ -130,10 +158,12 @@ def nearest_vectors(vectors: DataFrame, id_col: str, vector_col: str, queries: D
     q = usable_vectors(once, "qid", "qv", dim, ["k", "wanted"]).toDF("id", "k", "wanted", "vec")
     names = (query_id, id_col, "_distance")
     total = vectors.count()
-    lists = int(min(s.most_lists, max(4, s.lists_per_root_n * total**0.5)))
-    _, sample = hashed_sample(v, min(s.most_sample, s.sample_rows * lists), total, s.seed, dim)
-    if not len(sample):
-        _, sample = hashed_sample(v, total + 1, total, s.seed, dim) if total <= s.most_sample else (None, sample)
+    want, lists = s.sizes(total)
+    sample = hashed_sample(v, want, total, s.seed, dim)[1]
+    if len(sample) < want / 2 and len(sample) < total:  # many rows have no usable vector: only those that have one count
+        total = v.count()
+        want, lists = s.sizes(total)
+        sample = hashed_sample(v, want, total, s.seed, dim)[1]
     if not len(sample):
         return spark.createDataFrame([], f"`{names[0]}` bigint, `{names[1]}` bigint, _distance double")
     router = Router.fit(sample, min(lists, len(sample)), s.seed)
@@ -152,12 +182,12 @@ def nearest_vectors(vectors: DataFrame, id_col: str, vector_col: str, queries: D
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), b.column(2), pa.array((leaf[:, 0] * n_bands + np.searchsorted(edges, far)).astype(np.int32)), pa.array(far)], names=["id", "vec", "tag", "list", "far"])
 
     placed = cut_lineage(v.select("id", "vec", "tag").mapInArrow(assign, "id bigint, vec binary, tag string, list int, far double"))
-    # One row per list, band and tag: bounded by the number of lists, whatever the data.
-    stats = placed.groupBy("list", "tag").agg(F.count(F.lit(1)).alias("n"), F.min("far").alias("low"), F.max("far").alias("high"), F.avg(F.col("far") * F.col("far")).alias("mean")).toArrow().sort_by("list")
+    # The most frequent tags have codes of their own, the others share classes by a digest: a row per list, band and class, bounded whatever the data.
+    tops = [r["tag"] for r in placed.where(F.col("tag").isNotNull()).groupBy("tag").count().orderBy(F.desc("count"), "tag").limit(s.most_tags).collect()] if tag else []
+    code = Codes(tops)
+    stats = placed.withColumn("tag", code.column("tag")).groupBy("list", "tag").agg(F.count(F.lit(1)).alias("n"), F.min("far").alias("low"), F.max("far").alias("high"), F.avg(F.col("far") * F.col("far")).alias("mean")).toArrow().sort_by("list")
     st_list, st_n = stats["list"].to_numpy().astype(np.int64), stats["n"].to_numpy()
-    tag_names = sorted({t for t in stats["tag"].to_pylist() if t is not None})
-    code = {t: i for i, t in enumerate(tag_names)}
-    st_tag = np.array([code.get(t, -1) for t in stats["tag"].to_pylist()], np.int64)
+    st_tag = stats["tag"].to_numpy().astype(np.int64)
     st = (st_list, st_tag, st_n, stats["low"].to_numpy(), stats["high"].to_numpy(), stats["mean"].to_numpy())
     # Neighbouring lists share a cell; a list beyond the size of a cell has several, its vectors spread by id.
     used, at = np.unique(st_list, return_inverse=True)
@@ -170,27 +200,47 @@ def nearest_vectors(vectors: DataFrame, id_col: str, vector_col: str, queries: D
         filled += n
         if n > s.cell_rows:
             cell, filled = cell + parts[l], 0
-    plan = spark.sparkContext.broadcast((st, code, cell_of, parts))
+    copies, first = np.ones(int(max((cell_of + parts).max(), 1)), np.int64), np.arange(int(max((cell_of + parts).max(), 1)))
+    asked = q.count()
+    if asked > s.task_queries:  # a cell can be asked for so often that one task would hold up the rest
+        some = q.where(F.pmod(F.xxhash64("id", F.lit(s.seed)), F.lit(1 << 30)) < F.lit(int(s.plan_queries / asked * (1 << 30)))).toArrow().combine_chunks()
+        few, ks, wants = unpack(some["vec"].combine_chunks(), dim) if some.num_rows else np.zeros((0, dim), np.float32), some["k"].to_numpy(), code.of(some["wanted"].combine_chunks(), -1) if some.num_rows else np.zeros(0, np.int64)
+        load = np.zeros(len(copies))
+        for at in range(0, len(few), 512):
+            part = slice(at, at + 512)
+            rows, ls, _, _ = route(few[part], ks[part], wants[part], router, st, n_bands, s)
+            for p in range(int(parts.max())):
+                more = parts[ls] > p
+                load += np.bincount(np.unique(rows[more] * len(copies) + cell_of[ls[more]] + p) % len(copies), minlength=len(copies))
+        copies = np.maximum(1, -(-load * (asked / max(1, len(few))) // s.task_queries)).astype(np.int64)
+        first = np.cumsum(copies) - copies
+    tasks = int(max(spark.sparkContext.defaultParallelism, min(20_000, copies.sum() // 4)))
+    plan = spark.sparkContext.broadcast((st, code, cell_of, parts, first, copies))
 
     def to_cells(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        _, _, cells, split = plan.value
+        _, _, cells, split, begin, times = plan.value
         for b in batches:
             l = b.column(3).to_numpy()
             h = (b.column(0).to_numpy().astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(33)
+            home = cells[l] + (h % split[l].astype(np.uint64)).astype(np.int64)
+            more = times[home]  # a cell that many queries ask for has copies, each for a share of them
+            if (more > 1).any():
+                b = b.take(pa.array(np.repeat(np.arange(b.num_rows), more)))
+            at = np.repeat(begin[home], more) + np.arange(more.sum()) - np.repeat(np.cumsum(more) - more, more)
             n = b.num_rows
             yield pa.RecordBatch.from_arrays(
-                [pa.array((cells[l] + h % split[l].astype(np.uint64)).astype(np.int32)), pa.array(np.zeros(n, np.int32)), b.column(3), b.column(0), b.column(1), b.column(2), pa.nulls(n, pa.int32()), pa.nulls(n, pa.list_(pa.int32())), pa.nulls(n, pa.float64())],
+                [pa.array(at.astype(np.int32)), pa.array(np.zeros(n, np.int32)), b.column(3), b.column(0), b.column(1), b.column(2), pa.nulls(n, pa.int32()), pa.nulls(n, pa.list_(pa.int32())), pa.nulls(n, pa.float64())],
                 names=["cell", "kind", "list", "id", "vec", "tag", "k", "probes", "bound"],
             )
 
     def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         r = shared.value[0]
-        table, codes, cells, split = plan.value
+        table, codes, cells, split, _, _ = plan.value
         for whole in batches:
             for start in range(0, whole.num_rows, 2048):
                 b = whole.slice(start, 2048)
                 m, ks = unpack(b.column(3), dim), b.column(1).to_numpy()
-                tags = np.array([-1 if t is None else codes.get(t, -2) for t in b.column(2).to_pylist()])
+                tags = codes.of(b.column(2), -1)
                 rows, lists_, bound, cutoff = route(m, ks, tags, r, table, n_bands, s)
                 yield to_ask(b, rows, lists_, bound, cells, split)
                 if len(cut := np.flatnonzero(np.isfinite(cutoff))):  # these have lists left
@@ -211,19 +261,22 @@ def nearest_vectors(vectors: DataFrame, id_col: str, vector_col: str, queries: D
         first = np.flatnonzero(np.r_[True, (rows[1:] != rows[:-1]) | (c[1:] != c[:-1])]) if len(rows) else np.zeros(0, np.int64)
         took = pa.array(rows[first])
         n = len(first)
+        begin, times = plan.value[4:]
+        turn = (b.column(0).to_numpy()[rows[first]].astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(33)
+        where = begin[c[first]] + (turn % times[c[first]].astype(np.uint64)).astype(np.int64)
         return pa.RecordBatch.from_arrays(
-            [pa.array(c[first].astype(np.int32)), pa.array(np.ones(n, np.int32)), pa.array(np.zeros(n, np.int32)), b.column(0).take(took), b.column(3).take(took), b.column(2).take(took), b.column(1).take(took), pa.ListArray.from_arrays(pa.array(np.r_[first, len(rows)].astype(np.int32)), pa.array(lists_.astype(np.int32))), pa.array(bound[rows[first]])],
+            [pa.array(where.astype(np.int32)), pa.array(np.ones(n, np.int32)), pa.array(np.zeros(n, np.int32)), b.column(0).take(took), b.column(3).take(took), b.column(2).take(took), b.column(1).take(took), pa.ListArray.from_arrays(pa.array(np.r_[first, len(rows)].astype(np.int32)), pa.array(lists_.astype(np.int32))), pa.array(bound[rows[first]])],
             names=["cell", "kind", "list", "id", "vec", "tag", "k", "probes", "bound"],
         )
 
     def ask_again(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         r = shared.value[0]
-        table, codes, cells, split = plan.value
+        table, codes, cells, split, _, _ = plan.value
         step = max(1, min(1024, (1 << 20) // len(table[0])))  # a query may have all lists
         for whole in batches:
             for start in range(0, whole.num_rows, step):
                 b = whole.slice(start, step)
-                tags = np.array([-1 if t is None else codes.get(t, -2) for t in b.column(2).to_pylist()])
+                tags = codes.of(b.column(2), -1)
                 tau, cutoff = b.column(5).to_numpy(), b.column(4).to_numpy()
                 rows, lists_ = rest(unpack(b.column(3), dim), tags, tau, cutoff, r, table, n_bands)
                 yield to_ask(b, rows, lists_, tau, cells, split)
@@ -236,7 +289,7 @@ def nearest_vectors(vectors: DataFrame, id_col: str, vector_col: str, queries: D
         yield from measure(batches, (rot, [1.0] * len(factor)))  # a partial distance beyond the bound rules out for certain
 
     def measure(batches: Iterator[pa.RecordBatch], turn: tuple[np.ndarray, list[float]]) -> Iterator[pa.RecordBatch]:
-        codes, left = plan.value[1], []
+        left = []
 
         def asked() -> Iterator[pa.RecordBatch]:
             for b in batches:
@@ -249,8 +302,12 @@ def nearest_vectors(vectors: DataFrame, id_col: str, vector_col: str, queries: D
 
         for vs, qs in _cells(asked()):
             q_, x = unpack(qs["vec"], dim), unpack(vs["vec"], dim)
-            code_of = lambda col, other: np.array([other if t is None else codes.get(t, -2) for t in col.to_pylist()], np.int64)
-            a, b, d = scan_cell(vs["id"].to_numpy(), x, code_of(vs["tag"], -3), vs["list"].to_numpy(), qs["id"].to_numpy(), q_, qs["k"].to_numpy(), code_of(qs["tag"], -1), qs["probes"], qs["bound"].to_numpy(), turn, s)
+            tags = np.full(len(x), -3), np.full(len(q_), -1)
+            if qs["tag"].null_count < len(q_):  # the tags themselves, numbered within the cell
+                same = pa.concat_arrays([vs["tag"], qs["tag"]]).dictionary_encode().indices
+                there, number = same.is_valid().to_numpy(zero_copy_only=False), same.fill_null(0).to_numpy()
+                tags = np.where(there[: len(x)], number[: len(x)], -3), np.where(there[len(x) :], number[len(x) :], -1)
+            a, b, d = scan_cell(vs["id"].to_numpy(), x, tags[0], vs["list"].to_numpy(), qs["id"].to_numpy(), q_, qs["k"].to_numpy(), tags[1], qs["probes"], qs["bound"].to_numpy(), turn, s)
             k_of = dict(zip(qs["id"].to_pylist(), qs["k"].to_pylist()))
             if len(a):
                 yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b), pa.array(d), pa.array([k_of[x] for x in a.tolist()], pa.int32())], names=["qid", "id", "d", "k"])
@@ -259,7 +316,7 @@ def nearest_vectors(vectors: DataFrame, id_col: str, vector_col: str, queries: D
             yield pa.RecordBatch.from_arrays([ids, pa.nulls(len(ids), pa.int64()), cutoff, ks], names=["qid", "id", "d", "k"])
 
     def meet(probes: DataFrame, how: Callable) -> DataFrame:
-        both = placed.mapInArrow(to_cells, SCHEMA).unionAll(probes).repartition("cell").sortWithinPartitions("cell", "kind", "list")
+        both = placed.mapInArrow(to_cells, SCHEMA).unionAll(probes).repartition(tasks, "cell").sortWithinPartitions("cell", "kind", "list")
         return both.mapInArrow(how, "qid bigint, id bigint, d double, k int")
 
     rank = F.row_number().over(Window.partitionBy("qid").orderBy("d", "id"))
@@ -333,7 +390,7 @@ def _cells(batches: Iterator[pa.RecordBatch], most: int = 2048) -> Iterator[tupl
 
 
 def _lists_of(want: int, table: tuple, n_bands: int) -> tuple[np.ndarray, ...] | None:
-    """(rows, low, high, mean, list, leaf) of each list that holds the wanted tag; -1 wants any."""
+    """(rows, low, high, mean, list, leaf) of each list that holds the wanted tag, or a tag of its class; -1 wants any."""
     st_list, st_tag, st_n, low, high, mean = table
     use = np.arange(len(st_list)) if want == -1 else np.flatnonzero(st_tag == want)
     if not len(use):
@@ -372,7 +429,8 @@ def route(m: np.ndarray, ks: np.ndarray, tags: np.ndarray, r: Router, table: tup
             upper = np.fmin(d + hi, np.inf)
             near = np.argpartition(upper, top - 1, axis=1)[:, :top]
             near = np.take_along_axis(near, np.argsort(np.take_along_axis(upper, near, 1), axis=1), 1)
-            enough = np.cumsum(n[near], axis=1) >= ks[rows][:, None]
+            # How many vectors of a class have the tag isn't known: such a query has no bound before the first pass.
+            enough = (np.cumsum(n[near], axis=1) >= ks[rows][:, None]) & (want < CLASSES)
             at_k = np.where(enough.any(1), enough.argmax(1), top - 1)
             ub = np.where(enough.any(1), np.take_along_axis(upper, np.take_along_axis(near, at_k[:, None], 1), 1)[:, 0], np.inf)
             bound[rows] = np.where(np.isfinite(ub), ub * ub, np.inf)

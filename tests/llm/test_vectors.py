@@ -122,6 +122,33 @@ def test_routing_sees_all_leaves():
         assert set(near) <= set(lists[rows == i])
 
 
+@pytest.mark.parametrize("how", [{}, {"most_tags": 4}, {"most_tags": 4, "probes": 4, "cell_rows": 64}, {"task_queries": 20, "plan_queries": 100, "cell_rows": 64}])
+def test_many_tags_and_popular_queries(spark, how):
+    rng = np.random.default_rng(21)
+    x = points(2000, 20, rng)
+    tags = np.array([f"t{int(t)}" for t in np.minimum(rng.geometric(0.08, 2000), 60)], object)
+    tags[::9] = None
+    df = spark.createDataFrame([(i, v.tolist(), t) for i, (v, t) in enumerate(zip(x, tags))], "id long, vec array<float>, tag string")
+    q = np.concatenate([np.repeat(x[5:6] + 0.01, 120, 0), points(60, 20, rng)])
+    wants = [None if i % 4 == 0 else f"t{1 + i % 70}" for i in range(len(q))]
+    qs = spark.createDataFrame([(i, v.tolist(), 7, w) for i, (v, w) in enumerate(zip(q, wants))], "qid long, vec array<float>, k int, tag string")
+    got = {i: [] for i in range(len(q))}
+    for r in nearest_vectors(df, "id", "vec", qs, "qid", "vec", "k", dim=DIM, tag="tag", wanted="tag", search=Search(**how)).collect():
+        got[r["qid"]].append((r["_distance"], r["id"]))
+    want = [brute(x, np.arange(2000), tags, q[i], 7, wants[i]) for i in range(len(q))]
+    assert all(len(got[i]) == len(w) for i, w in enumerate(want))
+    hit = sum(len({j for _, j in got[i]} & set(w)) for i, w in enumerate(want))
+    assert hit >= 0.97 * sum(map(len, want))
+
+
+def test_usable_vectors_are_rare(spark):
+    few = spark.createDataFrame([(7, [1.0] * DIM), (400_007, [2.0] * DIM), (900_001, [3.0] * DIM)], "id long, vec array<float>")
+    df = spark.range(600_000).selectExpr("id + 10 AS id", "CAST(NULL AS array<float>) AS vec").unionAll(few)
+    qs = spark.createDataFrame([(1, [1.9] * DIM, 5)], "qid long, vec array<float>, k int")
+    rows = nearest_vectors(df, "id", "vec", qs, "qid", "vec", "k", dim=DIM).collect()
+    assert [r["id"] for r in sorted(rows, key=lambda r: r["_distance"])] == [400_007, 7, 900_001]
+
+
 def test_empty_and_tiny_tables(spark):
     docs = spark.createDataFrame([(1, [1.0] * DIM), (2, [1.0] * DIM)], "id long, vec array<float>")
     qs = spark.createDataFrame([(1, [1.0] * DIM, 5)], "id long, vec array<float>, k int")
