@@ -5,14 +5,16 @@ import os
 import random
 import unicodedata
 
+import numpy as np
 import pytest
 import tiktoken
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
+from ridgeline.llm import leaks
 from ridgeline.llm.bpe import PATTERN, VOCABULARY, encoder, token_ids
 from ridgeline.llm.leaks import leaked_items, words_of
-from ridgeline.llm.pieces import Cutting, cut_text, split_documents
+from ridgeline.llm.pieces import Cutting, cut_text, hash_word, split_documents, word_hashes
 
 pytestmark = pytest.mark.skipif(not os.path.exists(VOCABULARY), reason="no vocabulary here")
 
@@ -88,6 +90,18 @@ def test_cut_falls_on_the_change_of_topic():
     assert pieces[0][2] == a + "\n"
 
 
+def test_topics_without_spaces_between_words():
+    r = random.Random(3)
+    one, two = [chr(c) for c in range(0x4E00, 0x4E08)], [chr(c) for c in range(0x5E00, 0x5E08)]
+    sentence = lambda letters: "".join(r.choice(letters) for _ in range(r.randint(8, 14))) + "。"
+    text = "".join(sentence(one) for _ in range(30)) + "".join(sentence(two) for _ in range(60))
+    change = next(i for i, c in enumerate(text) if c in two)
+    c = Cutting(limit=1400, overlap=16, least=300, bonus=(0.0, 0.0, 0.0))
+    (_, _, first), *_ = cut_text(text, encoder(), c)
+    assert len(first) == change
+    assert [h for _, h in word_hashes("ab 中文字x")] == [hash_word(w) for w in ("ab", "中文", "文字", "x")] and word_hashes("中") == [(0, hash_word("中"))]
+
+
 def test_a_boundary_before_the_window_is_better_than_none():
     c = Cutting(limit=100, overlap=8, least=80)
     text = " ".join(["word"] * 40) + ". " + "z9" * 400
@@ -147,5 +161,25 @@ def test_leaks_against_brute_force(spark, limit):
     assert leaked_items(dd, "doc", "text", ii.withColumnRenamed("doc", "item").limit(0), "item", "text", broadcast_bytes=limit).count() == 0
 
 
+@pytest.mark.parametrize("limit", [64 << 20, 0])
+def test_short_texts_that_normalisation_lengthens(spark, limit):
+    long = "\ufdfa" * 6  # six characters, 19 words
+    docs = spark.createDataFrame([(1, long), (2, "\ufdfa" * 2), (3, "z " + long)], "doc int, text string")
+    items = spark.createDataFrame([(7, long), (8, long + " end")], "item int, text string")
+    got = {tuple(x) for x in leaked_items(docs, "doc", "text", items, "item", "text", broadcast_bytes=limit).collect()}
+    assert got == {(1, 7), (1, 8), (3, 7), (3, 8)}
+
+
+def test_windows_with_equal_hashes_are_told_apart(monkeypatch):
+    r = random.Random(9)
+    items = [(i, " ".join(r.choice("abcdef") for _ in range(25))) for i in range(40)]
+    docs = [(d, " ".join(r.choice("abcdefz") for _ in range(60)) + " " + items[d % 40][1][4:30]) for d in range(60)]
+    for bad in (False, True):
+        if bad:
+            monkeypatch.setattr(leaks, "_rolled", lambda h, width: np.zeros(max(0, len(h) - width + 1), np.uint64))
+        index = leaks._Items([i for i, _ in items], [t for _, t in items], 6)
+        assert {(d, i) for d, t in docs for i in index.found(words_of(t))} == brute(docs, items, 6)
+
+
 def test_words_ignore_case_form_and_format_characters():
     assert words_of("Ｖec​tor_x  É-2­3") == words_of("vector x é 23") == ["vector", "x", unicodedata.normalize("NFC", "é"), "23"]
