@@ -8,7 +8,8 @@ The text is cut into pre-tokens first; the model encodes each mapped pre-token,
 from __future__ import annotations
 
 import base64
-from collections.abc import Iterable, Iterator
+import os
+from collections.abc import Callable, Iterable, Iterator
 from functools import lru_cache
 from itertools import chain
 
@@ -16,7 +17,8 @@ import numpy as np
 import pyarrow as pa
 import regex
 import sentencepiece
-from pyspark.sql import DataFrame
+from pyspark import SparkFiles
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ridgeline.plans.names import fresh
@@ -172,20 +174,28 @@ def encoder(path: str = VOCABULARY) -> Encoder:
     return Encoder(path)
 
 
+def shared_vocabulary(spark: SparkSession, path: str) -> Callable[[], str]:
+    """Send the vocabulary file to every executor; the result tells a task where it lies there."""
+    spark.sparkContext.addFile(path)
+    name = os.path.basename(path)
+    return lambda: SparkFiles.get(name)
+
+
 def token_ids(df: DataFrame, id_col: str, text_col: str, vocabulary: str = VOCABULARY) -> DataFrame:
     """Rows (id_col, ids): the ids of each row's text, one row in, one row out, without a shuffle.
 
     Defined cases: a null text and an empty text both give an empty list, never null; white space is encoded as it is;
     null and repeated ids pass through; further columns are ignored; an empty table gives no rows.
-    ``vocabulary`` must be readable under that path in every executor.
+    ``vocabulary`` is a file of the driver, which is sent to the executors.
     """
     ship(df.sparkSession)
+    find = shared_vocabulary(df.sparkSession, vocabulary)
     (tid,) = fresh(["ids", "text"], "id")
     rows = df.select(F.col(id_col).alias(tid), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
     kind = rows.schema[tid].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc = encoder(vocabulary)
+        enc = encoder(find())
         for whole in batches:
             for at in range(0, whole.num_rows, 256):
                 b = whole.slice(at, 256)

@@ -9,18 +9,20 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ridgeline.llm.bpe import VOCABULARY, Encoder, encoder
+from ridgeline.llm.bpe import VOCABULARY, Encoder, encoder, shared_vocabulary
 from ridgeline.plans.names import fresh
 from ridgeline.plans.ship import ship
 
 _ENDS = re.compile(r"\n[ \t\r]*\n\s*|\n\s*|[.!?…][\"'”’»)\]]*(?=\s)|[。！？]+")
-_WORDS = re.compile(r"[^\W_]+")
+#: Scripts without spaces between words: a run of them counts as its pairs of neighbouring characters.
+_WORDS = re.compile(r"([\u3040-\u30ff\u3400-\u4dbf\u4e00-\u9fff\uf900-\ufaff\U00020000-\U0003ffff]+)|[^\W_\u3040-\u30ff\u3400-\u4dbf\u4e00-\u9fff\uf900-\ufaff\U00020000-\U0003ffff]+")
 
 
 @dataclass(frozen=True)
@@ -86,7 +88,7 @@ def cut_text(text: str, enc: Encoder, c: Cutting) -> list[tuple[int, int, str]]:
     token = np.searchsorted(edge, char_byte[spots], "right") - 1
     while len(token) and not whole[token].all():
         token = np.where(whole[token], token, token - 1)
-    matches = [(m.start(), hash_word(m.group())) for m in _WORDS.finditer(text)]
+    matches = word_hashes(text)
     hashed = np.array([h for _, h in matches], np.int64)
     before = np.searchsorted(np.array([s for s, _ in matches], np.int64), spots)
     score = depths(hashed, before, c) + np.array(c.bonus)[kinds] if len(spots) else np.zeros(0)
@@ -123,6 +125,19 @@ def cut_text(text: str, enc: Encoder, c: Cutting) -> list[tuple[int, int, str]]:
             start -= 1
 
 
+def word_hashes(text: str) -> list[tuple[int, int]]:
+    """(place, hash) of each word; of each pair of neighbouring characters where words have no spaces between them."""
+    out = []
+    for m in _WORDS.finditer(text):
+        if m.group(1) is None:
+            out.append((m.start(), hash_word(m.group())))
+        else:
+            run, at = m.group(), m.start()
+            out += [(at + i, hash_word(run[i : i + 2])) for i in range(max(1, len(run) - 1))]
+    return out
+
+
+@lru_cache(200_000)
 def hash_word(word: str) -> int:
     """A stable small hash (Python's own differs between processes)."""
     h = 0
@@ -139,12 +154,13 @@ def split_documents(df: DataFrame, id_col: str, text_col: str, cutting: Cutting
     are cut each; further columns are ignored; an empty table gives no rows.
     """
     ship(df.sparkSession)
+    find = shared_vocabulary(df.sparkSession, vocabulary)
     (tid,) = fresh(["text", "piece_no", "first_token", "end_token", "piece"], "id")
     rows = df.select(F.col(id_col).alias(tid), F.col(text_col).cast("string").alias("text")).where(F.col("text").isNotNull())
     kind = rows.schema[tid].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc = encoder(vocabulary)
+        enc = encoder(find())
         for whole in batches:
             for at in range(0, whole.num_rows, 128):
                 b = whole.slice(at, 128)
