@@ -35,7 +35,7 @@ class Cutting:
     overlap: int = 64
     least: int = 512
     block: int = 60
-    buckets: int = 128
+    buckets: int = 256
     bonus: tuple[float, float, float] = (0.0, 0.05, 0.15)
 
     def __post_init__(self) -> None:
@@ -49,9 +49,9 @@ def depths(words: np.ndarray, at: np.ndarray, c: Cutting) -> np.ndarray:
     for lo in range(0, len(at), 256):  # a block of boundaries at a time: memory stays small for any length of text
         cut = at[lo : lo + 256]
         first, last = max(0, cut[0] - c.block), min(len(words), cut[-1] + c.block)
-        span = words[first:last]
+        span = (words[first:last] * 0x9E3779B1 >> 15) % c.buckets  # neighbouring code points spread over all buckets
         seen = np.zeros((len(span) + 1, c.buckets), np.float32)
-        seen[np.arange(1, len(span) + 1), span % c.buckets] = 1
+        seen[np.arange(1, len(span) + 1), span] = 1
         np.cumsum(seen, axis=0, out=seen)
         mid = cut - first
         left, right = seen[mid] - seen[np.maximum(mid - c.block, 0)], seen[np.minimum(mid + c.block, len(span))] - seen[mid]

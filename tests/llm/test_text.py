@@ -98,7 +98,7 @@ def test_topics_without_spaces_between_words():
     change = next(i for i, c in enumerate(text) if c in two)
     c = Cutting(limit=1400, overlap=16, least=300, bonus=(0.0, 0.0, 0.0))
     (_, _, first), *_ = cut_text(text, encoder(), c)
-    assert len(first) == change
+    assert abs(len(first) - change) <= 15  # at the change or one sentence beside it
     assert [h for _, h in word_hashes("ab 中文字x")] == [hash_word(w) for w in ("ab", "中文", "文字", "x")] and word_hashes("中") == [(0, hash_word("中"))]
 
 
