@@ -1,10 +1,11 @@
 """Clusters of mutually similar vectors by parallel pivot correlation clustering.
 
 Vectors are ordered by a hash. Each round takes the next stretch of the order that is still free, of bounded size; its local minima,
-those without a similar vector before them, become pivots and absorb all similar vectors. Hot groups go in the first round, and
-the vectors that remain meet the next stretch. Members that lie far from their pivot stay open and move to a closer pivot
-of a later round (nearer than half the threshold distance none can be closer). Clusters are then described by centre, radius, size and
+those without a similar vector before them, become pivots and absorb all similar vectors (a long stretch is searched for them in tasks). Hot groups
+go in the first round, and the vectors that remain meet the next stretch, which grows while most of it has no similar vector. Members that lie far from their pivot stay open and move to a closer pivot
+of a later round (nearer than half the threshold distance none can be closer). Clusters are then described by centre, radius, size, medoid and
 the members nearest to the centre, and tested: is every pair of members similar, is every member dissimilar to all others?
+The medoid is recomputed from the final members: for squared distances the member with the least sum to all others is the one nearest to the mean.
 
 Nothing here emits pairs within a group. Exact copies are collapsed first. A cluster of any size is tested in chunks,
 by the triangle inequality where it decides, else by blocks of distances that leave only a verdict.
@@ -13,17 +14,17 @@ by the triangle inequality where it decides, else by blocks of distances that le
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ridgeline.llm.vectors import Router, differences, judged, lloyd, nearest, pack, rounding, squared, unpack, usable_vectors
-from ridgeline.plans.lineage import cut_lineage
+from ridgeline.plans.lineage import cut_lineage, release
 
 ORDER_BITS = 40
 
@@ -31,13 +32,14 @@ ORDER_BITS = 40
 @dataclass(frozen=True)
 class Clustering:
     """``threshold``: squared distance below which two vectors are similar; ``least``: members of a cluster that counts;
-    ``stretch``: vectors of a round per square root of their number, ``most_stretch`` at most; ``chunk``: distinct vectors of a cluster that one
+    ``stretch``: vectors of a round per square root of their number, ``most_stretch`` at most, up to ``alone`` the driver finds their minima; ``chunk``: distinct vectors of a cluster that one
     task takes; ``typical``: members that describe a cluster; ``regions``: blocks of regions, between which the search for near clusters is shared out."""
 
     threshold: float = 350.0
     least: int = 5
     stretch: float = 16.0
-    most_stretch: int = 16_384
+    most_stretch: int = 65_536
+    alone: int = 8192
     chunk: int = 2048
     typical: int = 3
     regions: int = 8
@@ -63,6 +65,57 @@ def local_minima(x: np.ndarray, threshold: float) -> np.ndarray:
     return np.array(chosen, np.int64)
 
 
+def _shared_out(spark: SparkSession, x: np.ndarray, others: np.ndarray | None, threshold: float) -> np.ndarray:
+    """Rows of ``x`` that are similar to none of ``others``, or, without them, to no row before them; tasks take 512 rows at a time."""
+    shared = spark.sparkContext.broadcast((x, others))
+    blocks = -(-len(x) // 512)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        m, o = shared.value
+        for b in batches:
+            for k in b.column(0).to_pylist():
+                rows = np.arange(k * 512, min((k + 1) * 512, len(m)))
+                end = len(o) if o is not None else int(rows[-1]) + 1
+                for at in range(0, end, 2048):
+                    if not len(rows):
+                        break
+                    there = (m if o is None else o)[at : min(at + 2048, end)]
+                    near = judged(m[rows], there, threshold) < np.float32(threshold)
+                    if o is None:
+                        near &= np.arange(at, at + len(there))[None] < rows[:, None]
+                    rows = rows[~near.any(1)]
+                if len(rows):
+                    yield pa.RecordBatch.from_arrays([pa.array(rows)], names=["row"])
+
+    # Later blocks meet more rows: neighbours in number go to different tasks.
+    work = spark.range(blocks, numPartitions=1).repartition(min(blocks, 4 * spark.sparkContext.defaultParallelism), F.xxhash64("id"))
+    return np.sort(work.mapInArrow(run, "row bigint").toArrow()["row"].to_numpy())
+
+
+def first_minima(spark: SparkSession, x: np.ndarray, threshold: float, alone: int) -> np.ndarray:
+    """The rows of ``local_minima``, found by tasks: in turn the rows without a similar one before them, and what they leave."""
+    left, chosen = np.arange(len(x)), []
+    while len(left) > alone:
+        new = _shared_out(spark, x[left], None, threshold)
+        chosen.append(left[new])
+        rest = np.setdiff1d(np.arange(len(left)), new)
+        left = left[rest[_shared_out(spark, x[left[rest]], x[left[new]], threshold)]] if len(rest) else left[:0]
+    return np.sort(np.concatenate([*chosen, left[local_minima(x[left], threshold)]]))
+
+
+class _Cuts(list):
+    """Cut lineage, and remember what was written so that it can go when nothing reads it any more."""
+
+    def __call__(self, df: DataFrame) -> DataFrame:
+        self.append(cut_lineage(df))
+        return self[-1]
+
+    def release(self) -> None:
+        for df in self:
+            release(df)
+        self.clear()
+
+
 def _router(points: np.ndarray, seed: int) -> Router:
     """All points where they are few, else under roots."""
     if len(points) <= Router.ALL:
@@ -105,22 +158,26 @@ def _absorb(rows: DataFrame, ids: np.ndarray, pivots: np.ndarray, c: Clustering,
     return rows.mapInArrow(run, "rep bigint, vec binary, n bigint, pivot bigint, far double, touched array<bigint>")
 
 
-def pivot_members(df: DataFrame, id_col: str, vector_col: str, dim: int, c: Clustering) -> DataFrame:
+def pivot_members(df: DataFrame, id_col: str, vector_col: str, dim: int, c: Clustering, cut: Callable[[DataFrame], DataFrame] = cut_lineage) -> DataFrame:
     """Rows (rep, vec, n, pivot, far, touched): each distinct usable vector with its smallest id, its copies and its closest pivot."""
+    spark = df.sparkSession
     v = usable_vectors(df, id_col, vector_col, dim)
     reps = v.groupBy("vec").agg(F.min("id").alias("rep"), F.count(F.lit(1)).alias("n"))
     none = F.lit(None)
-    rows = cut_lineage(reps.select("rep", "vec", "n", none.cast("bigint").alias("pivot"), none.cast("double").alias("far"), none.cast("array<bigint>").alias("touched")))
+    rows = cut(reps.select("rep", "vec", "n", none.cast("bigint").alias("pivot"), none.cast("double").alias("far"), none.cast("array<bigint>").alias("touched")))
+    least = spark.sparkContext.defaultParallelism
+    tasks = max(least, rows.rdd.getNumPartitions())
     place = F.pmod(F.xxhash64("rep", F.lit(c.seed)), F.lit(1 << ORDER_BITS))
     settled = []
-    done = 0.0  # all places below are decided
+    done, grown = 0.0, 1.0  # all places below ``done`` are decided
     while True:
-        free = rows.where(F.col("pivot").isNull())
-        left = free.count()
+        open_rows, left = rows.agg(F.count(F.lit(1)), F.count_if(F.col("pivot").isNull())).first()
         if not left:
             settled.append(rows)
             break
-        want = int(min(c.most_stretch, max(256, c.stretch * math.sqrt(left))))
+        rows = rows.coalesce(min(tasks, max(least, -(-open_rows // 2048))))  # as few tasks as the rows that are left need
+        free = rows.where(F.col("pivot").isNull())
+        want = int(min(c.most_stretch, max(256, c.stretch * grown * math.sqrt(left))))
         # The places are uniform: this share of them holds about the wanted number, whatever the data.
         share = min(1.0, done + (1 - done) * want / left) if want < left else 1.0
         while True:
@@ -129,15 +186,16 @@ def pivot_members(df: DataFrame, id_col: str, vector_col: str, dim: int, c: Clus
             if t.num_rows or share >= 1:
                 break
             share = min(1.0, share * 2)
-        done = share
         x = unpack(t["vec"].combine_chunks(), dim)
-        chosen = local_minima(x, c.threshold)
-        out = cut_lineage(_absorb(rows, t["rep"].to_numpy()[chosen], x[chosen], c, dim))
+        done = share
+        chosen = first_minima(spark, x, c.threshold, c.alone)
+        grown = min(grown * 2, 64.0) if len(chosen) > 0.8 * len(x) else 1.0
+        out = cut(_absorb(rows, t["rep"].to_numpy()[chosen], x[chosen], c, dim))
         # Within half the threshold distance of its pivot a row cannot be closer to a later pivot.
         open_ = F.col("pivot").isNull() | (F.col("far") > c.threshold / 4)
         settled.append(out.where(~open_))
         rows = out.where(open_)
-    return reduce(DataFrame.unionAll, settled)
+    return reduce(DataFrame.unionAll, settled).coalesce(tasks)
 
 
 def _blocks(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[pa.Table]:
@@ -169,11 +227,13 @@ def all_similar(x: np.ndarray, threshold: float, others: np.ndarray | None = Non
     return all(not (judged(x[a : a + 512], others[b : b + 2048], threshold) >= np.float32(threshold)).any() for a in range(0, len(x), 512) for b in range(0, len(others), 2048))
 
 
-def describe(members: DataFrame, dim: int, c: Clustering) -> DataFrame:
+def describe(members: DataFrame, dim: int, c: Clustering, cut: Callable[[DataFrame], DataFrame] = cut_lineage) -> DataFrame:
     """Rows (pivot, centre, radius, size, smallest, clique, typical): one a cluster; ``typical``: members nearest to the centre."""
     half = math.sqrt(c.threshold) / 2 * (1 - 1e-6)
     counts = members.groupBy("pivot").count()
-    large = counts.where(F.col("count") > c.chunk).select("pivot", F.ceil(F.col("count") / c.chunk).cast("int").alias("chunks"))
+    # Up to 64 chunks; a larger cluster has larger ones, so that its outer members, which visit every chunk, are not copied ever more often.
+    chunks = F.least(F.ceil(F.col("count") / c.chunk), F.greatest(F.lit(64), F.ceil(F.col("count") / (64 * c.chunk))))
+    large = counts.where(F.col("count") > c.chunk).select("pivot", chunks.cast("int").alias("chunks"))
     # At most one cluster per ``chunk`` vectors is that large.
     chunked = members.join(F.broadcast(large), "pivot", "left").withColumn("chunk", F.when(F.col("chunks").isNull(), F.lit(0)).otherwise(F.pmod(F.xxhash64("rep", F.lit(5)), F.col("chunks"))).cast("int"))
     rows = chunked.select("pivot", "chunk", "rep", "vec", "n", F.coalesce("chunks", F.lit(1)).alias("chunks"))
@@ -203,7 +263,7 @@ def describe(members: DataFrame, dim: int, c: Clustering) -> DataFrame:
         types = [pa.int64(), pa.int32(), pa.binary(), pa.float64(), pa.int64(), pa.int64(), pa.int64(), pa.bool_(), pa.list_(pa.int64()), pa.binary()]
         return pa.RecordBatch.from_arrays([pa.array(col, kind) for col, kind in zip(zip(*out), types)], names=names)
 
-    parts = cut_lineage(spread.mapInArrow(fold, kinds))
+    parts = cut(spread.mapInArrow(fold, kinds))
     columns = ["pivot", "centre", "radius", "size", "smallest", "clique", "typical"]
     whole = parts.where("chunks = 1").select(*columns)
     if large.isEmpty():
@@ -214,7 +274,7 @@ def describe(members: DataFrame, dim: int, c: Clustering) -> DataFrame:
         centre = (total / sum(t["size"].to_pylist())).astype(np.float32)
         return pa.table({"pivot": t["pivot"].slice(0, 1), "centre": pa.array([centre.tobytes()], pa.binary()), "size": pa.array([sum(t["size"].to_pylist())], pa.int64()), "smallest": pa.array([min(t["smallest"].to_pylist())], pa.int64()), "clique": pa.array([all(t["clique"].to_pylist())])})
 
-    centres = cut_lineage(parts.where("chunks > 1").groupBy("pivot").applyInArrow(centre_of, "pivot bigint, centre binary, size bigint, smallest bigint, clique boolean"))
+    centres = cut(parts.where("chunks > 1").groupBy("pivot").applyInArrow(centre_of, "pivot bigint, centre binary, size bigint, smallest bigint, clique boolean"))
     inner = rows.where("chunks > 1").join(F.broadcast(centres.select("pivot", "centre", F.col("clique").alias("so_far"))), "pivot")
 
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -222,7 +282,7 @@ def describe(members: DataFrame, dim: int, c: Clustering) -> DataFrame:
             far = np.sqrt(differences(unpack(b.column(3), dim), unpack(b.column(6), dim)))
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), b.column(2), b.column(3), b.column(5), b.column(7), pa.array(far)], names=["pivot", "chunk", "rep", "vec", "chunks", "so_far", "far"])
 
-    measured = cut_lineage(inner.select("pivot", "chunk", "rep", "vec", "n", "chunks", "centre", "so_far").mapInArrow(measure, "pivot bigint, chunk int, rep bigint, vec binary, chunks int, so_far boolean, far double"))
+    measured = cut(inner.select("pivot", "chunk", "rep", "vec", "n", "chunks", "centre", "so_far").mapInArrow(measure, "pivot bigint, chunk int, rep bigint, vec binary, chunks int, so_far boolean, far double"))
     # Two members whose distances to the centre add up to less than the threshold distance are similar: only outer members are tested.
     outer = measured.where((F.col("far") >= half) & F.col("so_far")).withColumn("chunk", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1))).withColumn("kind", F.lit(1))
     tests = measured.where("so_far").withColumn("kind", F.lit(0)).unionByName(outer).select("pivot", "chunk", "kind", "rep", "vec").repartition("pivot", "chunk").sortWithinPartitions("pivot", "chunk", "kind")
@@ -285,8 +345,8 @@ def reached(roots: np.ndarray, extent: np.ndarray, x: np.ndarray, radius: np.nda
 def _near_clusters(clusters: DataFrame, dim: int, c: Clustering) -> DataFrame:
     """Pairs (a, b) of clusters, a one that may count, whose balls come within the threshold distance.
 
-    Each cluster lives in the region of its nearest root; a candidate visits the blocks of regions that it can reach. Blocks are few,
-    so that a candidate is copied a bounded number of times whatever it reaches.
+    Each cluster lives in the region of its nearest root; a candidate visits the blocks of regions that it can reach. Blocks are few, so that a
+    candidate is seldom copied, but a task holds no more than about 65,536 clusters of a block.
     """
     reach = math.sqrt(c.threshold)
     total = clusters.count()
@@ -305,7 +365,7 @@ def _near_clusters(clusters: DataFrame, dim: int, c: Clustering) -> DataFrame:
     sizes = clusters.select("centre", "radius").mapInArrow(settle, "region int, ball double").groupBy("region").agg(F.count(F.lit(1)).alias("n"), F.max("ball").alias("extent")).toArrow()
     n, extent = np.zeros(len(roots), np.int64), np.full(len(roots), -np.inf)
     n[sizes["region"].to_numpy()], extent[sizes["region"].to_numpy()] = sizes["n"].to_numpy(), sizes["extent"].to_numpy()
-    block = ((np.cumsum(n) - n) // max(2048, -(-total // c.regions))).astype(np.int32)
+    block = ((np.cumsum(n) - n) // max(2048, min(-(-total // c.regions), 65_536))).astype(np.int32)
     plan = clusters.sparkSession.sparkContext.broadcast((extent, block))
 
     def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -349,7 +409,7 @@ def _near_clusters(clusters: DataFrame, dim: int, c: Clustering) -> DataFrame:
     return pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
-def _touching(members: DataFrame, clusters: DataFrame, pairs: DataFrame, dim: int, c: Clustering) -> DataFrame:
+def _touching(members: DataFrame, clusters: DataFrame, pairs: DataFrame, dim: int, c: Clustering, cut: Callable[[DataFrame], DataFrame] = cut_lineage) -> DataFrame:
     """Rows (pivot): clusters of ``pairs`` that have a member similar to a member of the other."""
     reach = math.sqrt(c.threshold) * (1 + 1e-5)
     info = clusters.select(F.col("pivot").alias("other"), "centre", "radius")
@@ -362,7 +422,7 @@ def _touching(members: DataFrame, clusters: DataFrame, pairs: DataFrame, dim: in
             ok = pa.array(np.flatnonzero(d < (b.column(6).to_numpy() + reach) * (1 + 1e-9)))
             yield pa.RecordBatch.from_arrays([b.column(i).take(ok) for i in range(5)], names=["a", "b", "side", "rep", "vec"])
 
-    kept = cut_lineage(rows.mapInArrow(close, "a bigint, b bigint, side int, rep bigint, vec binary"))
+    kept = cut(rows.mapInArrow(close, "a bigint, b bigint, side int, rep bigint, vec binary"))
     # The first side is cut into chunks of bounded size, the second goes to each of them.
     sizes = kept.where("side = 0").groupBy("a", "b").agg(F.ceil(F.count(F.lit(1)) / c.chunk).cast("int").alias("chunks"))
     split = kept.join(sizes, ["a", "b"]).withColumn("chunk", F.explode(F.when(F.col("side") == 0, F.array(F.pmod(F.xxhash64("rep", F.lit(5)), F.col("chunks")).cast("int"))).otherwise(F.sequence(F.lit(0), F.col("chunks") - 1))))
@@ -385,25 +445,27 @@ def _touching(members: DataFrame, clusters: DataFrame, pairs: DataFrame, dim: in
 def similarity_clusters(df: DataFrame, id_col: str, vector_col: str, *, dim: int, clustering: Clustering = Clustering()) -> tuple[DataFrame, DataFrame]:
     """(clusters, membership).
 
-    clusters: (cluster, size, radius, mutual, isolated, typical), one row a cluster, whatever its size; ``cluster`` is the smallest id of its members, ``typical`` the
-    members nearest to its centre, ``mutual`` whether all members are similar to each other, ``isolated`` whether no member is known to be similar to a vector outside.
+    clusters: (cluster, size, radius, mutual, isolated, medoid, typical), one row a cluster, whatever its size; ``cluster`` is the smallest id of its members, ``typical`` the
+    members nearest to its centre, ``medoid`` the first of them, which has the least sum of squared distances to all members, ``mutual`` whether all members are similar to each other, ``isolated`` whether no member is known to be similar to a vector outside.
     membership: (cluster, id_col), one row a usable vector. ``isolated`` is worked out only for mutual clusters of at least ``least`` members, others have null there.
 
     Defined cases: unusable vectors, and rows without an id (an integer), belong to no cluster; exact copies share a cluster and count each; a vector without a similar one is a cluster of its
     own; repeated ids with one vector count each; ties in distance go to the smaller id; further columns are ignored; an empty table gives no rows.
     Pivots, absorption, sizes, ``mutual`` and ``isolated`` are exact: no search is cut short.
     """
-    c = clustering
-    members = pivot_members(df, id_col, vector_col, dim, c)
-    described = cut_lineage(describe(members, dim, c))
+    c, cut = clustering, _Cuts()
+    members = pivot_members(df, id_col, vector_col, dim, c, cut)
+    described = cut(describe(members, dim, c, cut))
     touched = members.where(F.size("touched") > 0).select(F.explode(F.concat(F.col("touched"), F.array("pivot"))).alias("pivot")).distinct().withColumn("hit", F.lit(True))
     marked = described.join(touched, "pivot", "left").withColumn("candidate", F.col("clique") & (F.col("size") >= c.least) & F.col("hit").isNull())
-    marked = cut_lineage(marked)
-    pairs = cut_lineage(_near_clusters(marked, dim, c))
-    joined = _touching(members, marked, pairs, dim, c).distinct().withColumn("met", F.lit(True))
-    final = cut_lineage(marked.join(joined, "pivot", "left").select("pivot", F.col("smallest").alias("cluster"), "size", "radius", F.col("clique").alias("mutual"), F.when(F.col("clique") & (F.col("size") >= c.least), F.col("hit").isNull() & F.col("met").isNull()).alias("isolated"), "typical"))
+    marked = cut(marked)
+    pairs = cut(_near_clusters(marked, dim, c))
+    joined = _touching(members, marked, pairs, dim, c, cut).distinct().withColumn("met", F.lit(True))
+    isolated = F.when(F.col("clique") & (F.col("size") >= c.least), F.col("hit").isNull() & F.col("met").isNull())
+    final = cut_lineage(marked.join(joined, "pivot", "left").select("pivot", F.col("smallest").alias("cluster"), "size", "radius", F.col("clique").alias("mutual"), isolated.alias("isolated"), F.get("typical", F.lit(0)).alias("medoid"), "typical"))
     # Copies find their cluster by a digest of the vector, so that no list of a group's ids is ever built.
     key = F.md5("vec").alias("key")
-    of = members.select(key, "pivot").join(final.select("pivot", "cluster"), "pivot").select("key", "cluster")
+    of = cut_lineage(members.select(key, "pivot").join(final.select("pivot", "cluster"), "pivot").select("key", "cluster"))
+    cut.release()
     membership = usable_vectors(df, id_col, vector_col, dim).select(key, F.col("id").alias(id_col)).join(of, "key").select("cluster", id_col)
     return final.drop("pivot"), membership

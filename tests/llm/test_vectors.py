@@ -3,7 +3,7 @@
 import numpy as np
 import pytest
 
-from ridgeline.llm.clusters import Clustering, _near_clusters, _router, similarity_clusters
+from ridgeline.llm.clusters import Clustering, _near_clusters, _router, first_minima, local_minima, similarity_clusters
 from ridgeline.llm.knn import Search, nearest_vectors, route
 from ridgeline.llm.vectors import Router, judged
 
@@ -79,6 +79,12 @@ def test_many_pivots_meet_all_similar_vectors():
     assert near[np.arange(len(x)), router.order[leaf[:, 0]]][near.any(1)].all()
 
 
+def test_minima_by_tasks_equal_those_in_order(spark):
+    rng = np.random.default_rng(14)
+    x = np.concatenate([points(900, 60, rng, 2.0), rng.normal(size=(900, DIM)) * 30]).astype(np.float32)[rng.permutation(1800)]
+    assert np.array_equal(first_minima(spark, x, 60.0, 100), local_minima(x, 60.0)) and len(first_minima(spark, x[:0], 60.0, 100)) == 0
+
+
 def test_near_clusters_of_many_regions(spark):
     rng = np.random.default_rng(10)
     x, radius = rng.normal(size=(6000, DIM)).astype(np.float32) * 3, rng.uniform(0, 3, 6000)
