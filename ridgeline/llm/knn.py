@@ -214,7 +214,7 @@ def nearest_vectors(vectors: DataFrame, id_col: str, vector_col: str, queries: D
                 load += np.bincount(np.unique(rows[more] * len(copies) + cell_of[ls[more]] + p) % len(copies), minlength=len(copies))
         copies = np.maximum(1, -(-load * (asked / max(1, len(few))) // s.task_queries)).astype(np.int64)
         first = np.cumsum(copies) - copies
-    tasks = int(max(spark.sparkContext.defaultParallelism, min(20_000, copies.sum() // 4)))
+    tasks = int(max(spark.sparkContext.defaultParallelism, min(20_000, copies.sum())))  # a cell a task: no two large ones meet by chance
     plan = spark.sparkContext.broadcast((st, code, cell_of, parts, first, copies))
 
     def to_cells(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -316,7 +316,7 @@ def nearest_vectors(vectors: DataFrame, id_col: str, vector_col: str, queries: D
             yield pa.RecordBatch.from_arrays([ids, pa.nulls(len(ids), pa.int64()), cutoff, ks], names=["qid", "id", "d", "k"])
 
     def meet(probes: DataFrame, how: Callable) -> DataFrame:
-        both = placed.mapInArrow(to_cells, SCHEMA).unionAll(probes).repartition(tasks, "cell").sortWithinPartitions("cell", "kind", "list")
+        both = placed.mapInArrow(to_cells, SCHEMA).unionAll(probes).repartitionById(tasks, F.pmod("cell", F.lit(tasks))).sortWithinPartitions("cell", "kind", "list")
         return both.mapInArrow(how, "qid bigint, id bigint, d double, k int")
 
     rank = F.row_number().over(Window.partitionBy("qid").orderBy("d", "id"))
