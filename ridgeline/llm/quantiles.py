@@ -8,10 +8,12 @@ down with equal chance, so the sum of squares of these shifts bounds the rank er
 from __future__ import annotations
 
 import math
+import zlib
 from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import BinaryType, StructField, StructType
@@ -91,13 +93,14 @@ class Sketch:
         return s
 
 
-def _by_group(df: DataFrame, groups: Sequence[str], k: int, seed: int, merging: bool) -> DataFrame:
-    """Fold rows (groups, payload) into one sketch a group and batch stream; ``merging``: payloads are sketches."""
+def _by_group(df: DataFrame, groups: Sequence[str], k: int, seed: int, step: int) -> DataFrame:
+    """Fold rows (groups, payload) into one sketch a group and batch stream; beyond ``step`` 0 payloads are sketches. Each partition and step tosses coins of its own."""
     names = [f"g{i}" for i in range(len(groups))]
     schema = StructType([*(StructField(f.name, f.dataType) for f in df.schema.fields if f.name in names), StructField("sketch", BinaryType())])
 
     def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[tuple, Sketch] = {}
+        coins = lambda key: [seed, step, TaskContext.get().partitionId(), zlib.crc32(repr(key).encode())]
 
         def out() -> pa.RecordBatch:
             keys = list(held)
@@ -109,12 +112,12 @@ def _by_group(df: DataFrame, groups: Sequence[str], k: int, seed: int, merging:
             types = types or [b.schema.field(i).type for i in range(len(names))]
             keys = list(zip(*(b.column(i).to_pylist() for i in range(len(names))))) if names else [()] * b.num_rows
             payload = b.column(len(names))
-            if merging:
+            if step:
                 for key, data in zip(keys, payload.to_pylist()):
                     if key in held:
                         held[key].merge(Sketch.from_bytes(data))
                     else:
-                        held[key] = Sketch.from_bytes(data, seed=_mix(seed, key))
+                        held[key] = Sketch.from_bytes(data, seed=coins(key))
             else:
                 codes: dict[tuple, list[int]] = {}
                 for at, key in enumerate(keys):
@@ -125,7 +128,7 @@ def _by_group(df: DataFrame, groups: Sequence[str], k: int, seed: int, merging:
                     v = np.concatenate([flat[ends[r] : ends[r + 1]] for r in rows]).astype(np.float64)
                     v = v[np.isfinite(v) & (v > 0)]
                     if len(v):
-                        held.setdefault(key, Sketch(k, _mix(seed, key))).add(v)
+                        (held[key] if key in held else held.setdefault(key, Sketch(k, coins(key)))).add(v)
             if len(held) > 20_000:  # many groups: hand on what there is, it merges later
                 yield out()
                 held.clear()
@@ -135,12 +138,6 @@ def _by_group(df: DataFrame, groups: Sequence[str], k: int, seed: int, merging:
     return df.mapInArrow(fold, schema)
 
 
-def _mix(seed: int, key: tuple) -> list[int]:
-    import zlib
-
-    return [seed, zlib.crc32(repr(key).encode())]
-
-
 def percentile_sketches(df: DataFrame, groups: Sequence[str], values: str, *, once: str | None = None, k: int = 400, seed: int = 0) -> DataFrame:
     """Rows (groups, sketch): one mergeable sketch of all usable elements of the arrays ``values`` per group.
 
@@ -148,7 +145,7 @@ def percentile_sketches(df: DataFrame, groups: Sequence[str], values: str, *, on
     holds most rows sends no more than one sketch a partition. Usable elements are finite and above zero.
 
     Defined cases: null group values form a group; null and empty arrays, and unusable elements, add nothing; a group without usable elements
-    gives no row; rows with a null id count each; further columns are ignored; an empty table gives no rows.
+    gives no row; rows with a null id count each; further columns are ignored; an empty table gives no rows. The same table, split alike, gives the same sketches.
     """
     ship(df.sparkSession)
     names = [f"g{i}" for i in range(len(groups))]
@@ -159,7 +156,7 @@ def percentile_sketches(df: DataFrame, groups: Sequence[str], values: str, *, on
     else:
         seen = df.select(F.col(once).alias("once"), *cols, v)
         rows = seen.where(F.col("once").isNotNull()).dropDuplicates(["once"]).unionAll(seen.where(F.col("once").isNull())).drop("once")
-    return merge_sketches(_by_group(rows, names, k, seed, False).toDF(*groups, "sketch"), groups, seed=seed)
+    return merge_sketches(_by_group(rows, names, k, seed, 0).toDF(*groups, "sketch"), groups, seed=seed)
 
 
 def merge_sketches(sketches: DataFrame, groups: Sequence[str], sketch: str = "sketch", *, seed: int = 0, salts: int = 16) -> DataFrame:
@@ -168,9 +165,11 @@ def merge_sketches(sketches: DataFrame, groups: Sequence[str], sketch: str = "sk
     names = [f"g{i}" for i in range(len(groups))]
     rows = sketches.select(*(F.col(c).alias(n) for c, n in zip(groups, names)), F.col(sketch).alias("payload"))
     salt = F.pmod(F.xxhash64("payload"), F.lit(salts))
-    step = _by_group(rows.repartition(*[F.col(n) for n in names], salt), names, 0, seed, True)
-    last = step.repartition(*[F.col(n) for n in names]) if names else step.repartition(1)
-    return _by_group(last.withColumnRenamed("sketch", "payload"), names, 0, seed, True).toDF(*groups, "sketch")
+    # Sorted payloads: the order of merging, and so the result, doesn't hang on the order in which tasks end.
+    first = rows.repartition(*[F.col(n) for n in names], salt).sortWithinPartitions(*names, "payload")
+    half = _by_group(first, names, 0, seed, 1).withColumnRenamed("sketch", "payload")
+    last = (half.repartition(*[F.col(n) for n in names]) if names else half.repartition(1)).sortWithinPartitions(*names, "payload")
+    return _by_group(last, names, 0, seed, 2).toDF(*groups, "sketch")
 
 
 def sketch_percentiles(sketches: DataFrame, groups: Sequence[str], percentiles: Sequence[float], sketch: str = "sketch", failure: float = 0.01) -> DataFrame:

@@ -15,7 +15,7 @@ from ridgeline.llm.knn import nearest_vectors
 from ridgeline.llm.leaks import leaked_items
 from ridgeline.llm.pieces import split_documents
 from ridgeline.llm.quantiles import merge_sketches, percentile_sketches, sketch_percentiles
-from ridgeline.llm.sample import reservoir_sample
+from ridgeline.llm.sample import merge_reservoirs, reservoir_sample, reservoirs
 from ridgeline.llm.vectors import usable
 from ridgeline.sources.tables import table
 
@@ -55,6 +55,23 @@ def p3_sample(spark: SparkSession, d: str) -> DataFrame:
     return reservoir_sample(docs, SAMPLE, seed=3, keep=_has_vector)
 
 
+def _pieces(spark: SparkSession, d: str) -> DataFrame:
+    """One reservoir a piece, from one pass over all pieces: what is kept of each when it arrives."""
+    docs = table(spark, d, "documents").select("doc_id", "batch_no", "embedding")
+    return merge_reservoirs(reservoirs(docs, SAMPLE, 3, _has_vector, piece="batch_no"), SAMPLE, ["batch_no"], 3)
+
+
+def p3_pieces(spark: SparkSession, d: str) -> DataFrame:
+    """How many records each piece's reservoir stands for, and how many it keeps."""
+    return _pieces(spark, d).groupBy("batch_no").agg(F.first("_population").alias("population"), F.count(F.lit(1)).alias("kept"))
+
+
+def p3_from_pieces(spark: SparkSession, d: str) -> DataFrame:
+    """The sample of the whole from the kept states of its pieces, with the number of records that it stands for."""
+    apart = _pieces(spark, d).withColumn("_reservoir", F.xxhash64("batch_no"))
+    return merge_reservoirs(apart, SAMPLE, seed=3).select("doc_id", "batch_no", F.col("_population").alias("population"))
+
+
 def p4_percentiles(spark: SparkSession, d: str) -> DataFrame:
     groups = ["implementation", "nprobe"]
     sketches = percentile_sketches(table(spark, d, "search_curve"), groups, "latency_ms_samples", once="point_id")
@@ -96,10 +113,14 @@ def p9_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (p1_found, p1_neighbours, p1_similar_documents, p3_sample, p4_percentiles, p4_from_days, p6_clusters, p6_found, p7_ids, p8_found, p9_found, p9_pieces)
+    f.__name__: f for f in (p1_found, p1_neighbours, p1_similar_documents, p3_sample, p3_pieces, p3_from_pieces, p4_percentiles, p4_from_days, p6_clusters, p6_found, p7_ids, p8_found, p9_found, p9_pieces)
 }
 #: Nodes that share one closed neighbourhood of as many nodes are a clique without outside neighbours. All pairs: for small tables only.
 ORACLE: dict[str, str] = {
+    "p3_pieces": f"""
+SELECT batch_no, count(*) AS population, CAST(least(count(*), {SAMPLE}) AS BIGINT) AS kept FROM documents WHERE len(embedding) = {DIM} AND len(list_filter(embedding, lambda x: x IS NOT NULL AND isfinite(x))) = {DIM} AND len(list_filter(embedding, lambda x: x <> 0)) > 0
+GROUP BY batch_no
+""",
     "p6_found": """
 WITH v AS (SELECT doc_id, embedding::DOUBLE[] AS e FROM documents WHERE len(embedding) = 64 AND len(list_filter(embedding, lambda x: x IS NOT NULL AND isfinite(x))) = 64 AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
 n AS (SELECT a.doc_id, count(*) AS c, min(b.doc_id) AS first, sum(hash(b.doc_id)::HUGEINT) AS mark FROM v a, v b WHERE list_distance(a.e, b.e) ** 2 < 350 GROUP BY a.doc_id),

@@ -2,13 +2,16 @@
 
 Each partition runs skip-based reservoir sampling (the gaps between accepted records are drawn, most records cost nothing)
 and counts its records. Reservoirs are merged in a tree: how many records come from each side is drawn from the hypergeometric
-distribution over the populations they represent, so every record of the union stays equally likely.
+distribution over the populations they represent, so every record of the union stays equally likely. Reservoirs and their counts are
+a state that can be kept: pieces that arrive later are sampled by themselves and merged into it.
 """
 
 from __future__ import annotations
 
 import math
-from collections.abc import Callable, Iterator
+import zlib
+from collections.abc import Callable, Iterator, Sequence
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -69,71 +72,121 @@ def _draw(good: int, bad: int, want: int, rng: np.random.Generator) -> int:
     return x
 
 
-def reservoir_sample(df: DataFrame, size: int, seed: int = 0, keep: Callable[[pa.RecordBatch], np.ndarray] | None = None, fan_in: int = 32) -> DataFrame:
-    """``min(size, rows)`` rows of ``df``, every row equally likely, in one pass over the data.
+STATE = ("_reservoir", "_slot", "_population")
 
-    ``keep`` picks the rows that count, by batch (a boolean mask). One reservoir is at most ``size`` rows, and a merge task reads
-    ``fan_in`` of them. The result is fixed by ``seed`` as long as the table's files are split alike.
 
-    Defined cases: fewer rows than ``size`` all come out; repeated rows count each; nulls, long texts and any column names pass through; an empty
-    table gives no rows; ``size`` must be positive.
+def reservoirs(df: DataFrame, size: int, seed: int = 0, keep: Callable[[pa.RecordBatch], np.ndarray] | None = None, piece: str | None = None) -> DataFrame:
+    """The state of a sample: rows of ``df`` with (_reservoir, _slot, _population), one reservoir of at most ``size`` rows a partition, or a partition and ``piece``.
+
+    ``_population`` is the number of records that the reservoir stands for. States can be stored, and merged with those of data that arrives later.
+    A task holds no more than ``size`` rows for each piece of its partition.
+
+    Defined cases: null pieces are one piece; no record, no reservoir; the columns of ``df`` must not have the names of the state.
     """
-    if size < 1 or fan_in < 2:
-        raise ValueError("size must be at least 1 and fan_in at least 2")
+    if size < 1:
+        raise ValueError("size must be at least 1")
+    if taken := {c.lower() for c in df.columns} & set(STATE):
+        raise ValueError(f"columns exist: {sorted(taken)}")
     ship(df.sparkSession)
-    part, slot, count, group = fresh(df.columns, "part", "slot", "population", "group")
-    state = StructType([StructField(c, LongType()) for c in (part, slot, count)])
-    schema = StructType([*df.schema.fields, *state.fields])
-    arrow = to_arrow_schema(schema)
-    width = len(df.columns)
+    schema = StructType([*df.schema.fields, *(StructField(c, LongType()) for c in STATE)])
+    arrow, width = to_arrow_schema(schema), len(df.columns)
+    place = None if piece is None else df.columns.index(piece)
 
     def fill(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pid = TaskContext.get().partitionId()
-        skips = Skips(size, np.random.default_rng([seed, pid]))
-        held: pa.Table | None = None
-        for b in batches:
+        of: dict[object, tuple[int, Skips]] = {}
+        held: dict[int, pa.Table] = {}
+        for whole in batches:
             if keep is not None:
-                b = b.filter(pa.array(keep(b)))
-            offsets, slots = skips.take(b.num_rows)
-            if not len(offsets):
+                whole = whole.filter(pa.array(keep(whole)))
+            if not whole.num_rows:
                 continue
-            last = {int(s): int(o) for o, s in zip(offsets, slots)}  # a slot filled twice keeps the later record
-            new = pa.Table.from_batches([b.take(pa.array(list(last.values()), pa.int64()))]).append_column("s", pa.array(list(last), pa.int64()))
-            if held is not None:
-                old = held.filter(pa.array(~np.isin(held["s"].to_numpy(), list(last))))
-                new = pa.concat_tables([old, new])
-            held = new.combine_chunks()
-        if held is not None and skips.seen:
-            n = held.num_rows
-            # Slots are renumbered at random: any first m of them are a uniform sample of the partition.
-            order = pa.array(np.random.default_rng([seed, pid, 1]).permutation(n))
-            cols = [held.column(i) for i in range(width)] + [pa.array(np.full(n, pid)), order, pa.array(np.full(n, skips.seen))]
-            yield from pa.table(cols, schema=arrow).to_batches()
-
-    state_rows = cut_lineage(df.mapInArrow(fill, schema))
-    parts = max(1, df.sparkSession.sparkContext.defaultParallelism if state_rows.isEmpty() else (state_rows.agg(F.max(part)).first()[0] + 1))
+            names = [None] * whole.num_rows if place is None else whole.column(place).to_pylist()
+            rows: dict[object, list[int]] = {}
+            for at, name in enumerate(names if place is not None else ()):
+                rows.setdefault(name, []).append(at)
+            for name in rows or (None,):
+                b = whole if len(rows) < 2 else whole.take(pa.array(rows[name]))
+                if name not in of:
+                    of[name] = len(of), Skips(size, np.random.default_rng([seed, pid, len(of)]))
+                number, skips = of[name]
+                offsets, slots = skips.take(b.num_rows)
+                if not len(offsets):
+                    continue
+                last = {int(s): int(o) for o, s in zip(offsets, slots)}  # a slot filled twice keeps the later record
+                new = pa.Table.from_batches([b.take(pa.array(list(last.values()), pa.int64()))]).append_column("s", pa.array(list(last), pa.int64()))
+                if (had := held.get(number)) is not None:
+                    new = pa.concat_tables([had.filter(pa.array(~np.isin(had["s"].to_numpy(), list(last)))), new])
+                held[number] = new.combine_chunks()
+        for number, skips in of.values():
+            if (t := held.get(number)) is not None:
+                n = t.num_rows
+                # Slots are renumbered at random: any first m of them are a uniform sample of the reservoir's records.
+                order = pa.array(np.random.default_rng([seed, pid, number, 1]).permutation(n))
+                cols = [t.column(i) for i in range(width)] + [pa.array(np.full(n, pid << 32 | number)), order, pa.array(np.full(n, skips.seen))]
+                yield from pa.table(cols, schema=arrow).to_batches()
+
+    return df.mapInArrow(fill, schema)
+
+
+def merge_reservoirs(states: Sequence[DataFrame] | DataFrame, size: int, by: Sequence[str] = (), seed: int = 0, fan_in: int = 32) -> DataFrame:
+    """One state from several, with one reservoir, or one for each value of ``by``, whose records are a uniform sample of all that the states stand for.
+
+    A merge task reads about ``fan_in`` reservoirs; how many records come from each is drawn from the hypergeometric distribution of their populations.
+    States of one sequence must each stand for other records. Merging is repeatable with the same states and ``seed``.
+    """
+    if size < 1 or fan_in < 2:
+        raise ValueError("size must be at least 1 and fan_in at least 2")
+    parts = [states] if isinstance(states, DataFrame) else list(states)
+    rid, slot, population = STATE
+    rows = reduce(DataFrame.unionByName, [s.withColumn(rid, F.col(rid) * F.lit(len(parts)) + F.lit(i)) for i, s in enumerate(parts)])
+    rows = cut_lineage(rows)
+    ship(rows.sparkSession)
+    (group,) = fresh(rows.columns, "group")
+    schema = rows.schema
+    arrow = to_arrow_schema(schema)
 
     def merger(level: int) -> Callable[[pa.Table], pa.Table]:
         def merge(t: pa.Table) -> pa.Table:
+            target = t[group][0].as_py()
             t = t.drop_columns([group])
-            ids, slots, pops = (t[c].to_numpy() for c in (part, slot, count))
+            ids, slots, pops = (t[c].to_numpy() for c in STATE)
             known = sorted({int(p): int(n) for p, n in zip(ids, pops)}.items())
-            target = known[0][0] // fan_in
-            rng = np.random.default_rng([seed, level, target])
+            key = zlib.crc32(repr([t[c][0].as_py() for c in by]).encode())
+            rng = np.random.default_rng([seed, level, target, key])
             wanted = dict(zip((p for p, _ in known), shares([n for _, n in known], size, rng)))
             chosen = np.flatnonzero(slots < np.array([wanted[int(p)] for p in ids]))
             chosen = chosen[np.lexsort((slots[chosen], ids[chosen]))]
             n = len(chosen)
             got = t.take(pa.array(chosen))
-            cols = [got.column(i) for i in range(width)] + [pa.array(np.full(n, target)), pa.array(rng.permutation(n)), pa.array(np.full(n, sum(p for _, p in known)))]
-            return pa.table(cols, schema=arrow)
+            new = {rid: pa.array(np.full(n, target)), slot: pa.array(rng.permutation(n)), population: pa.array(np.full(n, sum(p for _, p in known)))}
+            return pa.table([new.get(c, got[c] if c not in new else None) for c in t.column_names], schema=arrow)
 
         return merge
 
+    count = rows.groupBy(*by).agg(F.countDistinct(rid).alias("n")).agg(F.max("n")).first()[0] or 0
     level = 0
     while True:
         level += 1
-        state_rows = state_rows.withColumn(group, F.floor(F.col(part) / fan_in)).groupBy(group).applyInArrow(merger(level), schema)
-        parts = -(-parts // fan_in)
-        if parts == 1:
-            return state_rows.select(*df.columns)
+        groups = max(1, -(-count // fan_in))
+        spread = F.pmod(F.xxhash64(rid, F.lit(level)), F.lit(groups)) if groups > 1 else F.lit(0).cast("bigint")
+        rows = rows.withColumn(group, spread).groupBy(*by, group).applyInArrow(merger(level), schema)
+        if groups == 1:
+            return rows
+        count = groups
+
+
+def reservoir_sample(df: DataFrame, size: int, seed: int = 0, keep: Callable[[pa.RecordBatch], np.ndarray] | None = None, fan_in: int = 32) -> DataFrame:
+    """``min(size, rows)`` rows of ``df``, every row equally likely, in one pass over the data.
+
+    ``keep`` picks the rows that count, by batch (a boolean mask). One reservoir is at most ``size`` rows, and a merge task reads
+    about ``fan_in`` of them. The result is fixed by ``seed`` as long as the table's files are split alike.
+
+    Defined cases: fewer rows than ``size`` all come out; repeated rows count each; nulls, long texts and any column names pass through; an empty
+    table gives no rows; ``size`` must be positive.
+    """
+    names = fresh(["_reservoir", "_slot", "_population"], *(f"c{i}" for i in range(len(df.columns))))
+    plain = df.toDF(*names)
+    of = None if keep is None else lambda b: keep(pa.RecordBatch.from_arrays(b.columns, names=df_names))
+    df_names = df.columns
+    return merge_reservoirs(reservoirs(plain, size, seed, of), size, seed=seed, fan_in=fan_in).select(*names).toDF(*df.columns)

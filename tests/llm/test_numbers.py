@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from ridgeline.llm.quantiles import Sketch, merge_sketches, percentile_sketches, sketch_percentiles
-from ridgeline.llm.sample import Skips, reservoir_sample, shares
+from ridgeline.llm.sample import Skips, merge_reservoirs, reservoir_sample, reservoirs, shares
 
 
 def test_skips_are_uniform():
@@ -50,6 +50,31 @@ def test_sample_cases(spark):
         reservoir_sample(df, 0)
 
 
+def test_pieces_that_arrive_later(spark):
+    first = spark.range(0, 3000, 1, 2).withColumn("piece", F.lit(0))
+    later = [spark.range(3000, 3100, 1, 3).withColumn("piece", F.lit(1)), spark.range(3100, 4100, 1, 1).withColumn("piece", F.when(F.col("id") < 3200, F.lit(None)).otherwise(2))]
+    hits = np.zeros(4100)
+    for seed in range(12):
+        state = reservoirs(first, 300, seed)
+        for i, new in enumerate(later):
+            state = merge_reservoirs([merge_reservoirs(state, 300, seed=seed), merge_reservoirs(reservoirs(new, 300, seed + 100), 300, seed=seed)], 300, seed=seed + i)
+        got = state.toPandas()
+        assert len(got) == 300 == got.id.nunique() and set(got._population) == {4100}
+        hits[got.id] += 1
+    assert 205 < hits[:3000].sum() / 12 < 234 and 2 < hits[3000:3100].sum() / 12 < 14  # 219.5 and 7.3 are expected
+    whole = first.unionAll(later[0]).unionAll(later[1])
+    by = merge_reservoirs(reservoirs(whole, 120, 1, piece="piece"), 120, ["piece"], 1).toPandas()
+    assert {(None if p != p else int(p)): (int(g._population.iloc[0]), len(g)) for p, g in by.groupby("piece", dropna=False)} == {0: (3000, 120), 1: (100, 100), None: (100, 100), 2: (900, 120)}
+    with pytest.raises(ValueError, match="exist"):
+        reservoirs(whole.withColumnRenamed("piece", "_slot"), 5)
+
+
+def test_sketches_are_repeatable(spark):
+    df = spark.range(0, 40_000, 1, 6).selectExpr("id", "id % 3 AS g", "array(rand(5) + 1, rand(6) + 2) AS v")
+    read = lambda: sorted((r["g"], bytes(r["sketch"])) for r in percentile_sketches(df, ["g"], "v", once="id", k=64).collect())
+    assert read() == read()
+
+
 def rank_error(sorted_values, q, x):
     n = len(sorted_values)
     return max(0, np.searchsorted(sorted_values, x) / n - q, q - np.searchsorted(sorted_values, x, "right") / n)
