@@ -123,7 +123,10 @@ class _Items:
         h = self.hashes[code]
         m = window_minima(h, run)[spots]
         maybe = np.flatnonzero(self.mask[(m & np.uint64(0xFFFFF)).astype(np.int64)])
-        spots = spots[maybe[np.isin(m[maybe], self.minima)]]
+        if not len(maybe):
+            return set()
+        m = m[maybe]
+        spots = spots[maybe[self.minima[np.minimum(np.searchsorted(self.minima, m), len(self.minima) - 1)] == m]]
         if not len(spots):
             return set()
         key = _rolled(h, run)[spots]
@@ -131,7 +134,7 @@ class _Items:
         ok = self.keys[at] == key
         for j in range(run):
             ok &= code[spots + j] == self.words[self.first[at] + j]
-        out = {int(x) for a in np.unique(at[ok]) for x in self.owners[self.begin[a] : self.begin[a + 1]]}
+        out = {int(x) for a in set(at[ok].tolist()) for x in self.owners[self.begin[a] : self.begin[a + 1]]}
         if self.odd:
             for k in spots[~ok]:
                 out |= self.odd.get(tuple(code[k : k + run].tolist()), set())
