@@ -10,8 +10,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ridgeline.catalogs import Catalog, CatalogList, CatalogProvider, as_frame
 from ridgeline.frame import Frame
 from ridgeline.functions import custom as udfs
+from ridgeline.plan import ExecutionPlan, LogicalPlan
+from ridgeline.plans import statements
+from ridgeline.plans.ship import ship
+from ridgeline.records import RecordBatchStream, partition_streams, stream
+from ridgeline.settings import RuntimeEnvBuilder, SessionConfig, SQLOptions
 from ridgeline.sources import formats
 
 _READ = {"parquet": formats.read_parquet, "csv": formats.read_csv, "json": formats.read_json, "avro": formats.read_avro, "arrow": formats.read_arrow}
@@ -31,9 +37,39 @@ def capacity(text: str) -> int:
     return out
 
 
+def global_ctx() -> SessionContext:
+    """The one context of the active session."""
+    spark = SparkSession.getActiveSession() or SparkSession.builder.getOrCreate()
+    if _GLOBAL.get("spark") is not spark:
+        _GLOBAL.update(spark=spark, context=SessionContext(spark))
+    return _GLOBAL["context"]
+
+
+_GLOBAL: dict[str, Any] = {}
+
+
+class LocationInputPlugin:
+    """Paths as tables: the kind by the file's extension, for files, folders of such files and patterns."""
+
+    KINDS = {"parquet": "parquet", "csv": "csv", "json": "json", "ndjson": "json", "avro": "avro", "arrow": "arrow"}
+
+    def is_correct_input(self, path: str) -> bool:
+        return path.split("?")[0].rstrip("/*").rsplit(".", 1)[-1].lower() in self.KINDS
+
+    def build_table(self, context: SessionContext, path: str) -> Frame:
+        if not self.is_correct_input(path):
+            raise ValueError(f"the kind of the files is not known: {path}")
+        return context._read(self.KINDS[path.rstrip("/*").rsplit(".", 1)[-1].lower()], path)
+
+
 class SessionContext:
-    def __init__(self, spark: SparkSession | None = None):
-        self.spark = spark or SparkSession.builder.getOrCreate()
+    global_ctx = staticmethod(global_ctx)
+
+    def __init__(self, spark: SparkSession | None = None, config: SessionConfig | None = None, runtime: RuntimeEnvBuilder | None = None):
+        self.spark = spark or (runtime or RuntimeEnvBuilder()).builder().getOrCreate()
+        self.config = config or SessionConfig()
+        self.config.apply(self.spark)
+        self.catalogs = CatalogList(self.spark)
         self._functions: dict[str, dict[str, Any]] = {"scalar": {}, "aggregate": {}, "window": {}, "table": {}}
         self._id = str(uuid.uuid4())
 
@@ -41,15 +77,16 @@ class SessionContext:
     def sql(self, statement: str, params: dict[str, Any] | Sequence[Any] | None = None, **frames: Frame) -> Frame:
         """Named or positional parameters; frames stand for ``{name}`` in the statement."""
         named = {k: v.df if isinstance(v, Frame) else v for k, v in frames.items()}
+        statement = self.catalogs.bound(statement)
         return Frame(self.spark.sql(statement, args=params, **named) if params is not None else self.spark.sql(statement, **named))
 
-    def sql_with_options(self, statement: str, allow_ddl: bool = True, allow_dml: bool = True, allow_statements: bool = True) -> Frame:
-        name = self.spark._jsparkSession.sessionState().sqlParser().parsePlan(statement).getClass().getSimpleName()
-        kinds = {"ddl": name.startswith(("Create", "Drop", "Alter", "Truncate", "Rename", "Replace")), "dml": name.startswith(("Insert", "Delete", "Update", "Merge")), "statements": name.startswith(("Set", "Use", "Cache", "Reset", "Refresh"))}
-        for kind, allowed in (("ddl", allow_ddl), ("dml", allow_dml), ("statements", allow_statements)):
-            if kinds[kind] and not allowed:
+    def sql_with_options(self, statement: str, options: SQLOptions | None = None, params: dict[str, Any] | Sequence[Any] | None = None, **allow: bool) -> Frame:
+        """Refuses a statement that holds, anywhere in it, what the options don't allow."""
+        rules = options or SQLOptions(**allow)
+        for kind, name in statements.kinds(self.spark, statement).items():
+            if not getattr(rules, f"allow_{kind}"):
                 raise PermissionError(f"{kind} is not allowed: {name}")
-        return self.sql(statement)
+        return self.sql(statement, params)
 
     def parse_sql_expr(self, text: str):
         return F.expr(text)
@@ -75,7 +112,14 @@ class SessionContext:
         df = self.spark.createDataFrame(pa.Table.from_batches([b for p in partitions for b in p]))
         return self._named(df.repartition(len(partitions)) if len(partitions) > 1 else df, name)
 
+    def create_dataframe_from_logical_plan(self, plan: LogicalPlan) -> Frame:
+        return Frame(plan.df)
+
+    execute_logical_plan = create_dataframe_from_logical_plan
 
+    def execute(self, plan: ExecutionPlan, partitions: int | None = None) -> RecordBatchStream:
+        """The rows of a plan, or of one of its partitions."""
+        return stream(plan.df) if partitions is None else partition_streams(plan.df)[partitions]
 
     read_batches = create_dataframe
 
@@ -144,20 +188,43 @@ class SessionContext:
         self.spark.catalog.dropTempView(name)
 
     def table(self, name: str) -> Frame:
-        return Frame(self.spark.table(name))
+        got = self.catalogs.resolve(name)
+        return Frame(got if got is not None else self.spark.table(name))
 
     table_provider = read_table = table
 
     def table_exist(self, name: str) -> bool:
         return self.spark.catalog.tableExists(name)
 
-    def catalog_names(self) -> list[str]:
-        return [c.name for c in self.spark.catalog.listCatalogs()]
+    def register_table_provider(self, name: str, provider: Any) -> None:
+        """A frame, an Arrow table, or an object with ``to_frame(spark)``, by name."""
+        as_frame(self.spark, provider).createOrReplaceTempView(name)
 
-    def catalog(self, name: str | None = None) -> list[str]:
-        if name:
-            self.spark.catalog.setCurrentCatalog(name)
-        return [d.name for d in self.spark.catalog.listDatabases()]
+    def register_catalog_provider(self, name: str, provider: CatalogProvider) -> None:
+        """Its tables are ``name.schema.table`` in SQL and in ``table``."""
+        self.catalogs.register_catalog(name, provider)
+
+    def register_catalog_provider_list(self, providers: dict[str, CatalogProvider]) -> None:
+        for name, provider in providers.items():
+            self.register_catalog_provider(name, provider)
+
+    def catalog_names(self) -> list[str]:
+        return self.catalogs.catalog_names()
+
+    def catalog(self, name: str = "spark_catalog") -> Catalog:
+        return self.catalogs.catalog(name)
+
+    def information_schema(self, kind: str = "tables") -> Frame:
+        """``tables`` (table_catalog, table_schema, table_name, table_type), ``columns`` (with column_name, ordinal_position, data_type, is_nullable) or ``df_settings`` (name, value)."""
+        if kind == "df_settings":
+            return Frame(self.spark.sql("SET -v").select(F.col("key").alias("name"), "value"))
+        found = [(t.catalog, (t.namespace or [None])[0], t.name, "VIEW" if t.tableType in ("VIEW", "TEMPORARY") else "BASE TABLE") for t in self.spark.catalog.listTables()]
+        if kind == "tables":
+            return Frame(self.spark.createDataFrame(found, "table_catalog string, table_schema string, table_name string, table_type string"))
+        if kind != "columns":
+            raise ValueError(f"no such table of the information schema: {kind}")
+        rows = [(c, s, t, f.name, i, f.dataType.simpleString(), "YES" if f.nullable else "NO") for c, s, t, _ in found for i, f in enumerate(self.spark.table(t if s is None else f"`{s}`.`{t}`").schema.fields)]
+        return Frame(self.spark.createDataFrame(rows, "table_catalog string, table_schema string, table_name string, column_name string, ordinal_position int, data_type string, is_nullable string"))
 
     def refresh_catalogs(self) -> None:
         self.spark.catalog.clearCache()
@@ -170,11 +237,14 @@ class SessionContext:
         return out
 
     def register_udaf(self, name: str, make: Callable, returns: str) -> None:
-        """For ``aggregate_with``; as a SQL function Spark knows grouped Arrow functions only."""
+        """A SQL function for groups and window frames that a task can hold; ``aggregate_with`` has no such bound."""
         self._functions["aggregate"][name] = (make, returns)
+        ship(self.spark)
+        self.spark.udf.register(name, udfs.sql_udaf(make, returns))
 
-    def register_udwf(self, name: str, evaluate_all: Callable, returns: str) -> None:
-        self._functions["window"][name] = (evaluate_all, returns)
+    def register_udwf(self, name: str, evaluate_all: Callable, returns: str, inputs: Sequence[str] | None = None, frame: tuple[int | None, int | None] = (None, 0)) -> None:
+        """A function of the whole ordered partition, or a ``WindowEvaluator``, for ``window_with``."""
+        self._functions["window"][name] = (evaluate_all, returns, inputs, frame)
 
     def register_udtf(self, name: str, handler: type, returns: str) -> None:
         udfs.udtf(self.spark, name, handler, returns)
@@ -192,8 +262,8 @@ class SessionContext:
         return Frame(udfs.udaf(frame.df, group_by, inputs, make, returns, out))
 
     def window_with(self, frame: Frame, name: str, partition_by: Sequence[str], order_by: Sequence[str], out: str) -> Frame:
-        func, returns = self._functions["window"][name]
-        return Frame(udfs.udwf(frame.df, partition_by, order_by, func, returns, out))
+        func, returns, inputs, bounds = self._functions["window"][name]
+        return Frame(udfs.udwf(frame.df, partition_by, order_by, func, returns, out, inputs, bounds))
 
     def udf(self, name: str) -> Callable:
         return self._functions["scalar"].get(name) or (lambda *args: F.call_function(name, *args))
@@ -226,14 +296,18 @@ class SessionContext:
         return self.spark.conf.get("spark.sql.caseSensitive") != "true"
 
     def enable_url_table(self) -> SessionContext:
-        """Paths are tables as they are: ``SELECT * FROM parquet.`/path```."""
+        """Paths are tables in ``table_of``; in SQL they are as they are: ``SELECT * FROM parquet.`/path```."""
+        self._locations = LocationInputPlugin()
         return self
 
+    def table_of(self, path: str) -> Frame:
+        return getattr(self, "_locations", LocationInputPlugin()).build_table(self, path)
+
     def enable_spark_functions(self) -> SessionContext:
         return self
 
     def copied_config(self) -> dict[str, str]:
-        return dict(self.spark.sparkContext.getConf().getAll())
+        return dict(self.spark.sparkContext.getConf().getAll()) | self.config.conf
 
     def remove_optimizer_rule(self, name: str) -> bool:
         key = "spark.sql.optimizer.excludedRules"

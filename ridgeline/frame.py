@@ -2,20 +2,31 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator, Sequence
+from collections.abc import Callable, Sequence
 from typing import Any
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import BooleanType, DateType, NumericType, StringType, TimestampNTZType, TimestampType
 
+from ridgeline.plan import ExecutionPlan, LogicalPlan
 from ridgeline.plans.names import fresh
+from ridgeline.records import RecordBatchStream, partition_streams, stream
 from ridgeline.sources import formats
 
 _HOW = {"inner": "inner", "left": "left", "right": "right", "full": "full", "semi": "left_semi", "anti": "left_anti"}
 
 
+def text_table(t: pa.Table, more: bool) -> str:
+    cells = [[str(x) if x is not None else "" for x in r.values()] for r in t.to_pylist()]
+    widths = [max([len(n), *(len(c[i]) for c in cells)]) for i, n in enumerate(t.column_names)]
+    line = "+" + "+".join("-" * (w + 2) for w in widths) + "+"
+    shown = ["| " + " | ".join(c.ljust(w) for c, w in zip(row, widths)) + " |" for row in [t.column_names, *cells]]
+    return "\n".join([line, shown[0], line, *shown[1:], line, *(["more rows follow"] if more else [])])
+
+
 class Frame:
     def __init__(self, df: DataFrame):
         self.df = df
@@ -92,7 +103,8 @@ class Frame:
         return self.limit(n)
 
     def tail(self, n: int = 5) -> Frame:
-        return Frame(self.df.offset(max(0, self.df.count() - n)))
+        """The last rows, read from the last partitions; they pass through the driver."""
+        return Frame(self.df.sparkSession.createDataFrame(self.df.tail(n), self.df.schema))
 
     def distinct(self) -> Frame:
         return Frame(self.df.distinct())
@@ -151,13 +163,30 @@ class Frame:
         return Frame(df)
 
     def fill_null(self, value: Any, subset: Sequence[str] | None = None) -> Frame:
-        return Frame(self.df.fillna(value, list(subset) if subset else None))
+        """Nulls of the columns whose type the value fits become the value; NaN is a value of its own and stays."""
+        fits = {bool: ("boolean",), int: ("tinyint", "smallint", "int", "bigint", "float", "double", "decimal"), float: ("float", "double", "decimal"), str: ("string",)}.get(type(value))
+        names = list(subset) if subset is not None else self.df.columns
+        kinds = {f.name: f.dataType.simpleString() for f in self.df.schema.fields}
+        chosen = [c for c in names if fits is None or kinds[c].split("(")[0] in fits]
+        return Frame(self.df.withColumns({c: F.coalesce(F.col(f"`{c}`"), F.lit(value).cast(kinds[c])) for c in chosen}) if chosen else self.df)
 
     def transform(self, func: Callable[..., Frame], *args: Any) -> Frame:
         return func(self, *args)
 
     def describe(self) -> Frame:
-        return Frame(self.df.summary())
+        """Rows count, null_count, mean, std, min, max and median; doubles for numeric columns, text for others, which have no mean, std or median."""
+        fields = [f for f in self.df.schema.fields if isinstance(f.dataType, NumericType | StringType | DateType | TimestampType | TimestampNTZType | BooleanType)]
+        aggs: list[Column] = []
+        for i, f in enumerate(fields):
+            x, number = F.col(f"`{f.name}`"), isinstance(f.dataType, NumericType)
+            none = F.lit(None).cast("double")
+            got = {
+                "count": F.count(x), "null_count": F.count_if(x.isNull()), "mean": F.avg(x) if number else none, "std": F.stddev_samp(x) if number else none, "min": F.min(x), "max": F.max(x), "median": F.median(x) if number else none,
+            }
+            aggs += [v.cast("double" if number else "string").alias(f"{k}_{i}") for k, v in got.items()]
+        one = self.df.agg(*aggs) if aggs else self.df.sparkSession.range(1)
+        rows = [F.struct(F.lit(k).alias("describe"), *[F.col(f"{k}_{i}").alias(f.name) for i, f in enumerate(fields)]) for k in ("count", "null_count", "mean", "std", "min", "max", "median")]
+        return Frame(one.select(F.inline(F.array(*rows))))
 
     def repartition(self, n: int) -> Frame:
         return Frame(self.df.repartition(n))
@@ -175,14 +204,14 @@ class Frame:
             self.df.count()
         return self.df.sparkSession._jvm.PythonSQLUtils.explainString(q, mode)
 
-    def logical_plan(self) -> str:
-        return self.df._jdf.queryExecution().logical().toString()
+    def logical_plan(self) -> LogicalPlan:
+        return LogicalPlan(self.df)
 
-    def optimized_logical_plan(self) -> str:
-        return self.df._jdf.queryExecution().optimizedPlan().toString()
+    def optimized_logical_plan(self) -> LogicalPlan:
+        return LogicalPlan(self.df, optimized=True)
 
-    def execution_plan(self) -> str:
-        return self.df._jdf.queryExecution().executedPlan().toString()
+    def execution_plan(self) -> ExecutionPlan:
+        return ExecutionPlan(self.df)
 
     def count(self) -> int:
         return self.df.count()
@@ -196,17 +225,22 @@ class Frame:
     def collect_column(self, name: str) -> pa.ChunkedArray:
         return self.df.select(name).toArrow().column(0)
 
-    def collect_partitioned(self) -> list[list[dict]]:
-        (part,) = fresh(self.df.columns, "part")
-        t = self.df.withColumn(part, F.spark_partition_id()).toArrow()
-        ids = t[part].to_pylist()
-        rows = t.drop_columns([part]).to_pylist()
-        return [[r for r, i in zip(rows, ids) if i == p] for p in sorted(set(ids))]
+    def collect_partitioned(self) -> list[list[pa.RecordBatch]]:
+        """All rows on the driver, by partition."""
+        return [list(s) for s in self.execute_stream_partitioned()]
+
+    def execute_stream(self) -> RecordBatchStream:
+        return stream(self.df)
+
+    def execute_stream_partitioned(self) -> list[RecordBatchStream]:
+        return partition_streams(self.df)
 
-    def execute_stream(self) -> Iterator[pa.RecordBatch]:
-        from ridgeline.vector.search import batches
+    def default_str_repr(self, rows: int = 20) -> str:
+        """The first rows as a text table, and whether there are more."""
+        got = self.df.limit(rows + 1).toArrow()
+        return text_table(got.slice(0, rows), got.num_rows > rows)
 
-        return batches(self.df)
+    __repr__ = default_str_repr
 
     def to_arrow_table(self) -> pa.Table:
         return self.df.toArrow()

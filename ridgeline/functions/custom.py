@@ -5,9 +5,11 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator, Sequence
 from typing import Any
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.functions import ArrowUDFType
 from pyspark.sql.pandas.types import to_arrow_type
 from pyspark.sql.types import BinaryType, StructField, StructType, _parse_datatype_string
 
@@ -45,6 +47,37 @@ class Accumulator:
         raise NotImplementedError
 
 
+def _groups(b: pa.RecordBatch, n: int) -> Iterator[tuple[tuple, list[pa.Array]]]:
+    """(key, columns) of the groups of a batch by its first ``n`` columns: the batch is put in order once, groups are slices of it."""
+    if not n or not b.num_rows:
+        if b.num_rows:
+            yield (), b.columns
+        return
+    codes = np.zeros(b.num_rows, np.int64)
+    for c in b.columns[:n]:
+        one = c.dictionary_encode()
+        number = one.indices.fill_null(len(one.dictionary)).to_numpy(zero_copy_only=False)
+        codes = np.unique(codes * (len(one.dictionary) + 1) + number, return_inverse=True)[1]
+    order = np.argsort(codes, kind="stable")
+    whole = b.take(pa.array(order))
+    cuts = np.flatnonzero(np.r_[True, np.diff(codes[order]) > 0])
+    keys = whole.select(range(n)).take(pa.array(cuts))
+    values = whole.columns[n:]
+    for key, a, z in zip(zip(*[c.to_pylist() for c in keys.columns]), cuts.tolist(), [*cuts[1:].tolist(), b.num_rows]):
+        yield key, [v.slice(a, z - a) for v in values]
+
+
+def sql_udaf(make: Callable[[], Accumulator], returns: str) -> Callable[..., Column]:
+    """An accumulator as a function for SQL, ``agg`` and windows with any frame. Spark gives it a whole group at once: for groups that a task can hold; ``udaf`` has no such bound."""
+
+    def whole(*args: pa.Array) -> Any:
+        acc = make()
+        acc.update(*args)
+        return acc.evaluate()
+
+    return F.arrow_udf(whole, returns, ArrowUDFType.GROUPED_AGG)
+
+
 def udaf(df: DataFrame, group_by: Sequence[str], inputs: Sequence[str], make: Callable[[], Accumulator], returns: str, out: str) -> DataFrame:
     """Rows (group_by, out). Two phases: partitions send one state a group, so a hot group costs no task more than its states.
 
@@ -65,12 +98,10 @@ def udaf(df: DataFrame, group_by: Sequence[str], inputs: Sequence[str], make: Ca
             return pa.RecordBatch.from_arrays([*[pa.array([k[i] for k in held], types[i]) for i in range(n)], pa.array([a.state() for a in held.values()], pa.binary())], names=[*keys, state])
 
         for b in batches:
-            places: dict[tuple, list[int]] = {}
-            for at, key in enumerate(zip(*[c.to_pylist() for c in b.columns[:n]])) if n else enumerate([()] * b.num_rows):
-                places.setdefault(key, []).append(at)
-            for key, at in places.items():
-                part = b.take(pa.array(at, pa.int64()))
-                held.setdefault(key, make()).update(*part.columns[n:])
+            for key, part in _groups(b, n):
+                if key not in held:
+                    held[key] = make()
+                held[key].update(*part)
             if len(held) > 50_000:
                 yield flush()
                 held.clear()
@@ -114,19 +145,79 @@ def udaf(df: DataFrame, group_by: Sequence[str], inputs: Sequence[str], make: Ca
     return together.mapInArrow(finish, final).toDF(*group_by, out)
 
 
-def udwf(df: DataFrame, partition_by: Sequence[str], order_by: Sequence[str | Column], evaluate_all: Callable[[pa.Table], pa.Array], returns: str, out: str) -> DataFrame:
-    """``df`` with a column that a function computes from each whole, ordered window partition. One partition must fit a task."""
+class WindowEvaluator:
+    """Base of window functions. The flags say which of the methods is called.
+
+    ``uses_window_frame``: ``evaluate`` with the frame of each row; else ``include_rank``: ``evaluate_all_with_rank``; else ``supports_bounded_execution``:
+    ``evaluate`` with ``get_range`` of each row; else ``evaluate_all``. ``memoize`` is called after each row of ``evaluate``, ``is_causal`` says that no later row matters.
+    """
+
+    uses_window_frame = False
+    include_rank = False
+    supports_bounded_execution = False
+
+    def memoize(self) -> None:
+        """State kept between rows can be reduced here."""
+
+    def is_causal(self) -> bool:
+        return False
+
+    def get_range(self, idx: int, num_rows: int) -> tuple[int, int]:
+        """The rows that row ``idx`` needs: by default itself alone."""
+        return idx, idx + 1
+
+    def evaluate_all(self, values: list[pa.Array], num_rows: int) -> pa.Array:
+        raise NotImplementedError
+
+    def evaluate(self, values: list[pa.Array], eval_range: tuple[int, int]) -> Any:
+        raise NotImplementedError
+
+    def evaluate_all_with_rank(self, num_rows: int, ranks_in_partition: list[tuple[int, int]]) -> pa.Array:
+        raise NotImplementedError
+
+
+def _evaluated(e: WindowEvaluator, values: list[pa.Array], peers: list[tuple[int, int]], frame: tuple[int | None, int | None], kind: pa.DataType) -> pa.Array:
+    n = len(values[0]) if values else peers[-1][1] if peers else 0
+    if e.uses_window_frame or not e.include_rank and e.supports_bounded_execution:
+        lo, hi = frame
+        out = []
+        for i in range(n):
+            at = (max(0, i + lo) if lo is not None else 0, max(0, min(n, i + hi + 1)) if hi is not None else n) if e.uses_window_frame else e.get_range(i, n)
+            got = e.evaluate(values, at)
+            out.append(got.as_py() if isinstance(got, pa.Scalar) else got)
+            e.memoize()
+        return pa.array(out, kind)
+    return e.evaluate_all_with_rank(n, peers) if e.include_rank else e.evaluate_all(values, n)
+
+
+def udwf(
+    df: DataFrame, partition_by: Sequence[str], order_by: Sequence[str | Column], evaluate_all: Callable[[pa.Table], pa.Array] | Callable[[], WindowEvaluator], returns: str, out: str, inputs: Sequence[str] | None = None,
+    frame: tuple[int | None, int | None] = (None, 0),
+) -> DataFrame:
+    """``df`` with a column that a function or an evaluator computes from each ordered window partition. One partition must fit a task.
+
+    A function gets the whole partition as a table. A ``WindowEvaluator`` (the class, or a call that makes one) gets the arrays ``inputs``; ``frame``: offsets of
+    the first and last row from the current one, None for no bound. For aggregates over frames, ``sql_udaf(..).over(..)`` needs no such partition in Python.
+    """
     if out in df.columns:
         raise ValueError(f"column exists: {out}")
-    (place,) = fresh([*df.columns, out], "place")
+    place, peer = fresh([*df.columns, out], "place", "peer")
     from pyspark.sql import Window
 
-    ranked = df.withColumn(place, F.row_number().over(Window.partitionBy(*partition_by).orderBy(*order_by)))
+    w = Window.partitionBy(*partition_by).orderBy(*order_by)
+    ranked = df.withColumn(place, F.row_number().over(w)).withColumn(peer, F.rank().over(w))
     schema = StructType([*df.schema.fields, StructField(out, _parse_datatype_string(returns))])
+    kind = to_arrow_type(_parse_datatype_string(returns))
+    made = isinstance(evaluate_all, type) or inputs is not None
 
     def run(t: pa.Table) -> pa.Table:
-        t = t.sort_by(place).drop_columns([place])
-        return t.append_column(out, evaluate_all(t))
+        t = t.sort_by(place)
+        starts = np.unique(t[peer].to_numpy()) - 1
+        t = t.drop_columns([place, peer])
+        if not made:
+            return t.append_column(out, evaluate_all(t))
+        peers = list(zip(starts.tolist(), [*starts[1:].tolist(), t.num_rows]))
+        return t.append_column(out, _evaluated(evaluate_all(), [t[c].combine_chunks() for c in inputs or ()], peers, frame, kind).cast(kind))
 
     return ranked.groupBy(*partition_by).applyInArrow(run, schema)
 

@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-import glob
+import fnmatch
+import pickle
 from collections.abc import Iterator, Sequence
 from dataclasses import dataclass, field
 from pathlib import Path
@@ -10,6 +11,7 @@ from typing import Any
 
 import pyarrow as pa
 import pyarrow.dataset as pads
+import pyarrow.fs as pafs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import from_arrow_schema
@@ -96,19 +98,32 @@ def read_iceberg(spark: SparkSession, table: str, snapshot_id: int) -> DataFrame
     return spark.read.option("snapshot-id", snapshot_id).format("iceberg").load(table)
 
 
-def _paths(path: str) -> list[str]:
-    p = Path(path)
-    return sorted(glob.glob(path)) if any(c in path for c in "*?[") else sorted(map(str, p.rglob("*.arrow"))) if p.is_dir() else [path]
+def _located(path: str) -> tuple[pafs.FileSystem, str]:
+    """The file system of a URI or path; a relative path is one of the driver's."""
+    return pafs.FileSystem.from_uri(path if "://" in path else Path(path).absolute().as_uri().replace("%2A", "*").replace("%3F", "?").replace("%5B", "[").replace("%5D", "]"))
+
+
+def _arrow_files(fs: pafs.FileSystem, path: str) -> list[str]:
+    """A file, the ``.arrow`` files below a folder, or those a pattern fits."""
+    if any(c in path for c in "*?["):
+        base = path[: min(path.index(c) for c in "*?[" if c in path)].rsplit("/", 1)[0]
+        found = fs.get_file_info(pafs.FileSelector(base or "/", allow_not_found=True, recursive=True))
+        return sorted(f.path for f in found if f.type == pafs.FileType.File and fnmatch.fnmatchcase(f.path, path))
+    info = fs.get_file_info(path)
+    if info.type == pafs.FileType.Directory:
+        return sorted(f.path for f in fs.get_file_info(pafs.FileSelector(path, recursive=True)) if f.type == pafs.FileType.File and f.path.endswith(".arrow"))
+    return [path] if info.type == pafs.FileType.File else []
 
 
 def read_arrow(spark: SparkSession, path: str) -> DataFrame:
-    """Arrow IPC files on storage that the executors share; files are read in parallel, each as a stream of batches."""
-    files = _paths(path)
+    """Arrow IPC files or streams of a file system that the executors share (file, s3, hdfs); files are read in parallel, batch by batch."""
+    fs, where = _located(path)
+    files = _arrow_files(fs, where)
     if not files:
         raise FileNotFoundError(path)
 
     def opened(f: str):
-        source = pa.memory_map(f)
+        source = fs.open_input_file(f)
         try:
             return pa.ipc.open_file(source)
         except pa.ArrowInvalid:
@@ -127,17 +142,23 @@ def read_arrow(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_dataset(spark: SparkSession, dataset: pads.Dataset, columns: Sequence[str] | None = None, predicate: pads.Expression | None = None) -> DataFrame:
-    """A pyarrow dataset of files, one task a file; columns and predicate are pushed into the scan."""
+    """A pyarrow dataset of files, one task a fragment; columns and predicate are pushed into the scan.
+
+    Fragments travel with their file system, format and partition, so columns that only the folders hold come out.
+    """
     names = list(columns or dataset.schema.names)
-    schema = pa.schema([dataset.schema.field(c) for c in names])
-    kind, files = dataset.format, dataset.files
+    schema, whole = pa.schema([dataset.schema.field(c) for c in names]), dataset.schema
+    parts = [(pickle.dumps(f),) for f in (dataset.get_fragments(predicate) if predicate is not None else dataset.get_fragments())]
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for f in b.column(0).to_pylist():
-                yield from pads.dataset(f, format=kind, schema=schema if predicate is None else None).to_batches(columns=names, filter=predicate)
+            for data in b.column(0).to_pylist():
+                for got in pickle.loads(data).to_batches(schema=whole, columns=names, filter=predicate):
+                    if got.num_rows:
+                        yield pa.RecordBatch.from_arrays([got.column(c).cast(schema.field(c).type) for c in names], schema=schema)
 
-    return spark.createDataFrame([(f,) for f in files], "path string").repartition(max(1, len(files)), "path").mapInArrow(read, from_arrow_schema(schema))
+    rows = spark.createDataFrame(parts, "fragment binary")
+    return (rows.repartition(len(parts)) if len(parts) > 1 else rows).mapInArrow(read, from_arrow_schema(schema))
 
 
 def write(df: DataFrame, path: str, kind: str, options: WriteOptions = WriteOptions(), **extra: Any) -> None:
@@ -159,25 +180,27 @@ def _write_arrow(df: DataFrame, path: str, options: WriteOptions) -> None:
 
     if options.partition_by:
         raise ValueError("Arrow files cannot be partitioned by columns")
-    there = Path(path)
-    old = list(there.glob("*.arrow")) if there.exists() else []
+    fs, where = _located(path)
+    old = _arrow_files(fs, where)
     if old and options.mode == "error":
         raise FileExistsError(path)
-    there.mkdir(parents=True, exist_ok=True)
+    fs.create_dir(where, recursive=True)
     offset = len(old) if options.mode == "append" else 0
     if options.mode == "overwrite":
         for f in old:
-            f.unlink()
+            fs.delete_file(f)
     schema = to_arrow_schema(df.schema)
 
     def save(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        name = f"{path}/part-{TaskContext.get().partitionId() + offset:05d}.arrow"
+        task = TaskContext.get()
+        name = f"{where}/part-{task.partitionId() + offset:05d}.arrow"
+        aside = f"{name}.{task.taskAttemptId()}.tmp"  # attempts of a task don't meet
         rows = 0
-        with pa.OSFile(name + ".tmp", "wb") as sink, pa.ipc.new_file(sink, schema) as w:
+        with fs.open_output_stream(aside) as sink, pa.ipc.new_file(sink, schema) as w:
             for b in batches:
                 rows += b.num_rows
                 w.write_batch(b.cast(schema) if b.schema != schema else b)
-        Path(name + ".tmp").replace(name)
+        fs.move(aside, name)
         yield pa.RecordBatch.from_arrays([pa.array([rows])], names=["rows"])
 
     df.mapInArrow(save, "rows bigint").agg(F.sum("rows")).collect()

@@ -48,10 +48,13 @@ class WriteOptions:
 
 @dataclass(frozen=True)
 class SessionConfig:
+    """``query_*``: queries at once, waiting, and how long (seconds); ``inline_clusters``: up to so many clusters go into the scan as a list; ``centroid_wait``: seconds that a build waits for another one's centroids."""
+
     query_concurrency: int = 1
     query_queue_capacity: int = 64
     query_queue_timeout: float = 60.0
     inline_clusters: int = 128
+    centroid_wait: float = 3600.0
 
     def __post_init__(self) -> None:
         if self.query_concurrency < 1 or self.query_queue_capacity < 0 or self.query_queue_timeout < 0:

@@ -6,16 +6,17 @@ import time
 from datetime import timedelta
 
 from ridgeline.vector.catalog import Catalog
-from ridgeline.vector.errors import AlreadyExists, Corrupt, InvalidArgument
+from ridgeline.vector.errors import AlreadyExists, Busy, Corrupt, InvalidArgument
 from ridgeline.vector.formats import check_metadata, check_postings, current
+from ridgeline.vector.leases import Leases
 from ridgeline.vector.storage import Warehouse
 
 LEAST_AGE = timedelta(days=7)
 
 
 class Maintenance:
-    def __init__(self, warehouse: Warehouse, catalog: Catalog):
-        self.warehouse, self.catalog = warehouse, catalog
+    def __init__(self, warehouse: Warehouse, catalog: Catalog, leases: Leases | None = None, owner: str | None = None):
+        self.warehouse, self.catalog, self.leases, self.owner = warehouse, catalog, leases, owner
 
     def reachable(self) -> set[str]:
         """Prefixes and objects that a catalog entry leads to."""
@@ -38,19 +39,26 @@ class Maintenance:
         return keep
 
     def remove_orphans(self, older_than: timedelta = LEAST_AGE, dry_run: bool = True) -> list[str]:
-        """Objects below ``indexes/`` and ``metadata/`` that nothing reaches and that are older; deleted unless ``dry_run``. Reachability is read again before a deletion."""
+        """Objects below ``indexes/`` and ``metadata/`` that nothing reaches and that are older; deleted unless ``dry_run``. Reachability is read again before a deletion.
+
+        While another session is open, whose plans may read a replaced snapshot, nothing is deleted (Busy). Objects of indexes that are being built are kept.
+        """
         if older_than < LEAST_AGE:
             raise InvalidArgument("objects are kept for at least 7 days")
         limit = time.time() - older_than.total_seconds()
 
         def orphans() -> list[str]:
             keep = self.reachable()
+            built = self.leases.alive("build") if self.leases else []
+            keep |= {f"{part}/{name}/" for u in built for part, name in (("indexes", u.replace("-", "")), ("metadata", u))}
             prefixes = tuple(k for k in keep if k.endswith("/"))
             found = [f for part in ("indexes", "metadata") for f in self.warehouse.files(part)]
             return sorted(f for f, _, changed in found if changed < limit and f not in keep and not f.startswith(prefixes or ("\0",)))
 
         out = orphans()
         if not dry_run and out:
+            if self.leases and set(self.leases.alive("session")) - {self.owner}:
+                raise Busy("another session is open")
             out = sorted(set(out) & set(orphans()))
             for f in out:
                 self.warehouse.delete(f)

@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
-from functools import lru_cache
+import threading
+from collections import OrderedDict
+from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -11,10 +12,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ridgeline.plans.ship import ship
+from ridgeline.plans.statements import plain_expression
+from ridgeline.records import stream
 from ridgeline.vector import lvq
 from ridgeline.vector.build import RESERVED, decoded_centroids, matrix, read_table, vector_columns
 from ridgeline.vector.errors import Corrupt, InvalidArgument, InvalidSchema
-from ridgeline.vector.formats import check_postings
+from ridgeline.vector.formats import check_postings, load
 from ridgeline.vector.query import VectorQuery
 from ridgeline.vector.storage import Warehouse
 
@@ -73,14 +76,54 @@ def code_distance_to(q: np.ndarray, bits: int):
     return measured
 
 
-@lru_cache(64)
+class ByteCache:
+    """The values used last, up to so many bytes in all; a value larger than that is not kept."""
+
+    def __init__(self, most: int):
+        self.most, self.held, self.bytes, self.hits, self.misses, self.lock = most, OrderedDict(), 0, 0, 0, threading.Lock()
+
+    def get(self, key: tuple, make: Callable[[], tuple[object, int]]) -> object:
+        with self.lock:
+            if key in self.held:
+                self.held.move_to_end(key)
+                self.hits += 1
+                return self.held[key][0]
+            self.misses += 1
+        value, size = make()
+        with self.lock:
+            if key not in self.held and size <= self.most:
+                self.held[key] = (value, size)
+                self.bytes += size
+                while self.bytes > self.most:
+                    self.bytes -= self.held.popitem(last=False)[1][1]
+        return value
+
+    def clear(self) -> None:
+        with self.lock:
+            self.held.clear()
+            self.bytes = 0
+
+    def stats(self) -> dict[str, int]:
+        return {"entries": len(self.held), "bytes": self.bytes, "most_bytes": self.most, "hits": self.hits, "misses": self.misses}
+
+
+CENTROIDS, MANIFESTS = ByteCache(256 << 20), ByteCache(64 << 20)
+
+
 def _centroids(uri: str, location: str, dim: int) -> np.ndarray:
-    return decoded_centroids(read_table(Warehouse(uri), f"{location}part-00000.parquet"), dim)
+    def make() -> tuple[np.ndarray, int]:
+        m = decoded_centroids(read_table(Warehouse(uri), f"{location}part-00000.parquet"), dim)
+        return m, m.nbytes
+
+    return CENTROIDS.get((uri, location, dim), make)
 
 
-@lru_cache(64)
 def _manifest(uri: str, location: str) -> dict:
-    return check_postings(Warehouse(uri).read_json(f"{location}manifest.json"))
+    def make() -> tuple[dict, int]:
+        raw = Warehouse(uri).read_bytes(f"{location}manifest.json")
+        return check_postings(load(raw.decode())), 4 * len(raw)
+
+    return MANIFESTS.get((uri, location), make)
 
 
 def relations(warehouse: Warehouse, snapshot: dict) -> tuple[str, str]:
@@ -95,8 +138,8 @@ def relations(warehouse: Warehouse, snapshot: dict) -> tuple[str, str]:
 
 
 def clear_caches() -> None:
-    _centroids.cache_clear()
-    _manifest.cache_clear()
+    CENTROIDS.clear()
+    MANIFESTS.clear()
 
 
 def route(centroids: np.ndarray, q: np.ndarray, nprobe: int) -> np.ndarray:
@@ -139,7 +182,11 @@ def _eligible(source: DataFrame, predicate: str | None) -> DataFrame:
     if predicate is None:
         return source
     try:
+        if not plain_expression(source.sparkSession, predicate):
+            raise InvalidArgument("a predicate takes neither subqueries nor reflection")
         return source.where(F.expr(predicate))
+    except InvalidArgument:
+        raise
     except Exception as e:
         raise InvalidArgument(f"the predicate cannot be used: {e}") from e
 
@@ -150,7 +197,7 @@ def _top(df: DataFrame, distance: Column, ties: Sequence[str], k: int) -> DataFr
 
 def exact(source: DataFrame, query: VectorQuery) -> DataFrame:
     """All eligible rows, always by squared L2."""
-    if query.index is not None or query.probe_count is not None:
+    if query.index is not None or query.part("nprobes") is not None:
         raise InvalidArgument("an exact search takes neither an index nor nprobes")
     column = query.column
     if column is None:
@@ -161,11 +208,11 @@ def exact(source: DataFrame, query: VectorQuery) -> DataFrame:
     elif column not in vector_columns(source):
         raise InvalidSchema(f"vector column not found: {column}")
     ship(source.sparkSession)
-    cols = output_columns(source, query.projection)
-    q = canonical_query(query.query, None, "l2_squared")
-    rows = _eligible(source, query.predicate).select(*[F.col(f"`{c}`") for c in dict.fromkeys([*cols, column])])
+    cols = output_columns(source, query.part("select"))
+    q = canonical_query(query.vector, None, "l2_squared")
+    rows = _eligible(source, query.part("where")).select(*[F.col(f"`{c}`") for c in dict.fromkeys([*cols, column])])
     simple = [f.name for f in rows.schema.fields if isinstance(f.dataType.simpleString(), str) and f.dataType.simpleString() in ("bigint", "int", "string", "date", "boolean")]
-    return _top(rows, distance_to(q)(F.col(f"`{column}`")), simple[:1], query.result_limit).select(*[F.col(f"`{c}`") for c in cols], RESERVED)
+    return _top(rows, distance_to(q)(F.col(f"`{column}`")), simple[:1], query.part("limit")).select(*[F.col(f"`{c}`") for c in cols], RESERVED)
 
 
 def indexed(source: DataFrame, query: VectorQuery, warehouse: Warehouse, snapshot: dict, inline: int = 128) -> DataFrame:
@@ -174,32 +221,32 @@ def indexed(source: DataFrame, query: VectorQuery, warehouse: Warehouse, snapsho
     ship(spark)
     p, keys, metric, column = snapshot["parameters"], snapshot["source-key-fields"], snapshot["metric"], snapshot["vector-field"]
     dim, nlist, encoding = int(p["dimension"]), int(p["nlist"]), p["posting_encoding"]
-    nprobe = query.probe_count if query.probe_count is not None else min(nlist, 20)
+    nprobe = query.part("nprobes") if query.part("nprobes") is not None else min(nlist, 20)
     if nprobe > nlist:
         raise InvalidArgument(f"nprobes must not exceed nlist: {nprobe} > {nlist}")
-    cols = output_columns(source, query.projection)
-    q = canonical_query(query.query, dim, metric)
+    cols = output_columns(source, query.part("select"))
+    q = canonical_query(query.vector, dim, metric)
     cids = None if nprobe == nlist else route(_centroids(warehouse.uri, relations(warehouse, snapshot)[0], dim), q, nprobe)
     found = postings(spark, warehouse, snapshot, cids, inline)
     key_names = [f"key_{i + 1}" for i in range(len(keys))]
-    rows = _eligible(source, query.predicate)
+    rows = _eligible(source, query.part("where"))
     half = F.col(RESERVED) * F.lit(0.5).cast("float") if metric == "cosine" else F.col(RESERVED)
     final = [*[F.col(f"`{c}`") for c in cols], half.cast("float").alias(RESERVED)]
     if encoding == "source":
         needed = list(dict.fromkeys([*cols, *keys, column]))
         joined = rows.select(*[F.col(f"`{c}`") for c in needed]).join(found.select(*key_names), [F.col(f"`{k}`") == F.col(n) for k, n in zip(keys, key_names)]).drop(*key_names)
-        return _top(joined, distance_to(q, metric)(F.col(f"`{column}`")), keys, query.result_limit).select(*final)
+        return _top(joined, distance_to(q, metric)(F.col(f"`{column}`")), keys, query.part("limit")).select(*final)
     measure = code_distance_to(q, 4 if encoding == "lvq4" else 8)("offset", "scale", "code")
     renamed = found.select(*[F.col(n).alias(k) for n, k in zip(key_names, keys)], "offset", "scale", "code")
-    if query.predicate is None:
-        top = _top(renamed, measure, keys, query.result_limit).select(*[F.col(f"`{k}`") for k in keys], RESERVED)
+    if query.part("where") is None:
+        top = _top(renamed, measure, keys, query.part("limit")).select(*[F.col(f"`{k}`") for k in keys], RESERVED)
         if set(cols) <= set(keys):
             return top.select(*final)
         best = F.broadcast(top)  # at most k rows
         return rows.select(*[F.col(f"`{c}`") for c in dict.fromkeys([*cols, *keys])]).join(best, list(keys)).orderBy(RESERVED, *[F.col(f"`{k}`") for k in keys]).select(*final)
     needed = list(dict.fromkeys([*cols, *keys]))
     joined = rows.select(*[F.col(f"`{c}`") for c in needed]).join(renamed, list(keys))
-    return _top(joined, measure, keys, query.result_limit).select(*final)
+    return _top(joined, measure, keys, query.part("limit")).select(*final)
 
 
 def recall(exact_rows: DataFrame, found: DataFrame, query_id: str, key: str) -> DataFrame:
@@ -208,18 +255,9 @@ def recall(exact_rows: DataFrame, found: DataFrame, query_id: str, key: str) ->
     return hits.groupBy(query_id).agg((F.sum(F.coalesce("hit", F.lit(0))) / F.count(F.lit(1))).alias("recall"))
 
 
-def batches(df: DataFrame, rows: int = 8192) -> Iterator[pa.RecordBatch]:
+def batches(df: DataFrame) -> Iterator[pa.RecordBatch]:
     """The result as Arrow batches, partition by partition."""
-    from pyspark.sql.pandas.types import to_arrow_schema
-
-    schema, held = to_arrow_schema(df.schema), []
-    for row in df.toLocalIterator(prefetchPartitions=True):
-        held.append(row.asDict(recursive=True))
-        if len(held) == rows:
-            yield pa.RecordBatch.from_pylist(held, schema=schema)
-            held = []
-    if held:
-        yield pa.RecordBatch.from_pylist(held, schema=schema)
+    yield from stream(df)
 
 
 __all__ = ["batches", "canonical_query", "clear_caches", "code_distance_to", "distance_to", "exact", "indexed", "matrix", "postings", "recall", "relations", "route"]

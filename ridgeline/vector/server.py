@@ -15,7 +15,7 @@ import pyarrow as pa
 from ridgeline.vector import errors
 from ridgeline.vector.config import IVF, WriteOptions
 from ridgeline.vector.query import VectorQuery
-from ridgeline.vector.session import Session
+from ridgeline.vector.session import Results, Session
 
 STATUS = {errors.NotFound: 404, errors.AlreadyExists: 409, errors.Conflict: 409, errors.Busy: 429, errors.InvalidArgument: 400, errors.InvalidSchema: 400}
 _TABLE = r"/v1/table/(?P<table>[^/]+)"
@@ -23,7 +23,8 @@ _INDEX = _TABLE + r"/index/(?P<index>[^/]+)"
 
 
 def query_to_json(q: VectorQuery) -> dict[str, Any]:
-    return {"vector": list(q.query), "column": q.column, "index": q.index, "select": list(q.projection) if q.projection else None, "limit": q.result_limit, "nprobes": q.probe_count, "where": q.predicate, "exact": q.bypass_index}
+    parts = {name: q.part(name) for name in ("select", "limit", "nprobes", "where", "exact")}
+    return {"vector": list(q.vector), "column": q.column, "index": q.index, **parts}
 
 
 def query_of_json(table: str, doc: dict[str, Any]) -> VectorQuery:
@@ -81,8 +82,8 @@ class Service:
         self.session.deregister_table(table)
         return {}
 
-    def query(self, doc: dict, table: str) -> pa.Table:
-        return self.session.collect(query_of_json(table, doc))
+    def query(self, doc: dict, table: str) -> Results:
+        return self.session.results(query_of_json(table, doc))
 
     def explain(self, doc: dict, table: str) -> dict:
         return {"plan": self.session.explain(query_of_json(table, doc))}
@@ -90,8 +91,8 @@ class Service:
     def to_sql(self, doc: dict, table: str) -> dict:
         return {"sql": self.session.to_sql(query_of_json(table, doc))}
 
-    def sql(self, doc: dict) -> pa.Table:
-        return self.session.sql(str(doc.get("sql", "")))
+    def sql(self, doc: dict) -> Results:
+        return self.session.results(str(doc.get("sql", "")))
 
     def sql_explain(self, doc: dict) -> dict:
         return {"plan": self.session.explain(str(doc.get("sql", "")))}
@@ -125,13 +126,13 @@ class Service:
         self.session.table(table).drop_index(index)
         return {}
 
-    def answer(self, method: str, path: str, body: bytes) -> tuple[int, str, bytes | pa.Table]:
+    def answer(self, method: str, path: str, body: bytes) -> tuple[int, str, bytes | Results]:
         for m, pattern, call in self.routes:
             if m == method and (found := pattern.match(path.split("?")[0])):
                 try:
                     doc = json.loads(body) if body else {}
                     out = call(doc, **{k: unquote(v) for k, v in found.groupdict().items()})
-                    return (200, "application/vnd.apache.arrow.stream", out) if isinstance(out, pa.Table) else (200, "application/json", json.dumps(out).encode())
+                    return (200, "application/vnd.apache.arrow.stream", out) if isinstance(out, Results) else (200, "application/json", json.dumps(out).encode())
                 except ValueError as e:
                     return 400, "application/json", json.dumps({"error": "InvalidArgument", "message": str(e)}).encode()
                 except errors.EngineError as e:
@@ -164,9 +165,15 @@ def serve(session: Session, host: str = "127.0.0.1", port: int = 8620, sources:
                 return
             self.send_header("Transfer-Encoding", "chunked")
             self.end_headers()
-            with pa.ipc.new_stream(pa.PythonFile(_Chunks(self.wfile), mode="w"), out.schema) as w:
-                w.write_table(out, max_chunksize=8192)
-            self.wfile.write(b"0\r\n\r\n")
+            try:  # each batch leaves as soon as Spark has it; a client that goes away ends the query
+                with pa.ipc.new_stream(pa.PythonFile(_Chunks(self.wfile), mode="w"), out.schema) as w:
+                    for b in out:
+                        w.write_batch(b)
+                self.wfile.write(b"0\r\n\r\n")
+            except Exception:  # noqa: BLE001  the status is sent: a stream without its end tells the client
+                self.close_connection = True
+            finally:
+                out.close()
 
         do_GET = do_POST = _run
 

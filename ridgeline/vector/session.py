@@ -10,23 +10,32 @@ import time
 import uuid
 from collections.abc import Iterator, Sequence
 from concurrent.futures import Future, ThreadPoolExecutor
+from functools import reduce
 from pathlib import Path
 from typing import Any
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from py4j.protocol import Py4JJavaError
+from pyspark.errors import ParseException
+from pyspark.sql import DataFrame, Observation, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
 
+from ridgeline.plans import statements
 from ridgeline.vector import search
 from ridgeline.vector.build import build, vector_columns
 from ridgeline.vector.catalog import Catalog
 from ridgeline.vector.config import IVF, SessionConfig, WriteOptions
-from ridgeline.vector.errors import AlreadyExists, Busy, EngineError, InvalidArgument, InvalidSchema, NotFound
+from ridgeline.vector.errors import AlreadyExists, Busy, Conflict, EngineError, InvalidArgument, InvalidSchema, NotFound
 from ridgeline.vector.formats import check_metadata, current, successor
+from ridgeline.vector.leases import Leases
 from ridgeline.vector.maintenance import Maintenance
 from ridgeline.vector.query import VectorQuery
 from ridgeline.vector.storage import Warehouse
 
 _NAME = re.compile(r"[^\W\d]\w*(\.[^\W\d]\w*)*")
+#: The share of a build's work that lies behind at the start of each phase, by experience.
+PHASES = {"queued": 0.0, "inspecting": 0.02, "training": 0.1, "assigning": 0.4, "publishing": 0.97}
 _NAMESPACE = uuid.UUID("6f3a1c1e-5d4b-4c39-9a59-0b7a3c7d9e21")
 
 
@@ -56,6 +65,24 @@ class _Admission:
             self.slots.release()
 
 
+class Results:
+    """Arrow batches as they come. The first is there before this is, so that errors show early; ``close`` cancels the rest."""
+
+    def __init__(self, schema: pa.Schema, batches: Iterator[pa.RecordBatch]):
+        self.schema, self._batches = schema, batches
+        self._first = next(batches, None)
+
+    def __iter__(self) -> Iterator[pa.RecordBatch]:
+        first, self._first = self._first, None
+        if first is not None:
+            yield first.cast(self.schema) if first.schema != self.schema else first
+        for b in self._batches:
+            yield b.cast(self.schema) if b.schema != self.schema else b
+
+    def close(self) -> None:
+        self._batches.close()
+
+
 class Session:
     def __init__(self, spark: SparkSession, root: str, config: SessionConfig = SessionConfig()):
         self.spark, self.config = spark, config
@@ -67,6 +94,8 @@ class Session:
         self.root = Path(self.warehouse.uri.removeprefix("file://"))
         self.catalog = Catalog(self.root / "catalog.db")
         self.owner = str(uuid.uuid4())
+        self.leases = Leases(self.root / "locks")
+        self._lease = self.leases.session(self.owner)
         self._admission = _Admission(config)
         self._builds: dict[tuple[str, str], tuple[Future, dict]] = {}
         self._pool = ThreadPoolExecutor(1, thread_name_prefix="ridgeline-build")
@@ -136,24 +165,25 @@ class Session:
             self._read_only(query)
             return self.spark.sql(query)
         source = self.source(query.source)
-        if query.bypass_index:
+        if query.part("exact"):
             return search.exact(source, query)
         _, snapshot = self._chosen(query)
         return search.indexed(source, query, self.warehouse, snapshot, self.config.inline_clusters)
 
     def _read_only(self, sql: str) -> None:
-        """Only statements that read: a parsed plan with a command or a write in it is refused."""
+        """Only statements that read registered relations: no command or write anywhere in it, no path as a table, no reflection."""
         if not sql.strip():
             raise InvalidArgument("the statement is empty")
         try:
-            plan = self.spark._jsparkSession.sessionState().sqlParser().parsePlan(sql)
-        except Exception as e:
+            held = statements.kinds(self.spark, sql)
+        except Py4JJavaError as e:
             raise InvalidArgument(f"the statement cannot be parsed: {str(e)[:300]}") from e
-        top = plan.getClass().getName()
-        bad = ("command", "Insert", "Create", "Drop", "Alter", "Delete", "Update", "Merge", "Set", "Cache", "Use", "Truncate", "Load", "Refresh", "Execute")
-        name = top.rsplit(".", 1)[1]
-        if ".command." in top or name.startswith(bad) and name not in ("SetOperation",) or "Command" in name:
-            raise InvalidArgument(f"only reading statements are allowed, not {name}")
+        except ParseException as e:
+            raise InvalidArgument(f"the statement cannot be parsed: {str(e)[:300]}") from e
+        if held:
+            raise InvalidArgument(f"only reading statements are allowed, not {next(iter(held.values()))}")
+        if (what := statements.outside(self.spark, sql)) is not None:
+            raise InvalidArgument(f"only registered relations and plain functions are allowed, not {what}")
 
     def collect(self, query: VectorQuery | str) -> pa.Table:
         with self._admission.permit():
@@ -169,6 +199,23 @@ class Session:
             finally:
                 self.spark.sparkContext.cancelJobGroup(group)
 
+    def results(self, query: VectorQuery | str) -> Results:
+        """Like ``stream``, with the schema at hand."""
+        return Results(to_arrow_schema(self.dataframe(query).schema), self.stream(query))
+
+    def batch(self, queries: Sequence[VectorQuery]) -> DataFrame:
+        """Rows (query_no, .., _distance) of several queries in one plan; they must have the same columns."""
+        if not queries:
+            raise InvalidArgument("a batch has at least one query")
+        return reduce(DataFrame.unionByName, [self.dataframe(q).withColumn("query_no", F.lit(i)) for i, q in enumerate(queries)])
+
+    def recall(self, query: VectorQuery, key: str) -> float:
+        """The share of the exact nearest rows that a query through an index finds."""
+        exact = VectorQuery(query.source, query.vector, query.column or self._chosen(query)[1]["vector-field"], parts={"limit": query.part("limit"), "exact": True} | ({"where": query.part("where")} if query.part("where") else {}))
+        one = [self.dataframe(q.select([key])).withColumn("q", F.lit(0)) for q in (exact, query)]
+        got = search.recall(one[0], one[1], "q", key).first()
+        return 1.0 if got is None else float(got["recall"])
+
     def sql(self, statement: str) -> pa.Table:
         return self.collect(statement)
 
@@ -186,18 +233,25 @@ class Session:
     def analyze(self, query: VectorQuery | str) -> dict[str, Any]:
         """Run it; (rows, seconds, plan with the final adaptive steps)."""
         df, began = self.dataframe(query), time.time()
+        seen = Observation()
         with self._admission.permit():
-            rows = len(df.collect())
+            watched = df.observe(seen, F.count(F.lit(1)).alias("rows"))
+            watched.write.format("noop").mode("overwrite").save()
+        rows = seen.get["rows"]
         return {"rows": rows, "seconds": time.time() - began, "plan": df._jdf.queryExecution().executedPlan().toString()}
 
     def maintenance(self) -> Maintenance:
-        return Maintenance(self.warehouse, self.catalog)
+        return Maintenance(self.warehouse, self.catalog, self.leases, self.owner)
 
     def clear_caches(self) -> None:
         search.clear_caches()
 
+    def cache_stats(self) -> dict[str, dict[str, int]]:
+        return {"centroids": search.CENTROIDS.stats(), "manifests": search.MANIFESTS.stats()}
+
     def close(self) -> None:
         self._pool.shutdown(wait=True)
+        self._lease.release()
         self.catalog.close()
 
     def __enter__(self) -> Session:
@@ -223,14 +277,22 @@ class SourceTable:
         with s._lock:
             if any(not f.done() for f, _ in s._builds.values()):
                 raise Busy("another build is running")
-            state = {"phase": "queued", "error": None}
+            state = {"phase": "queued", "fraction": 0.0, "error": None}
             s._builds[self.name, name] = (s._pool.submit(job, state), state)
 
     def _run(self, name: str, column: str, keys: Sequence[str], config: IVF, options: WriteOptions, base: str | None) -> Any:
         s = self.session
 
         def centroids(mark: str, make: Any) -> str:
-            got = s.catalog.claim_centroids(self.name, mark, s.owner)
+            got, until = None, time.time() + s.config.centroid_wait
+            while True:
+                try:
+                    got = s.catalog.claim_centroids(self.name, mark, s.owner)
+                    break
+                except Conflict:  # another build trains the same: its result serves this one too, and a lease that runs out is free again
+                    if time.time() >= until:
+                        raise
+                    time.sleep(0.25)
             while got is None:
                 stop = threading.Event()
 
@@ -254,12 +316,13 @@ class SourceTable:
             try:
                 old = check_metadata(s.warehouse.read_json(base)) if base else None
                 index_uuid = old["index-uuid"] if old else str(uuid.uuid4())
-                snapshot = build(self.df, column, keys, config, options, s.warehouse, index_uuid, centroids, lambda p: state.update(phase=p))
+                with s.leases.build(index_uuid):
+                    snapshot = build(self.df, column, keys, config, options, s.warehouse, index_uuid, centroids, lambda p: state.update(phase=p, fraction=PHASES[p]))
                 doc = successor(old, snapshot, index_uuid, int(time.time() * 1000))
                 where = f"metadata/{index_uuid}/v{doc['last-sequence-number']}-{uuid.uuid4().hex}.metadata.json"
                 s.warehouse.create_json(where, doc)
                 s.catalog.commit(self.name, name, base, where) if base else s.catalog.register(self.name, name, where)
-                state["phase"] = "ready"
+                state.update(phase="ready", fraction=1.0)
             except BaseException as e:
                 state.update(phase="failed", error=e)
                 raise
@@ -302,7 +365,7 @@ class SourceTable:
         published = name in self.session.catalog.find_by_source(self.name)
         if ran is None and not published:
             raise NotFound(f"index not found: {name}")
-        state = dict(ran[1]) if ran else {"phase": "ready", "error": None}
+        state = dict(ran[1]) if ran else {"phase": "ready", "fraction": 1.0, "error": None}
         return state | {"published": published}
 
     def wait_for_index(self, name: str, timeout: float | None = None) -> dict[str, Any]:
@@ -331,12 +394,40 @@ def connect(spark: SparkSession, root: str, config: SessionConfig = SessionConfi
     return Session(spark, root, config)
 
 
+class AsyncResults:
+    """Batches of a stream, awaited one by one; leaving it early cancels the rest."""
+
+    def __init__(self, session: Session, query: VectorQuery | str):
+        self._batches = session.stream(query)
+
+    def __aiter__(self) -> AsyncResults:
+        return self
+
+    async def __anext__(self) -> pa.RecordBatch:
+        got = await asyncio.to_thread(next, self._batches, None)
+        if got is None:
+            raise StopAsyncIteration
+        return got
+
+    async def aclose(self) -> None:
+        await asyncio.to_thread(self._batches.close)
+
+    async def __aenter__(self) -> AsyncResults:
+        return self
+
+    async def __aexit__(self, *_: object) -> None:
+        await self.aclose()
+
+
 class AsyncSession:
-    """The same methods, awaited; each runs in a thread."""
+    """The same methods, awaited; each runs in a thread. ``stream`` gives batches with ``async for``."""
 
     def __init__(self, session: Session):
         self.session = session
 
+    def stream(self, query: VectorQuery | str) -> AsyncResults:
+        return AsyncResults(self.session, query)
+
     def __getattr__(self, name: str) -> Any:
         target = getattr(self.session, name)
         if not callable(target):

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import warnings
 from dataclasses import dataclass
 
 import numpy as np
@@ -80,13 +81,58 @@ def budgets(sizes: np.ndarray, count: int) -> np.ndarray:
     return got
 
 
+def recovered_roots(x: np.ndarray, roots: np.ndarray, label: np.ndarray, attempts: int = 3, iterations: int = 5) -> tuple[np.ndarray, np.ndarray]:
+    """(roots, owner of each row) in which every root owns a row, where that can be had.
+
+    A root without rows starts again at the row of the largest root that lies farthest from it, and all roots are moved a few times; after
+    ``attempts`` it may still own nothing.
+    """
+    for _ in range(attempts):
+        sizes = np.bincount(label, minlength=len(roots))
+        if sizes.all():
+            break
+        roots = roots.copy()
+        for empty in np.flatnonzero(sizes == 0):
+            donor = int(sizes.argmax())
+            own = np.flatnonzero(label == donor)
+            if len(own) < 2:
+                break
+            far = own[((x[own].astype(np.float64) - roots[donor]) ** 2).sum(1).argmax()]
+            roots[empty], label[far] = x[far], empty
+            sizes[donor], sizes[empty] = sizes[donor] - 1, 1
+        for _ in range(iterations):
+            label, _ = closest(x, roots)
+            sizes = np.bincount(label, minlength=len(roots))
+            filled = np.flatnonzero(sizes)
+            order = np.argsort(label, kind="stable")
+            sums = np.add.reduceat(x[order].astype(np.float64), np.concatenate([[0], np.cumsum(sizes[filled])[:-1]]), axis=0)
+            roots[filled] = (sums / sizes[filled, None]).astype(np.float32)
+        label, _ = closest(x, roots)
+    return roots, label
+
+
+def flat_hierarchy(x: np.ndarray, count: int, roots: np.ndarray, iterations: int, seed: int) -> Hierarchy:
+    """Leaves trained without roots, then laid out by their nearest root; a root is the mean of its leaves."""
+    leaves = kmeans(x, count, iterations, np.random.default_rng(seed))
+    label, _ = closest(leaves, roots)
+    order = np.argsort(label, kind="stable")
+    kept, sizes = np.unique(label, return_counts=True)
+    ends = np.concatenate([[0], np.cumsum(sizes)])
+    leaves = leaves[order]
+    means = np.stack([leaves[a:b].astype(np.float64).mean(0) for a, b in zip(ends, ends[1:])]).astype(np.float32)
+    return Hierarchy(leaves, means, ends)
+
+
 def train(x: np.ndarray, count: int, iterations: int, seed: int) -> Hierarchy:
+    """Roots, then the leaves of each from its own rows; leaves trained flat, with a warning, where the roots cannot share the rows out."""
     rng = np.random.default_rng(seed)
     roots = kmeans(x, min(count, max(1, round(count**0.5))), iterations, rng)
     label, _ = closest(x, roots)
-    kept = np.flatnonzero(np.bincount(label, minlength=len(roots)))
-    roots = roots[kept]
-    sizes = np.bincount(label, minlength=kept.max() + 1)[kept]
+    roots, label = recovered_roots(x, roots, label)
+    sizes = np.bincount(label, minlength=len(roots))
+    if not sizes.all():
+        warnings.warn("some roots own no rows: the leaves are trained without them", RuntimeWarning, stacklevel=2)
+        return flat_hierarchy(x, count, roots, iterations, seed)
     share = budgets(sizes, count)
-    leaves = [kmeans(x[label == r], int(n), iterations, np.random.default_rng([seed, int(r) + 1])) for r, n in zip(kept, share)]
+    leaves = [kmeans(x[label == r], int(n), iterations, np.random.default_rng([seed, r + 1])) for r, n in enumerate(share)]
     return Hierarchy(np.concatenate(leaves), roots, np.concatenate([[0], np.cumsum(share)]))

@@ -1,5 +1,6 @@
 """Functions whose semantics differ from Spark's, on literals with known results."""
 
+import asyncio
 import datetime as dt
 import math
 
@@ -9,13 +10,16 @@ import pytest
 from pyspark.sql import functions as F
 
 from ridgeline import functions as E
-from ridgeline.context import SessionContext, capacity
+from ridgeline.catalogs import CatalogProvider, SchemaProvider
+from ridgeline.context import SessionContext, capacity, global_ctx
+from ridgeline.dataflow import parallelize, parallelize_n
 from ridgeline.frame import Frame
 from ridgeline.functions import custom
 from ridgeline.functions.base import pattern_of
 from ridgeline.functions.scalar import arrow_name, spark_type
 from ridgeline.functions.windows import over_groups, window_spec
 from ridgeline.plans.ship import ship
+from ridgeline.settings import RuntimeEnvBuilder, SessionConfig, SQLOptions
 from ridgeline.sources import formats
 
 A = lambda *x: F.array(*[F.lit(v) for v in x])
@@ -130,11 +134,44 @@ def test_user_functions(spark):
     ctx.register_udaf("longest", Longest, "string")
     assert sorted(((r["g0"] or "", r["x"] or "") for r in ctx.aggregate_with(frame, "longest", ["g0"], ["state"], "x").to_pylist())) == [("", "z"), ("a", "yyyy"), ("b", "")]
     assert ctx.aggregate_with(frame, "longest", [], ["state"], "x").to_pylist() == [{"x": "yyyy"}]
+    frame.into_view("words")
+    assert sorted((r["g0"] or "", r["x"] or "") for r in ctx.sql("SELECT g0, longest(state) AS x FROM words GROUP BY g0").to_pylist()) == [("", "z"), ("a", "yyyy"), ("b", "")]
+    assert ctx.sql("SELECT longest(s) OVER (ORDER BY i ROWS BETWEEN 1 PRECEDING AND CURRENT ROW) AS x FROM VALUES (1, 'aa'), (2, 'b'), (3, 'c') AS t(i, s)").to_pydict()["x"] == ["aa", "aa", "c"]
     ctx.register_udf("twice", lambda x: pc.multiply(x, 2), "bigint", "volatile")
     assert ctx.sql("SELECT twice(id) AS y FROM range(3)").to_pydict() == {"y": [0, 2, 4]}
     ctx.register_udwf("gap", lambda t: pc.subtract(t["v"], t["v"][0]), "bigint")
     nums = ctx.from_pydict({"k": [1, 1, 2], "v": [5, 3, 7]})
     assert sorted(ctx.window_with(nums, "gap", ["k"], ["v"], "d").to_pydict()["d"]) == [0, 0, 2]
+
+    class Framed(custom.WindowEvaluator):
+        uses_window_frame = True
+
+        def evaluate(self, values, eval_range):
+            return pc.sum(values[0].slice(eval_range[0], eval_range[1] - eval_range[0])).as_py()
+
+    class Ahead(custom.WindowEvaluator):
+        supports_bounded_execution = True
+
+        def get_range(self, idx, num_rows):
+            return idx, min(idx + 2, num_rows)
+
+        def evaluate(self, values, eval_range):
+            return values[0][eval_range[1] - 1]
+
+    class Peers(custom.WindowEvaluator):
+        include_rank = True
+
+        def evaluate_all_with_rank(self, num_rows, ranks_in_partition):
+            return pa.array([b - a for a, b in ranks_in_partition for _ in range(a, b)])
+
+    class Whole(custom.WindowEvaluator):
+        def evaluate_all(self, values, num_rows):
+            return pa.array([num_rows] * num_rows)
+
+    more = ctx.from_pydict({"k": [1, 1, 1, 1], "v": [5, 3, 3, 8]})
+    for kind, bounds, want in ((Framed, (-1, 0), [3, 6, 8, 13]), (Framed, (None, None), [19] * 4), (Ahead, (None, 0), [3, 5, 8, 8]), (Peers, (None, 0), [2, 2, 1, 1]), (Whole, (None, 0), [4] * 4)):
+        ctx.register_udwf("w", kind, "bigint", ["v"], bounds)
+        assert ctx.window_with(more, "w", ["k"], ["v"], "d").sort("v", "d").to_pydict()["d"] == sorted(want[:2]) + want[2:], kind
     ctx.deregister_udf("twice")
     with pytest.raises(Exception):  # noqa: B017
         ctx.sql("SELECT twice(1)").collect()
@@ -149,9 +186,11 @@ def test_frames(spark, tmp_path):
     assert ctx.table("t").limit(1, 1).count() == 1 and ctx.table_exist("t") and f.tail(1).count() == 1
     assert f.join(ctx.from_pydict({"id": [2, 3]}), "id", "anti").to_pydict()["id"] == [1]
     assert ctx.sql("SELECT :a + 1 AS x", {"a": 1}).to_pylist() == [{"x": 2}] and ctx.sql("SELECT count(*) AS n FROM {q}", q=f).to_pylist() == [{"n": 2}]
-    with pytest.raises(PermissionError):
-        ctx.sql_with_options("CREATE TABLE z (a int)", allow_ddl=False)
-    assert sum(map(len, f.collect_partitioned())) == 2 and [b.num_rows for b in f.execute_stream()] == [2]
+    for bad, option in (("CREATE TABLE z (a int)", {"allow_ddl": False}), ("WITH c AS (SELECT 1 AS a) INSERT INTO t SELECT a FROM c", {"allow_dml": False}), ("SET a=1", {"allow_statements": False}), ("CACHE TABLE t", {"allow_statements": False})):
+        with pytest.raises(PermissionError):
+            ctx.sql_with_options(bad, **option)
+    assert ctx.sql_with_options("SELECT :a AS x", SQLOptions().with_allow_ddl(False), {"a": 1}).count() == 1
+    assert sum(b.num_rows for p in f.collect_partitioned() for b in p) == 2 and sum(b.num_rows for b in f.execute_stream()) == 2
     nums = ctx.from_pydict({"a": [3, None, 1]})
     assert nums.sort("a").to_pydict()["a"] == [None, 1, 3] and nums.sort_by("a").to_pydict()["a"] == [1, 3, None] and nums.fill_null(0).to_pydict()["a"] == [3, 0, 1]
     nums.write_arrow(str(tmp_path / "arrow"))
@@ -163,6 +202,96 @@ def test_frames(spark, tmp_path):
     assert ctx.table("back").count() == 6 and "Scan" in ctx.table("t").explain() and nums.schema().names == ["a"]
 
 
+def test_fill_null_keeps_nan_and_types(spark):
+    f = SessionContext(spark).from_arrow(pa.table({"x": [float("nan"), None], "n": pa.array([None, 2], pa.int32()), "s": [None, "a"], "b": [None, True]}))
+    got = f.fill_null(7).to_pydict()
+    assert got["x"][0] != got["x"][0] and got["x"][1] == 7.0 and got["n"] == [7, 2] and got["s"] == [None, "a"]
+    assert f.fill_null("-").to_pydict()["s"] == ["-", "a"] and f.fill_null(False, ["b"]).to_pydict()["b"] == [False, True] and f.fill_null(1, ["n"]).to_pydict()["x"][1] is None
+
+
+def test_dataset_keeps_the_keys_of_its_folders(spark, tmp_path):
+    import pyarrow.dataset as pads
+
+    ship(spark)
+    t = pa.table({"k": ["a", "a", "b"], "v": [1, 2, 3]})
+    pads.write_dataset(t, tmp_path / "d", format="parquet", partitioning=pads.partitioning(pa.schema([("k", pa.string())]), flavor="hive"))
+    ds = pads.dataset(tmp_path / "d", format="parquet", partitioning="hive")
+    ctx = SessionContext(spark)
+    ctx.register_dataset("folders", ds)
+    assert sorted((r["k"], r["v"]) for r in ctx.table("folders").to_pylist()) == [("a", 1), ("a", 2), ("b", 3)]
+    assert formats.read_dataset(spark, ds, ["v"], pads.field("k") == "b").toArrow().to_pydict() == {"v": [3]}
+    assert formats.read_dataset(spark, ds, ["k"], pads.field("v") > 9).count() == 0
+
+
+def test_plans_and_streams(spark):
+    ctx = SessionContext(spark)
+    f = Frame(spark.range(0, 1000, 1, 4)).aggregate([(F.col("id") % 7).alias("g")], [F.sum("id").alias("s")])
+    plan = f.logical_plan()
+    assert plan.name() == "Aggregate" and [p.name() for p in plan.inputs()] == ["Range"] and "Aggregate" in plan and "->" in plan.display_graphviz() and plan == f.logical_plan() and "Range" in f.optimized_logical_plan().display_indent()
+    assert ctx.create_dataframe_from_logical_plan(plan).count() == 7 == ctx.execute_logical_plan(plan).count()
+    physical = f.execution_plan()
+    figures = physical.run()
+    assert figures.output_rows > 7 and figures.spilled_bytes == 0 == figures.spill_count and figures.elapsed_compute is not None and figures.sum_by_name("shuffleBytesWritten") > 0 and figures.sum_by_name("nothing") is None
+    assert any(n == "HashAggregate" and m.output_rows == 7 for n, m in physical.collect_metrics()) and physical.partition_count >= 1 and "HashAggregate" in physical
+    assert sum(b.num_rows for b in ctx.execute(physical)) == 7 and len(Frame(spark.range(0, 40, 1, 4)).execute_stream_partitioned()) == 4
+    assert [b.num_rows for b in ctx.execute(Frame(spark.range(0, 40, 1, 4)).execution_plan(), 2)] == [10]
+
+    async def read():
+        return sum([b.num_rows async for b in Frame(spark.range(20_000)).execute_stream()])
+
+    assert asyncio.run(read()) == 20_000
+    text = Frame(spark.range(3)).default_str_repr(2)
+    assert text.splitlines()[1] == "| id |" and text.endswith("more rows follow")
+    d = {r["describe"]: r["v"] for r in ctx.from_pydict({"v": [1.0, 2.0, None, 6.0]}).describe().to_pylist()}
+    assert (d["count"], d["null_count"], d["mean"], d["min"], d["max"], d["median"]) == (3, 1, 3, 1, 6, 2)
+
+
+def test_settings_catalogs_and_locations(spark, tmp_path):
+    ship(spark)
+    old = spark.conf.get("spark.sql.shuffle.partitions")
+    config = SessionConfig().with_target_partitions(5).with_batch_size(5000).with_parquet_pruning().with_repartition_joins(False).with_repartition_file_min_size(1 << 20).with_default_catalog_and_schema("spark_catalog", "default").set("spark.x", True)
+    ctx = SessionContext(spark, config)
+    assert spark.conf.get("spark.sql.shuffle.partitions") == "5" and ctx.copied_config()["spark.x"] == "true"
+    spark.conf.set("spark.sql.shuffle.partitions", old)
+    for k in ("spark.sql.execution.arrow.maxRecordsPerBatch", "spark.sql.parquet.columnarReaderBatchSize", "spark.sql.adaptive.skewJoin.enabled", "spark.sql.files.openCostInBytes"):
+        spark.conf.unset(k)
+    with pytest.raises(ValueError):
+        SessionConfig().with_batch_size(0)
+    env = RuntimeEnvBuilder().with_disk_manager_specified("/a", "/b").with_greedy_memory_pool(2 << 30)
+    assert env.options == {"spark.local.dir": "/a,/b", "spark.executor.memory": "2048m", "spark.memory.fraction": "0.8"}
+    assert global_ctx() is global_ctx() and global_ctx().spark is spark
+    schema, provider = SchemaProvider(), CatalogProvider()
+    schema.register_table("t", pa.table({"a": [1, 2, 3]}))
+    provider.register_schema("s", schema)
+    ctx.register_catalog_provider("mine", provider)
+    ctx.register_table_provider("plain", pa.table({"a": [5]}))
+    assert "mine" in ctx.catalog_names() and "spark_catalog" in ctx.catalog_names() and ctx.catalog("mine").schema_names() == {"s"} and ctx.catalog("mine").schema("s").table("t").schema.names == ["a"]
+    assert ctx.sql("SELECT sum(x.a) AS s, 'mine.s.t' AS n FROM mine.s.t x JOIN mine.s.t y ON x.a = y.a").to_pylist() == [{"s": 6, "n": "mine.s.t"}] and ctx.table("mine.s.t").count() == 3 and ctx.table("plain").count() == 1
+    with pytest.raises(ValueError, match="has tables"):
+        provider.deregister_schema("s")
+    provider.deregister_schema("s", True)
+    with pytest.raises(KeyError):
+        ctx.table("mine.s.t")
+    assert "default" in ctx.catalog().schema_names() and ctx.catalog().schema("default").table_names() is not None
+    assert any(r["table_name"] == "plain" for r in ctx.information_schema().to_pylist()) and ctx.information_schema("columns").filter("table_name = 'plain'").to_pydict()["data_type"] == ["bigint"] and ctx.information_schema("df_settings").count() > 50
+    ctx.from_pydict({"a": [1]}).write_parquet(str(tmp_path / "x.parquet"))
+    assert ctx.enable_url_table().table_of(str(tmp_path / "x.parquet")).count() == 1
+    with pytest.raises(ValueError, match="not known"):
+        ctx.table_of("/a/b.xyz")
+
+
+def test_dataflow(spark):
+    flow = parallelize_n(spark, list(range(10)), 3)
+    assert flow.num_partitions() == 3 and flow.map(lambda x: x * 2).collect() == [x * 2 for x in range(10)]
+    by = flow.flat_map(lambda x: [x, -x]).partition_by(4, abs).collect_partitions()
+    assert [sorted(set(map(abs, p))) for p in by] == [[0, 4, 8], [1, 5, 9], [2, 6], [3, 7]]
+    assert parallelize(spark, [[1], [2, 3]], "serial").flatten().collect_partitions() == [[1, 2, 3]]
+    assert flow.map_partitions(lambda rows: [sum(rows)]).collect() == [3, 12, 30]
+    for bad in (lambda: parallelize(spark, [], "gpu"), lambda: parallelize_n(spark, [], 0), lambda: flow.partition_by(0, abs)):
+        with pytest.raises(ValueError):
+            bad()
+
+
 def test_streams_resume(spark, tmp_path):
     from ridgeline.streaming.windows import read_stream, run_available, window_totals
 

@@ -1,6 +1,8 @@
 """Golden cases of the formats and queries, and the life cycle of an index, through the public interface."""
 
 import asyncio
+import os
+import pickle
 from datetime import date, timedelta
 
 import numpy as np
@@ -16,8 +18,9 @@ from ridgeline.vector.errors import AlreadyExists, Backend, Busy, Conflict, Corr
 from ridgeline.vector.formats import check_metadata, check_postings, current, fingerprint, load, successor
 from ridgeline.vector.maintenance import publish
 from ridgeline.vector.search import route
+from ridgeline.vector.session import AsyncSession
 from ridgeline.vector.storage import Warehouse
-from ridgeline.vector.training import budgets, closest, train
+from ridgeline.vector.training import budgets, closest, recovered_roots, train
 
 F1 = [("a", "Alpha", 1, "published", [0.0, 0.0]), ("b", "Beta", 1, "draft", [1.0, 0.0]), ("c", "Gamma", 2, "published", [10.0, 0.0])]
 
@@ -238,14 +241,91 @@ def test_sql_composition_and_gate(session, documents):
     assert sql == session.to_sql(documents.search([0, 0]).limit(2).bypass_vector_index())
     got = session.sql(f"SELECT d.status, count(*) AS n FROM ({sql}) h JOIN documents d ON h.document_id = d.document_id GROUP BY d.status").to_pylist()
     assert sorted((r["status"], r["n"]) for r in got) == [("draft", 1), ("published", 1)]
-    for bad in ("DROP TABLE documents", "CREATE TABLE x AS SELECT 1", "INSERT INTO documents SELECT 1", "SET a=b", "", "SELEC 1"):
+    for bad in (
+        "DROP TABLE documents", "CREATE TABLE x AS SELECT 1", "INSERT INTO documents SELECT 1", "SET a=b", "", "SELEC 1", "WITH c AS (SELECT 1 AS a) INSERT INTO t SELECT a FROM c",
+        "FROM (SELECT 1 AS a) INSERT INTO t SELECT a INSERT INTO u SELECT a", "EXPLAIN INSERT INTO t SELECT 1", "SELECT * FROM parquet.`/tmp/x`", "SELECT (SELECT max(a) FROM csv.`/etc/passwd`)", "SELECT java_method('java.lang.Math', 'abs', 1)",
+        "SELECT * FROM documents WHERE reflect('java.lang.Math', 'abs', 1) > 0", "BEGIN SELECT 1; END", "EXECUTE IMMEDIATE 'SELECT 1'", "SELECT TRANSFORM(status) USING 'cat' AS (b) FROM documents", "CACHE TABLE documents", "SELECT * FROM IDENTIFIER('documents')",
+    ):
         with pytest.raises(InvalidArgument):
             session.sql(bad)
+    for good in ("EXPLAIN SELECT 1", "SHOW TABLES", "DESCRIBE documents", "WITH c AS (SELECT status FROM documents) SELECT status, count(*) FROM c GROUP BY ROLLUP (status) HAVING count(*) > 0 ORDER BY 1 LIMIT 2 OFFSET 1", "SELECT sum(tenant_id) OVER w FROM documents WINDOW w AS (PARTITION BY status)",
+                 "SELECT * FROM VALUES (1) AS t(a) UNION SELECT 2 INTERSECT SELECT 3", "SELECT * FROM documents, LATERAL (SELECT tenant_id + 1)", "SELECT * FROM (SELECT status FROM documents) PIVOT (count(*) FOR status IN ('draft'))", "SELECT x.a FROM (SELECT 1 AS a) x LATERAL VIEW explode(array(1)) AS y"):
+        session.sql(good)
+    for bad in ("reflect('java.lang.Math', 'abs', 1) > 0", "tenant_id IN (SELECT 1)"):
+        with pytest.raises(InvalidArgument):
+            session.collect(documents.search([0, 0]).bypass_vector_index().where(bad))
     assert "TakeOrderedAndProject" in session.explain(documents.search([0, 0]).bypass_vector_index())
     assert session.analyze("SELECT 1")["rows"] == 1
     assert [b.num_rows for b in session.stream(documents.search([0, 0]).bypass_vector_index())] == [3]
 
 
+def test_query_is_a_value():
+    q = VectorQuery("t", (1.0, 2.0), index="i")
+    r = q.limit(3).where("a > 1").select(["a"]).nprobes(2)
+    assert q.part("limit") == 10 and q.part("where") is None and r.part("nprobes") == 2 and r.part("select") == ("a",) and not r.part("exact")
+    assert r == VectorQuery("t", (1.0, 2.0), index="i").nprobes(2).select(["a"]).limit(3).where("a > 1") != q and hash(r) == hash(pickle.loads(pickle.dumps(r))) and repr(r) == repr(pickle.loads(pickle.dumps(r)))
+    with pytest.raises(AttributeError):
+        q.index = "x"
+
+
+def test_streams_batches_and_recall(session, documents):
+    documents.create_index("i", "embedding", "document_id", IVF(2))
+    q = documents.search([0, 0]).limit(2)
+    assert session.recall(q.nprobes(2), "document_id") == 1.0 and 0 <= session.recall(q.nprobes(1), "document_id") <= 1
+    both = session.batch([q.nprobes(2), documents.search([10, 0]).nprobes(2).limit(1)]).collect()
+    assert sorted((r["query_no"], r["document_id"]) for r in both) == [(0, "a"), (0, "b"), (1, "c")]
+    out = session.results("SELECT id AS x, CAST(id AS string) AS s FROM range(30000)")
+    assert out.schema.names == ["x", "s"] and sum(b.num_rows for b in out) == 30000
+    stats = session.cache_stats()
+    assert stats["manifests"]["bytes"] <= stats["manifests"]["most_bytes"] and stats["manifests"]["hits"] + stats["manifests"]["misses"] > 0
+
+    async def read():
+        n = 0
+        async with AsyncSession(session).stream("SELECT * FROM range(20000)") as s:
+            async for b in s:
+                n += b.num_rows
+        return n
+
+    assert asyncio.run(read()) == 20000
+    assert documents.session.maintenance().reachable()
+
+
+def test_leases(session, documents, spark, tmp_path):
+    documents.create_index("i", "embedding", "document_id", IVF(1))
+    assert session.leases.alive("session") == [session.owner] and session.leases.alive("build") == []
+    stray = session.root / "indexes/stray/1/x"
+    stray.parent.mkdir(parents=True)
+    stray.write_bytes(b"x")
+    os.utime(stray, (1, 1))
+    with connect(spark, str(session.root)) as other:
+        with pytest.raises(Busy, match="another session"):
+            session.maintenance().remove_orphans(dry_run=False)
+        assert other.owner in session.leases.alive("session")
+    with session.leases.build("stray"):
+        assert session.maintenance().remove_orphans() == []
+    (session.root / "locks" / "dead.session").touch()  # of a process that died
+    assert session.maintenance().remove_orphans(dry_run=False) == ["indexes/stray/1/x"] and not (session.root / "locks" / "dead.session").exists()
+
+
+def test_build_waits_for_the_centroids_of_another(session, documents, monkeypatch):
+    mark = fingerprint("embedding", 2, "l2_squared", 2)
+    assert session.catalog.claim_centroids("documents", mark, "other", lease=0.8) is None
+    documents.create_index("i", "embedding", "document_id", IVF(2))
+    assert documents.index_status("i")["fraction"] == 1.0 and len(session.catalog.centroid_locations()) == 1
+
+
+def test_roots_without_rows_recover():
+    rng = np.random.default_rng(2)
+    x = np.concatenate([rng.normal(size=(60, 4)), rng.normal(size=(60, 4)) + 9]).astype(np.float32)
+    roots = np.concatenate([x[:1], x[60:61], np.full((1, 4), 1e6, np.float32)])
+    label = np.repeat([0, 1], 60)
+    new, label = recovered_roots(x, roots, label)
+    assert np.bincount(label, minlength=3).all() and abs(new).max() < 100
+    with pytest.warns(RuntimeWarning, match="without them"):
+        h = train(np.repeat(np.eye(4, dtype=np.float32)[:2], 20, 0), 30, 4, 1)
+    assert len(h.leaves) == 30 == h.offsets[-1] and len(h.roots) == len(h.offsets) - 1 and (np.diff(h.offsets) > 0).all()
+
+
 def test_maintenance_and_publication(session, documents, tmp_path, spark):
     documents.create_index("i", "embedding", "document_id", IVF(2, "lvq8"))
     location = session.catalog.load("documents", "i")
