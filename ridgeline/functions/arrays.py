@@ -11,7 +11,7 @@ from pyspark.sql.types import ArrayType, DataType
 from ridgeline.functions.base import literal, value
 
 _ARRAY = {
-    "array_transform": "transform", "array_filter": "filter", "array_any_match": "exists", "any_match": "exists", "make_array": "array", "array_push_back": "array_append",
+    "array_transform": "array_transform", "array_filter": "array_filter", "array_any_match": "array_any_match", "any_match": "array_any_match", "make_array": "array", "array_push_back": "array_append",
     "array_concat": "concat_arrays", "array_cat": "concat_arrays", "dot_product": "inner_product", "array_extract": "array_element", "array_has": "array_contains",
     "array_has_any": "array_has_any", "arrays_overlap": "array_has_any", "array_indexof": "array_position", "array_push_front": "array_prepend", "array_remove_all": "remove_all", "empty": "array_empty",
     "array_reverse": "reverse", "gen_series": "gen_series", "generate_series": "gen_series", "array_join": "array_to_string", "make_list": "array", "list_to_string": "array_to_string",
@@ -65,6 +65,25 @@ def array_normalize(a: Any) -> Column:
     return F.when(F.exists(x, lambda v: v.isNull()) | (norm == 0), F.lit(None)).otherwise(F.transform(x, lambda v: v / norm))
 
 
+def _higher(name: str, plain: Any, a: Any, f: Any) -> Column:
+    """A function of an array and a Python function, or one of ``lambda_``."""
+    from ridgeline.functions.scalar import SqlLambda, _sql_of
+
+    return F.expr(f"{name}({_sql_of(value(a))}, {f.text})") if isinstance(f, SqlLambda) else plain(value(a), f)
+
+
+def array_transform(a: Any, f: Any) -> Column:
+    return _higher("transform", F.transform, a, f)
+
+
+def array_filter(a: Any, f: Any) -> Column:
+    return _higher("filter", F.filter, a, f)
+
+
+def array_any_match(a: Any, f: Any) -> Column:
+    return _higher("exists", F.exists, a, f)
+
+
 def array_to_string(a: Any, delimiter: str, null_string: str | None = None) -> Column:
     s = value(a).cast("array<string>")
     return F.array_join(s, delimiter) if null_string is None else F.array_join(s, delimiter, null_string)

@@ -5,6 +5,7 @@ from __future__ import annotations
 import re
 from typing import Any
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -13,7 +14,7 @@ from ridgeline.functions.base import java_pattern, literal, value
 ALIASES = {
     "pow": "power", "length": "char_length", "character_length": "char_length", "ends_with": "endswith", "starts_with": "startswith", "strpos": "instr_", "instr": "instr_",
     "substr_index": "substring_index", "datepart": "date_part", "extract": "date_part", "datetrunc": "date_trunc", "date_format": "to_char", "string_to_list": "string_to_array",
-    "arrow_cast": "cast_to", "arrow_try_cast": "try_cast_to", "current_timestamp": "now", "random": "rand", "lambda_var": "lit", "literal": "lit", "string_literal": "lit", "column": "col",
+    "arrow_cast": "cast_to", "arrow_try_cast": "try_cast_to", "current_timestamp": "now", "random": "rand", "literal": "lit", "string_literal": "lit", "column": "col",
 }
 # Arrow type names and Spark's.
 ARROW_TYPES = {
@@ -265,11 +266,9 @@ def digest(expr: Any, method: str) -> Column:
     if method in ("blake2b", "blake2s"):
         import hashlib
 
-        import pandas as pd
-
-        @F.pandas_udf("binary")
-        def blake(s: pd.Series) -> pd.Series:
-            return s.map(lambda b: None if b is None else getattr(hashlib, method)(bytes(b)).digest())
+        @F.arrow_udf("binary")
+        def blake(column: pa.Array) -> pa.Array:
+            return pa.array([None if b is None else getattr(hashlib, method)(b).digest() for b in column.to_pylist()], pa.binary())
 
         return blake(e.cast("binary"))
     raise ValueError(f"unknown digest {method}")
@@ -417,6 +416,68 @@ def date_bin(stride_seconds: float, source: Any, origin: str = "1970-01-01 00:00
     return F.timestamp_micros(at - F.pmod(at - start, width))
 
 
+class CaseBuilder:
+    """``case(x).when(1, "one").when(2, "two").otherwise("many")``, or ``.end()`` for null elsewhere."""
+
+    def __init__(self, subject: Column, made: Column | None = None):
+        self.subject, self.made = subject, made
+
+    def when(self, match: Any, then: Any) -> CaseBuilder:
+        test, out = self.subject == literal(match), literal(then)
+        return CaseBuilder(self.subject, F.when(test, out) if self.made is None else self.made.when(test, out))
+
+    def otherwise(self, other: Any) -> Column:
+        return self.end().otherwise(literal(other))
+
+    def end(self) -> Column:
+        if self.made is None:
+            raise ValueError("a case has at least one when")
+        return self.made
+
+
+def case(expr: Any) -> CaseBuilder:
+    return CaseBuilder(value(expr))
+
+
+def lambda_var(name: str) -> Column:
+    """The parameter ``name`` of a function made by ``lambda_``."""
+    return F.col(f"{_PARAMETER}{name}")
+
+
+_PARAMETER = "__parameter_"
+
+
+def lambda_(params: list[str], body: Column) -> Any:
+    """A function for ``array_transform``, ``array_filter`` and their like, from a body over ``lambda_var`` columns."""
+    text = re.sub(rf"`?{_PARAMETER}(\w+)`?", r"\1", _sql_of(body))
+    names = params[0] if len(params) == 1 else f"({', '.join(params)})"
+    return SqlLambda(f"{names} -> {text}")
+
+
+class SqlLambda:
+    def __init__(self, text: str):
+        self.text = text
+
+
+def _sql_of(column: Column) -> str:
+    """The SQL text of a column, as Catalyst prints its expression."""
+    from pyspark.sql import SparkSession
+
+    spark = SparkSession.getActiveSession()
+    return spark._jsparkSession.expression(column._jc).sql()
+
+
+def expression_to_bytes(column: Column) -> bytes:
+    """The expression as text that ``expression_from_bytes`` reads back, in this session or another; Python functions have no text."""
+    text = _sql_of(column)
+    F.expr(text)  # it must be readable
+    return text.encode()
+
+
+def expression_from_bytes(data: bytes) -> Column:
+    return F.expr(data.decode())
+
+
 def if_(condition: Column, if_true: Any, if_false: Any) -> Column:
     return F.when(condition, value(if_true)).otherwise(value(if_false))
 

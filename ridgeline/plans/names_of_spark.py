@@ -7,16 +7,12 @@ from pyspark.sql import functions as F
 
 from ridgeline import functions as E
 from ridgeline.plans.registry import Registry
+from ridgeline.plans.relational import _context
 from ridgeline.sources.tables import table
 
 query = Registry()
 
 
-def _views(spark: SparkSession, d: str, *names: str) -> None:
-    for n in names:
-        table(spark, d, n).createOrReplaceTempView(n)
-
-
 @query("""SELECT event_id, CAST(ts::DATE + INTERVAL 2 MONTH AS DATE) AS am, ts::DATE + 5 AS da, ts::DATE - 5 AS ds, hour(ts)::INTEGER AS h, minute(ts)::INTEGER AS m, second(ts)::INTEGER AS s, date_diff('day', DATE '2024-01-01', ts::DATE)::INTEGER AS dd,
 date_trunc('month', ts)::DATE AS tr, epoch_us(ts) AS us, epoch_us(ts) // 1000 AS ms, date_diff('day', DATE '1970-01-01', ts::DATE)::INTEGER AS ud FROM events""")
 def spark_dates(spark: SparkSession, d: str) -> DataFrame:
@@ -49,8 +45,7 @@ SELECT c_mktsegment, c_custkey, round(total, 2) AS total, place FROM ranked WHER
 
 @query(_NESTED)
 def sql_nested_ctes(spark: SparkSession, d: str) -> DataFrame:
-    _views(spark, d, "orders", "customer")
-    return spark.sql(_NESTED)
+    return _context(spark, d, "orders", "customer").sql(_NESTED).df
 
 
 _LATERAL = "SELECT n_name, t.c_custkey, t.c_acctbal FROM nation, LATERAL (SELECT c_custkey, c_acctbal FROM customer WHERE c_nationkey = n_nationkey ORDER BY c_acctbal DESC, c_custkey LIMIT 2) t"
@@ -58,8 +53,7 @@ _LATERAL = "SELECT n_name, t.c_custkey, t.c_acctbal FROM nation, LATERAL (SELECT
 
 @query(_LATERAL)
 def sql_lateral_topk(spark: SparkSession, d: str) -> DataFrame:
-    _views(spark, d, "nation", "customer")
-    return spark.sql(_LATERAL)
+    return _context(spark, d, "nation", "customer").sql(_LATERAL).df
 
 
 _Q3 = """SELECT o_orderkey, round(sum(l_extendedprice * (1 - l_discount)), 2) AS revenue, CAST(o_orderdate AS DATE) AS day FROM customer JOIN orders ON c_custkey = o_custkey JOIN lineitem ON l_orderkey = o_orderkey
@@ -68,8 +62,7 @@ WHERE c_mktsegment = 'BUILDING' AND o_orderdate < TIMESTAMP '1996-03-15' AND l_s
 
 @query(_Q3)
 def sql_shipping_priority(spark: SparkSession, d: str) -> DataFrame:
-    _views(spark, d, "customer", "orders", "lineitem")
-    return spark.sql(_Q3.replace("TIMESTAMP '", "TIMESTAMP_NTZ '"))
+    return _context(spark, d, "customer", "orders", "lineitem").sql(_Q3.replace("TIMESTAMP '", "TIMESTAMP_NTZ '")).df
 
 
 _SUPPLIERS = """SELECT s_suppkey, s_name FROM supplier WHERE s_suppkey NOT IN (SELECT l_suppkey FROM lineitem WHERE l_quantity > 49 AND l_suppkey IS NOT NULL) OR s_acctbal = (SELECT max(s_acctbal) FROM supplier)"""
@@ -77,8 +70,7 @@ _SUPPLIERS = """SELECT s_suppkey, s_name FROM supplier WHERE s_suppkey NOT IN (S
 
 @query(_SUPPLIERS)
 def sql_not_in(spark: SparkSession, d: str) -> DataFrame:
-    _views(spark, d, "supplier", "lineitem")
-    return spark.sql(_SUPPLIERS)
+    return _context(spark, d, "supplier", "lineitem").sql(_SUPPLIERS).df
 
 
 _DECIMAL = "SELECT l_returnflag, CAST(sum(CAST(l_extendedprice AS DECIMAL(12,2))) AS DECIMAL(20,2)) AS total, CAST(min(l_shipdate) AS DATE) AS first FROM lineitem GROUP BY l_returnflag"
@@ -86,8 +78,7 @@ _DECIMAL = "SELECT l_returnflag, CAST(sum(CAST(l_extendedprice AS DECIMAL(12,2))
 
 @query(_DECIMAL)
 def sql_decimals(spark: SparkSession, d: str) -> DataFrame:
-    _views(spark, d, "lineitem")
-    return spark.sql(_DECIMAL)
+    return _context(spark, d, "lineitem").sql(_DECIMAL).df
 
 
 QUERIES, ORACLE = query.queries, query.sql

@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ridgeline import functions as E
+from ridgeline.context import SessionContext
+from ridgeline.frame import Frame
 from ridgeline.functions.windows import over_groups, window_spec
 from ridgeline.plans.registry import Registry
 from ridgeline.sources.tables import table
@@ -13,9 +15,16 @@ from ridgeline.sources.tables import table
 query = Registry()
 
 
-def _views(spark: SparkSession, d: str, *names: str) -> None:
+def _context(spark: SparkSession, d: str, *names: str) -> SessionContext:
+    """A context that knows these tables of the folder."""
+    ctx = SessionContext(spark)
     for n in names:
-        table(spark, d, n).createOrReplaceTempView(n)
+        ctx.register_parquet(n, f"{d}/{n}.parquet")
+    return ctx
+
+
+def _frame(spark: SparkSession, d: str, name: str) -> Frame:
+    return SessionContext(spark).read_parquet(f"{d}/{name}.parquet")
 
 
 @query("""SELECT l_returnflag, l_linestatus, round(sum(l_quantity), 2) AS sum_qty, round(sum(l_extendedprice * (1 - l_discount)), 2) AS revenue, round(avg(l_discount), 6) AS avg_disc, count(*) AS n
@@ -44,9 +53,9 @@ def filter_project(spark: SparkSession, d: str) -> DataFrame:
 
 def _join(kind: str):
     def run(spark: SparkSession, d: str) -> DataFrame:
-        c = table(spark, d, "customer").select("c_custkey", "c_nationkey")
-        o = table(spark, d, "orders").where("o_totalprice > 200000").select("o_orderkey", "o_custkey")
-        return c.join(o, F.col("c_custkey") == F.col("o_custkey"), kind)
+        c = _frame(spark, d, "customer").select("c_custkey", "c_nationkey")
+        o = _frame(spark, d, "orders").filter("o_totalprice > 200000").select("o_orderkey", "o_custkey")
+        return c.join(o, how=kind, left_on=["c_custkey"], right_on=["o_custkey"]).df
 
     return run
 
@@ -57,8 +66,8 @@ for _name, _kind, _sql in (
     ("join_left", "left", f"SELECT c_custkey, c_nationkey, o_orderkey, o_custkey FROM customer LEFT JOIN {_O} ON c_custkey = o_custkey"),
     ("join_right", "right", f"SELECT c_custkey, c_nationkey, o_orderkey, o_custkey FROM customer RIGHT JOIN {_O} ON c_custkey = o_custkey"),
     ("join_full", "full", f"SELECT c_custkey, c_nationkey, o_orderkey, o_custkey FROM customer FULL JOIN {_O} ON c_custkey = o_custkey"),
-    ("join_semi", "left_semi", f"SELECT c_custkey, c_nationkey FROM customer WHERE EXISTS (SELECT 1 FROM {_O} WHERE c_custkey = o_custkey)"),
-    ("join_anti", "left_anti", f"SELECT c_custkey, c_nationkey FROM customer WHERE NOT EXISTS (SELECT 1 FROM {_O} WHERE c_custkey = o_custkey)"),
+    ("join_semi", "semi", f"SELECT c_custkey, c_nationkey FROM customer WHERE EXISTS (SELECT 1 FROM {_O} WHERE c_custkey = o_custkey)"),
+    ("join_anti", "anti", f"SELECT c_custkey, c_nationkey FROM customer WHERE NOT EXISTS (SELECT 1 FROM {_O} WHERE c_custkey = o_custkey)"),
 ):
     _f = _join(_kind)
     _f.__name__ = _name
@@ -67,34 +76,36 @@ for _name, _kind, _sql in (
 
 @query("SELECT s_suppkey, n_nationkey, n_name FROM supplier JOIN nation ON s_nationkey = n_nationkey AND s_acctbal > n_nationkey * 300")
 def join_on_inequality(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "supplier").join(table(spark, d, "nation"), (F.col("s_nationkey") == F.col("n_nationkey")) & (F.col("s_acctbal") > F.col("n_nationkey") * 300)).select("s_suppkey", "n_nationkey", "n_name")
+    s, n = _frame(spark, d, "supplier"), _frame(spark, d, "nation")
+    return s.join_on(n, s["s_nationkey"] == n["n_nationkey"], s["s_acctbal"] > n["n_nationkey"] * 300).select("s_suppkey", "n_nationkey", "n_name").df
 
 
 @query("SELECT r_name, n_name FROM region CROSS JOIN nation WHERE length(r_name) > length(n_name)")
 def join_cross_theta(spark: SparkSession, d: str) -> DataFrame:
     # Two fixed dimension tables of 5 and 25 rows.
-    return table(spark, d, "region").join(table(spark, d, "nation"), F.length("r_name") > F.length("n_name")).select("r_name", "n_name")
+    return _frame(spark, d, "region").join_on(_frame(spark, d, "nation"), F.length("r_name") > F.length("n_name")).select("r_name", "n_name").df
 
 
 @query("SELECT o_orderkey, c_name FROM orders JOIN (SELECT c_custkey AS o_custkey, c_name FROM customer) c USING (o_custkey) WHERE o_orderpriority = '1-URGENT'")
 def join_using(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "orders").where("o_orderpriority = '1-URGENT'").join(table(spark, d, "customer").withColumnRenamed("c_custkey", "o_custkey"), "o_custkey").select("o_orderkey", "c_name")
+    c = _frame(spark, d, "customer").with_column_renamed("c_custkey", "o_custkey")
+    return _frame(spark, d, "orders").filter("o_orderpriority = '1-URGENT'").join(c, "o_custkey").select("o_orderkey", "c_name").df
 
 
 @query("SELECT o_orderpriority, o_orderstatus, count(*) AS n, round(sum(o_totalprice), 2) AS total, grouping(o_orderpriority) AS g1, grouping(o_orderstatus) AS g2 FROM orders GROUP BY ROLLUP (o_orderpriority, o_orderstatus)")
 def agg_rollup(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "orders").rollup("o_orderpriority", "o_orderstatus").agg(F.count("*").alias("n"), F.round(F.sum("o_totalprice"), 2).alias("total"), F.grouping("o_orderpriority").alias("g1"), F.grouping("o_orderstatus").alias("g2"))
+    aggs = [F.count("*").alias("n"), F.round(F.sum("o_totalprice"), 2).alias("total"), F.grouping("o_orderpriority").alias("g1"), F.grouping("o_orderstatus").alias("g2")]
+    return _frame(spark, d, "orders").aggregate(["o_orderpriority", "o_orderstatus"], aggs, "rollup").df
 
 
 @query("SELECT o_orderpriority, o_orderstatus, count(*) AS n FROM orders GROUP BY CUBE (o_orderpriority, o_orderstatus)")
 def agg_cube(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "orders").cube("o_orderpriority", "o_orderstatus").agg(F.count("*").alias("n"))
+    return _frame(spark, d, "orders").aggregate(["o_orderpriority", "o_orderstatus"], [F.count("*").alias("n")], "cube").df
 
 
 @query("SELECT o_orderpriority, o_orderstatus, count(*) AS n FROM orders GROUP BY GROUPING SETS ((o_orderpriority), (o_orderstatus), ())")
 def agg_grouping_sets(spark: SparkSession, d: str) -> DataFrame:
-    o = table(spark, d, "orders")
-    return o.groupingSets([["o_orderpriority"], ["o_orderstatus"], []], "o_orderpriority", "o_orderstatus").agg(F.count("*").alias("n"))
+    return _frame(spark, d, "orders").aggregate(["o_orderpriority", "o_orderstatus"], [F.count("*").alias("n")], [["o_orderpriority"], ["o_orderstatus"], []]).df
 
 
 @query("""SELECT event_type, count(DISTINCT user_id) AS users, count(*) FILTER (WHERE value > 50) AS big, sum(DISTINCT CAST(user_id AS BIGINT) % 10)::BIGINT AS s, round(median(value), 6) AS med, round(quantile_cont(value, 0.9), 6) AS p90,
@@ -143,9 +154,9 @@ _A, _B = "SELECT l_suppkey AS k FROM lineitem WHERE l_quantity > 45", "SELECT l_
 
 def _set(how: str):
     def run(spark: SparkSession, d: str) -> DataFrame:
-        l = table(spark, d, "lineitem")
-        a, b = l.where("l_quantity > 45").select(F.col("l_suppkey").alias("k")), l.where("l_quantity < 5").select((F.col("l_partkey") % 120).alias("k"))
-        return {"union_all": lambda: a.unionAll(b), "union_distinct": lambda: a.union(b).distinct(), "intersect": lambda: a.intersect(b), "intersect_all": lambda: a.intersectAll(b), "except": lambda: a.subtract(b), "except_all": lambda: a.exceptAll(b)}[how]()
+        l = _frame(spark, d, "lineitem")
+        a, b = l.filter("l_quantity > 45").select(F.col("l_suppkey").alias("k")), l.filter("l_quantity < 5").select((F.col("l_partkey") % 120).alias("k"))
+        return {"union_all": lambda: a.union(b), "union_distinct": lambda: a.union_distinct(b), "intersect": lambda: a.intersect(b, True), "intersect_all": lambda: a.intersect(b), "except": lambda: a.except_all(b, True), "except_all": lambda: a.except_all(b)}[how]().df
 
     return run
 
@@ -158,25 +169,24 @@ for _how in ("union_all", "union_distinct", "intersect", "intersect_all", "excep
 
 @query("SELECT c_custkey AS id, c_name AS name, NULL AS bal FROM customer UNION ALL SELECT s_suppkey, s_name, s_acctbal FROM supplier")
 def set_union_by_name(spark: SparkSession, d: str) -> DataFrame:
-    c = table(spark, d, "customer").select(F.col("c_name").alias("name"), F.col("c_custkey").alias("id"))
-    s = table(spark, d, "supplier").select(F.col("s_suppkey").alias("id"), F.col("s_acctbal").alias("bal"), F.col("s_name").alias("name"))
-    return c.unionByName(s, allowMissingColumns=True)
+    c = _frame(spark, d, "customer").select(F.col("c_name").alias("name"), F.col("c_custkey").alias("id"))
+    s = _frame(spark, d, "supplier").select(F.col("s_suppkey").alias("id"), F.col("s_acctbal").alias("bal"), F.col("s_name").alias("name"))
+    return c.union_by_name(s).df
 
 
 @query("SELECT DISTINCT p_brand, p_size % 5 AS s FROM part")
 def distinct_rows(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "part").select("p_brand", (F.col("p_size") % 5).alias("s")).distinct()
+    return _frame(spark, d, "part").select("p_brand", (F.col("p_size") % 5).alias("s")).distinct().df
 
 
 @query("SELECT DISTINCT ON (o_custkey) o_custkey, o_orderkey, o_totalprice FROM orders ORDER BY o_custkey, o_totalprice DESC, o_orderkey")
 def distinct_on(spark: SparkSession, d: str) -> DataFrame:
-    w = Window.partitionBy("o_custkey").orderBy(F.desc("o_totalprice"), "o_orderkey")
-    return table(spark, d, "orders").withColumn("rn", F.row_number().over(w)).where("rn = 1").select("o_custkey", "o_orderkey", "o_totalprice")
+    return _frame(spark, d, "orders").distinct_on(["o_custkey"], ["o_custkey", "o_orderkey", "o_totalprice"], [F.desc("o_totalprice"), "o_orderkey"]).df
 
 
 @query("SELECT o_orderkey, o_totalprice FROM orders ORDER BY o_totalprice DESC, o_orderkey LIMIT 50 OFFSET 10")
 def sort_limit_offset(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "orders").orderBy(E.order_by("o_totalprice", False, False), "o_orderkey").offset(10).limit(50).select("o_orderkey", "o_totalprice")
+    return _frame(spark, d, "orders").sort(E.order_by("o_totalprice", False, False), "o_orderkey").limit(50, 10).select("o_orderkey", "o_totalprice").df
 
 
 @query("SELECT doc_id, CAST(row_number() OVER (ORDER BY status ASC NULLS FIRST, category DESC NULLS LAST, doc_id) AS INTEGER) AS place FROM documents QUALIFY place <= 100")
@@ -187,7 +197,8 @@ def sort_nulls(spark: SparkSession, d: str) -> DataFrame:
 
 @query("SELECT query_id, p AS field FROM (SELECT DISTINCT ON (query_id) * FROM queries), unnest(projection) AS t(p)")
 def unnest_array(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "queries").dropDuplicates(["query_id"]).select("query_id", F.explode("projection").alias("field"))
+    once = _frame(spark, d, "queries").distinct_on(["query_id"], ["query_id", F.col("projection").alias("field")], ["issued_at"])
+    return once.unnest_columns("field", preserve_nulls=False).df
 
 
 @query("SELECT query_id, e.doc_id AS doc_id, round(e._distance, 3) AS dist FROM (SELECT DISTINCT ON (query_id) query_id, expected FROM queries), unnest(expected) AS t(e)")
@@ -197,17 +208,18 @@ def unnest_structs(spark: SparkSession, d: str) -> DataFrame:
 
 @query("SELECT query_id, e.doc_id AS doc_id FROM (SELECT DISTINCT ON (query_id) query_id, expected FROM queries) LEFT JOIN unnest(expected) AS t(e) ON true")
 def unnest_preserving_nulls(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "queries").dropDuplicates(["query_id"]).select("query_id", F.explode_outer("expected").alias("e")).select("query_id", F.col("e.doc_id").alias("doc_id"))
+    once = _frame(spark, d, "queries").distinct_on(["query_id"], ["query_id", F.col("expected").alias("e")], ["issued_at"])
+    return once.unnest_columns("e").select("query_id", F.col("e.doc_id").alias("doc_id")).df
 
 
 @query("SELECT * FROM (VALUES (1, 'a'), (2, 'b'), (3, NULL)) AS t(id, name)")
 def values_relation(spark: SparkSession, d: str) -> DataFrame:
-    return spark.sql("SELECT * FROM VALUES (1, 'a'), (2, 'b'), (3, NULL) AS t(id, name)")
+    return SessionContext(spark).sql("SELECT * FROM VALUES (1, 'a'), (2, 'b'), (3, NULL) AS t(id, name)").df
 
 
 @query("WITH RECURSIVE t(n, f) AS (SELECT 1, 1::BIGINT UNION ALL SELECT n + 1, f * (n + 1) FROM t WHERE n < 15) SELECT n, f FROM t")
 def recursive_cte(spark: SparkSession, d: str) -> DataFrame:
-    return spark.sql("WITH RECURSIVE t(n, f) AS (SELECT 1, CAST(1 AS BIGINT) UNION ALL SELECT n + 1, f * (n + 1) FROM t WHERE n < 15) SELECT n, f FROM t")
+    return SessionContext(spark).sql("WITH RECURSIVE t(n, f) AS (SELECT 1, CAST(1 AS BIGINT) UNION ALL SELECT n + 1, f * (n + 1) FROM t WHERE n < 15) SELECT n, f FROM t").df
 
 
 _SUB = """SELECT o_orderkey FROM orders o WHERE o_totalprice > (SELECT avg(o_totalprice) * 1.8 FROM orders) AND EXISTS (SELECT 1 FROM lineitem l WHERE l.l_orderkey = o.o_orderkey AND l.l_quantity > 40)
@@ -216,8 +228,7 @@ AND o_custkey IN (SELECT c_custkey FROM customer WHERE c_acctbal > 0)"""
 
 @query(_SUB)
 def sql_subqueries(spark: SparkSession, d: str) -> DataFrame:
-    _views(spark, d, "orders", "lineitem", "customer")
-    return spark.sql(_SUB)
+    return _context(spark, d, "orders", "lineitem", "customer").sql(_SUB).df
 
 
 _CORR = "SELECT p_partkey, p_retailprice FROM part p WHERE p_retailprice = (SELECT max(q.p_retailprice) FROM part q WHERE q.p_brand = p.p_brand)"
@@ -225,14 +236,12 @@ _CORR = "SELECT p_partkey, p_retailprice FROM part p WHERE p_retailprice = (SELE
 
 @query(_CORR)
 def sql_correlated_scalar(spark: SparkSession, d: str) -> DataFrame:
-    _views(spark, d, "part")
-    return spark.sql(_CORR)
+    return _context(spark, d, "part").sql(_CORR).df
 
 
 @query("SELECT c_custkey, c_acctbal FROM customer WHERE c_acctbal > 9000 AND c_mktsegment = 'BUILDING'")
 def sql_parameters(spark: SparkSession, d: str) -> DataFrame:
-    _views(spark, d, "customer")
-    return spark.sql("SELECT c_custkey, c_acctbal FROM customer WHERE c_acctbal > :least AND c_mktsegment = :segment", args={"least": 9000, "segment": "BUILDING"})
+    return _context(spark, d, "customer").sql("SELECT c_custkey, c_acctbal FROM customer WHERE c_acctbal > :least AND c_mktsegment = :segment", {"least": 9000, "segment": "BUILDING"}).df
 
 
 @query("SELECT p_partkey, CASE WHEN p_size < 10 THEN 'small' WHEN p_size < 30 THEN 'medium' ELSE 'large' END AS class, CASE p_size WHEN 1 THEN 'one' ELSE NULL END AS one, coalesce(nullif(p_brand, 'Brand#11'), '-') AS brand, greatest(p_size, 25) AS g, least(p_size, 25) AS l FROM part")
@@ -320,7 +329,7 @@ def pivot_counts(spark: SparkSession, d: str) -> DataFrame:
 
 @query("SELECT doc_id, coalesce(status, 'unknown') AS status, coalesce(category, 'unknown') AS category, coalesce(n_chars, 0) AS n_chars FROM documents")
 def fill_null(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "documents").select("doc_id", "status", "category", "n_chars").fillna("unknown").fillna(0)
+    return _frame(spark, d, "documents").select("doc_id", "status", "category", "n_chars").fill_null("unknown").fill_null(0).df
 
 
 QUERIES, ORACLE = query.queries, query.sql
