@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import warnings
 from collections.abc import Callable, Iterator, Sequence
 from typing import Any
 
@@ -75,7 +76,9 @@ def sql_udaf(make: Callable[[], Accumulator], returns: str) -> Callable[..., Col
         acc.update(*args)
         return acc.evaluate()
 
-    return F.arrow_udf(whole, returns, ArrowUDFType.GROUPED_AGG)
+    with warnings.catch_warnings():
+        warnings.simplefilter("ignore", UserWarning)  # type hints cannot tell a number of arguments that the call decides
+        return F.arrow_udf(whole, returns, ArrowUDFType.GROUPED_AGG)
 
 
 def udaf(df: DataFrame, group_by: Sequence[str], inputs: Sequence[str], make: Callable[[], Accumulator], returns: str, out: str) -> DataFrame:

@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import asyncio
+import threading
+from functools import reduce
+
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -10,7 +14,11 @@ from ridgeline import functions as E
 from ridgeline.plans.lineage import scratch_folder
 from ridgeline.plans.registry import Registry
 from ridgeline.sources.tables import table
-from ridgeline.vector import IVF, connect
+from ridgeline.vector import IVF, SessionConfig, connect, connect_async, search
+from ridgeline.vector.client import Client
+from ridgeline.vector.maintenance import publish
+from ridgeline.vector.server import serve
+from ridgeline.vector.storage import Warehouse
 
 query = Registry()
 _D = "list_distance(e.embedding::DOUBLE[], q.embedding::DOUBLE[]) ** 2"
@@ -28,7 +36,7 @@ def _indexed(spark: SparkSession, d: str, config: IVF, **how) -> DataFrame:
     q = t.search(_first(spark, d)).limit(how.get("k", 20)).nprobes(how.get("nprobe", config.nlist))
     if "where" in how:
         q = q.where(how["where"])
-    return session.dataframe(q).select("vec_id", F.round(F.col("_distance").cast("double"), 4).alias("dist"))
+    return session.dataframe(q).select("vec_id", F.round(F.col("_distance").cast("double"), how.get("digits", 4)).alias("dist"))
 
 
 @query(f"SELECT e.vec_id, round({_D}, 4) AS dist FROM embeddings e, {_Q} ORDER BY {_D}, e.vec_id LIMIT 20")
@@ -70,9 +78,96 @@ def ivf_lvq8_probed(spark: SparkSession, d: str) -> DataFrame:
     return _indexed(spark, d, IVF(16, "lvq8"), nprobe=4)
 
 
-@query()
+_DECODED = """SELECT vec_id, round(dist, 3) AS dist FROM (SELECT e.vec_id, list_sum(list_transform(list_zip(e.x, q.x), lambda p: (e.lo::FLOAT::DOUBLE + ((e.hi - e.lo) / {top})::FLOAT::DOUBLE * floor({top} * (p[1] - e.lo) / (e.hi - e.lo) + 0.5) - p[2]) ** 2)) AS dist
+FROM (SELECT vec_id, embedding::DOUBLE[] AS x, list_min(embedding)::DOUBLE AS lo, list_max(embedding)::DOUBLE AS hi FROM embeddings {where}) e, (SELECT embedding::DOUBLE[] AS x FROM embeddings WHERE vec_id = 0) q) ORDER BY dist::FLOAT, vec_id LIMIT 20"""
+
+
+@query(_DECODED.format(top=15, where=""))
 def ivf_lvq4_all_clusters(spark: SparkSession, d: str) -> DataFrame:
-    return _indexed(spark, d, IVF(16, "lvq4"))
+    return _indexed(spark, d, IVF(16, "lvq4"), digits=3)
+
+
+@query(_DECODED.format(top=255, where="WHERE label < 5"))
+def ivf_lvq8_filtered(spark: SparkSession, d: str) -> DataFrame:
+    return _indexed(spark, d, IVF(16, "lvq8"), where="label < 5", digits=3)
+
+
+@query("SELECT 'clusters' AS what, 16 AS n UNION ALL SELECT 'rows', count(*) FROM embeddings UNION ALL SELECT 'all clusters found', 20 UNION ALL SELECT 'four clusters found some', 1 UNION ALL SELECT 'files', 1 UNION ALL SELECT 'routed', 4 UNION ALL SELECT 'first is itself', 0")
+def ivf_recall(spark: SparkSession, d: str) -> DataFrame:
+    """What an index holds, and how much of the exact answer it finds."""
+    session = connect(spark, scratch_folder(spark))
+    t = session.register_parquet("vectors", f"{d}/embeddings.parquet")
+    t.create_index("i", "embedding", "vec_id", IVF(16))
+    near = t.search(_first(spark, d)).limit(20)
+    _, snapshot = session._chosen(near)
+    centroids = search._centroids(session.warehouse.uri, search.relations(session.warehouse, snapshot)[0], int(snapshot["parameters"]["dimension"]))
+    cids = search.route(centroids, search.canonical_query(near.vector, None, "l2_squared"), 4)
+    some = search.postings(spark, session.warehouse, snapshot, cids)
+    exact = session.dataframe(near.bypass_vector_index().select(["vec_id"])).withColumn("q", F.lit(0))
+    full = search.recall(exact, session.dataframe(near.nprobes(16).select(["vec_id"])).withColumn("q", F.lit(0)), "q", "vec_id").first()["recall"]
+    part = session.recall(near.nprobes(4), "vec_id")
+    rows = [
+        ("clusters", len(centroids)), ("rows", search.postings(spark, session.warehouse, snapshot, None).count()), ("all clusters found", round(20 * full)), ("four clusters found some", int(part > 0)), ("files", int(some.count() < snapshot["indexed-rows"])),
+        ("routed", some.select("cid").distinct().count()), ("first is itself", session.dataframe(near.nprobes(1)).first()["vec_id"]),
+    ]
+    return spark.createDataFrame(rows, "what string, n bigint")
+
+
+@query("""SELECT * FROM (VALUES ('created', 'l2_squared', 'source', 8), ('refreshed', 'l2_squared', 'lvq8', 4), ('attached', 'l2_squared', 'lvq8', 4)) t(step, metric, encoding, nlist), (SELECT count(*) AS n FROM embeddings)""")
+def ivf_life_cycle(spark: SparkSession, d: str) -> DataFrame:
+    """Created, refreshed with other settings, published to another warehouse and attached there."""
+    where, out = scratch_folder(spark), []
+
+    def note(step: str, t) -> None:
+        (i,) = t.list_indexes()
+        out.append((step, i["metric"], i["encoding"], i["nlist"], i["rows"]))
+
+    with connect(spark, f"{where}/a") as session:
+        t = session.register_parquet("vectors", f"{d}/embeddings.parquet")
+        t.create_index("i", "embedding", "vec_id", IVF(8))
+        note("created", t)
+        t.refresh_index("i", IVF(4, "lvq8"))
+        note("refreshed", t)
+        assert t.index_status("i")["phase"] == "ready" and session.maintenance().remove_orphans() == [] and session.leases.alive("build") == []
+        location = session.catalog.load("vectors", "i")
+        publish(session.warehouse, location, Warehouse(f"{where}/b"))
+        other = connect(spark, f"{where}/b")
+        u = other.register_parquet("vectors", f"{d}/embeddings.parquet")
+        u.register_index("i", location)
+        note("attached", u)
+        first = lambda s, x: [(r["vec_id"], r["_distance"]) for r in s.collect(x.search(_first(spark, d)).limit(5).nprobes(2)).to_pylist()]
+        assert first(session, t) == first(other, u) and "Scan" in session.explain(t.search(_first(spark, d))) and session.analyze(t.search(_first(spark, d)).limit(5))["rows"] == 5
+        other.close()
+    return spark.createDataFrame(out, "step string, metric string, encoding string, nlist int, n bigint")
+
+
+@query(f"SELECT vec_id, round(dist, 4) AS dist FROM (SELECT e.vec_id, {_D} AS dist FROM embeddings e, {_Q} WHERE e.label = 2) ORDER BY dist, vec_id LIMIT 7")
+def http_search(spark: SparkSession, d: str) -> DataFrame:
+    """The same search through the server and its client; the batches come as Spark has them."""
+    with connect(spark, scratch_folder(spark), SessionConfig(query_concurrency=2)) as session:
+        server = serve(session, port=0, sources=[f"{d}/*.parquet"])
+        threading.Thread(target=server.serve_forever, daemon=True).start()
+        client = Client(f"http://127.0.0.1:{server.server_port}")
+        client.register_parquet("vectors", f"{d}/embeddings.parquet")
+        assert client.list_tables() == ["vectors"] and client.describe("vectors")["columns"][0]["name"] == "vec_id"
+        got = client.collect(client.search("vectors", _first(spark, d)).where("label = 2").limit(7).select(["vec_id"]).bypass_vector_index())
+        assert client.sql("SELECT count(*) AS n FROM vectors").num_rows == 1
+        server.shutdown()
+    return spark.createDataFrame(got).select("vec_id", F.round(F.col("_distance").cast("double"), 4).alias("dist"))
+
+
+@query(f"SELECT query_no, vec_id, round(raw, 4) AS dist FROM (SELECT q.n AS query_no, e.vec_id, {_D} AS raw, row_number() OVER (PARTITION BY q.n ORDER BY {_D}, e.vec_id) AS r FROM embeddings e, (SELECT vec_id AS n, embedding FROM embeddings WHERE vec_id < 3) q) WHERE r <= 4")
+def session_batch(spark: SparkSession, d: str) -> DataFrame:
+    """Several queries of a session in one plan, through an awaited session."""
+    some = {r["vec_id"]: r["embedding"] for r in table(spark, d, "embeddings").where("vec_id < 3").collect()}
+
+    async def run() -> DataFrame:
+        session = await connect_async(spark, scratch_folder(spark))
+        t = (await session.register_parquet("vectors", f"{d}/embeddings.parquet")).session
+        await asyncio.to_thread(t.create_index, "i", "embedding", "vec_id", IVF(4))
+        return await session.batch([t.search(some[i]).limit(4).nprobes(4).select(["vec_id"]) for i in sorted(some)])
+
+    return asyncio.run(run()).select(F.col("query_no").cast("bigint").alias("query_no"), "vec_id", F.round(F.col("_distance").cast("double"), 4).alias("dist"))
 
 
 _LVQ = """SELECT vec_id, {code} AS code, round(lo, 6) AS lo, round((hi - lo) / {top}, 7) AS scale FROM (
@@ -94,23 +189,38 @@ def vector_functions(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "embeddings").select("vec_id", F.round(E.inner_product("embedding", q), 5).alias("ip"), F.round(E.cosine_distance("embedding", q), 5).alias("cd"), F.round(E.array_distance("embedding", q), 5).alias("l2"))
 
 
+BLOCK = 100_000  # queries of one pass
+
+
+def _matrix(column) -> np.ndarray:
+    """Rows of equal length, without a Python value an element."""
+    ends = column.offsets.to_numpy()
+    flat = column.values.to_numpy(zero_copy_only=False)[ends[0] : ends[-1]].astype(np.float64)
+    return flat.reshape(len(column), -1) if len(column) else np.zeros((0, 1))
+
+
 @query(f"""WITH p AS (SELECT q.vec_id AS qid, e.vec_id, {_D} AS raw FROM embeddings e, (SELECT * FROM embeddings WHERE vec_id % 20 = 0) q)
 SELECT qid, vec_id, round(raw, 4) AS dist FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY raw, vec_id) AS r FROM p) WHERE r <= 5""")
 def batch_topk(spark: SparkSession, d: str) -> DataFrame:
-    """A stated query set against all rows: blocks of queries meet the table in one scan, each block a matrix product, and only k rows a query and partition go on."""
+    """A stated query set against all rows: blocks of queries meet the table in one scan each, as a matrix product, and only k rows a query and partition go on."""
+    e = table(spark, d, "embeddings")
+    asked = e.where("vec_id % 20 = 0").select("vec_id", "embedding")  # the stated query set
+    blocks = max(1, -(-asked.count() // BLOCK))
+    # A block of queries is small whatever their number: one pass over the table for each.
+    return reduce(DataFrame.unionAll, [_block(e, asked.where(F.pmod(F.xxhash64("vec_id"), F.lit(blocks)) == b)) for b in range(blocks)])
+
+
+def _block(e: DataFrame, queries: DataFrame) -> DataFrame:
     import pyarrow as pa
 
-    e = table(spark, d, "embeddings")
-    asked = e.where("vec_id % 20 = 0").select("vec_id", "embedding").toArrow()  # the stated query set
-    if asked.nbytes > 256 << 20:
-        raise ValueError("the query set is too large for one pass; split it")
+    asked = queries.toArrow().combine_chunks()
     ids = asked["vec_id"].to_numpy()
-    shared = spark.sparkContext.broadcast((ids, np.array(asked["embedding"].to_pylist(), np.float64)))
+    shared = e.sparkSession.sparkContext.broadcast((ids, _matrix(asked["embedding"].combine_chunks())))
 
     def scan(batches):
         qids, q = shared.value
         for b in batches:
-            x = np.array(b.column(1).to_pylist(), np.float64)
+            x = _matrix(b.column(1))
             v = b.column(0).to_numpy()
             d2 = ((q**2).sum(1)[:, None] + (x**2).sum(1)[None] - 2 * q @ x.T) if len(x) else np.zeros((len(q), 0))
             if len(x) > 5:  # up to the 5th smallest, with a margin for rounding: ties are settled by the exact order
