@@ -45,13 +45,18 @@ def kmeans(x: np.ndarray, k: int, iterations: int, rng: np.random.Generator) ->
     """``k`` centroids from distinct start rows; an empty cluster takes half of the largest by a small shift of its centre."""
     centres = x[rng.choice(len(x), k, replace=False)].astype(np.float32)
     for _ in range(iterations):
-        label = np.concatenate([distances(x[a : a + 4096], centres).argmin(1) for a in range(0, len(x), 4096)])
-        sizes = np.bincount(label, minlength=k)
-        order = np.argsort(label, kind="stable")
+        sizes, sums = np.zeros(k, np.int64), np.zeros((k, x.shape[1]))
+        for a in range(0, len(x), 4096):  # a block's sums come from a matrix product, blocks add up in double precision
+            rows = x[a : a + 4096]
+            label = distances(rows, centres).argmin(1)
+            mine, at = np.unique(label, return_inverse=True)
+            member = np.zeros((len(mine), len(rows)), np.float32)
+            member[at, np.arange(len(rows))] = 1
+            sums[mine] += member @ rows
+            sizes += np.bincount(label, minlength=k)
         filled = np.flatnonzero(sizes)
-        sums = np.add.reduceat(x[order].astype(np.float64), np.concatenate([[0], np.cumsum(sizes[filled])[:-1]]), axis=0)
         new = centres.copy()
-        new[filled] = (sums / sizes[filled, None]).astype(np.float32)
+        new[filled] = (sums[filled] / sizes[filled, None]).astype(np.float32)
         room = sizes.copy()
         for e in np.flatnonzero(sizes == 0):
             donor = int(room.argmax())
