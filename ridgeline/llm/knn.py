@@ -70,8 +70,26 @@ class Codes:
         return numbers[once.indices.fill_null(len(numbers) - 1).to_numpy()]
 
 
+def copies_of(ids: np.ndarray, x: np.ndarray, tags: np.ndarray, lists: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(rows, starts, ids): one row of each group of equal vectors with equal tags, in the order of the lists, and the groups' ids, smallest first, from ``starts`` on."""
+    marks = np.random.default_rng(1).integers(1 << 62, size=x.shape[1] + 1)
+    whole = np.ascontiguousarray(np.concatenate([x.view(np.int32), tags.astype(np.int32)[:, None]], 1))
+    with np.errstate(over="ignore"):
+        digest = whole.astype(np.int64) @ marks
+    if len(np.unique(digest)) == len(x):
+        return np.arange(len(x)), np.arange(len(x) + 1), ids
+    _, first, group = np.unique(whole.view(np.dtype((np.void, whole.shape[1] * 4)))[:, 0], return_index=True, return_inverse=True)
+    place = np.argsort(lists[first], kind="stable")
+    number = np.empty(len(place), np.int64)
+    number[place] = np.arange(len(place))
+    group = number[group]
+    return first[place], np.concatenate([[0], np.cumsum(np.bincount(group))]), ids[np.lexsort((ids, group))]
+
+
 def scan_cell(ids: np.ndarray, x: np.ndarray, tags: np.ndarray, lists: np.ndarray, qids: np.ndarray, q: np.ndarray, ks: np.ndarray, wanted: np.ndarray, probes: pa.ListArray, bound: np.ndarray, turn: tuple[np.ndarray, list[float]], s: Search) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(query ids, ids, exact squared distances) of up to k candidates a query. ``tags``, ``wanted``: codes, -1 wants any."""
+    """(query ids, ids, exact squared distances) of up to k candidates a query. ``tags``, ``wanted``: codes, -1 wants any. Copies are measured once."""
+    kept, starts, ids = copies_of(ids, x, tags, lists)
+    x, tags, lists, weight = x[kept], tags[kept], lists[kept], np.diff(starts)
     dim = x.shape[1]
     bounds = [0, *[b for b in s.blocks if b < dim], dim]
     rot, factor = turn
@@ -117,11 +135,10 @@ def scan_cell(ids: np.ndarray, x: np.ndarray, tags: np.ndarray, lists: np.ndarra
                 continue
             o = np.lexsort((d, i))
             i, j, d = i[o], j[o], d[o]
-            first = np.searchsorted(i, i)
-            rank = np.arange(len(i)) - first
-            kth = rank == ks[rows[i]] - 1
+            begins, upto = _cumulated(i, weight[a + j])
+            kth = (upto >= ks[rows[i]]) & (upto - weight[a + j] < ks[rows[i]])
             # Before the k-th of them some other may be wrong by more.
-            wrong = wq[rows[i]] + np.maximum.reduceat(wx[a + j], np.flatnonzero(first == np.arange(len(i))))[np.cumsum(rank == 0) - 1]
+            wrong = wq[rows[i]] + np.maximum.reduceat(wx[a + j], np.flatnonzero(begins))[np.cumsum(begins) - 1]
             tau[rows[i[kth]]] = np.fmin(tau[rows[i[kth]]], (d[kth] + wrong[kth]) * (1 + 1e-4) + 1e-3)
             near = ~(d > tau[rows[i]] + wrong)
             got_q.append(rows[i[near]])
@@ -133,10 +150,31 @@ def scan_cell(ids: np.ndarray, x: np.ndarray, tags: np.ndarray, lists: np.ndarra
     ok = ~(d > tau[i] + wq[i] + wx[j])
     i, j = i[ok], j[ok]
     exact = np.concatenate([((x[j[c : c + 65536]].astype(np.float64) - q[i[c : c + 65536]]) ** 2).sum(1) for c in range(0, len(i), 65536)] or [np.zeros(0)])
-    o = np.lexsort((ids[j], exact, i))
+    o = np.lexsort((exact, i))
     i, j, exact = i[o], j[o], exact[o]
+    # Up to the distance of the k-th candidate, ties with it too; of each group of copies the k smallest ids; then the k best.
+    begins, upto = _cumulated(i, weight[j])
+    limit = np.full(len(q), np.inf)
+    at_k = np.flatnonzero((upto >= ks[i]) & (upto - weight[j] < ks[i]))
+    limit[i[at_k]] = exact[at_k]
+    ok = exact <= limit[i]
+    i, j, exact = i[ok], j[ok], exact[ok]
+    many = np.minimum(weight[j], ks[i])
+    of = np.repeat(np.arange(len(i)), many)
+    found = ids[np.repeat(starts[j], many) + np.arange(len(of)) - np.repeat(np.cumsum(many) - many, many)]
+    i, exact = i[of], exact[of]
+    o = np.lexsort((found, exact, i))
+    i, found, exact = i[o], found[o], exact[o]
     best = np.arange(len(i)) - np.searchsorted(i, i) < ks[i]
-    return qids[i[best]], ids[j[best]], exact[best]
+    return qids[i[best]], found[best], exact[best]
+
+
+def _cumulated(group: np.ndarray, weight: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(where a group begins, weights up to each row within its group) of rows in the order of their groups."""
+    begins = np.concatenate([[True], group[1:] != group[:-1]]) if len(group) else np.zeros(0, bool)
+    total = np.cumsum(weight)
+    before = (total - weight)[begins]
+    return begins, total - (before[np.cumsum(begins) - 1] if len(group) else 0)
 
 
 def nearest_vectors(vectors: DataFrame, id_col: str, vector_col: str, queries: DataFrame, query_id: str, query_vector: str, k: str, *, dim: int, tag: str | None = None, wanted: str | None = None, search: Search = Search()) -> DataFrame:

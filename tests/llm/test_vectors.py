@@ -147,6 +147,23 @@ def test_many_tags_and_popular_queries(spark, how):
     assert hit >= 0.97 * sum(map(len, want))
 
 
+def test_copies_are_measured_once(spark):
+    rng = np.random.default_rng(31)
+    x = np.concatenate([np.repeat(points(3, 3, rng), [400, 150, 1], 0), points(200, 3, rng)])
+    order = rng.permutation(len(x))
+    x, ids, tags = x[order], rng.permutation(len(x)) * 7, np.array(["a", "b", None], object)[rng.integers(3, size=len(x))]
+    df = spark.createDataFrame([(int(i), v.tolist(), t) for i, v, t in zip(ids, x, tags)], "id long, vec array<float>, tag string")
+    q = np.concatenate([x[:60], x[:60] + 0.3]).astype(np.float32)
+    ks, wants = rng.integers(1, 200, len(q)), [None if i % 2 else "ab"[i % 3 % 2] for i in range(len(q))]
+    qs = spark.createDataFrame([(i, v.tolist(), int(k), w) for i, (v, k, w) in enumerate(zip(q, ks, wants))], "qid long, vec array<float>, k int, tag string")
+    got = {i: [] for i in range(len(q))}
+    for r in nearest_vectors(df, "id", "vec", qs, "qid", "vec", "k", dim=DIM, tag="tag", wanted="tag", search=Search(cell_rows=100)).collect():
+        got[r["qid"]].append((r["_distance"], r["id"]))
+    same = sum([j for _, j in sorted(got[i])] == brute(x, ids, tags, q[i].astype(np.float64), ks[i], wants[i]) for i in range(len(q)))
+    assert same >= 0.97 * len(q)
+    assert all(len(got[i]) == min(ks[i], len(x) if wants[i] is None else (tags == wants[i]).sum()) for i in range(len(q)))
+
+
 def test_usable_vectors_are_rare(spark):
     few = spark.createDataFrame([(7, [1.0] * DIM), (400_007, [2.0] * DIM), (900_001, [3.0] * DIM)], "id long, vec array<float>")
     df = spark.range(600_000).selectExpr("id + 10 AS id", "CAST(NULL AS array<float>) AS vec").unionAll(few)
