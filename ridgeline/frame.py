@@ -273,5 +273,8 @@ class Frame:
     def write_arrow(self, path: str, write: formats.WriteOptions = formats.WriteOptions()) -> None:
         formats.write(self.df, path, "arrow", write)
 
+    def write_avro(self, path: str, write: formats.WriteOptions = formats.WriteOptions()) -> None:
+        formats.write(self.df, path, "avro", write)
+
     def write_table(self, name: str, mode: str = "append") -> None:
         self.df.write.mode(mode).saveAsTable(name)

@@ -92,6 +92,12 @@ def _round_trip(kind: str):
         if kind == "json":
             Frame(rows).write_json(where)
             return formats.read_json(spark, where, schema)
+        if kind == "avro":
+            Frame(rows).write_avro(where, formats.WriteOptions(options={"compression": "deflate"}))
+            ctx = SessionContext(spark)
+            ctx.register_avro("customers_of_avro", where)
+            assert ctx.read_avro(where, schema="c_name string").schema().names == ["c_name"]
+            return ctx.table("customers_of_avro").df
         Frame(rows).write_arrow(where)
         return formats.read_arrow(spark, where)
 
@@ -99,7 +105,7 @@ def _round_trip(kind: str):
     return run
 
 
-for _kind in ("parquet", "csv", "json", "arrow"):
+for _kind in ("parquet", "csv", "json", "arrow", "avro"):
     query("SELECT c_custkey, c_name, c_nationkey, round(c_acctbal, 2) AS c_acctbal, c_mktsegment FROM customer")(_round_trip(_kind))
 
 

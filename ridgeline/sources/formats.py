@@ -12,9 +12,15 @@ from typing import Any
 import pyarrow as pa
 import pyarrow.dataset as pads
 import pyarrow.fs as pafs
+from py4j.protocol import Py4JJavaError
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.pandas.types import from_arrow_schema
+from pyspark.sql.pandas.types import from_arrow_schema, to_arrow_schema
+from pyspark.sql.types import StructType, _parse_datatype_string
+
+from ridgeline.plans.ship import ship
+from ridgeline.sources import avro
 
 
 @dataclass(frozen=True)
@@ -87,10 +93,38 @@ def read_json(spark: SparkSession, path: str, schema: str | None = None, infer_s
     return (r.schema(schema) if schema else r).json(path)
 
 
-def read_avro(spark: SparkSession, path: str, schema: str | None = None) -> DataFrame:
-    """Needs Spark's Avro module on the class path."""
-    r = spark.read.format("avro")
-    return (r.schema(schema) if schema else r).load(path)
+def _avro_module(spark: SparkSession) -> bool:
+    """Whether Spark's Avro module is on the class path."""
+    try:
+        spark._jvm.org.apache.spark.sql.execution.datasources.DataSource.lookupDataSource("avro", spark._jsparkSession.sessionState().conf())
+        return True
+    except (AnalysisException, Py4JJavaError):
+        return False
+
+
+def read_avro(spark: SparkSession, path: str, schema: str | None = None, file_extension: str = ".avro") -> DataFrame:
+    """By Spark's Avro module, or without it by tasks that decode a file each; ``schema`` picks columns by name."""
+    if _avro_module(spark):
+        r = spark.read.format("avro")
+        return (r.schema(schema) if schema else r).load(path)
+    ship(spark)
+    fs, where = _located(path)
+    files = _arrow_files(fs, where, file_extension)
+    if not files:
+        raise FileNotFoundError(path)
+    kind = avro.spark_type(avro.schema_of(fs, files[0]))
+    if not isinstance(kind, StructType):
+        raise ValueError("an Avro table holds records")
+    out = to_arrow_schema(kind)
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for f in b.column(0).to_pylist():
+                for rows in avro.rows_of(fs, f):
+                    yield pa.RecordBatch.from_pylist(rows, schema=out)
+
+    df = spark.createDataFrame([(f,) for f in files], "path string").repartition(len(files), "path").mapInArrow(read, kind)
+    return df if schema is None else df.select(*[F.col(f"`{f.name}`").cast(f.dataType) for f in _parse_datatype_string(schema).fields])
 
 
 def read_iceberg(spark: SparkSession, table: str, snapshot_id: int) -> DataFrame:
@@ -103,15 +137,15 @@ def _located(path: str) -> tuple[pafs.FileSystem, str]:
     return pafs.FileSystem.from_uri(path if "://" in path else Path(path).absolute().as_uri().replace("%2A", "*").replace("%3F", "?").replace("%5B", "[").replace("%5D", "]"))
 
 
-def _arrow_files(fs: pafs.FileSystem, path: str) -> list[str]:
-    """A file, the ``.arrow`` files below a folder, or those a pattern fits."""
+def _arrow_files(fs: pafs.FileSystem, path: str, extension: str = ".arrow") -> list[str]:
+    """A file, those below a folder that end with the extension, or those a pattern fits."""
     if any(c in path for c in "*?["):
         base = path[: min(path.index(c) for c in "*?[" if c in path)].rsplit("/", 1)[0]
         found = fs.get_file_info(pafs.FileSelector(base or "/", allow_not_found=True, recursive=True))
         return sorted(f.path for f in found if f.type == pafs.FileType.File and fnmatch.fnmatchcase(f.path, path))
     info = fs.get_file_info(path)
     if info.type == pafs.FileType.Directory:
-        return sorted(f.path for f in fs.get_file_info(pafs.FileSelector(path, recursive=True)) if f.type == pafs.FileType.File and f.path.endswith(".arrow"))
+        return sorted(f.path for f in fs.get_file_info(pafs.FileSelector(path, recursive=True)) if f.type == pafs.FileType.File and f.path.endswith(extension))
     return [path] if info.type == pafs.FileType.File else []
 
 
@@ -167,21 +201,22 @@ def write(df: DataFrame, path: str, kind: str, options: WriteOptions = WriteOpti
         df = df.sortWithinPartitions(*options.sort_by)
     if options.single_file:
         df = df.coalesce(1)
-    if kind == "arrow":
-        _write_arrow(df, path, options)
+    if kind == "arrow" or kind == "avro" and not _avro_module(df.sparkSession):
+        _write_files(df, path, kind, options)
         return
     w = df.write.mode(options.mode).options(**options.options, **extra)
     (w.partitionBy(*options.partition_by) if options.partition_by else w).format(kind).save(path)
 
 
-def _write_arrow(df: DataFrame, path: str, options: WriteOptions) -> None:
+def _write_files(df: DataFrame, path: str, kind: str, options: WriteOptions) -> None:
+    """Arrow or Avro files, one a partition, written aside and moved, so that attempts of a task don't meet."""
     from pyspark import TaskContext
-    from pyspark.sql.pandas.types import to_arrow_schema
 
     if options.partition_by:
-        raise ValueError("Arrow files cannot be partitioned by columns")
+        raise ValueError(f"{kind} files cannot be partitioned by columns")
+    ship(df.sparkSession)
     fs, where = _located(path)
-    old = _arrow_files(fs, where)
+    old = _arrow_files(fs, where, f".{kind}")
     if old and options.mode == "error":
         raise FileExistsError(path)
     fs.create_dir(where, recursive=True)
@@ -190,16 +225,22 @@ def _write_arrow(df: DataFrame, path: str, options: WriteOptions) -> None:
         for f in old:
             fs.delete_file(f)
     schema = to_arrow_schema(df.schema)
+    record = avro.avro_type(df.schema) if kind == "avro" else None
+    codec = options.options.get("compression", "deflate")
 
     def save(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         task = TaskContext.get()
-        name = f"{where}/part-{task.partitionId() + offset:05d}.arrow"
-        aside = f"{name}.{task.taskAttemptId()}.tmp"  # attempts of a task don't meet
+        name = f"{where}/part-{task.partitionId() + offset:05d}.{kind}"
+        aside = f"{name}.{task.taskAttemptId()}.tmp"
         rows = 0
-        with fs.open_output_stream(aside) as sink, pa.ipc.new_file(sink, schema) as w:
-            for b in batches:
-                rows += b.num_rows
-                w.write_batch(b.cast(schema) if b.schema != schema else b)
+        with fs.open_output_stream(aside) as sink:
+            if record is not None:
+                rows = avro.write_rows(sink, record, (b.to_pylist() for b in batches), codec)
+            else:
+                with pa.ipc.new_file(sink, schema) as w:
+                    for b in batches:
+                        rows += b.num_rows
+                        w.write_batch(b.cast(schema) if b.schema != schema else b)
         fs.move(aside, name)
         yield pa.RecordBatch.from_arrays([pa.array([rows])], names=["rows"])
 

@@ -223,6 +223,23 @@ def test_dataset_keeps_the_keys_of_its_folders(spark, tmp_path):
     assert formats.read_dataset(spark, ds, ["k"], pads.field("v") > 9).count() == 0
 
 
+def test_avro_keeps_types(spark, tmp_path):
+    schema = "b boolean, i int, l bigint, f float, d double, s string, x binary, y date, t timestamp, n timestamp_ntz, c decimal(20,3), a array<int>, m map<string,double>, r struct<u:string,v:array<bigint>>"
+    day, at = dt.date(1969, 12, 30), dt.datetime(1969, 12, 31, 23, 59, 59, 123456)
+    import decimal
+
+    full = (True, -5, 1 << 60, 0.5, -1e300, "ä€", b"\x00\xff", day, at, at, decimal.Decimal("-12345678901234567.125"), [1, None, -3], {"k": 1.5, "z": None}, ("w", [1 << 40, None]))
+    df = spark.createDataFrame([full, (None,) * len(full), (False, 0, 0, 0.0, 0.0, "", b"", day, at, at, decimal.Decimal(0), [], {}, (None, []))], schema)
+    for codec in ("null", "deflate", "zstandard"):
+        Frame(df).write_avro(str(tmp_path / codec), formats.WriteOptions(options={"compression": codec}))
+        back = formats.read_avro(spark, str(tmp_path / codec))
+        assert back.schema.simpleString() == df.schema.simpleString() and sorted(map(repr, back.collect())) == sorted(map(repr, df.collect()))
+    with pytest.raises(FileExistsError):
+        Frame(df).write_avro(str(tmp_path / "null"))
+    with pytest.raises(FileNotFoundError):
+        formats.read_avro(spark, str(tmp_path / "nothing"))
+
+
 def test_plans_and_streams(spark):
     ctx = SessionContext(spark)
     f = Frame(spark.range(0, 1000, 1, 4)).aggregate([(F.col("id") % 7).alias("g")], [F.sum("id").alias("s")])
