@@ -89,7 +89,9 @@ def copies_of(ids: np.ndarray, x: np.ndarray, tags: np.ndarray, lists: np.ndarra
 def scan_cell(ids: np.ndarray, x: np.ndarray, tags: np.ndarray, lists: np.ndarray, qids: np.ndarray, q: np.ndarray, ks: np.ndarray, wanted: np.ndarray, probes: pa.ListArray, bound: np.ndarray, turn: tuple[np.ndarray, list[float]], s: Search) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(query ids, ids, exact squared distances) of up to k candidates a query. ``tags``, ``wanted``: codes, -1 wants any. Copies are measured once."""
     kept, starts, ids = copies_of(ids, x, tags, lists)
-    x, tags, lists, weight = x[kept], tags[kept], lists[kept], np.diff(starts)
+    weight, alone = np.diff(starts), len(kept) == len(ids)
+    if not alone:
+        x, tags, lists = x[kept], tags[kept], lists[kept]
     dim = x.shape[1]
     bounds = [0, *[b for b in s.blocks if b < dim], dim]
     rot, factor = turn
@@ -135,8 +137,12 @@ def scan_cell(ids: np.ndarray, x: np.ndarray, tags: np.ndarray, lists: np.ndarra
                 continue
             o = np.lexsort((d, i))
             i, j, d = i[o], j[o], d[o]
-            begins, upto = _cumulated(i, weight[a + j])
-            kth = (upto >= ks[rows[i]]) & (upto - weight[a + j] < ks[rows[i]])
+            if alone:
+                rank = np.arange(len(i)) - np.searchsorted(i, i)
+                begins, kth = rank == 0, rank == ks[rows[i]] - 1
+            else:
+                begins, upto = _cumulated(i, weight[a + j])
+                kth = (upto >= ks[rows[i]]) & (upto - weight[a + j] < ks[rows[i]])
             # Before the k-th of them some other may be wrong by more.
             wrong = wq[rows[i]] + np.maximum.reduceat(wx[a + j], np.flatnonzero(begins))[np.cumsum(begins) - 1]
             tau[rows[i[kth]]] = np.fmin(tau[rows[i[kth]]], (d[kth] + wrong[kth]) * (1 + 1e-4) + 1e-3)
@@ -402,11 +408,17 @@ def fit_rotation(sample: np.ndarray, s: Search) -> tuple[np.ndarray, list[float]
 def _cells(batches: Iterator[pa.RecordBatch], most: int = 2048) -> Iterator[tuple[dict[str, pa.Array], dict[str, pa.Array]]]:
     """(vectors, queries) of each cell of rows sorted by (cell, kind); a cell's queries come in blocks of about ``most``."""
     cell, vs, qs, waiting = None, [], [], 0
+    whole: dict[str, pa.Array] | None = None  # the vectors of the cell, put together once
+
+    def join(parts: list[pa.RecordBatch]) -> dict[str, pa.Array]:
+        t = pa.Table.from_batches(parts)
+        return {c: t[c].combine_chunks() if t[c].num_chunks != 1 else t[c].chunk(0) for c in t.column_names}
 
     def out() -> Iterator[tuple[dict, dict]]:
+        nonlocal whole
         if vs and qs:
-            join = lambda parts: (lambda t: {c: t[c].combine_chunks() if t[c].num_chunks != 1 else t[c].chunk(0) for c in t.column_names})(pa.Table.from_batches(parts))
-            yield join(vs), join(qs)
+            whole = whole or join(vs)
+            yield whole, join(qs)
 
     for b in batches:
         key = b.column(0).to_numpy().astype(np.int64) * 2 + b.column(1).to_numpy()
@@ -417,7 +429,7 @@ def _cells(batches: Iterator[pa.RecordBatch], most: int = 2048) -> Iterator[tupl
             this, kind = divmod(int(key[x]), 2)
             if this != cell:
                 yield from out()
-                cell, vs, qs, waiting = this, [], [], 0
+                cell, vs, qs, waiting, whole = this, [], [], 0, None
             (qs if kind else vs).append(b.slice(x, y - x))
             if kind:
                 waiting += y - x
