@@ -31,7 +31,7 @@ LEFT = 2  # kind of a row that says that a query has lists left, with the score
 class Search:
     """``lists_per_root_n``: lists per square root of the number of vectors, ``most_lists`` at most; ``sample_rows``: rows a list to fit the
     centres, ``most_sample`` in all (the only sampling: every vector is indexed); ``probes``: lists that one query probes at first, beyond those it
-    needs to see k candidates; ``cell_rows``: vectors of one cell; ``risk``: of a false abandonment by one hypothesis test; ``most_tags``: most frequent tags with
+    needs to see k candidates; ``cell_rows``: vectors of one cell; ``risk``: of a false abandonment by one hypothesis test; ``guides``: vectors of the sample whose distances bound a query's k-th one before it probes; ``most_tags``: most frequent tags with
     statistics of their own, the others share as many classes; ``task_queries``: about how many queries of one cell a task takes, estimated from ``plan_queries`` of them."""
 
     lists_per_root_n: float = 16.0
@@ -43,6 +43,7 @@ class Search:
     blocks: tuple[int, ...] = (8, 16, 32)
     risk: float = 0.001
     most_tags: int = 64
+    guides: int = 16_384
     task_queries: int = 16_384
     plan_queries: int = 2048
     seed: int = 7
@@ -203,11 +204,11 @@ def nearest_vectors(vectors: DataFrame, id_col: str, vector_col: str, queries: D
     names = (query_id, id_col, "_distance")
     total = vectors.count()
     want, lists = s.sizes(total)
-    sample = hashed_sample(v, want, total, s.seed, dim)[1]
+    sample, marks = hashed_sample(v, want, total, s.seed, dim, ["tag"])[1:]
     if len(sample) < want / 2 and len(sample) < total:  # many rows have no usable vector: only those that have one count
         total = v.count()
         want, lists = s.sizes(total)
-        sample = hashed_sample(v, want, total, s.seed, dim)[1]
+        sample, marks = hashed_sample(v, want, total, s.seed, dim, ["tag"])[1:]
     if not len(sample):
         return spark.createDataFrame([], f"`{names[0]}` bigint, `{names[1]}` bigint, _distance double")
     router = Router.fit(sample, min(lists, len(sample)), s.seed)
@@ -244,6 +245,7 @@ def nearest_vectors(vectors: DataFrame, id_col: str, vector_col: str, queries: D
         filled += n
         if n > s.cell_rows:
             cell, filled = cell + parts[l], 0
+    guide = (sample[: s.guides], code.of(marks[0].slice(0, s.guides), -3))
     copies, first = np.ones(int(max((cell_of + parts).max(), 1)), np.int64), np.arange(int(max((cell_of + parts).max(), 1)))
     asked = q.count()
     if asked > s.task_queries:  # a cell can be asked for so often that one task would hold up the rest
@@ -252,17 +254,17 @@ def nearest_vectors(vectors: DataFrame, id_col: str, vector_col: str, queries: D
         load = np.zeros(len(copies))
         for at in range(0, len(few), 512):
             part = slice(at, at + 512)
-            rows, ls, _, _ = route(few[part], ks[part], wants[part], router, st, n_bands, s)
+            rows, ls, _, _ = route(few[part], ks[part], wants[part], router, st, n_bands, s, guide)
             for p in range(int(parts.max())):
                 more = parts[ls] > p
                 load += np.bincount(np.unique(rows[more] * len(copies) + cell_of[ls[more]] + p) % len(copies), minlength=len(copies))
         copies = np.maximum(1, -(-load * (asked / max(1, len(few))) // s.task_queries)).astype(np.int64)
         first = np.cumsum(copies) - copies
     tasks = int(max(spark.sparkContext.defaultParallelism, min(20_000, copies.sum())))  # a cell a task: no two large ones meet by chance
-    plan = spark.sparkContext.broadcast((st, code, cell_of, parts, first, copies))
+    plan = spark.sparkContext.broadcast((st, code, cell_of, parts, first, copies, guide))
 
     def to_cells(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        _, _, cells, split, begin, times = plan.value
+        _, _, cells, split, begin, times, _ = plan.value
         for b in batches:
             l = b.column(3).to_numpy()
             h = (b.column(0).to_numpy().astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(33)
@@ -279,13 +281,13 @@ def nearest_vectors(vectors: DataFrame, id_col: str, vector_col: str, queries: D
 
     def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         r = shared.value[0]
-        table, codes, cells, split, _, _ = plan.value
+        table, codes, cells, split, _, _, near = plan.value
         for whole in batches:
             for start in range(0, whole.num_rows, 2048):
                 b = whole.slice(start, 2048)
                 m, ks = unpack(b.column(3), dim), b.column(1).to_numpy()
                 tags = codes.of(b.column(2), -1)
-                rows, lists_, bound, cutoff = route(m, ks, tags, r, table, n_bands, s)
+                rows, lists_, bound, cutoff = route(m, ks, tags, r, table, n_bands, s, near)
                 yield to_ask(b, rows, lists_, bound, cells, split)
                 if len(cut := np.flatnonzero(np.isfinite(cutoff))):  # these have lists left
                     took, n, ids = pa.array(cut), len(cut), b.column(0).to_numpy()[cut]
@@ -305,7 +307,7 @@ def nearest_vectors(vectors: DataFrame, id_col: str, vector_col: str, queries: D
         first = np.flatnonzero(np.r_[True, (rows[1:] != rows[:-1]) | (c[1:] != c[:-1])]) if len(rows) else np.zeros(0, np.int64)
         took = pa.array(rows[first])
         n = len(first)
-        begin, times = plan.value[4:]
+        begin, times = plan.value[4:6]
         turn = (b.column(0).to_numpy()[rows[first]].astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(33)
         where = begin[c[first]] + (turn % times[c[first]].astype(np.uint64)).astype(np.int64)
         return pa.RecordBatch.from_arrays(
@@ -315,7 +317,7 @@ def nearest_vectors(vectors: DataFrame, id_col: str, vector_col: str, queries: D
 
     def ask_again(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         r = shared.value[0]
-        table, codes, cells, split, _, _ = plan.value
+        table, codes, cells, split, _, _, _ = plan.value
         step = max(1, min(1024, (1 << 20) // len(table[0])))  # a query may have all lists
         for whole in batches:
             for start in range(0, whole.num_rows, step):
@@ -455,12 +457,13 @@ def _lists_of(want: int, table: tuple, n_bands: int) -> tuple[np.ndarray, ...] |
     return st_n[use], low[use], high[use], mean[use], st_list[use], st_list[use] // n_bands
 
 
-def route(m: np.ndarray, ks: np.ndarray, tags: np.ndarray, r: Router, table: tuple, n_bands: int, s: Search) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+def route(m: np.ndarray, ks: np.ndarray, tags: np.ndarray, r: Router, table: tuple, n_bands: int, s: Search, guide: tuple[np.ndarray, np.ndarray] | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """(query rows, lists, bound per query, cutoff per query): the lists each query probes and an upper bound of its k-th squared distance.
 
     A list whose vectors lie between ``low`` and ``high`` from its centre holds none nearer than max(d - high, low - d) to a
     query at distance d, and its n vectors are all within d + high: enough of these bound the k-th distance. A query with more
     such lists than it probes has a finite cutoff: it probes those with a score (expected squared distance) up to there.
+    ``guide``, some of the vectors with their tags, bounds the k-th distance too: it is no farther than the k-th nearest of these.
     """
     cutoff, slack = np.full(len(m), np.inf), rounding(r.leaves)
     out_rows, out_lists, bound = [], [], np.full(len(m), np.inf)
@@ -483,6 +486,9 @@ def route(m: np.ndarray, ks: np.ndarray, tags: np.ndarray, r: Router, table: tup
             enough = (np.cumsum(n[near], axis=1) >= ks[rows][:, None]) & (want < CLASSES)
             at_k = np.where(enough.any(1), enough.argmax(1), top - 1)
             ub = np.where(enough.any(1), np.take_along_axis(upper, np.take_along_axis(near, at_k[:, None], 1), 1)[:, 0], np.inf)
+            if guide is not None and want < CLASSES:
+                some = guide[0] if want == -1 else guide[0][guide[1] == want]
+                ub = np.fmin(ub, np.sqrt(_kth(m[rows], some, ks[rows])))
             bound[rows] = np.where(np.isfinite(ub), ub * ub, np.inf)
             possible = ~(np.fmax(low - hi, lo - d) > (ub * (1 + 1e-5) + 1e-4)[:, None])
             score = np.where(possible, np.fmin(d2 + mn, 1e300), np.inf)
@@ -507,6 +513,17 @@ def route(m: np.ndarray, ks: np.ndarray, tags: np.ndarray, r: Router, table: tup
     return np.concatenate(out_rows), np.concatenate(out_lists), bound, cutoff
 
 
+def _kth(m: np.ndarray, some: np.ndarray, ks: np.ndarray) -> np.ndarray:
+    """No less than the squared distance of each query to its k-th nearest of some vectors; infinite where they are fewer."""
+    out = np.full(len(m), np.inf)
+    can = np.flatnonzero(ks <= len(some))
+    if len(can):
+        k = int(ks[can].max())
+        first = np.sort(np.partition(squared(m[can], some), k - 1, axis=1)[:, :k], axis=1)
+        out[can] = first[np.arange(len(can)), ks[can] - 1].astype(np.float64) + rounding(m[can]) + rounding(some).max()
+    return np.where(np.isnan(out), np.inf, out)
+
+
 def rest(m: np.ndarray, tags: np.ndarray, tau: np.ndarray, cutoff: np.ndarray, r: Router, table: tuple, n_bands: int) -> tuple[np.ndarray, np.ndarray]:
     """(query rows, lists): every list that can hold a vector within the squared distance ``tau``, of the queries that have such lists beyond the cutoff."""
     out_rows, out_lists = [], []

@@ -189,11 +189,11 @@ class Router:
         return label, best
 
 
-def hashed_sample(vectors: DataFrame, rows: int, total: int, seed: int, dim: int) -> tuple[np.ndarray, np.ndarray]:
-    """(ids, matrix) of about ``rows`` of ``total`` rows, by a hash of the id: bounded, repeatable, in hash order."""
+def hashed_sample(vectors: DataFrame, rows: int, total: int, seed: int, dim: int, also: Sequence[str] = ()) -> tuple[np.ndarray, np.ndarray, list[pa.Array]]:
+    """(ids, matrix, further columns) of about ``rows`` of ``total`` rows, by a hash of the id: bounded, repeatable, in hash order."""
     share = min(1.0, rows / max(1, total))
     h = F.xxhash64("id", F.lit(seed))
-    picked = vectors.where((F.pmod(h, F.lit(1 << 30)) < F.lit(int(share * (1 << 30))))).select("id", "vec", h.alias("h"))
+    picked = vectors.where((F.pmod(h, F.lit(1 << 30)) < F.lit(int(share * (1 << 30))))).select("id", "vec", h.alias("h"), *also)
     t = picked.toArrow().combine_chunks().sort_by([("h", "ascending"), ("id", "ascending")])
     m = unpack(t["vec"].combine_chunks() if t.num_rows else pa.array([], pa.binary()), dim)
-    return t["id"].to_numpy(), m
+    return t["id"].to_numpy(), m, [t[c].combine_chunks() if t.num_rows else pa.array([], t.schema.field(c).type) for c in also]
