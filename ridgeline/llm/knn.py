@@ -39,7 +39,7 @@ class Search:
     sample_rows: int = 16
     most_sample: int = 262_144
     probes: int = 512
-    cell_rows: int = 4096
+    cell_rows: int = 8192
     blocks: tuple[int, ...] = (8, 16, 32)
     risk: float = 0.001
     most_tags: int = 64
