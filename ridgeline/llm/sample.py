@@ -76,19 +76,17 @@ STATE = ("_reservoir", "_slot", "_population")
 
 
 def reservoirs(df: DataFrame, size: int, seed: int = 0, keep: Callable[[pa.RecordBatch], np.ndarray] | None = None, piece: str | None = None) -> DataFrame:
-    """The state of a sample: rows of ``df`` with (_reservoir, _slot, _population), one reservoir of at most ``size`` rows a partition, or a partition and ``piece``.
+    """The state of a sample: rows of ``df`` and, as the last three columns, (_reservoir, _slot, _population): one reservoir of at most ``size`` rows a partition, or a partition and ``piece``.
 
     ``_population`` is the number of records that the reservoir stands for. States can be stored, and merged with those of data that arrives later.
     A task holds no more than ``size`` rows for each piece of its partition.
 
-    Defined cases: null pieces are one piece; no record, no reservoir; the columns of ``df`` must not have the names of the state.
+    Defined cases: null pieces are one piece; no record, no reservoir; where ``df`` has a column of the state's names, those of the state have more underscores.
     """
     if size < 1:
         raise ValueError("size must be at least 1")
-    if taken := {c.lower() for c in df.columns} & set(STATE):
-        raise ValueError(f"columns exist: {sorted(taken)}")
     ship(df.sparkSession)
-    schema = StructType([*df.schema.fields, *(StructField(c, LongType()) for c in STATE)])
+    schema = StructType([*df.schema.fields, *(StructField(c, LongType()) for c in fresh(df.columns, *STATE))])
     arrow, width = to_arrow_schema(schema), len(df.columns)
     place = None if piece is None else df.columns.index(piece)
 
@@ -138,7 +136,7 @@ def merge_reservoirs(states: Sequence[DataFrame] | DataFrame, size: int, by: Seq
     if size < 1 or fan_in < 2:
         raise ValueError("size must be at least 1 and fan_in at least 2")
     parts = [states] if isinstance(states, DataFrame) else list(states)
-    rid, slot, population = STATE
+    rid, slot, population = names = parts[0].columns[-3:]  # the state's columns are the last three
     rows = reduce(DataFrame.unionByName, [s.withColumn(rid, F.col(rid) * F.lit(len(parts)) + F.lit(i)) for i, s in enumerate(parts)])
     rows = cut_lineage(rows)
     ship(rows.sparkSession)
@@ -150,7 +148,7 @@ def merge_reservoirs(states: Sequence[DataFrame] | DataFrame, size: int, by: Seq
         def merge(t: pa.Table) -> pa.Table:
             target = t[group][0].as_py()
             t = t.drop_columns([group])
-            ids, slots, pops = (t[c].to_numpy() for c in STATE)
+            ids, slots, pops = (t[c].to_numpy() for c in names)
             known = sorted({int(p): int(n) for p, n in zip(ids, pops)}.items())
             key = zlib.crc32(repr([t[c][0].as_py() for c in by]).encode())
             rng = np.random.default_rng([seed, level, target, key])
@@ -185,7 +183,7 @@ def reservoir_sample(df: DataFrame, size: int, seed: int = 0, keep: Callable[[pa
     Defined cases: fewer rows than ``size`` all come out; repeated rows count each; nulls, long texts and any column names pass through; an empty
     table gives no rows; ``size`` must be positive.
     """
-    names = fresh(["_reservoir", "_slot", "_population"], *(f"c{i}" for i in range(len(df.columns))))
+    names = [f"c{i}" for i in range(len(df.columns))]  # any names of the caller, twice the same ones too
     plain = df.toDF(*names)
     of = None if keep is None else lambda b: keep(pa.RecordBatch.from_arrays(b.columns, names=df_names))
     df_names = df.columns

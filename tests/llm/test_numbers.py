@@ -65,8 +65,8 @@ def test_pieces_that_arrive_later(spark):
     whole = first.unionAll(later[0]).unionAll(later[1])
     by = merge_reservoirs(reservoirs(whole, 120, 1, piece="piece"), 120, ["piece"], 1).toPandas()
     assert {(None if p != p else int(p)): (int(g._population.iloc[0]), len(g)) for p, g in by.groupby("piece", dropna=False)} == {0: (3000, 120), 1: (100, 100), None: (100, 100), 2: (900, 120)}
-    with pytest.raises(ValueError, match="exist"):
-        reservoirs(whole.withColumnRenamed("piece", "_slot"), 5)
+    clash = merge_reservoirs(reservoirs(whole.withColumnRenamed("piece", "_slot"), 5), 5)
+    assert clash.count() == 5 and clash.columns == ["id", "_slot", "_reservoir", "__slot", "_population"]
 
 
 def test_sketches_are_repeatable(spark):
