@@ -8,10 +8,12 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.datasource import DataSource, DataSourceReader
 
 from ridgeline.catalogs import CatalogProvider, SchemaProvider
-from ridgeline.context import SessionContext, global_ctx
+from ridgeline.context import LocationInputPlugin, SessionContext, global_ctx
 from ridgeline.dataflow import parallelize, parallelize_n
+from ridgeline.datasets import example, write_examples
 from ridgeline.frame import Frame
 from ridgeline.functions import custom
 from ridgeline.functions.windows import window_spec
@@ -19,8 +21,10 @@ from ridgeline.plans.lineage import scratch_folder
 from ridgeline.plans.registry import Registry
 from ridgeline.plans.relational import _context, _frame
 from ridgeline.plans.ship import ship
-from ridgeline.settings import SQLOptions
+from ridgeline.records import RecordBatchStream
+from ridgeline.settings import RuntimeEnvBuilder, SQLOptions
 from ridgeline.sources import formats
+from ridgeline.vector import connect
 
 query = Registry()
 
@@ -247,6 +251,76 @@ def sql_statements(spark: SparkSession, d: str) -> DataFrame:
     return ctx.sql_with_options("SELECT o_orderkey, o_totalprice, thrice(o_orderkey) AS thrice, label AS named FROM ridgeline_kept", options).df
 
 
+class _Numbers(DataSource):
+    """Numbers up to an option, as a Python data source."""
+
+    @classmethod
+    def name(cls) -> str:
+        return "ridgeline_numbers"
+
+    def schema(self) -> str:
+        return "i bigint"
+
+    def reader(self, schema) -> DataSourceReader:
+        top = int(self.options["top"])
+
+        class Reader(DataSourceReader):
+            def read(self, partition):
+                for i in range(top):
+                    yield (i,)
+
+        return Reader()
+
+
+class _Repeat:
+    """A table function: a text so many times."""
+
+    def eval(self, text: str, n: int):
+        for i in range(n):
+            yield text, i
+
+
+@query("SELECT n_nationkey, n_name || '/' || i AS name, i AS i FROM nation, unnest(range(0, n_nationkey % 3)) u(i)")
+def context_session(spark: SparkSession, d: str) -> DataFrame:
+    """What a session can be told: sources, table functions, file systems, rules, plans, providers."""
+    ship(spark)
+    ctx = _context(spark, d, "nation")
+    ctx.register_table_factory(_Numbers)
+    ctx.register_udtf("repeated", _Repeat, "t string, i bigint")
+    ctx.register_object_store("s3a", {"endpoint.region": "none"})
+    ctx.deregister_object_store("s3a", ["endpoint.region"])
+    ctx.refresh_catalogs()
+    had = spark.conf.get("spark.sql.optimizer.excludedRules", "")
+    assert ctx.remove_optimizer_rule("org.apache.spark.sql.catalyst.optimizer.LimitPushDown")
+    spark.conf.set("spark.sql.optimizer.excludedRules", had)
+    provider = CatalogProvider()
+    ctx.register_catalog_provider("empty_atlas", provider)
+    assert ctx.catalog("empty_atlas").names() == set() and isinstance(LocationInputPlugin().is_correct_input("x.parquet"), bool) and RuntimeEnvBuilder().with_fair_spill_pool(1 << 30).options["spark.executor.memory"] == "1024m"
+    assert spark.read.format("ridgeline_numbers").option("top", 4).load().count() == 4 and "spark.master" in ctx.copied_config() and Frame(formats.read_parquet(spark, f"{d}/nation.parquet")).count() == 25
+    table_of = ctx.sql("SELECT n_nationkey, r.t || '/' || r.i AS name, r.i FROM nation, LATERAL repeated(n_name, n_nationkey % 3) r")
+    plan = ctx.create_dataframe_from_logical_plan(table_of.logical_plan())
+    stream = ctx.execute_logical_plan(plan.logical_plan()).execute_stream()
+    assert isinstance(stream, RecordBatchStream) and sum(b.num_rows for b in stream) == table_of.count()
+    out = plan.select("n_nationkey", "name", "i").df
+    for drop in (ctx.deregister_udf, ctx.deregister_udaf):
+        drop("nothing_registered")
+    ctx.register_udtf("gone", _Repeat, "t string, i bigint")
+    ctx.deregister_udtf("gone")
+    return out
+
+
+@query("SELECT * FROM (VALUES (1, 91, 0.0::DOUBLE), (2, 74, 1.0), (4, 86, 64.0), (5, 95, 81.0)) t(document_id, popularity, dist)")
+def examples_search(spark: SparkSession, d: str) -> DataFrame:
+    """The example tables: a filtered search joined with the other table."""
+    where = scratch_folder(spark)
+    paths = write_examples(spark, where)
+    with connect(spark, f"{where}/w") as session:
+        docs = session.register_parquet("documents", paths["documents"])
+        hits = session.dataframe(docs.search([0.0, 0.0]).where("status = 'published'").bypass_vector_index().select(["document_id"]))
+        stats = example(spark, "document_stats")
+        return hits.join(stats, "document_id").select("document_id", "popularity", F.col("_distance").cast("double").alias("dist"))
+
+
 @query("SELECT n_regionkey % 3 AS part, count(*) AS n, sum(n_nationkey)::BIGINT AS total FROM nation GROUP BY 1")
 def dataflow_partitions(spark: SparkSession, d: str) -> DataFrame:
     """Collections in partitions, of the smallest table."""

@@ -48,14 +48,21 @@ class WriteOptions:
 
 @dataclass(frozen=True)
 class SessionConfig:
-    """``query_*``: queries at once, waiting, and how long (seconds); ``inline_clusters``: up to so many clusters go into the scan as a list; ``centroid_wait``: seconds that a build waits for another one's centroids."""
+    """``query_*``: queries at once, waiting, and how long (seconds); ``inline_clusters``: up to so many clusters go into the scan as a list; ``centroid_wait``: seconds that a build waits for another one's centroids;
+    ``query_dop``, ``build_dop``: partitions of shuffles of queries and builds, 0 for the session's; ``*_cache_bytes``: bounds of the caches, which all sessions of a process share."""
 
     query_concurrency: int = 1
     query_queue_capacity: int = 64
     query_queue_timeout: float = 60.0
     inline_clusters: int = 128
     centroid_wait: float = 3600.0
+    query_dop: int = 0
+    build_dop: int = 0
+    centroid_cache_bytes: int = 256 << 20
+    manifest_cache_bytes: int = 64 << 20
 
     def __post_init__(self) -> None:
         if self.query_concurrency < 1 or self.query_queue_capacity < 0 or self.query_queue_timeout < 0:
             raise InvalidArgument("concurrency must be positive, capacity and timeout not negative")
+        if min(self.query_dop, self.build_dop, self.centroid_cache_bytes, self.manifest_cache_bytes) < 0:
+            raise InvalidArgument("degrees of parallelism and cache sizes must not be negative")

@@ -10,6 +10,7 @@ import time
 import uuid
 from collections.abc import Iterator, Sequence
 from concurrent.futures import Future, ThreadPoolExecutor
+from dataclasses import replace
 from functools import reduce
 from pathlib import Path
 from typing import Any
@@ -86,6 +87,9 @@ class Results:
 class Session:
     def __init__(self, spark: SparkSession, root: str, config: SessionConfig = SessionConfig()):
         self.spark, self.config = spark, config
+        search.CENTROIDS.most, search.MANIFESTS.most = config.centroid_cache_bytes, config.manifest_cache_bytes
+        if config.query_dop:
+            spark.conf.set("spark.sql.shuffle.partitions", config.query_dop)
         if "://" not in root:
             Path(root).mkdir(parents=True, exist_ok=True)
         self.warehouse = Warehouse(root)
@@ -316,8 +320,9 @@ class SourceTable:
             try:
                 old = check_metadata(s.warehouse.read_json(base)) if base else None
                 index_uuid = old["index-uuid"] if old else str(uuid.uuid4())
+                write = options if options.partitions or not s.config.build_dop else replace(options, partitions=s.config.build_dop)
                 with s.leases.build(index_uuid):
-                    snapshot = build(self.df, column, keys, config, options, s.warehouse, index_uuid, centroids, lambda p: state.update(phase=p, fraction=PHASES[p]))
+                    snapshot = build(self.df, column, keys, config, write, s.warehouse, index_uuid, centroids, lambda p: state.update(phase=p, fraction=PHASES[p]))
                 doc = successor(old, snapshot, index_uuid, int(time.time() * 1000))
                 where = f"metadata/{index_uuid}/v{doc['last-sequence-number']}-{uuid.uuid4().hex}.metadata.json"
                 s.warehouse.create_json(where, doc)

@@ -290,6 +290,18 @@ def test_streams_batches_and_recall(session, documents):
     assert documents.session.maintenance().reachable()
 
 
+def test_session_settings(spark, tmp_path):
+    save(tmp_path / "d.parquet", ["id", "embedding"], [(i, [float(i), 0.0]) for i in range(40)])
+    with connect(spark, str(tmp_path / "w"), SessionConfig(build_dop=3, centroid_cache_bytes=0)) as s:
+        t = s.register_parquet("d", str(tmp_path / "d.parquet"))
+        t.create_index("i", "embedding", "id", IVF(4))
+        assert s.collect(t.search([0.0, 0.0]).limit(2).nprobes(1)).num_rows == 2 and s.cache_stats()["centroids"]["entries"] == 0
+    with pytest.raises(InvalidArgument):
+        SessionConfig(build_dop=-1)
+    with connect(spark, str(tmp_path / "w")) as s:
+        assert s.cache_stats()["centroids"]["most_bytes"] == 256 << 20
+
+
 def test_leases(session, documents, spark, tmp_path):
     documents.create_index("i", "embedding", "document_id", IVF(1))
     assert session.leases.alive("session") == [session.owner] and session.leases.alive("build") == []
