@@ -94,10 +94,18 @@ class ByteCache:
             if key not in self.held and size <= self.most:
                 self.held[key] = (value, size)
                 self.bytes += size
-                while self.bytes > self.most:
-                    self.bytes -= self.held.popitem(last=False)[1][1]
+                self._shrink()
         return value
 
+    def _shrink(self) -> None:
+        while self.bytes > self.most:
+            self.bytes -= self.held.popitem(last=False)[1][1]
+
+    def limit(self, most: int) -> None:
+        with self.lock:
+            self.most = most
+            self._shrink()
+
     def clear(self) -> None:
         with self.lock:
             self.held.clear()

@@ -87,7 +87,8 @@ class Results:
 class Session:
     def __init__(self, spark: SparkSession, root: str, config: SessionConfig = SessionConfig()):
         self.spark, self.config = spark, config
-        search.CENTROIDS.most, search.MANIFESTS.most = config.centroid_cache_bytes, config.manifest_cache_bytes
+        search.CENTROIDS.limit(config.centroid_cache_bytes)
+        search.MANIFESTS.limit(config.manifest_cache_bytes)
         if config.query_dop:
             spark.conf.set("spark.sql.shuffle.partitions", config.query_dop)
         if "://" not in root:
