@@ -1,8 +1,8 @@
 """Build an inverted file: one pass for checks and counts, a bounded sample to train, one pass to assign, encode and write.
 
-Rows are assigned to the nearest of the persisted (8-bit) leaf centroids by a matrix product in each task. Postings are range
-partitioned by (root, cluster, hash of the key), so a heavy cluster is written by several tasks, and each task writes
-Parquet files whose row groups hold exactly one cluster.
+Rows are assigned to the nearest of the persisted (8-bit) leaf centroids by a matrix product in each task, once. Postings go to ranges of
+(root, cluster, hash of the key) whose bounds come from the cluster sizes of a bounded sample, so a heavy cluster is written by several tasks, and
+each task writes Parquet files whose row groups hold exactly one cluster.
 """
 
 from __future__ import annotations
@@ -14,7 +14,7 @@ from collections.abc import Callable, Iterator, Sequence
 import numpy as np
 import pyarrow as pa
 import pyarrow.parquet as pq
-from pyspark import TaskContext
+from pyspark import Broadcast, TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
@@ -176,35 +176,62 @@ def read_table(warehouse: Warehouse, location: str) -> pa.Table:
     return pq.read_table(pa.BufferReader(warehouse.read_bytes(location)))
 
 
+def ranges(counts: np.ndarray, parts: int) -> tuple[np.ndarray, np.ndarray]:
+    """(begin, length) of each cluster on a line of ``parts`` equal partitions, by its share of the rows; no cluster is without a place."""
+    size = counts + 0.5
+    length = size * (parts / size.sum())
+    return np.cumsum(length) - length, length
+
+
+def sampled_sizes(df: DataFrame, column: str, keys: Sequence[str], dim: int, config: IVF, shared: Broadcast, rows: int) -> np.ndarray:
+    """Rows of a bounded sample by cluster: 16 a cluster and at least 65,536; only these are assigned."""
+    some = sampled(df, column, keys, rows, min(rows, max(65_536, 16 * config.nlist)), config.seed + 1)
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen = np.zeros(len(shared.value[0]), np.int64)
+        for b in batches:
+            if b.num_rows:
+                seen += np.bincount(closest(matrix(b.column(0), dim, config.metric), shared.value[0])[0], minlength=len(seen))
+        at = np.flatnonzero(seen)
+        yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(seen[at])], names=["cid", "n"])
+
+    got = some.mapInArrow(count, "cid int, n bigint").groupBy("cid").agg(F.sum("n").alias("n")).toArrow()  # a row a cluster at most
+    out = np.zeros(config.nlist, np.int64)
+    out[got["cid"].to_numpy()] = got["n"].to_numpy()
+    return out
+
+
 def write_postings(df: DataFrame, column: str, keys: Sequence[str], dim: int, config: IVF, leaves: np.ndarray, offsets: np.ndarray, warehouse: Warehouse, location: str, options: WriteOptions, ntotal: int) -> dict:
     """Assign, encode, shuffle once and write; the manifest comes last."""
     spark = df.sparkSession
     ship(spark)
     shared = spark.sparkContext.broadcast((leaves, offsets))  # bounded: nlist rows
+    parts = options.partitions or max(int(spark.conf.get("spark.sql.shuffle.partitions")), min(100_000, ntotal * (dim + 64) >> 28))
+    plan = spark.sparkContext.broadcast(ranges(sampled_sizes(df, column, keys, dim, config, shared, ntotal), parts))
     names = [f"key_{i + 1}" for i in range(len(keys))]
-    rows = df.select(*[F.col(f"`{k}`").alias(n) for k, n in zip(keys, names)], F.col(f"`{column}`").alias("v"))
+    rows = df.select(*[F.col(f"`{k}`").alias(n) for k, n in zip(keys, names)], F.col(f"`{column}`").alias("v"), F.xxhash64(*[F.col(f"`{k}`") for k in keys]).alias("h"))
     types = [to_arrow_type(rows.schema[n].dataType) for n in names]
     bits = {"source": 0, "lvq4": 4, "lvq8": 8}[config.encoding]
     extra = ", offset float, scale float, code binary" if bits else ""
     kinds = ", ".join(f"{n} {rows.schema[n].dataType.simpleString()}" for n in names)
 
     def assign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        centres, cuts = shared.value
+        (centres, cuts), (begin, length) = shared.value, plan.value
         for b in batches:
             x = matrix(b.column(len(names)), dim, config.metric)
             cid, _ = closest(x, centres)
-            cols = [pa.array((np.searchsorted(cuts, cid, "right") - 1).astype(np.int32)), pa.array(cid.astype(np.int32)), *b.columns[: len(names)]]
+            within = (b.column(len(names) + 1).to_numpy().view(np.uint64) >> np.uint64(11)) * 2.0**-53  # a key's place in its cluster's range
+            place = np.minimum((begin[cid] + within * length[cid]).astype(np.int32), parts - 1)
+            cols = [pa.array(place.astype(np.int32)), pa.array((np.searchsorted(cuts, cid, "right") - 1).astype(np.int32)), pa.array(cid.astype(np.int32)), *b.columns[: len(names)]]
             if bits:
                 low, scale, codes = lvq.encode(x, bits)
                 w = codes.shape[1]
                 code = pa.Array.from_buffers(pa.binary(), len(x), [None, pa.py_buffer((np.arange(len(x) + 1, dtype=np.int32) * np.int32(w)).tobytes()), pa.py_buffer(np.ascontiguousarray(codes).tobytes())])
                 cols += [pa.array(low), pa.array(scale), code]
-            yield pa.RecordBatch.from_arrays(cols, names=["bucket", "cid", *names, *(["offset", "scale", "code"] if bits else [])])
+            yield pa.RecordBatch.from_arrays(cols, names=["place", "bucket", "cid", *names, *(["offset", "scale", "code"] if bits else [])])
 
-    assigned = rows.mapInArrow(assign, f"bucket int, cid int, {kinds}{extra}")
-    n = options.partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    place = [F.col("bucket"), F.col("cid"), F.xxhash64(*names)]
-    laid = assigned.repartitionByRange(n, *place).sortWithinPartitions("bucket", "cid", *[k for k, t in zip(names, types)])
+    assigned = rows.mapInArrow(assign, f"place int, bucket int, cid int, {kinds}{extra}")
+    laid = assigned.repartitionById(parts, "place").drop("place").sortWithinPartitions("bucket", "cid", *names)
     schema = pa.schema([pa.field("cid", pa.int32(), False), *(pa.field(k, t, False) for k, t in zip(names, types)), *([pa.field("offset", pa.float32(), False), pa.field("scale", pa.float32(), False), pa.field("code", pa.binary(), False)] if bits else [])])
     group_rows = int(min(131_072, max(8192, -(-ntotal // config.nlist))))
     out = "path string, `cid-bucket` int, `min-cid` int, `max-cid` int, rows bigint, size bigint, sha256 string"
