@@ -20,6 +20,7 @@ def main(args: list[str] | None = None) -> int:
     c = sub.add_parser("config", help="write a session configuration with its defaults")
     c.add_argument("path")
     b = sub.add_parser("publish", help="copy an index to an empty warehouse")
+    b.add_argument("--verify-url", help="read every object again from below this address")
     b.add_argument("root")
     b.add_argument("table")
     b.add_argument("index")
@@ -38,7 +39,7 @@ def main(args: list[str] | None = None) -> int:
 
         Path(a.target).mkdir(parents=True, exist_ok=True)
         location = Catalog(Path(a.root) / "catalog.db").load(a.table, a.index)
-        print("\n".join(publish(Warehouse(a.root), location, Warehouse(a.target))))
+        print("\n".join(publish(Warehouse(a.root), location, Warehouse(a.target), a.verify_url)))
         return 0
     from pyspark.sql import SparkSession
 

@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import hashlib
 import time
 from datetime import timedelta
+from urllib.parse import quote
+from urllib.request import urlopen
 
 from ridgeline.vector.catalog import Catalog
 from ridgeline.vector.errors import AlreadyExists, Busy, Corrupt, InvalidArgument
@@ -66,10 +69,24 @@ class Maintenance:
         return out
 
 
-def publish(source: Warehouse, metadata_location: str, target: Warehouse) -> list[str]:
-    """Copy an index to another, empty warehouse: data first, verified by size and digest, the metadata last."""
-    import hashlib
+def verify_http(url: str, objects: dict[str, tuple[int, str]], timeout: float = 60) -> None:
+    """Read every object, given with its size and digest, from where readers will: ``url`` and its location."""
+    for location, (size, digest) in objects.items():
+        at = f"{url.rstrip('/')}/{quote(location)}"
+        seen, got = hashlib.sha256(), 0
+        try:
+            with urlopen(at, timeout=timeout) as f:  # noqa: S310
+                while chunk := f.read(1 << 20):
+                    seen.update(chunk)
+                    got += len(chunk)
+        except OSError as e:
+            raise Corrupt(f"an object cannot be read: {at}: {e}") from e
+        if got != size or seen.hexdigest() != digest:
+            raise Corrupt(f"an object differs: {at}")
 
+
+def publish(source: Warehouse, metadata_location: str, target: Warehouse, verify_url: str | None = None) -> list[str]:
+    """Copy an index to another, empty warehouse: data first, verified by size and digest, the metadata last; ``verify_url``: where all of it is read again over HTTP."""
     if target.files():
         raise AlreadyExists("the target is not empty")
     doc = check_metadata(source.read_json(metadata_location))
@@ -87,9 +104,13 @@ def publish(source: Warehouse, metadata_location: str, target: Warehouse) -> lis
     digests = {f"{where}{f['path']}": f["sha256"] for f in check_postings(source.read_json(f"{where}manifest.json"))["files"]}
     for p in prefixes:
         objects += sorted((f for f, _, _ in source.files(p.rstrip("/"))), key=lambda f: (f.endswith("manifest.json"), f))
+    written: dict[str, tuple[int, str]] = {}
     for f in [*objects, *last, metadata_location]:
         data = source.read_bytes(f)
         if f in digests and hashlib.sha256(data).hexdigest() != digests[f]:
             raise Corrupt(f"an object has changed: {f}")
         target.create(f, data)
+        written[f] = (len(data), hashlib.sha256(data).hexdigest())
+    if verify_url is not None:
+        verify_http(verify_url, written)
     return [*objects, *last, metadata_location]
