@@ -465,48 +465,54 @@ def route(m: np.ndarray, ks: np.ndarray, tags: np.ndarray, r: Router, table: tup
     such lists than it probes has a finite cutoff: it probes those with a score (expected squared distance) up to there.
     ``guide``, some of the vectors with their tags, bounds the k-th distance too: it is no farther than the k-th nearest of these.
     """
-    cutoff, slack = np.full(len(m), np.inf), rounding(r.leaves)
+    # Arrays of a query block by all lists are float32: what their rounding may be wrong by goes into the limits.
+    cutoff, slack = np.full(len(m), np.inf), rounding(r.leaves).astype(np.float32)
+    norms = np.sqrt(np.einsum("ij,ij->i", r.leaves, r.leaves, dtype=np.float64))
+    reach = np.sqrt(np.einsum("ij,ij->i", m, m, dtype=np.float64)) + norms[np.isfinite(slack)].max(initial=0)
     out_rows, out_lists, bound = [], [], np.full(len(m), np.inf)
     for want in np.unique(tags):
         if (of := _lists_of(want, table, n_bands)) is None:
             continue
         n, lo, hi, mn, ls, lf = of
+        lo, hi, mn, own = lo.astype(np.float32), hi.astype(np.float32), mn.astype(np.float32), slack[lf][None] * np.float32(1.001)
+        some = None if guide is None or want >= CLASSES else guide[0] if want == -1 else guide[0][guide[1] == want]
         mine = np.flatnonzero(tags == want)
         step = max(8, min(256, (1 << 21) // len(lf)))
+        top = min(s.probes, len(ls))
         for at in range(0, len(mine), step):
             rows = mine[at : at + step]
             d2 = squared(m[rows], r.leaves)[:, lf]
-            wrong = rounding(m[rows])[:, None] + slack[lf][None]
-            d, low = np.sqrt(d2 + wrong), np.sqrt(np.fmax(d2 - wrong, 0))
-            top = min(s.probes, len(ls))
-            upper = np.fmin(d + hi, np.inf)
-            near = np.argpartition(upper, top - 1, axis=1)[:, :top]
-            near = np.take_along_axis(near, np.argsort(np.take_along_axis(upper, near, 1), axis=1), 1)
+            wrong = (rounding(m[rows])[:, None] * 1.001).astype(np.float32) + own
+            far, near = np.sqrt(d2 + wrong), np.sqrt(np.fmax(d2 - wrong, 0))
+            ub = np.full(len(rows), np.inf) if some is None else np.sqrt(_kth(m[rows], some, ks[rows]))
             # How many vectors of a class have the tag isn't known: such a query has no bound before the first pass.
-            enough = (np.cumsum(n[near], axis=1) >= ks[rows][:, None]) & (want < CLASSES)
-            at_k = np.where(enough.any(1), enough.argmax(1), top - 1)
-            ub = np.where(enough.any(1), np.take_along_axis(upper, np.take_along_axis(near, at_k[:, None], 1), 1)[:, 0], np.inf)
-            if guide is not None and want < CLASSES:
-                some = guide[0] if want == -1 else guide[0][guide[1] == want]
-                ub = np.fmin(ub, np.sqrt(_kth(m[rows], some, ks[rows])))
-            bound[rows] = np.where(np.isfinite(ub), ub * ub, np.inf)
-            possible = ~(np.fmax(low - hi, lo - d) > (ub * (1 + 1e-5) + 1e-4)[:, None])
-            score = np.where(possible, np.fmin(d2 + mn, 1e300), np.inf)
+            if want < CLASSES and len(open_ := np.flatnonzero(~np.isfinite(ub))):
+                upper = np.fmin(far[open_] + hi, np.inf)
+                close = np.argpartition(upper, top - 1, axis=1)[:, :top]
+                close = np.take_along_axis(close, np.argsort(np.take_along_axis(upper, close, 1), axis=1), 1)
+                enough = np.cumsum(n[close], axis=1) >= ks[rows[open_]][:, None]
+                at_k = np.where(enough.any(1), enough.argmax(1), top - 1)
+                ub[open_] = np.where(enough.any(1), np.take_along_axis(upper, np.take_along_axis(close, at_k[:, None], 1), 1)[:, 0] * (1 + 1e-6), np.inf)
+            bound[rows] = ub * ub
+            limit = (ub * (1 + 1e-5) + 1e-4 + 1e-6 * reach[rows]).astype(np.float32)
+            possible = ~(np.fmax(near - hi, lo - far) > limit[:, None])
+            cut = possible.sum(1) > top
+            i, j = np.nonzero(possible[~cut])
+            out_rows.append(rows[~cut][i])
+            out_lists.append(ls[j])
+            if not cut.any():
+                continue
             # The nearest lists by expected distance; as many more as it takes to see k candidates.
+            score = np.where(possible[cut], np.fmin(d2[cut] + mn, np.finfo(np.float32).max), np.inf)
             order = np.argpartition(score, top - 1, axis=1)[:, :top]
-            probed = np.take_along_axis(score, order, 1)
-            keep = np.isfinite(probed)
-            cut = possible.sum(1) > top
-            cutoff[rows[cut]] = probed[cut].max(1)
-            i, j = np.nonzero(keep)
-            out_rows.append(rows[i])
-            out_lists.append(ls[order[i, j]])
-            short = np.flatnonzero((n[order] * keep).sum(1) < np.minimum(ks[rows], n.sum()))
-            for x in short:  # rare: many tiny lists
+            cutoff[rows[cut]] = np.take_along_axis(score, order, 1).max(1)
+            out_rows.append(np.repeat(rows[cut], top))
+            out_lists.append(ls[order].ravel())
+            for x in np.flatnonzero(n[order].sum(1) < np.minimum(ks[rows[cut]], n.sum())):  # rare: many tiny lists
                 full = np.argsort(score[x], kind="stable")
-                need = int(np.searchsorted(np.cumsum(n[full]), ks[rows[x]])) + 1
+                need = int(np.searchsorted(np.cumsum(n[full]), ks[rows[cut][x]])) + 1
                 extra = np.setdiff1d(full[:need], order[x])
-                out_rows.append(np.full(len(extra), rows[x]))
+                out_rows.append(np.full(len(extra), rows[cut][x]))
                 out_lists.append(ls[extra])
     if not out_rows:
         return np.zeros(0, np.int64), np.zeros(0, np.int64), bound, cutoff
