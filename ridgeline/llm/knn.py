@@ -478,7 +478,9 @@ def route(m: np.ndarray, ks: np.ndarray, tags: np.ndarray, r: Router, table: tup
         some = None if guide is None or want >= CLASSES else guide[0] if want == -1 else guide[0][guide[1] == want]
         mine = np.flatnonzero(tags == want)
         step = max(8, min(256, (1 << 21) // len(lf)))
-        top = min(s.probes, len(ls))
+        top = few = min(s.probes, len(ls))
+        if some is not None:  # the lists that hold the k nearest of many are few
+            few = min(top, 64)
         for at in range(0, len(mine), step):
             rows = mine[at : at + step]
             d2 = squared(m[rows], r.leaves)[:, lf]
@@ -486,13 +488,13 @@ def route(m: np.ndarray, ks: np.ndarray, tags: np.ndarray, r: Router, table: tup
             far, near = np.sqrt(d2 + wrong), np.sqrt(np.fmax(d2 - wrong, 0))
             ub = np.full(len(rows), np.inf) if some is None else np.sqrt(_kth(m[rows], some, ks[rows]))
             # How many vectors of a class have the tag isn't known: such a query has no bound before the first pass.
-            if want < CLASSES and len(open_ := np.flatnonzero(~np.isfinite(ub))):
-                upper = np.fmin(far[open_] + hi, np.inf)
-                close = np.argpartition(upper, top - 1, axis=1)[:, :top]
+            if want < CLASSES:
+                upper = np.fmin(far + hi, np.inf)
+                close = np.argpartition(upper, few - 1, axis=1)[:, :few]
                 close = np.take_along_axis(close, np.argsort(np.take_along_axis(upper, close, 1), axis=1), 1)
-                enough = np.cumsum(n[close], axis=1) >= ks[rows[open_]][:, None]
-                at_k = np.where(enough.any(1), enough.argmax(1), top - 1)
-                ub[open_] = np.where(enough.any(1), np.take_along_axis(upper, np.take_along_axis(close, at_k[:, None], 1), 1)[:, 0] * (1 + 1e-6), np.inf)
+                enough = np.cumsum(n[close], axis=1) >= ks[rows][:, None]
+                at_k = np.take_along_axis(upper, np.take_along_axis(close, enough.argmax(1)[:, None], 1), 1)[:, 0]
+                ub = np.fmin(ub, np.where(enough.any(1), at_k * (1 + 1e-6), np.inf))
             bound[rows] = ub * ub
             limit = (ub * (1 + 1e-5) + 1e-4 + 1e-6 * reach[rows]).astype(np.float32)
             possible = ~(np.fmax(near - hi, lo - far) > limit[:, None])
