@@ -3,16 +3,20 @@
 Lists are the leaves of a two-level k-means, cut into bands by the distance to the centre. Each query probes the lists that can
 hold one of its k nearest vectors by the triangle inequality, the most promising ones first. A query that had more of them asks again:
 with the k-th distance found as its bound it probes every list that the bound leaves. Lists are packed into cells of bounded
-size, and vectors and queries meet by cell, in one shuffle each time. Inside a cell the vectors are rotated and lie in column blocks: the first block's
+size. Vectors are shuffled to their cells once; queries, which may probe lists in every cell, are never shuffled to them: they lie in files that all
+executors share, and each task of some cells reads a share of them and finds out which of its lists they probe. Inside a cell the vectors are rotated and lie in column blocks: the first block's
 partial distances come from a matrix product, and after each block a hypothesis test abandons the candidates whose distance,
 as estimated from the dimensions seen so far, is above the query's current k-th distance. Survivors are measured exactly.
 """
 
 from __future__ import annotations
 
+import os
+import uuid
 import zlib
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -20,11 +24,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ridgeline.llm.vectors import Router, differences, hashed_sample, pack, rounding, squared, unpack, usable_vectors
-from ridgeline.plans.lineage import cut_lineage
+from ridgeline.plans.lineage import cut_lineage, release, scratch_folder
 
-SCHEMA = "cell int, kind int, list int, id bigint, vec binary, tag string, k int, probes array<int>, bound double"
 CLASSES = 1 << 20  # codes from here on are classes of tags
-LEFT = 2  # kind of a row that says that a query has lists left, with the score up to which they were probed
 
 
 @dataclass(frozen=True)
@@ -32,7 +34,7 @@ class Search:
     """``lists_per_root_n``: lists per square root of the number of vectors, ``most_lists`` at most; ``sample_rows``: rows a list to fit the
     centres, ``most_sample`` in all (the only sampling: every vector is indexed); ``probes``: lists that one query probes at first, beyond those it
     needs to see k candidates; ``cell_rows``: vectors of one cell; ``risk``: of a false abandonment by one hypothesis test; ``guides``: vectors of the sample whose distances bound a query's k-th one before it probes; ``most_tags``: most frequent tags with
-    statistics of their own, the others share as many classes; ``task_queries``: about how many queries of one cell a task takes, estimated from ``plan_queries`` of them."""
+    statistics of their own, the others share as many classes; ``task_queries``: about how many queries a task takes to its cells, read in blocks of ``plan_queries``; ``most_parts``: partitions that the cells are spread over, if the cores are not more; ``most_held``: rows that a task keeps before it passes them on."""
 
     lists_per_root_n: float = 16.0
     most_lists: int = 65_536
@@ -46,6 +48,8 @@ class Search:
     guides: int = 16_384
     task_queries: int = 16_384
     plan_queries: int = 2048
+    most_parts: int = 128
+    most_held: int = 1 << 20
     seed: int = 7
 
     def sizes(self, rows: int) -> tuple[int, int]:
@@ -213,7 +217,6 @@ def nearest_vectors(vectors: DataFrame, id_col: str, vector_col: str, queries: D
         return spark.createDataFrame([], f"`{names[0]}` bigint, `{names[1]}` bigint, _distance double")
     router = Router.fit(sample, min(lists, len(sample)), s.seed)
     turn = fit_rotation(sample, s)
-    q = cut_lineage(q)  # two passes ask the same queries
     bands = np.quantile(np.sqrt(differences(sample, router.leaves[router.nearest(sample)[0][:, 0]])), [0.5, 0.9])
     shared = spark.sparkContext.broadcast((router, turn, bands))
     n_bands = len(bands) + 1
@@ -246,139 +249,143 @@ def nearest_vectors(vectors: DataFrame, id_col: str, vector_col: str, queries: D
         if n > s.cell_rows:
             cell, filled = cell + parts[l], 0
     guide = (sample[: s.guides], code.of(marks[0].slice(0, s.guides), -3))
-    copies, first = np.ones(int(max((cell_of + parts).max(), 1)), np.int64), np.arange(int(max((cell_of + parts).max(), 1)))
-    asked = q.count()
-    if asked > s.task_queries:  # a cell can be asked for so often that one task would hold up the rest
-        some = q.where(F.pmod(F.xxhash64("id", F.lit(s.seed)), F.lit(1 << 30)) < F.lit(int(s.plan_queries / asked * (1 << 30)))).toArrow().combine_chunks()
-        few, ks, wants = unpack(some["vec"].combine_chunks(), dim) if some.num_rows else np.zeros((0, dim), np.float32), some["k"].to_numpy(), code.of(some["wanted"].combine_chunks(), -1) if some.num_rows else np.zeros(0, np.int64)
-        load = np.zeros(len(copies))
-        for at in range(0, len(few), 512):
-            part = slice(at, at + 512)
-            rows, ls, _, _ = route(few[part], ks[part], wants[part], router, st, n_bands, s, guide)
-            for p in range(int(parts.max())):
-                more = parts[ls] > p
-                load += np.bincount(np.unique(rows[more] * len(copies) + cell_of[ls[more]] + p) % len(copies), minlength=len(copies))
-        copies = np.maximum(1, -(-load * (asked / max(1, len(few))) // s.task_queries)).astype(np.int64)
-        first = np.cumsum(copies) - copies
-    tasks = int(max(spark.sparkContext.defaultParallelism, min(20_000, copies.sum())))  # a cell a task: no two large ones meet by chance
-    plan = spark.sparkContext.broadcast((st, code, cell_of, parts, first, copies, guide))
+    cells = int(max((cell_of + parts).max(), 1))
+    tasks = min(cells, max(spark.sparkContext.defaultParallelism, s.most_parts))
+    plan = spark.sparkContext.broadcast((st, code, cell_of, parts, guide))
 
     def to_cells(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        _, _, cells, split, begin, times, _ = plan.value
+        _, _, home, split, _ = plan.value
         for b in batches:
             l = b.column(3).to_numpy()
             h = (b.column(0).to_numpy().astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(33)
-            home = cells[l] + (h % split[l].astype(np.uint64)).astype(np.int64)
-            more = times[home]  # a cell that many queries ask for has copies, each for a share of them
-            if (more > 1).any():
-                b = b.take(pa.array(np.repeat(np.arange(b.num_rows), more)))
-            at = np.repeat(begin[home], more) + np.arange(more.sum()) - np.repeat(np.cumsum(more) - more, more)
-            n = b.num_rows
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(at.astype(np.int32)), pa.array(np.zeros(n, np.int32)), b.column(3), b.column(0), b.column(1), b.column(2), pa.nulls(n, pa.int32()), pa.nulls(n, pa.list_(pa.int32())), pa.nulls(n, pa.float64())],
-                names=["cell", "kind", "list", "id", "vec", "tag", "k", "probes", "bound"],
-            )
+            at = home[l] + (h % split[l].astype(np.uint64)).astype(np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), *(b.column(c) for c in (3, 0, 1, 2))], names=["cell", "list", "id", "vec", "tag"])
 
     def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         r = shared.value[0]
-        table, codes, cells, split, _, _, near = plan.value
+        table, codes, _, _, near = plan.value
         for whole in batches:
             for start in range(0, whole.num_rows, 2048):
                 b = whole.slice(start, 2048)
-                m, ks = unpack(b.column(3), dim), b.column(1).to_numpy()
-                tags = codes.of(b.column(2), -1)
-                rows, lists_, bound, cutoff = route(m, ks, tags, r, table, n_bands, s, near)
-                yield to_ask(b, rows, lists_, bound, cells, split)
-                if len(cut := np.flatnonzero(np.isfinite(cutoff))):  # these have lists left
-                    took, n, ids = pa.array(cut), len(cut), b.column(0).to_numpy()[cut]
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array((ids.astype(np.uint64) % np.uint64(4096)).astype(np.int32)), pa.array(np.full(n, LEFT, np.int32)), pa.array(np.zeros(n, np.int32)), b.column(0).take(took), pa.nulls(n, pa.binary()), pa.nulls(n, pa.string()), b.column(1).take(took), pa.nulls(n, pa.list_(pa.int32())), pa.array(cutoff[cut])],
-                        names=["cell", "kind", "list", "id", "vec", "tag", "k", "probes", "bound"],
-                    )
-
-    def to_ask(b: pa.RecordBatch, rows: np.ndarray, lists_: np.ndarray, bound: np.ndarray, cells: np.ndarray, split: np.ndarray) -> pa.RecordBatch:
-        # One row per query and cell, with the lists to probe there.
-        c, p = cells[lists_], split[lists_]
-        more = np.repeat(np.arange(len(c)), p)
-        c = c[more] + (np.arange(len(more)) - np.repeat(np.cumsum(p) - p, p))
-        rows, lists_ = rows[more], lists_[more]
-        o = np.lexsort((lists_, c, rows))
-        rows, lists_, c = rows[o], lists_[o], c[o]
-        first = np.flatnonzero(np.r_[True, (rows[1:] != rows[:-1]) | (c[1:] != c[:-1])]) if len(rows) else np.zeros(0, np.int64)
-        took = pa.array(rows[first])
-        n = len(first)
-        begin, times = plan.value[4:6]
-        turn = (b.column(0).to_numpy()[rows[first]].astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(33)
-        where = begin[c[first]] + (turn % times[c[first]].astype(np.uint64)).astype(np.int64)
-        return pa.RecordBatch.from_arrays(
-            [pa.array(where.astype(np.int32)), pa.array(np.ones(n, np.int32)), pa.array(np.zeros(n, np.int32)), b.column(0).take(took), b.column(3).take(took), b.column(2).take(took), b.column(1).take(took), pa.ListArray.from_arrays(pa.array(np.r_[first, len(rows)].astype(np.int32)), pa.array(lists_.astype(np.int32))), pa.array(bound[rows[first]])],
-            names=["cell", "kind", "list", "id", "vec", "tag", "k", "probes", "bound"],
-        )
-
-    def ask_again(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        r = shared.value[0]
-        table, codes, cells, split, _, _, _ = plan.value
-        step = max(1, min(1024, (1 << 20) // len(table[0])))  # a query may have all lists
-        for whole in batches:
-            for start in range(0, whole.num_rows, step):
-                b = whole.slice(start, step)
-                tags = codes.of(b.column(2), -1)
-                tau, cutoff = b.column(5).to_numpy(), b.column(4).to_numpy()
-                rows, lists_ = rest(unpack(b.column(3), dim), tags, tau, cutoff, r, table, n_bands)
-                yield to_ask(b, rows, lists_, tau, cells, split)
-
-    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        yield from measure(batches, shared.value[1])
-
-    def scan_again(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rot, factor = shared.value[1]
-        yield from measure(batches, (rot, [1.0] * len(factor)))  # a partial distance beyond the bound rules out for certain
-
-    def measure(batches: Iterator[pa.RecordBatch], turn: tuple[np.ndarray, list[float]]) -> Iterator[pa.RecordBatch]:
-        left = []
-
-        def asked() -> Iterator[pa.RecordBatch]:
-            for b in batches:
-                mark = b.column(1).to_numpy() == LEFT
-                if mark.any():
-                    took = pa.array(np.flatnonzero(mark))
-                    left.append((b.column(3).take(took), b.column(8).take(took), b.column(6).take(took)))
-                    b = b.filter(pa.array(~mark))
-                yield b
-
-        for vs, qs in _cells(asked()):
-            q_, x = unpack(qs["vec"], dim), unpack(vs["vec"], dim)
-            tags = np.full(len(x), -3), np.full(len(q_), -1)
-            if qs["tag"].null_count < len(q_):  # the tags themselves, numbered within the cell
-                same = pa.concat_arrays([vs["tag"], qs["tag"]]).dictionary_encode().indices
-                there, number = same.is_valid().to_numpy(zero_copy_only=False), same.fill_null(0).to_numpy()
-                tags = np.where(there[: len(x)], number[: len(x)], -3), np.where(there[len(x) :], number[len(x) :], -1)
-            a, b, d = scan_cell(vs["id"].to_numpy(), x, tags[0], vs["list"].to_numpy(), qs["id"].to_numpy(), q_, qs["k"].to_numpy(), tags[1], qs["probes"], qs["bound"].to_numpy(), turn, s)
-            k_of = dict(zip(qs["id"].to_pylist(), qs["k"].to_pylist()))
-            if len(a):
-                yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b), pa.array(d), pa.array([k_of[x] for x in a.tolist()], pa.int32())], names=["qid", "id", "d", "k"])
-
-        for ids, cutoff, ks in left:
-            yield pa.RecordBatch.from_arrays([ids, pa.nulls(len(ids), pa.int64()), cutoff, ks], names=["qid", "id", "d", "k"])
-
-    def meet(probes: DataFrame, how: Callable) -> DataFrame:
-        both = placed.mapInArrow(to_cells, SCHEMA).unionAll(probes).repartitionById(tasks, F.pmod("cell", F.lit(tasks))).sortWithinPartitions("cell", "kind", "list")
-        return both.mapInArrow(how, "qid bigint, id bigint, d double, k int")
-
+                _, _, bound, cutoff = route(unpack(b.column(3), dim), b.column(1).to_numpy(), codes.of(b.column(2), -1), r, table, n_bands, s, near)
+                yield pa.RecordBatch.from_arrays([*b.columns, pa.array(bound), pa.array(cutoff)], names=["id", "k", "wanted", "vec", "bound", "cutoff"])
+
+    def meet(queries: DataFrame, last: bool) -> DataFrame:
+        """Every cell meets all queries where it lies: a task reads a share of them from the shared folder and routes it to its own cells, so no row a query and cell is shuffled."""
+        files = _written(queries, s.plan_queries)
+        blocks = [(path, i) for path, n, _ in files for i in range(n)]
+        shares = max(1, min(len(blocks), -(-sum(n for _, _, n in files) // s.task_queries), 20_000 // tasks))
+
+        def scan(own: list[tuple[str, int]]) -> Callable:
+            def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+                if not own:  # no queries
+                    return
+                r, (rot, factor), _ = shared.value
+                turn = (rot, [1.0] * len(factor) if last else factor)  # a partial distance beyond the bound rules out for certain
+                share = None
+                for vs in _cells(batches):
+                    share = share or Share(own, plan.value[1], dim)
+                    share.scan(vs, r, plan.value[0], n_bands, turn, s)
+                    if share.held > s.most_held:
+                        yield share.taken()
+                if share:
+                    yield share.taken()
+
+            return run
+
+        return reduce(DataFrame.unionAll, [placed.mapInArrow(scan(blocks[i::shares]), "qid bigint, id bigint, d double, k int") for i in range(shares)])
+
+    listed = placed
+    placed = cut_lineage(listed.mapInArrow(to_cells, "cell int, list int, id bigint, vec binary, tag string").repartitionById(tasks, F.pmod("cell", F.lit(tasks))).sortWithinPartitions("cell", "list"))
+    release(listed)
+    asked = cut_lineage(q.mapInArrow(ask, "id bigint, k int, wanted string, vec binary, bound double, cutoff double"))
     rank = F.row_number().over(Window.partitionBy("qid").orderBy("d", "id"))
-    found = cut_lineage(meet(q.mapInArrow(ask, SCHEMA), scan))
-    best = found.where(F.col("id").isNotNull()).withColumn("rank", rank).where(F.col("rank") <= F.col("k"))
-    left = found.where(F.col("id").isNull()).select(F.col("qid").alias("id"), F.col("d").alias("cutoff"))
+    best = cut_lineage(meet(asked, False)).withColumn("rank", rank).where(F.col("rank") <= F.col("k"))
+    left = asked.where(F.col("cutoff") < F.lit(float("inf")))  # these have lists left
     if not left.isEmpty():
         kth = best.where(F.col("rank") == F.col("k")).select(F.col("qid").alias("id"), F.col("d").alias("tau"))
-        again = q.join(left, "id").join(kth, "id", "left").select("id", "k", "wanted", "vec", "cutoff", F.coalesce("tau", F.lit(float("inf"))).alias("tau"))
-        both = best.drop("rank").withColumn("turn", F.lit(1)).unionAll(meet(again.mapInArrow(ask_again, SCHEMA), scan_again).withColumn("turn", F.lit(2)))
+        again = left.join(kth, "id", "left").select("id", "k", "wanted", "vec", F.coalesce("tau", F.lit(float("inf"))).alias("bound"), F.lit(float("inf")).alias("cutoff"))
+        both = best.drop("rank").withColumn("turn", F.lit(1)).unionAll(meet(again, True).withColumn("turn", F.lit(2)))
         # The second answer of a query is whole: it takes the place of the first.
         last = both.withColumn("last", F.max("turn").over(Window.partitionBy("qid"))).where(F.col("turn") == F.col("last"))
         best = last.withColumn("rank", rank).where(F.col("rank") <= F.col("k"))
     return best.select(F.col("qid").alias(names[0]), F.col("id").alias(names[1]), F.col("d").alias("_distance"))
 
 
+def _written(queries: DataFrame, most: int) -> list[tuple[str, int, int]]:
+    """(path, blocks, rows) of the files of the queries, in a folder that all executors share; a block has ``most`` rows at most."""
+    folder = scratch_folder(queries.sparkSession)
+
+    def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        out, n, rows, path = None, 0, 0, f"{folder}/{uuid.uuid4().hex}"  # an attempt has a file of its own
+        for b in batches:
+            if out is None and b.num_rows:
+                os.makedirs(folder, exist_ok=True)
+                out = pa.ipc.new_file(path, b.schema)
+            for at in range(0, b.num_rows, most):
+                out.write_batch(b.slice(at, most))
+                n += 1
+            rows += b.num_rows
+        if out is not None:
+            out.close()
+            yield pa.RecordBatch.from_arrays([pa.array([path]), pa.array([n], pa.int64()), pa.array([rows], pa.int64())], names=["path", "n", "rows"])
+
+    return sorted((x["path"], x["n"], x["rows"]) for x in queries.mapInArrow(write, "path string, n bigint, rows bigint").collect())
+
+
+class Share:
+    """Some of the queries, the best that a task's cells hold for each so far, and the bound that follows from them."""
+
+    def __init__(self, blocks: list[tuple[str, int]], codes: Codes, dim: int):
+        files = {path: pa.ipc.open_file(pa.memory_map(path)) for path in {path for path, _ in blocks}}
+        t = pa.Table.from_batches([files[path].get_batch(i) for path, i in blocks]).combine_chunks()
+        column = lambda c: pa.concat_arrays(t[c].chunks)
+        self.ids, self.ks, self.wanted, self.m = column("id").to_numpy(), column("k").to_numpy(), column("wanted").cast(pa.string()), unpack(column("vec"), dim)
+        self.bound, self.cutoff, self.tags = column("bound").to_numpy().copy(), column("cutoff").to_numpy(), codes.of(self.wanted, -1)
+        self.best = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)
+
+    @property
+    def held(self) -> int:
+        return len(self.best[0])
+
+    def taken(self) -> pa.RecordBatch:
+        i, ids, d = self.best
+        self.best = i[:0], ids[:0], d[:0]
+        return pa.RecordBatch.from_arrays([pa.array(self.ids[i]), pa.array(ids), pa.array(d), pa.array(self.ks[i])], names=["qid", "id", "d", "k"])
+
+    def scan(self, vs: dict[str, pa.Array], r: Router, table: tuple, n_bands: int, turn: tuple[np.ndarray, list[float]], s: Search) -> None:
+        """Meets a cell's vectors, in the order of their lists."""
+        lists, x = vs["list"].to_numpy(), unpack(vs["vec"], self.m.shape[1])
+        own = np.isin(table[0], np.unique(lists))
+        who, which = probed(self.m, self.tags, self.bound, self.cutoff, r, tuple(c[own] for c in table), n_bands)
+        asks, first = np.unique(who, return_index=True)
+        ends = np.r_[first, len(who)]
+        for at in range(0, len(asks), 2048):
+            rows = asks[at : at + 2048]
+            few, wanted, tags = ends[at : at + 2049], self.wanted.take(pa.array(rows)), (np.full(len(x), -3), np.full(len(rows), -1))
+            if wanted.null_count < len(rows):  # the tags themselves, numbered within the cell
+                same = pa.concat_arrays([vs["tag"], wanted]).dictionary_encode().indices
+                there, number = same.is_valid().to_numpy(zero_copy_only=False), same.fill_null(0).to_numpy()
+                tags = np.where(there[: len(x)], number[: len(x)], -3), np.where(there[len(x) :], number[len(x) :], -1)
+            probes = pa.ListArray.from_arrays(pa.array((few - few[0]).astype(np.int32)), pa.array(which[few[0] : few[-1]].astype(np.int32)))
+            self.add(*scan_cell(vs["id"].to_numpy(), x, tags[0], lists, rows, self.m[rows], self.ks[rows], tags[1], probes, self.bound[rows], turn, s))
+
+    def add(self, i: np.ndarray, ids: np.ndarray, d: np.ndarray) -> None:
+        if not len(i):
+            return
+        new = np.zeros(len(self.ids), bool)
+        new[i] = True
+        old = new[self.best[0]]
+        i, ids, d = (np.concatenate([b[old], more]) for b, more in zip(self.best, (i, ids, d)))
+        o = np.lexsort((ids, d, i))
+        i, ids, d = i[o], ids[o], d[o]
+        place = np.arange(len(i)) - np.searchsorted(i, i)
+        kth = place == self.ks[i] - 1
+        self.bound[i[kth]] = np.fmin(self.bound[i[kth]], d[kth])
+        ok = place < self.ks[i]
+        self.best = tuple(np.concatenate([b[~old], more[ok]]) for b, more in zip(self.best, (i, ids, d)))
+
+
 def fit_rotation(sample: np.ndarray, s: Search) -> tuple[np.ndarray, list[float]]:
     """(rotation to the principal axes of the sample, factor of the threshold after each block).
 
@@ -407,38 +414,27 @@ def fit_rotation(sample: np.ndarray, s: Search) -> tuple[np.ndarray, list[float]
     return rot, [float(min(1.0, np.quantile(diff[seen, :w].sum(1) / full[seen], 1 - s.risk))) for w in bounds]
 
 
-def _cells(batches: Iterator[pa.RecordBatch], most: int = 2048) -> Iterator[tuple[dict[str, pa.Array], dict[str, pa.Array]]]:
-    """(vectors, queries) of each cell of rows sorted by (cell, kind); a cell's queries come in blocks of about ``most``."""
-    cell, vs, qs, waiting = None, [], [], 0
-    whole: dict[str, pa.Array] | None = None  # the vectors of the cell, put together once
+def _cells(batches: Iterator[pa.RecordBatch]) -> Iterator[dict[str, pa.Array]]:
+    """The vectors of each cell, of rows sorted by cell."""
+    cell, vs = None, []
 
-    def join(parts: list[pa.RecordBatch]) -> dict[str, pa.Array]:
-        t = pa.Table.from_batches(parts)
+    def join() -> dict[str, pa.Array]:
+        t = pa.Table.from_batches(vs)
         return {c: t[c].combine_chunks() if t[c].num_chunks != 1 else t[c].chunk(0) for c in t.column_names}
 
-    def out() -> Iterator[tuple[dict, dict]]:
-        nonlocal whole
-        if vs and qs:
-            whole = whole or join(vs)
-            yield whole, join(qs)
-
     for b in batches:
-        key = b.column(0).to_numpy().astype(np.int64) * 2 + b.column(1).to_numpy()
+        key = b.column(0).to_numpy()
         cuts = [0, *(np.flatnonzero(np.diff(key)) + 1).tolist(), b.num_rows]
         for x, y in zip(cuts, cuts[1:]):
             if x == y:
                 continue
-            this, kind = divmod(int(key[x]), 2)
-            if this != cell:
-                yield from out()
-                cell, vs, qs, waiting, whole = this, [], [], 0, None
-            (qs if kind else vs).append(b.slice(x, y - x))
-            if kind:
-                waiting += y - x
-                if waiting >= most:
-                    yield from out()
-                    qs, waiting = [], 0
-    yield from out()
+            if key[x] != cell:
+                if vs:
+                    yield join()
+                cell, vs = key[x], []
+            vs.append(b.slice(x, y - x))
+    if vs:
+        yield join()
 
 
 def _lists_of(want: int, table: tuple, n_bands: int) -> tuple[np.ndarray, ...] | None:
@@ -516,6 +512,8 @@ def route(m: np.ndarray, ks: np.ndarray, tags: np.ndarray, r: Router, table: tup
                 extra = np.setdiff1d(full[:need], order[x])
                 out_rows.append(np.full(len(extra), rows[cut][x]))
                 out_lists.append(ls[extra])
+                seen = score[x][full[:need]]
+                cutoff[rows[cut][x]] = seen[np.isfinite(seen)].max(initial=cutoff[rows[cut][x]])
     if not out_rows:
         return np.zeros(0, np.int64), np.zeros(0, np.int64), bound, cutoff
     return np.concatenate(out_rows), np.concatenate(out_lists), bound, cutoff
@@ -532,27 +530,33 @@ def _kth(m: np.ndarray, some: np.ndarray, ks: np.ndarray) -> np.ndarray:
     return np.where(np.isnan(out), np.inf, out)
 
 
-def rest(m: np.ndarray, tags: np.ndarray, tau: np.ndarray, cutoff: np.ndarray, r: Router, table: tuple, n_bands: int) -> tuple[np.ndarray, np.ndarray]:
-    """(query rows, lists): every list that can hold a vector within the squared distance ``tau``, of the queries that have such lists beyond the cutoff."""
+def probed(m: np.ndarray, tags: np.ndarray, bound: np.ndarray, cutoff: np.ndarray, r: Router, table: tuple, n_bands: int) -> tuple[np.ndarray, np.ndarray]:
+    """(query rows, lists), by query: of the lists of ``table`` those that can hold a vector within the squared distance ``bound`` and have a score up to the cutoff."""
     out_rows, out_lists = [], []
     slack = rounding(r.leaves)
+    reach = np.sqrt(np.einsum("ij,ij->i", m, m, dtype=np.float64)) + np.sqrt(np.einsum("ij,ij->i", r.leaves, r.leaves, dtype=np.float64))[np.isfinite(slack)].max(initial=0)
+    limit = (np.sqrt(bound) * (1 + 1e-5) + 1e-4 + 1e-6 * reach).astype(np.float32)
     for want in np.unique(tags):
         if (of := _lists_of(want, table, n_bands)) is None:
             continue
         _, lo, hi, mn, ls, lf = of
-        mine = np.flatnonzero(tags == want)
-        step = max(1, (1 << 20) // len(lf))
+        few, at_leaf = np.unique(lf, return_inverse=True)
+        lo, hi, mn, own = lo.astype(np.float32), hi.astype(np.float32), mn.astype(np.float32), (slack[few] * 1.001).astype(np.float32)[None]
+        mine, leaves = np.flatnonzero(tags == want), r.leaves[few]
+        step = max(8, min(2048, (1 << 20) // len(lf)))
         for at in range(0, len(mine), step):
             rows = mine[at : at + step]
-            d2 = squared(m[rows], r.leaves)[:, lf].astype(np.float64)
-            wrong = rounding(m[rows])[:, None] + slack[lf][None]
-            far, near = np.sqrt(d2 + wrong), np.sqrt(np.fmax(d2 - wrong, 0))
-            reach = np.sqrt(tau[rows])[:, None] * (1 + 1e-5) + 1e-4
-            possible = ~(np.fmax(near - hi, lo - far) > reach)
-            new = possible & ~(d2 + wrong + mn < (cutoff[rows][:, None] - wrong) * (1 - 1e-6))
-            i, j = np.nonzero(possible & new.any(1)[:, None])
+            d2 = squared(m[rows], leaves)
+            wrong = (rounding(m[rows])[:, None] * 1.001).astype(np.float32) + own
+            far, near = np.sqrt(d2 + wrong)[:, at_leaf], np.sqrt(np.fmax(d2 - wrong, 0))[:, at_leaf]
+            possible = ~(np.fmax(near - hi, lo - far) > limit[rows][:, None])
+            if (some := np.isfinite(cutoff[rows])).any():
+                possible[some] &= ~(np.fmin((d2 - wrong)[some][:, at_leaf] + mn, np.finfo(np.float32).max) > cutoff[rows[some]][:, None] * (1 + 1e-6))
+            i, j = np.nonzero(possible)
             out_rows.append(rows[i])
             out_lists.append(ls[j])
     if not out_rows:
         return np.zeros(0, np.int64), np.zeros(0, np.int64)
-    return np.concatenate(out_rows), np.concatenate(out_lists)
+    rows, lists = np.concatenate(out_rows), np.concatenate(out_lists)
+    o = np.argsort(rows, kind="stable")
+    return rows[o], lists[o]

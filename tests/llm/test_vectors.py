@@ -67,6 +67,29 @@ def test_more_lists_than_probes(spark):
     assert hit >= 39
 
 
+def shuffled_rows(spark, known=None):
+    """Rows that the stages wrote for a shuffle, by stage; of those not yet known their sum."""
+    sc = spark.sparkContext
+    sc._jsc.sc().listenerBus().waitUntilEmpty()
+    stages = sc._jsc.sc().statusStore().stageList(None, False, False, sc._gateway.new_array(sc._jvm.double, 0), None)
+    rows = {(s.stageId(), s.attemptId()): s.shuffleWriteRecords() for s in map(stages.apply, range(stages.size()))}
+    return rows if known is None else sum(n for k, n in rows.items() if k not in known)
+
+
+def test_queries_are_not_shuffled_to_cells(spark):
+    rng = np.random.default_rng(41)
+    x, q = rng.normal(size=(3000, DIM)).astype(np.float32), rng.normal(size=(400, DIM)).astype(np.float32)
+    docs = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "id long, vec array<float>")
+    qs = spark.createDataFrame([(i, v.tolist(), 1) for i, v in enumerate(q)], "qid long, vec array<float>, k int")
+    before = shuffled_rows(spark)
+    got = {}
+    # A cloud without groups: every query may have a neighbour in each of some 50 cells.
+    for r in nearest_vectors(docs, "id", "vec", qs, "qid", "vec", "k", dim=DIM, search=Search(cell_rows=64, probes=24)).collect():
+        got.setdefault(r["qid"], []).append((r["_distance"], r["id"]))
+    assert sum(sorted(i for _, i in got[j]) == sorted(brute(x, np.arange(3000), None, v, 1, None)) for j, v in enumerate(q)) >= 395
+    assert 3000 < shuffled_rows(spark, before) < 25_000
+
+
 def test_many_pivots_meet_all_similar_vectors():
     rng = np.random.default_rng(9)
     pivots = rng.normal(size=(5000, 64)).astype(np.float32) * 4  # more than Router.ALL
